@@ -1,12 +1,14 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from kgspark.llm import ann, chat, packing, quality, urls, warc
+from kgspark.llm import ann, chat, jaccard, mixing, packing, quality, urls, warc
 
 QUERIES = {
+    "op1_mixing": mixing.query,
     "op2_url_filters": urls.query,
     "op3_chat_formatting": chat.query,
     "op4_best_fit_packing": packing.query,
     "op5_quality_rules": quality.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op7_warc": warc.query,
     "op10_nearest_neighbours": ann.query,
 }

@@ -37,7 +37,9 @@ from kgspark.llm.common import load, materialize, worker_cache
 CAPACITY, END = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks kept by a worker; the cache starts anew beyond that.
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 300_000
+#: Characters of text split and looked up at once.
+SLICE_CHARS = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -119,13 +121,16 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         cache = caches[path]
         end = np.array([END], "<u4").tobytes()
         for pdf in batches:
-            out = []
-            for doc_id, raw in zip(pdf.doc_id, cache.encode([t if isinstance(t, str) else "" for t in pdf.text])):
-                raw += end
-                for i, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    out.append((doc_id, i, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            texts = [t if isinstance(t, str) else "" for t in pdf.text]
+            sizes = np.cumsum([len(t) for t in texts]) // SLICE_CHARS
+            for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+                out = []
+                for doc_id, raw in zip(pdf.doc_id.iloc[at], cache.encode([texts[i] for i in at])):
+                    raw += end
+                    for i, start in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[start : start + 4 * capacity]
+                        out.append((doc_id, i, start // 4, len(part) // 4, zlib.crc32(part)))
+                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInPandas(run, PIECES)
 
