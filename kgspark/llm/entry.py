@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from kgspark.llm import ann, chat, jaccard, mixing, packing, pii, quality, urls, warc
+from kgspark.llm import ann, chat, jaccard, mixing, packing, pii, quality, suffixes, urls, warc
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_quality_rules": quality.query,
     "op6_ngram_jaccard_join": jaccard.query,
     "op7_warc": warc.query,
+    "op8_suffix_array_dedup": suffixes.query,
     "op9_pii": pii.query,
     "op10_nearest_neighbours": ann.query,
 }
