@@ -1,5 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
+import corpus_pipeline
 from kgspark.llm import ann, chat, jaccard, mixing, packing, pii, quality, suffixes, urls, warc
 
 QUERIES = {
@@ -12,6 +13,7 @@ QUERIES = {
     "op7_warc": warc.query,
     "op8_suffix_array_dedup": suffixes.query,
     "op9_pii": pii.query,
+    "pipeline": corpus_pipeline.run,
     "op10_nearest_neighbours": ann.query,
 }
 ORACLES = {"op3_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE}
