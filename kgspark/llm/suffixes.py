@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgspark.llm.common import join_checked, load, materialize
 from kgspark.llm.shingles import mix
@@ -269,7 +270,7 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     return materialize(merged)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def kept_bytes(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
     """The bytes outside the runs."""
 
