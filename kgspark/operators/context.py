@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.operators.recovery import saved
+
 
 def hydrate(refs: DataFrame, hot: DataFrame, archive: DataFrame) -> DataFrame:
     """refs (key, message_ids) -> key, message_id, content: the hot store first, then the archive; unknown ids are dropped."""
@@ -30,14 +32,14 @@ def surrounding(messages: DataFrame, hits: DataFrame, forward: int = 3, total: i
 
 def fresh_hits(context: DataFrame, hits: DataFrame, rounds: int = 20) -> DataFrame:
     """hits (hit_id, rank) that no kept hit of better rank already shows in its context."""
-    shows = context.where("not is_hit").select(F.col("hit_id").alias("by"), F.col("id").alias("hit_id")).join(hits.select("hit_id", "rank"), "hit_id").join(hits.select(F.col("hit_id").alias("by"), F.col("rank").alias("by_rank")), "by").where("by_rank < rank").select("by", "hit_id").checkpoint()
+    shows = saved(context.where("not is_hit").select(F.col("hit_id").alias("by"), F.col("id").alias("hit_id")).join(hits.select("hit_id", "rank"), "hit_id").join(hits.select(F.col("hit_id").alias("by"), F.col("rank").alias("by_rank")), "by").where("by_rank < rank").select("by", "hit_id"))
     kept, open_ = None, hits
     for _ in range(rounds):
         blocked = shows.join(open_.select(F.col("hit_id").alias("by")), "by", "left_semi")
-        now = open_.join(blocked.select("hit_id"), "hit_id", "left_anti").checkpoint()  # nothing undecided shows them
+        now = saved(open_.join(blocked.select("hit_id"), "hit_id", "left_anti"))  # nothing undecided shows them
         kept = now if kept is None else kept.unionByName(now)
         gone = shows.join(now.select(F.col("hit_id").alias("by")), "by", "left_semi").select("hit_id")
-        open_ = open_.join(now.select("hit_id"), "hit_id", "left_anti").join(gone, "hit_id", "left_anti").checkpoint()
+        open_ = saved(open_.join(now.select("hit_id"), "hit_id", "left_anti").join(gone, "hit_id", "left_anti"))
         if open_.isEmpty():
             break
     return kept

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.operators.recovery import saved
+
 PROTECTED = 1
 
 
@@ -92,7 +94,7 @@ def ancestry(part_of: DataFrame, ids: DataFrame, max_depth: int = 32) -> DataFra
         grows = F.col("parent_id").isNotNull() & ~F.array_contains("chain", F.coalesce("parent_id", F.lit(-1)))
         ended = step.where(~grows).select("id", "chain")
         done = ended if done is None else done.unionByName(ended)
-        now = step.where(grows).select("id", F.concat("chain", F.array("parent_id")).alias("chain")).checkpoint()
+        now = saved(step.where(grows).select("id", F.concat("chain", F.array("parent_id")).alias("chain")))
         if now.isEmpty():
             break
     return done
@@ -110,7 +112,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> Da
     seen = front
     for _ in range(max_depth):
         step = front.join(hop, front["node"] == hop["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        front = step.join(seen.select("source", "node"), ["source", "node"], "left_anti").checkpoint()
+        front = saved(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.graph import active, undirected
+from kgspark.operators.recovery import saved
 
 
 def graph_stats(entities: DataFrame, facts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,7 +72,7 @@ def joined_text(df: DataFrame, keys: list[str], order: list[str], col: str, sep:
 def assign_ids(new: DataFrame, existing: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
     """Dense ids after the largest existing one, in key order: counts per range partition, then numbers within it."""
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
-    ranged = new.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).checkpoint()
+    ranged = saved(new.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     before = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("i0")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     got = ranged.join(F.broadcast(before.select("_p", "before", "i0")), "_p").crossJoin(F.broadcast(top))
     return got.withColumn("id", F.col("top") + 1 + F.col("before") + F.col("_i") - F.col("i0")).drop("_p", "_i", "before", "i0", "top")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.graph import PROTECTED, alias_names, undirected
+from kgspark.operators.recovery import saved
 
 
 def newest_by_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -75,10 +76,10 @@ def disjoint_pairs(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         ends = rest.select(F.explode(F.array("primary_id", "secondary_id")).alias("x"), "rank")
         best = ends.groupBy("x").agg(F.min("rank").alias("least"))
         at = lambda c: best.select(F.col("x").alias(c), F.col("least").alias(f"_{c}"))
-        now = rest.join(at("primary_id"), "primary_id").join(at("secondary_id"), "secondary_id").where("rank = _primary_id and rank = _secondary_id").select(*pairs.columns).checkpoint()
+        now = saved(rest.join(at("primary_id"), "primary_id").join(at("secondary_id"), "secondary_id").where("rank = _primary_id and rank = _secondary_id").select(*pairs.columns))
         kept = now if kept is None else kept.unionByName(now)
         used = now.select(F.explode(F.array("primary_id", "secondary_id")).alias("x"))
-        rest = rest.join(used.withColumnRenamed("x", "primary_id"), "primary_id", "left_anti").join(used.withColumnRenamed("x", "secondary_id"), "secondary_id", "left_anti").select(*pairs.columns).checkpoint()
+        rest = saved(rest.join(used.withColumnRenamed("x", "primary_id"), "primary_id", "left_anti").join(used.withColumnRenamed("x", "secondary_id"), "secondary_id", "left_anti").select(*pairs.columns))
         if rest.isEmpty():
             break
     return kept

@@ -1,0 +1,270 @@
+"""Neighbours, hierarchy, paths, evidence and context."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kgspark.operators import context, graph, ingest, search
+from kgspark.plans.fixtures import NOW
+from kgspark.plans.read_queries import ACTIVE, ACTIVE_SQL, now
+from kgspark.plans.registry import query
+
+UND = "(SELECT a_id AS src, b_id AS dst, weight, confidence, last_seen, message_ids, context FROM kg_related_to UNION ALL SELECT b_id, a_id, weight, confidence, last_seen, message_ids, context FROM kg_related_to)"
+FACTS = "(SELECT source_entity_id, count(*) AS n_facts FROM kg_facts WHERE invalid_at IS NULL GROUP BY 1)"
+
+
+@query("j1_neighbors", f"SELECT DISTINCT src AS id, dst AS neighbor_id FROM {UND} WHERE src IN (SELECT id FROM kg_ids)")
+def j1(t):
+    return graph.neighbors(t.related_to, t.ids)
+
+
+@query("j2_recent_neighbors", f"""
+SELECT src AS id, CAST(rn AS INTEGER) AS rn, dst AS neighbor_id, canonical_name AS neighbor_name FROM (SELECT u.src, u.dst, canonical_name, row_number() OVER (PARTITION BY u.src ORDER BY last_mentioned DESC NULLS LAST, u.dst) AS rn
+ FROM (SELECT DISTINCT src, dst FROM {UND}) u JOIN kg_entities e ON e.id = u.dst WHERE src IN (SELECT id FROM kg_ids)) WHERE rn <= 10""")
+def j2(t):
+    return graph.neighbor_entities(t.related_to, t.entities, t.ids, 10)
+
+
+@query("j3_related_entities", f"""
+SELECT s.canonical_name AS source, u.dst AS target_id, e.canonical_name AS target, e.topic, weight, round(u.confidence, 6) AS confidence, CAST(epoch(last_seen) AS BIGINT) AS last_seen, context, array_to_string(message_ids, ',') AS evidence, coalesce(n_facts, 0) AS n_facts
+FROM {UND} u JOIN kg_entities s ON s.id = u.src AND s.id BETWEEN 1000 AND 1999 JOIN kg_entities e ON e.id = u.dst AND (e.topic IS NULL OR e.topic IN {ACTIVE_SQL}) LEFT JOIN {FACTS} f ON f.source_entity_id = u.dst""")
+def j3(t):
+    names = t.entities.where("type = 'supplier'").where("id between 1000 and 1999").select(F.col("canonical_name").alias("name"))
+    got = graph.related(t.related_to, t.entities, t.facts, names, ACTIVE)
+    return got.select("source", "target_id", "target", "topic", "weight", F.round("confidence", 6).alias("confidence"), F.unix_timestamp("last_seen").alias("last_seen"), "context", F.array_join("message_ids", ",").alias("evidence"), "n_facts")
+
+
+@query("j4_connection_counts", f"""
+SELECT src AS id, count(*) FILTER (topic IS NULL OR topic IN {ACTIVE_SQL}) AS visible, count(*) FILTER (NOT (topic IS NULL OR topic IN {ACTIVE_SQL})) AS hidden FROM {UND} u JOIN kg_entities e ON e.id = u.dst WHERE src IN (SELECT id FROM kg_ids) GROUP BY src""")
+def j4(t):
+    return graph.connection_counts(t.related_to, t.entities, t.ids, ACTIVE)
+
+
+@query("j5_entity_relationships", f"SELECT src AS id, dst AS neighbor_id, canonical_name AS neighbor, weight, CAST(epoch(last_seen) AS BIGINT) AS last_seen FROM {UND} u JOIN kg_entities e ON e.id = u.dst WHERE src IN (SELECT id FROM kg_ids)")
+def j5(t):
+    return graph.entity_relationships(t.related_to, t.entities, t.ids).select("id", "neighbor_id", "neighbor", "weight", F.unix_timestamp("last_seen").alias("last_seen"))
+
+
+PAIRS = "(SELECT o_custkey + 1000000 AS a_id, 1000 + o_orderkey % 100 AS b_id FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL)"
+
+
+def pairs(t):
+    return t.orders.where("o_orderkey % 3 = 0").select((F.col("o_custkey") + 1000000).alias("a_id"), (1000 + F.col("o_orderkey") % 100).alias("b_id")).distinct()
+
+
+@query("j6_has_edge", f"SELECT a_id, b_id, EXISTS (SELECT 1 FROM kg_related_to r WHERE r.a_id = p.b_id AND r.b_id = p.a_id) AS found FROM {PAIRS} p")
+def j6(t):
+    return graph.has_edge(pairs(t), t.related_to)
+
+
+@query("j6_has_hierarchy", "SELECT s AS a_id, n AS b_id, EXISTS (SELECT 1 FROM kg_part_of h WHERE h.child_id = s AND h.parent_id = n) AS found FROM (SELECT 1000 + s_suppkey AS s, CAST(100 + n_nationkey AS BIGINT) AS n FROM supplier, nation WHERE n_regionkey = 2)")
+def j6h(t):
+    p = t.supplier.select((1000 + F.col("s_suppkey")).alias("a_id")).crossJoin(F.broadcast(t.nation.where("n_regionkey = 2").select((100 + F.col("n_nationkey")).cast("long").alias("b_id"))))
+    return graph.has_edge(p, t.part_of.withColumnsRenamed({"child_id": "a_id", "parent_id": "b_id"}))
+
+
+@query("j7_parents", f"SELECT child_id AS id, parent_id AS other_id, canonical_name AS name, coalesce(n_facts, 0) AS n_facts FROM kg_part_of JOIN kg_entities ON id = parent_id LEFT JOIN {FACTS} f ON f.source_entity_id = parent_id")
+def j7(t):
+    return graph.parents(t.part_of, t.entities, t.facts, t.entities.select("id")).select("id", "other_id", "name", "n_facts")
+
+
+@query("j7_children", f"SELECT parent_id AS id, child_id AS other_id, canonical_name AS name, coalesce(n_facts, 0) AS n_facts FROM kg_part_of JOIN kg_entities ON id = child_id LEFT JOIN {FACTS} f ON f.source_entity_id = child_id WHERE parent_id IN (SELECT id FROM kg_ids)")
+def j7c(t):
+    return graph.parents(t.part_of, t.entities, t.facts, t.ids, up=False).select("id", "other_id", "name", "n_facts")
+
+
+@query("j8_ancestry", """
+WITH RECURSIVE p AS (SELECT child_id, min(parent_id) AS parent_id FROM kg_part_of GROUP BY child_id), c AS (SELECT id, [id] AS chain FROM kg_entities UNION ALL SELECT c.id, list_append(chain, p.parent_id) FROM c JOIN p ON p.child_id = chain[-1] WHERE NOT list_contains(chain, p.parent_id))
+SELECT id, array_to_string(chain, '>') AS chain FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY len(chain) DESC) = 1""")
+def j8(t):
+    return graph.ancestry(t.part_of, t.entities.select("id")).select("id", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
+
+
+def path_pairs(t):
+    e = heavy(t)
+    return e.select("a_id").distinct().orderBy("a_id").limit(4).crossJoin(F.broadcast(e.select("b_id").distinct().orderBy("b_id").limit(30)))
+
+
+def heavy(t):
+    return t.related_to.where("weight >= 3").select("a_id", "b_id")
+
+
+PATHS = """WITH RECURSIVE h AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 3 {where}), e AS (SELECT a_id AS src, b_id AS dst FROM h UNION SELECT b_id, a_id FROM h),
+hv AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 3), s AS (SELECT DISTINCT a_id FROM hv ORDER BY a_id LIMIT 4), g AS (SELECT DISTINCT b_id FROM hv ORDER BY b_id LIMIT 30),
+p AS (SELECT a_id AS source, a_id AS node, [a_id] AS path, 0 AS d FROM s UNION
+ SELECT source, node, min(path) AS path, d FROM (SELECT p.source, e.dst AS node, list_append(path, e.dst) AS path, d + 1 AS d FROM p JOIN e ON e.src = p.node WHERE d < 4 AND NOT list_contains(path, e.dst)) GROUP BY source, node, d)
+SELECT source AS a_id, node AS b_id, array_to_string(path, '>') AS path FROM p WHERE node IN (SELECT b_id FROM g) QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY d, path) = 1"""
+
+
+@query("j9_shortest_paths", PATHS.format(where=""))
+def j9(t):
+    return graph.shortest_paths(heavy(t), path_pairs(t)).select("a_id", "b_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+SEEN = f"SELECT id FROM kg_entities WHERE topic IS NULL OR topic IN {ACTIVE_SQL}"
+
+
+@query("j10_paths_on_topics", PATHS.format(where=f"AND a_id IN ({SEEN}) AND b_id IN ({SEEN})"))
+def j10(t):
+    return graph.shortest_paths(graph.on_topics(heavy(t), t.entities, ACTIVE), path_pairs(t)).select("a_id", "b_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+def two_step(t):
+    e = graph.undirected(heavy(t))
+    return e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").where("src < far").select(F.col("src").alias("a_id"), F.col("far").alias("b_id"), F.array("src", "dst", "far").alias("path"))
+
+
+@query("j11_redacted_paths", f"""
+WITH h AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 3), e AS (SELECT a_id AS src, b_id AS dst FROM h UNION ALL SELECT b_id, a_id FROM h), p AS (SELECT e.src AS a, e.dst AS m, f.dst AS b FROM e JOIN e f ON f.src = e.dst WHERE e.src < f.dst),
+s AS (SELECT a AS a_id, b AS b_id, 0 AS step, a AS from_id, m AS to_id FROM p UNION ALL SELECT a, b, 1, m, b FROM p), n AS (SELECT id, canonical_name, topic IS NULL OR topic IN {ACTIVE_SQL} AS seen FROM kg_entities)
+SELECT a_id, b_id, step, from_id, to_id, CASE WHEN f.seen AND g.seen THEN f.canonical_name ELSE 'LOCKED' END AS from_name, CASE WHEN f.seen AND g.seen THEN g.canonical_name ELSE 'LOCKED' END AS to_name, NOT (f.seen AND g.seen) AS locked FROM s JOIN n f ON f.id = from_id JOIN n g ON g.id = to_id""")
+def j11(t):
+    return graph.redacted(graph.path_steps(two_step(t), t.entities, ACTIVE))
+
+
+@query("f8_path_steps", """
+WITH h AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 3), e AS (SELECT a_id AS src, b_id AS dst FROM h UNION ALL SELECT b_id, a_id FROM h), p AS (SELECT e.src AS a, e.dst AS m, f.dst AS b FROM e JOIN e f ON f.src = e.dst WHERE e.src < f.dst),
+s AS (SELECT a AS a_id, b AS b_id, 0 AS step, a AS from_id, m AS to_id FROM p UNION ALL SELECT a, b, 1, m, b FROM p)
+SELECT a_id, b_id, step, from_id, to_id, coalesce(f.topic, 'General') AS from_topic FROM s JOIN kg_entities f ON f.id = from_id""")
+def f8(t):
+    return graph.path_steps(two_step(t), t.entities).select("a_id", "b_id", "step", "from_id", "to_id", "from_topic")
+
+
+@query("j12_hydrate", "SELECT r.a_id || '-' || r.b_id AS key, message_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS content FROM (SELECT a_id, b_id, unnest(message_ids) AS message_id FROM kg_related_to WHERE weight >= 2) r JOIN orders ON message_id = 'msg_' || o_orderkey WHERE o_orderkey % 5 <> 0")
+def j12(t):
+    key = F.concat(F.lit("msg_"), F.col("o_orderkey").cast("string")).alias("message_id")
+    hot = t.orders.where("o_orderkey % 2 = 0 and o_orderkey % 5 <> 0").select(key, F.col("o_orderstatus").alias("content"))
+    cold = t.orders.where("o_orderkey % 5 <> 0").select(key, F.col("o_orderpriority").alias("content"))
+    refs = t.related_to.where("weight >= 2").select(F.concat_ws("-", "a_id", "b_id").alias("key"), "message_ids")
+    return context.hydrate(refs, hot, cold)
+
+
+@query("j13_facts_with_source", "SELECT f.id, f.content, m.content AS source_text FROM kg_facts f LEFT JOIN kg_messages m ON m.id = f.source_msg_id")
+def j13(t):
+    return context.facts_with_source(t.facts, t.messages).select("id", "content", "source_text")
+
+
+CTX = "WITH r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS rn FROM kg_messages)"
+
+
+@query("j14_surrounding", f"{CTX} SELECT h.id AS hit_id, m.id, h.id = m.id AS is_hit FROM r h JOIN r m ON m.session_id = h.session_id AND m.rn BETWEEN h.rn - 6 AND h.rn + 3 WHERE h.id % 5 = 0")
+def j14(t):
+    return context.surrounding(t.messages, t.messages.where("id % 5 = 0").select(F.col("id").alias("hit_id"))).drop("ts")
+
+
+@query("j15_fresh_hits")
+def j15(t):
+    hits = t.messages.select(F.col("id").alias("hit_id"), F.xxhash64("id").alias("rank"))
+    return context.fresh_hits(context.surrounding(t.messages, hits), hits)
+
+
+@query("j16_resolve_pairs", """
+WITH n AS (SELECT name, min(id) AS id FROM (SELECT id, lower(canonical_name) AS name FROM kg_entities UNION ALL SELECT id, lower(alias1) FROM kg_entities) GROUP BY name),
+p AS (SELECT upper(p_name) AS name_a, CASE WHEN p_partkey % 3 = 0 THEN p_brand ELSE 'Supplier#' || lpad(CAST(p_partkey % 150 AS VARCHAR), 9, '0') END AS name_b FROM part)
+SELECT name_a, name_b, a.id AS a_id, b.id AS b_id FROM p LEFT JOIN n a ON a.name = lower(name_a) LEFT JOIN n b ON b.name = lower(name_b)""")
+def j16(t):
+    b = F.when(F.col("p_partkey") % 3 == 0, F.col("p_brand")).otherwise(F.concat(F.lit("Supplier#"), F.lpad((F.col("p_partkey") % 150).cast("string"), 9, "0")))
+    return ingest.resolve_pairs(t.part.select(F.upper("p_name").alias("name_a"), b.alias("name_b")), graph.alias_names(t.entities))
+
+
+NAMES = "n AS (SELECT DISTINCT id, lower(canonical_name) AS name FROM kg_entities UNION SELECT id, lower(alias1) FROM kg_entities)"
+
+
+@query("j17_alias_collisions", f"WITH {NAMES} SELECT DISTINCT a.id AS lo, b.id AS hi FROM n a JOIN n b ON a.name = b.name AND a.id < b.id")
+def j17(t):
+    return graph.alias_collisions(t.entities)
+
+
+@query("j18_targeted_collisions", f"WITH {NAMES} SELECT DISTINCT least(a.id, b.id) AS lo, greatest(a.id, b.id) AS hi FROM n a JOIN n b ON a.name = b.name AND a.id <> b.id WHERE a.id IN (SELECT id FROM kg_ids)")
+def j18(t):
+    return graph.alias_collisions(t.entities, t.ids)
+
+
+HIER = f"""SELECT u.src AS parent_id, u.dst AS child_id, p.type AS parent_type, c.type AS child_type, weight FROM {UND} u JOIN kg_entities p ON p.id = u.src JOIN kg_entities c ON c.id = u.dst JOIN kg_rules r ON r.parent_type = p.type AND r.child_type = c.type
+WHERE weight >= 2 AND p.tt = c.tt"""
+
+
+def retopic(t):
+    return t.entities.withColumn("topic", F.when(F.col("id") % 3 == 0, "x").otherwise("y"))
+
+
+@query("j19_hierarchy_candidates", HIER.replace("kg_entities", "(SELECT *, CASE WHEN id % 3 = 0 THEN 'x' ELSE 'y' END AS tt FROM kg_entities)") + " AND NOT EXISTS (SELECT 1 FROM kg_part_of h WHERE h.parent_id = u.src AND h.child_id = u.dst)")
+def j19(t):
+    return graph.hierarchy_candidates(t.related_to, retopic(t), t.part_of, t.rules)
+
+
+@query("j20_tag_known", """
+WITH w AS (SELECT id, list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}'']+'), lambda x: x <> '') AS tok FROM kg_messages), a AS (SELECT alias, id AS aid, ' ' || lower(alias) || ' ' AS k FROM kg_term_aliases)
+SELECT w.id AS msg_id, lower(alias) AS name, aid AS id FROM w JOIN a ON contains(' ' || array_to_string(tok, ' ') || ' ', k)""")
+def j20(t):
+    return ingest.tag_known(t.messages, t.term_aliases)
+
+
+@query("j21_targeted_flush", "SELECT DISTINCT source_entity_id AS id FROM kg_facts WHERE source = 'llm' AND source_entity_id IN (SELECT b_id FROM kg_related_to WHERE weight >= 3)")
+def j21(t):
+    dirty = t.facts.where("source = 'llm'").select(F.col("source_entity_id").alias("id"))
+    return dirty.intersect(t.related_to.where("weight >= 3").select(F.col("b_id").alias("id")))
+
+
+@query("j22_profiles", f"""
+SELECT e.id, canonical_name, coalesce(n_facts, 0) AS n_facts, least(coalesce((SELECT count(DISTINCT dst) FROM {UND} u WHERE u.src = e.id), 0), 20) AS n_neighbors, (SELECT min(parent_id) FROM kg_part_of WHERE child_id = e.id) AS parent_id, (SELECT count(*) FROM kg_part_of WHERE parent_id = e.id) AS n_children
+FROM kg_entities e LEFT JOIN {FACTS} f ON f.source_entity_id = e.id WHERE e.id IN (SELECT id FROM kg_ids)""")
+def j22(t):
+    e = scan_ids(t)
+    near = graph.neighbor_entities(t.related_to, t.entities, t.ids, 20).groupBy("id").agg(F.count(F.lit(1)).alias("n_neighbors"))
+    up = t.part_of.groupBy(F.col("child_id").alias("id")).agg(F.min("parent_id").alias("parent_id"))
+    down = t.part_of.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+    got = e.join(graph.fact_lists(t.facts).withColumnRenamed("entity_id", "id"), "id", "left").join(near, "id", "left").join(up, "id", "left").join(down, "id", "left")
+    return got.select("id", "canonical_name", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_facts", "n_neighbors", "n_children")], "parent_id")
+
+
+def scan_ids(t):
+    return t.entities.join(t.ids, "id", "left_semi")
+
+
+@query("w6_top_connections", f"""
+SELECT src AS id, CAST(rn AS INTEGER) AS rank, dst AS other_id, weight, array_to_string(message_ids[1:5], ',') AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS rn FROM {UND} WHERE src IN (SELECT id FROM kg_ids)) WHERE rn <= 5""")
+def w6(t):
+    return search.top_connections(t.related_to, t.ids).withColumn("evidence", F.array_join("evidence", ","))
+
+
+@query("a11_hot_context", """
+WITH h AS (SELECT id, topic, canonical_name, row_number() OVER (PARTITION BY topic ORDER BY last_mentioned DESC, id) AS rn FROM kg_entities WHERE topic IN (SELECT name FROM kg_topics WHERE hot AND active))
+SELECT topic, id, canonical_name, (SELECT count(*) FROM kg_facts f WHERE f.source_entity_id = h.id AND invalid_at IS NULL) AS n_facts FROM h WHERE rn <= 3""")
+def a11(t):
+    from kgspark.operators import stats, topics
+
+    hot = topics.hot_topics(t.topics).select(F.col("name").alias("topic"))
+    top = stats.top_per_group(t.entities.join(hot, "topic", "left_semi"), ["topic"], [F.desc("last_mentioned"), "id"], 3)
+    return top.join(graph.fact_lists(t.facts).withColumnRenamed("entity_id", "id"), "id", "left").select("topic", "id", "canonical_name", F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+
+
+@query("u2_shared_neighbors", f"""
+WITH p AS (SELECT DISTINCT 1000 + l_suppkey AS a_id, 1000 + (l_suppkey + l_partkey) % 90 AS b_id FROM lineitem WHERE l_orderkey % 50 = 0), u AS (SELECT DISTINCT src, dst FROM {UND} WHERE dst <> 1)
+SELECT a_id, b_id, (SELECT count(*) FROM u x JOIN u y ON x.dst = y.dst WHERE x.src = a_id AND y.src = b_id) AS shared FROM p""")
+def u2(t):
+    p = t.lineitem.where("l_orderkey % 50 = 0").select((1000 + F.col("l_suppkey")).alias("a_id"), (1000 + (F.col("l_suppkey") + F.col("l_partkey")) % 90).alias("b_id")).distinct()
+    return graph.shared_neighbors(t.related_to, p)
+
+
+@query("u3_missing_ids", "SELECT DISTINCT source_msg_id AS id FROM kg_facts WHERE source_msg_id NOT IN (SELECT id FROM kg_messages)")
+def u3(t):
+    return t.facts.select(F.col("source_msg_id").alias("id")).join(t.messages.select("id"), "id", "left_anti").distinct()
+
+
+@query("d19_orphans", f"""
+WITH d AS (SELECT src AS id, count(*) AS degree, count(*) FILTER (dst <> 1) AS others FROM {UND} GROUP BY src)
+SELECT e.id, canonical_name FROM kg_entities e LEFT JOIN d ON d.id = e.id WHERE e.id <> 1 AND NOT EXISTS (SELECT 1 FROM kg_facts f WHERE f.source_entity_id = e.id AND invalid_at IS NULL)
+ AND e.id NOT IN (SELECT child_id FROM kg_part_of) AND e.id NOT IN (SELECT parent_id FROM kg_part_of)
+ AND ((degree IS NULL AND epoch(last_mentioned) < epoch({NOW}) - 86400) OR (degree IS NOT NULL AND others = 0 AND epoch(last_mentioned) < epoch({NOW}) - 30 * 86400))""")
+def d19(t):
+    return graph.orphans(t.entities, t.facts, t.related_to, t.part_of, now())
+
+
+@query("r15_recent_activity", f"""
+WITH {NAMES}, s AS (SELECT DISTINCT id FROM n WHERE name IN (SELECT lower(s_name) FROM supplier WHERE s_suppkey < 20)), m AS (SELECT max(last_seen) AS top FROM kg_related_to)
+SELECT u.src AS id, u.dst AS other_id, canonical_name AS other, weight FROM {UND} u JOIN kg_entities e ON e.id = u.dst, m WHERE u.src IN (SELECT id FROM s) AND epoch(last_seen) > epoch(m.top) - 8760 * 3600 AND (topic IS NULL OR topic IN {ACTIVE_SQL})""")
+def r15(t):
+    top = t.related_to.agg(F.max("last_seen").alias("m")).first()["m"]
+    names = t.supplier.where("s_suppkey < 20").select(F.col("s_name").alias("name"))
+    return search.recent_activity(t.related_to, t.entities, names, F.lit(top), 8760, ACTIVE).select("id", "other_id", "other", "weight")

@@ -308,7 +308,7 @@ def w1(t):
     return newest_facts(t.facts, t.entities).select("id", "source_entity_id", F.col("rn").cast("long").alias("rn"))
 
 
-@query("w2_fact_timeline", "SELECT id, content, source_msg_id, CAST(epoch(invalid_at) AS BIGINT) AS invalid_at FROM kg_facts WHERE source_entity_id IN (SELECT id FROM kg_ids)")
+@query("w2_fact_timeline", "SELECT id, content, source_msg_id, CAST(floor(epoch(invalid_at)) AS BIGINT) AS invalid_at FROM kg_facts WHERE source_entity_id IN (SELECT id FROM kg_ids)")
 def w2(t):
     return t.facts.join(t.ids.select(F.col("id").alias("source_entity_id")), "source_entity_id", "left_semi").select("id", "content", "source_msg_id", EPOCH("invalid_at"))
 

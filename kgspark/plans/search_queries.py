@@ -1,0 +1,280 @@
+"""Vector, text and hybrid search, resolution and fact reconciliation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from kgspark.functions import scalars
+from kgspark.functions.udfs import hashed_embedding, ratio
+from kgspark.operators import facts as fact_ops
+from kgspark.operators import graph, ingest, search, stats
+from kgspark.plans.read_queries import ACTIVE, ACTIVE_SQL
+from kgspark.plans.registry import query
+
+
+def vecs(t):
+    return t.vectors.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+
+
+def asked(t):
+    return t.vectors.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+
+
+DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
+COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
+TOPK = f"""SELECT q.vec_id AS qid, v.vec_id AS id, round({COS.format(a='q.embedding', b='v.embedding')}, 4) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='v.embedding')}, 9) DESC, v.vec_id) AS INTEGER) AS rank FROM kg_vectors q, kg_vectors v WHERE q.vec_id % 25 = 0 QUALIFY rank <= {{k}}"""
+
+
+@query("r1_vector_topk", TOPK.format(k=10))
+def r1(t):
+    return search.vector_topk(asked(t), vecs(t), 10).withColumn("score", F.round("score", 4))
+
+
+@query("r2_vector_topk_floor", f"SELECT * FROM ({TOPK.format(k=10)}) WHERE score >= 0.3")
+def r2(t):
+    return search.vector_topk(asked(t), vecs(t), 10, floor=0.29995).withColumn("score", F.round("score", 4)).where("score >= 0.3")
+
+
+@query("r3_knn_self", f"SELECT q.vec_id AS id, v.vec_id AS other FROM kg_vectors q, kg_vectors v QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='v.embedding')}, 9) DESC, v.vec_id) <= 10 AND q.vec_id <> v.vec_id")
+def r3(t):
+    return search.knn_self(vecs(t), 10).select("id", "other")
+
+
+def fact_vecs(t):
+    return t.facts.join(t.vectors, "vec_id", "left").withColumnRenamed("embedding", "vec")
+
+
+FV = "(SELECT f.*, v.embedding AS vec FROM kg_facts f LEFT JOIN kg_vectors v ON v.vec_id = f.vec_id)"
+
+
+@query("r4_relevant_facts", f"""
+SELECT source_entity_id AS entity_id, f.id, CAST(row_number() OVER (PARTITION BY source_entity_id ORDER BY round({COS.format(a='f.vec', b='q.embedding')}, 9) DESC, f.id) AS INTEGER) AS rank FROM {FV} f JOIN kg_vectors q ON q.vec_id = f.source_entity_id - 1000000 WHERE invalid_at IS NULL AND vec IS NOT NULL QUALIFY rank <= 2""")
+def r4(t):
+    q = t.vectors.select((F.col("vec_id") + 1000000).alias("entity_id"), F.col("embedding").alias("qvec"))
+    return search.relevant_facts(fact_vecs(t), q, 2).select("entity_id", "id", "rank")
+
+
+BM25 = """WITH w AS (SELECT id, term FROM (SELECT id, unnest(string_split(lower(text), ' ')) AS term FROM ({corpus})) WHERE term <> ''), l AS (SELECT id, count(*) AS dl FROM w GROUP BY id), s AS (SELECT count(*) AS n, avg(dl) AS a FROM l),
+q AS (SELECT qid, term, count(*) AS qf FROM (SELECT qid, unnest(string_split(lower(text), ' ')) AS term FROM ({queries})) WHERE term <> '' GROUP BY qid, term), tf AS (SELECT id, term, count(*) AS tf FROM w WHERE term IN (SELECT term FROM q) GROUP BY id, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+b AS (SELECT qid, id, sum(qf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))) AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN l USING (id), s GROUP BY qid, id)"""
+DOCS = "SELECT doc_id AS id, text FROM documents"
+QS = "SELECT qid, text FROM kg_queries"
+
+
+def docs(t):
+    return t.documents.select(F.col("doc_id").alias("id"), "text")
+
+
+@query("r7_bm25", BM25.format(corpus=DOCS, queries=QS) + " SELECT qid, id, round(score, 4) AS score FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 20")
+def r7(t):
+    return search.bm25(docs(t), t.queries, 20).select("qid", "id", F.round("score", 4).alias("score"))
+
+
+MSGS = "SELECT id, content AS text FROM kg_messages"
+SAN = """SELECT qid, trim(regexp_replace(regexp_replace(text, '[+\\-&|!(){}\\[\\]^"~*?:\\\\/]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM kg_queries"""
+
+
+@query("r6_message_search", BM25.format(corpus=MSGS, queries=SAN) + " SELECT qid, id, round(score, 4) AS score FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 10")
+def r6(t):
+    q = t.queries.select("qid", scalars.sanitize(F.col("text")).alias("text"))
+    return search.bm25(t.messages.select("id", F.col("content").alias("text")), q, 10).select("qid", "id", F.round("score", 4).alias("score"))
+
+
+EQ = f"SELECT row_number() OVER (ORDER BY p_name) AS qid, p_name AS text FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey < 40)"
+
+
+@query("r5_entity_search", BM25.format(corpus=f"SELECT id, canonical_name || ' ' || alias1 AS text FROM kg_entities WHERE topic IS NULL OR topic IN {ACTIVE_SQL}", queries="SELECT n_nationkey AS qid, n_name AS text FROM nation") + " SELECT qid, id, round(score, 4) AS score, canonical_name FROM b JOIN kg_entities USING (id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 5")
+def r5(t):
+    q = t.nation.select(F.col("n_nationkey").alias("qid"), F.col("n_name").alias("text"))
+    return search.search_entity(t.entities, q, ACTIVE, 5).select("qid", "id", F.round("score", 4).alias("score"), "canonical_name")
+
+
+def hybrid_parts(t):
+    v = search.vector_topk(t.vectors.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), vecs(t), 50)
+    return v, search.bm25(docs(t), t.queries, 50)
+
+
+HY = BM25.format(corpus=DOCS, queries=QS) + f""", tx AS (SELECT qid, id, score / max(score) OVER (PARTITION BY qid) AS s FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 50)),
+vx AS (SELECT q.vec_id AS qid, v.vec_id AS id, {COS.format(a='q.embedding', b='v.embedding')} AS s FROM kg_vectors q, kg_vectors v WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='v.embedding')}, 9) DESC, v.vec_id) <= 50),
+h AS (SELECT coalesce(vx.qid, tx.qid) AS qid, coalesce(vx.id, tx.id) AS id, coalesce(vx.s, 0) + coalesce(tx.s, 0) AS score FROM vx FULL JOIN tx ON vx.qid = tx.qid AND vx.id = tx.id)"""
+
+
+@query("r8_hybrid_search", HY + " SELECT qid, id, round(score, 4) AS score FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 20")
+def r8(t):
+    return search.hybrid(*hybrid_parts(t), 20).select("qid", "id", F.round("score", 4).alias("score"))
+
+
+@query("r9_rerank", HY + """, c AS (SELECT qid, id FROM h QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 45),
+o AS (SELECT c.qid, c.id, len(list_intersect(list_distinct(string_split(lower(q.text), ' ')), list_distinct(string_split(lower(d.text), ' ')))) / len(list_distinct(string_split(lower(q.text), ' '))) AS score FROM c JOIN kg_queries q ON q.qid = c.qid JOIN documents d ON d.doc_id = c.id)
+SELECT qid, id, round(score, 4) AS score FROM o QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 8""")
+def r9(t):
+    cands = search.hybrid(*hybrid_parts(t), 45)
+    return search.rerank(cands, docs(t), t.queries, search.overlap_score).select("qid", "id", F.round("score", 4).alias("score"))
+
+
+CH = "SELECT id || '_parent_' || k AS id, doc_id, substr(text, 1 + k * 1800, 2000) AS text FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 200) / 1800.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0)"
+
+
+@query("r10_parent_retrieval", BM25.format(corpus=CH, queries=QS) + f""", c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 35), p AS (SELECT qid, split_part(id, '_parent_', 1) AS parent_id, max(score) AS raw FROM c GROUP BY ALL)
+SELECT qid, parent_id, round(1 / (1 + exp(-raw)), 4) AS score FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, parent_id) <= 8""")
+def r10(t):
+    c = ingest.chunk(docs(t), 2000, 200).select(F.concat_ws("_parent_", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "text")
+    kids = c.select("id", F.split("id", "_parent_")[0].alias("parent_id"))
+    return search.parent_retrieval(search.bm25(c, t.queries, 35), kids, 8).select("qid", "parent_id", "score")
+
+
+@query("x2_chunks", "SELECT id, chunk_index, text FROM (SELECT doc_id AS id, CAST(k AS INTEGER) AS chunk_index, substr(text, 1 + k * 462, 512) AS text FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 50) / 462.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0))")
+def x2(t):
+    return ingest.chunk(docs(t), 512, 50).select("id", "chunk_index", "text")
+
+
+@query("x1_hashed_embedding", "SELECT id, array_to_string(list_transform(range(16), lambda i: CAST(len(list_filter(list_transform(list_filter(string_split(lower(content), ' '), lambda w: w <> ''), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16), lambda s: s = i)) AS VARCHAR)), ',') AS vec FROM kg_messages")
+def x1(t):
+    return t.messages.select("id", F.array_join(F.transform(hashed_embedding(F.col("content"), 16), lambda x: x.cast("int").cast("string")), ",").alias("vec"))
+
+
+@query("f1_cosine", f"SELECT vec_id, round({COS.format(a='embedding', b='list_reverse(embedding)')}, 6) AS c FROM embeddings")
+def f1(t):
+    return t.embeddings.select("vec_id", F.round(scalars.cosine(F.col("embedding"), F.reverse("embedding")), 6).alias("c"))
+
+
+@query("f2_l2norm", "SELECT vec_id, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS first FROM embeddings")
+def f2(t):
+    return t.embeddings.select("vec_id", F.round(scalars.l2norm(F.col("embedding"))[0], 6).alias("first"))
+
+
+@query("f3_substring_match", "SELECT p_partkey, contains(lower(p_name), lower(p_type)) OR contains(lower(p_type), lower(p_name)) OR contains(lower(p_brand || p_name), lower(p_name)) AS hit FROM part")
+def f3(t):
+    return t.part.select("p_partkey", (scalars.substring_match(F.col("p_name"), F.col("p_type")) | scalars.substring_match(F.concat("p_brand", "p_name"), F.col("p_name"))).alias("hit"))
+
+
+@query("f4_indel_ratio")
+def f4(t):
+    pairs = t.part.select("p_partkey", F.col("p_name").alias("a"), F.concat("p_name", F.lit(" "), "p_type").alias("b"))
+    return pairs.select("p_partkey", F.round(ratio("a", "b"), 6).alias("ratio"), F.round(scalars.indel_ratio(F.col("a"), F.col("b")), 6).alias("native"))
+
+
+def mentions(t):
+    return t.supplier.select(F.concat(F.lower("s_name"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("x")).otherwise(F.lit(""))).alias("mention"))
+
+
+@query("r11_fuzzy_candidates")
+def r11(t):
+    return search.fuzzy_candidates(mentions(t), graph.alias_names(t.entities.where("type = 'supplier'")), ratio, 85, 5).select("mention", "id", F.round("score", 6).alias("score"))
+
+
+def fused(t):
+    fuzzy = search.fuzzy_candidates(mentions(t), graph.alias_names(t.entities.where("type = 'supplier'")), ratio, 85, 5)
+    exact = graph.alias_names(t.entities).select(F.col("name").alias("mention"), "id", F.lit(1.0).alias("score")).join(mentions(t), "mention", "left_semi")
+    return search.fuse(exact, fuzzy)
+
+
+@query("r12_candidate_fusion")
+def r12(t):
+    return fused(t).select("mention", "id", F.round("score", 6).alias("score"))
+
+
+@query("r13_resolve_best", "SELECT lower(s_name) || CASE WHEN s_suppkey % 2 = 0 THEN 'x' ELSE '' END AS mention, 1000 + s_suppkey AS id, s_name AS canonical_name FROM supplier WHERE s_suppkey % 2 = 1")
+def r13(t):
+    got = search.resolve_best(fused(t), t.entities)
+    return got.join(t.supplier.where("s_suppkey % 2 = 1").select(F.lower("s_name").alias("mention")), "mention", "left_semi")
+
+
+@query("r14_fact_check", """
+SELECT n.name, CASE WHEN e.id IS NOT NULL THEN 'name' ELSE 'messages' END AS resolution, coalesce(e.id, -1) AS entity_id, CASE WHEN e.id IS NOT NULL THEN (SELECT count(*) FROM kg_facts f WHERE f.source_entity_id = e.id) ELSE (SELECT count(*) FROM kg_messages m WHERE contains(lower(m.content), lower(n.name))) END AS evidence
+FROM (SELECT c_name AS name FROM customer UNION ALL SELECT alias FROM kg_term_aliases) n LEFT JOIN kg_entities e ON lower(e.canonical_name) = lower(n.name)""")
+def r14(t):
+    names = t.customer.select(F.col("c_name").alias("name")).unionByName(t.term_aliases.select(F.col("alias").alias("name")))
+    exact = names.join(t.entities.select(F.lower("canonical_name").alias("k"), F.col("id").alias("entity_id")), F.lower("name") == F.col("k")).select("name", "entity_id")
+    by_name = exact.join(t.facts.groupBy(F.col("source_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n")), "entity_id", "left").select("name", F.lit("name").alias("resolution"), "entity_id", F.coalesce("n", F.lit(0)).alias("evidence"))
+    rest = names.join(exact.select("name"), "name", "left_anti")
+    hits = rest.join(t.messages, F.contains(F.lower("content"), F.lower("name")), "left").groupBy("name").agg(F.count("id").alias("evidence"))
+    return by_name.unionByName(hits.select("name", F.lit("messages").alias("resolution"), F.lit(-1).cast("long").alias("entity_id"), "evidence"))
+
+
+@query("r16_preferences", "SELECT user_id, event_id, event_type AS kind FROM events WHERE event_type IN ('click', 'view') QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) <= 3")
+def r16(t):
+    some = t.events.where(F.col("event_type").isin("click", "view")).withColumnRenamed("event_type", "kind")
+    return stats.top_per_group(some, ["user_id", "kind"], [F.desc("ts"), "event_id"], 3).select("user_id", "event_id", "kind")
+
+
+@query("r17_transcripts", "SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS INTEGER) AS place, id FROM kg_messages")
+def r17(t):
+    return stats.top_per_group(t.messages, ["session_id"], ["ts", "id"], 1 << 30, "place").select("session_id", "place", "id")
+
+
+@query("r18_spawn_tree", "SELECT child_id, parent_id, type FROM kg_part_of JOIN kg_entities ON id = child_id")
+def r18(t):
+    return t.part_of.join(t.entities.select(F.col("id").alias("child_id"), "type"), "child_id")
+
+
+@query("r19_proposals", "SELECT CAST(row_number() OVER (PARTITION BY context ORDER BY last_seen, a_id, b_id) AS INTEGER) AS place, context, a_id, b_id FROM kg_related_to WHERE weight >= 3")
+def r19(t):
+    return stats.top_per_group(t.related_to.where("weight >= 3"), ["context"], ["last_seen", "a_id", "b_id"], 1 << 30, "place").select("place", "context", "a_id", "b_id")
+
+
+@query("d1_merge_pairs")
+def d1(t):
+    e = t.entities.where("type = 'part'")
+    knn = search.knn_self(e.join(t.vectors, "vec_id").select("id", F.col("embedding").alias("vec")), 20)
+    return fact_ops.merge_pairs(knn, t.entities, stats.generic_tokens(t.entities.select("id", F.lower("canonical_name").alias("name")), 400)).select("lo", "hi", F.round("score", 6).alias("score"))
+
+
+@query("d2_classify_pairs")
+def d2(t):
+    p = graph.alias_collisions(t.entities).where("lo >= 2000000").withColumn("score", F.lit(90.0)).withColumn("cos", F.lit(0.8))
+    return fact_ops.classify_pairs(p, t.entities, t.related_to, t.part_of)
+
+
+P3 = "(SELECT a_id, b_id, round(confidence - (weight % 3) * 0.1, 6) AS cos, a_id % 2 = b_id % 2 AS same_topic, weight > 2 AS alias_hit, weight % 2 AS facts_a, 1 AS facts_b FROM kg_related_to)"
+
+
+def graded(t):
+    return t.related_to.select("a_id", "b_id", F.round(F.col("confidence") - F.col("weight") % 3 * 0.1, 6).alias("cos"), (F.col("a_id") % 2 == F.col("b_id") % 2).alias("same_topic"), (F.col("weight") > 2).alias("alias_hit"), (F.col("weight") % 2).alias("facts_a"), F.lit(1).alias("facts_b"))
+
+
+@query("d3_merge_decision", f"SELECT a_id, b_id, CASE WHEN alias_hit AND same_topic THEN 'auto' WHEN facts_a < 1 OR facts_b < 1 THEN 'reject' WHEN cos >= 0.93 AND same_topic THEN 'auto' WHEN cos < 0.65 THEN 'reject' ELSE 'review' END AS decision FROM {P3}")
+def d3(t):
+    return fact_ops.decide(graded(t)).select("a_id", "b_id", "decision")
+
+
+@query("d4_review_decision", "SELECT a_id, b_id, CASE WHEN s >= 0.93 THEN 'auto' WHEN s >= 0.65 THEN 'review' ELSE 'reject' END AS decision FROM (SELECT a_id, b_id, CASE WHEN quality = 1 THEN 0.95 ELSE 0.475 END AS s FROM kg_related_to JOIN labels ON doc_id = a_id % 400 WHERE weight >= 2)")
+def d4(t):
+    pairs = t.related_to.where("weight >= 2").withColumn("pair", F.col("a_id") % 400)
+    judged = t.labels.select(F.col("doc_id").alias("pair"), (F.col("quality") == 1).alias("flag"), F.lit(0.95).alias("confidence"))
+    return fact_ops.review(pairs.drop("confidence"), judged).select("a_id", "b_id", "decision")
+
+
+@query("d8_duplicate_facts", f"""
+WITH p AS (SELECT DISTINCT source_entity_id AS primary_id, source_entity_id + 1 AS secondary_id FROM kg_facts WHERE source_entity_id % 2 = 0), v AS (SELECT source_entity_id, id, vec FROM {FV} WHERE invalid_at IS NULL AND vec IS NOT NULL)
+SELECT primary_id, secondary_id, a.id, round(max({COS.format(a='a.vec', b='b.vec')}), 4) AS score FROM p JOIN v a ON a.source_entity_id = secondary_id JOIN v b ON b.source_entity_id = primary_id GROUP BY 1, 2, 3 HAVING max({COS.format(a='a.vec', b='b.vec')}) >= 0.2""")
+def d8(t):
+    p = t.facts.where("source_entity_id % 2 = 0").select(F.col("source_entity_id").alias("primary_id"), (F.col("source_entity_id") + 1).alias("secondary_id")).distinct()
+    return fact_ops.duplicate_facts(fact_vecs(t), p, 0.2).withColumn("score", F.round("score", 4))
+
+
+@query("d9_dedupe_facts")
+def d9(t):
+    return fact_ops.dedupe_facts(fact_vecs(t), 0.2)
+
+
+@query("d10_apply_fact_updates")
+def d10(t):
+    u = t.facts.where("invalid_at is null and vec_id % 20 = 0").select(F.col("source_entity_id").alias("entity_id"), F.col("vec_id").alias("seq"), F.concat("content", F.lit("0")).alias("content"), F.when(F.col("vec_id") % 40 == 0, F.col("content")).alias("supersedes"), F.lit(None).cast("string").alias("invalidates"))
+    return fact_ops.apply_fact_updates(t.facts, u)
+
+
+@query("d11_contradictions", f"""
+WITH v AS (SELECT * FROM {FV} WHERE vec IS NOT NULL), p AS (SELECT n.source_entity_id AS entity_id, n.id, o.id AS old_id, {COS.format(a='n.vec', b='o.vec')} AS score FROM v n JOIN v o ON o.source_entity_id = n.source_entity_id AND o.invalid_at IS NULL AND n.id <> o.id AND n.content <> o.content AND n.source_msg_id > o.source_msg_id WHERE n.vec_id % 2 = 0)
+SELECT entity_id, id, old_id, round(score, 4) AS score, CAST(ceil(row_number() OVER (PARTITION BY entity_id ORDER BY round(score, 9) DESC, id, old_id) / 4.0) AS BIGINT) AS batch FROM p WHERE score >= 0.1 AND score < 0.95""")
+def d11(t):
+    f = fact_vecs(t)
+    new = f.where("vec_id % 2 = 0").select("id", F.col("source_entity_id").alias("entity_id"), "content", "vec", "source_msg_id")
+    return fact_ops.contradiction_pairs(new, f, 0.1, 0.95).withColumn("score", F.round("score", 4))
+
+
+@query("d16_boost", "SELECT s_name AS mention, 1000 + s_suppkey AS id, round(0.8 + CASE WHEN s_suppkey % 2 = 0 THEN 0.05 ELSE 0 END + least(0.05, 0.03 * (s_suppkey % 3)), 6)::DOUBLE AS score FROM supplier")
+def d16(t):
+    c = t.supplier.select(F.col("s_name").alias("mention"), (1000 + F.col("s_suppkey")).alias("id"), F.lit(0.8).alias("score"), "s_suppkey")
+    j = c.select("mention", "id", (F.col("s_suppkey") % 2 == 0).alias("flag"))
+    return fact_ops.boost(c, j, c.select("mention", "id", (F.col("s_suppkey") % 3).alias("overlap")), co_occurrence=True).withColumn("score", F.round("score", 6))

@@ -84,7 +84,7 @@ def stop_after(results: DataFrame, n: int = 5, key: str = "stage") -> DataFrame:
     run = results.withColumn("_g", F.sum(F.col("ok").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
     run = run.withColumn("_k", F.count_if(~F.col("ok")).over(W.partitionBy(key, "_g").orderBy("id").rowsBetween(W.unboundedPreceding, 0)))
     stop = F.max(F.when(~F.col("ok") & (F.col("_k") >= n), 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, -1))
-    return run.where(F.coalesce(stop, F.lit(0)) == 0).drop("_g", "_k")
+    return run.withColumn("_s", F.coalesce(stop, F.lit(0))).where("_s = 0").drop("_g", "_k", "_s")
 
 
 def revalidate(batches: DataFrame, entities: DataFrame) -> DataFrame:
