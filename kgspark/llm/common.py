@@ -18,13 +18,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can see: spark.checkpoint.dir, or a temporary one where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the folder every executor can see; a temporary one where that is unset."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = tempfile.mkdtemp(prefix="kgspark-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return f"{where.rstrip('/')}/kgspark-{uuid.uuid4().hex}"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kgspark-"))
+        where = spark.sparkContext.getCheckpointDir()
+    return where.rstrip("/")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    return f"{shared_root(spark)}/kgspark-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, *, sort_within: list[str] | None = None) -> DataFrame:

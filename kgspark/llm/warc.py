@@ -28,7 +28,7 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import join_checked, load, materialize, shared_dir
+from kgspark.llm.common import join_checked, load, materialize, shared_dir, shared_root
 
 #: Skippable frame that holds the dictionary (format of WARC files with Zstandard), and plain frames.
 DICTIONARY_MAGIC, FRAME_MAGIC, DICT_MAGIC = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
@@ -204,10 +204,15 @@ def _writer(where: str, dictionary: bytes):
             store.move(temporary, name := f"{base}/part-{part:05d}-{shard:05d}.warc.zst")
             yield pd.DataFrame({"path": [name], "n_records": [n]})
 
-    where = where if "://" in where else f"file://{where}" if where.startswith("/") else where
+    where = uri_of(where)
     return write
 
 
+def uri_of(path: str) -> str:
+    """A folder as a URI that pyarrow's filesystems read."""
+    return path if "://" in path else "file://" + path.removeprefix("file:")
+
+
 def read_archives(manifest: DataFrame, uri: str = "file:///") -> DataFrame:
     """RECORDS of every archive in the manifest; fails on a damaged record or a wrong record count."""
 
@@ -243,9 +248,7 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url", "html")
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file:///"
-    manifest = write_archives(pages)
-    return read_archives(manifest, where if "://" in where else "file:///").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archives(write_archives(pages), uri_of(shared_root(spark))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
