@@ -72,7 +72,7 @@ def read_text_files(spark: SparkSession, path: str, largest: int = 50 << 20) ->
     """path, name, extension, size, text of acceptable files; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length").between(1, largest))
     named = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("extension", F.lower(F.element_at(F.split("name", r"\."), -1)))
-    return accept_files(named.select("path", "name", "extension", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text")))
+    return accept_files(named.select("path", "name", "extension", F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
 
 
 def accept_files(files: DataFrame, per_session: int = 100) -> DataFrame:
