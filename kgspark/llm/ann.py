@@ -15,7 +15,7 @@ the largest inner product the smallest angle.
 
 Defined cases: null, zero or wrong-length vectors and those with null or
 non-finite components take no part (nor do null ids); equal vectors are all
-candidates and ties go to the smaller id; with k or fewer candidates all found
+candidates and ties go to the smaller id; with fewer than k candidates all
 are returned; rows that repeat an id and its vector have one place; queries skip all rows
 with their own id; an empty table gives no rows; extra columns are left out.
 """
@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.common import load
+from kgspark.llm.common import load, materialize
 
 TABLES, PROBES, BLOCK, QUERY_BLOCK, SEED, K = 10, 16, 2048, 256, 20240501, 20
 
@@ -95,7 +95,22 @@ def posted(rows: DataFrame, hashed, block: int) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, *, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probe: int = PROBES, seed: int = SEED) -> DataFrame:
-    """query_id, rank, vec_id, score of each query's k nearest rows with another id."""
+    """query_id, rank, vec_id, score of each query's k nearest rows with another id.
+
+    Queries for which the probed buckets hold fewer than k candidates are asked again in every bucket of one table.
+    """
+    names = {"id_col": id_col, "vec_col": vec_col}
+    found = materialize(probed(vectors, queries, k, tables=tables, probe=probe, seed=seed, **names))
+    full = found.where(F.col("rank") == k).select("query_id").distinct()
+    short = queries.join(full, F.col(id_col) == F.col("query_id"), "left_anti")
+    if short.isEmpty():
+        return found
+    again = probed(vectors, short, k, tables=1, probe=1 << 30, seed=seed, **names)
+    return found.join(full, "query_id", "left_semi").unionByName(again)
+
+
+def probed(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probe: int = PROBES, seed: int = SEED) -> DataFrame:
+    """As nearest(), from the probed buckets alone."""
     data = clean(vectors, id_col, vec_col)
     squares = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     stats = data.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("m"), F.min(squares).alias("l")).orderBy(F.desc("n"), "d").first()

@@ -33,27 +33,30 @@ TARGETS = {"clean": 0.90, "low": 0.09, "toxic": 0.01}
 SAMPLE_ROWS, LEXICON = 4000, 64
 #: Posteriors are rounded to this many parts for the fit.
 PARTS = 50
-STEPS, TOLERANCE = 60, 1e-4
+STEPS, TOLERANCE = 40, 1e-4
 FEATURES = ("symbols", "repeated", "lines", "length", "short", "lexicon")
 
 
 def features(text: Column, lexicon: list[str]) -> Column:
-    """A struct of FEATURES and n_tokens (words between white space)."""
+    """A struct of FEATURES and n_tokens (words between white space). Words and lines are split once, as variables of a lambda."""
     text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    n = F.size(words)
-    some = F.greatest(n, F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: x != "")
-    hits = F.size(F.array_intersect(words, F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
-    return F.struct(
-        F.least(F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / F.greatest(F.length(text), F.lit(1)) * 5, F.lit(1.0)).alias("symbols"),
-        (1 - F.size(F.array_distinct(words)) / some).alias("repeated"),
-        (1 - F.size(F.array_distinct(lines)) / F.greatest(F.size(lines), F.lit(1))).alias("lines"),
-        (F.length(text) / some / 10).alias("length"),
-        (1.0 / F.sqrt(some)).alias("short"),
-        F.least(hits / 3.0, F.lit(1.0)).alias("lexicon"),
-        n.cast("long").alias("n_tokens"),
-    )
+    words = F.array_remove(F.split(F.lower(text), "[\\x20\\x09-\\x0D]+"), "")
+    lines = F.array_remove(F.split(text, "\n"), "")
+
+    def of(w: Column) -> Column:
+        some = F.greatest(F.size(w), F.lit(1))
+        hits = F.size(F.array_intersect(w, F.array(*map(F.lit, lexicon)))) if lexicon else F.lit(0)
+        return F.struct(
+            F.least(F.regexp_count(text, F.lit(r"[#*$%&|<>]")) / F.greatest(F.length(text), F.lit(1)) * 5, F.lit(1.0)).alias("symbols"),
+            (1 - F.size(F.array_distinct(w)) / some).alias("repeated"),
+            F.transform(F.array(lines), lambda x: 1 - F.size(F.array_distinct(x)) / F.greatest(F.size(x), F.lit(1)))[0].alias("lines"),
+            (F.length(text) / some / 10).alias("length"),
+            (1.0 / F.sqrt(some)).alias("short"),
+            F.least(hits / 3.0, F.lit(1.0)).alias("lexicon"),
+            F.size(w).cast("long").alias("n_tokens"),
+        )
+
+    return F.transform(F.array(words), of)[0]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -88,18 +91,14 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
     model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=100).fit(vectors)
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
 
-    def score(text: Column) -> Column:
-        f = features(text, lexicon)
-
-        def with_posteriors(s: Column) -> Column:
-            # A class without rows has intercept -inf; labels beyond the largest seen have no weights.
-            z = [sum((s[c] * float(w) for c, w in zip(FEATURES, weights[k])), F.lit(float(bias[k]))) if k < len(bias) and math.isfinite(bias[k]) else None for k in range(len(DOMAINS))]
-            e = F.array(*[F.lit(0.0) if x is None else F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x))) for x in z])
-            return F.struct(s.alias("f"), F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, b: a + b)).alias("p"))
-
-        return F.transform(F.array(f), with_posteriors)[0]
+    def with_posteriors(s: Column) -> Column:
+        # A class without rows has intercept -inf; labels beyond the largest seen have no weights.
+        z = [sum((s[c] * float(w) for c, w in zip(FEATURES, weights[k])), F.lit(float(bias[k]))) if k < len(bias) and math.isfinite(bias[k]) else None for k in range(len(DOMAINS))]
+        e = F.array(*[F.lit(0.0) if x is None else F.exp(F.greatest(F.lit(-60.0), F.least(F.lit(60.0), x))) for x in z])
+        p = F.transform(F.array(e), lambda a: F.transform(a, lambda v: v / F.aggregate(a, F.lit(0.0), lambda x, y: x + y)))[0]
+        return F.struct(*[s[c].alias(c) for c in (*FEATURES, "n_tokens")], p.alias("p"))
 
-    return lambda text: score(text).getField("f").withField("p", score(text).getField("p"))
+    return lambda text: F.transform(F.array(features(text, lexicon)), with_posteriors)[0]
 
 
 def profiles(scored: DataFrame) -> DataFrame:
@@ -133,7 +132,7 @@ def fit_rates(table: DataFrame, targets: dict[str, float], max_rate: float | Non
         step = [(e - w) / h if h > 0 else 0.0 for e, w, h in zip(now, want, have)]
         done.append(step)
         before, now = now, [x or 0.0 for x in sums(rate(F.col("p"), done, max_rate))]
-        if max(abs(a - b) for a, b in zip(before, now)) <= TOLERANCE * max(sum(have), 1.0) / 10:
+        if max(abs(a - b) for a, b in zip(before, now)) <= TOLERANCE * max(sum(have), 1.0):
             break
     return done
 

@@ -37,7 +37,7 @@ from kgspark.llm.common import load, materialize, worker_cache
 CAPACITY, END = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
 #: Chunks kept by a worker; the cache starts anew beyond that.
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 800_000
 #: Characters of text split and looked up at once.
 SLICE_CHARS = 2 << 20
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -60,8 +60,6 @@ class ChunkCache(dict):
 
     def learn(self, chunks) -> None:
         """Adds the ids of chunks not seen yet."""
-        if len(self) > CACHE_CHUNKS:
-            self.clear()
         plain: dict[str, list[tuple[str, str]]] = defaultdict(list)
         odd = []
         for c in chunks:
@@ -92,15 +90,15 @@ class ChunkCache(dict):
                 self[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.split() if t.isprintable() or not any(map(t.count, "\x1c\x1d\x1e\x1f")) else None for t in texts]
+        if len(self) > CACHE_CHUNKS:
+            self.clear()
+        split = [None if any(map(t.count, "\x1c\x1d\x1e\x1f")) else t.split() for t in texts]
         seen: set[str] = set()
         for s in split:
             seen.update(s or ())
         missing = [c for c in seen if c not in self]
         if missing:
             self.learn(missing)
-            if len(self) <= len(missing) + 4:  # it was cleared
-                self.learn([c for c in seen if c not in self])
         return [self.whole(t) if s is None else b"".join([self[c] for c in s]) for t, s in zip(texts, split)]
 
 
