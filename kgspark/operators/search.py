@@ -11,25 +11,31 @@ from pyspark.sql import functions as F
 from kgspark.functions.scalars import cosine, sigmoid
 from kgspark.operators.graph import alias_names, undirected, visible
 
-#: Vectors of a query block and of a corpus batch multiplied at once.
-QUERY_BLOCK = 512
+#: Vectors of a query block and of a corpus block multiplied at once.
+QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
+
+
+def blocks_of(df: DataFrame, id_col: str, size: int) -> tuple[DataFrame, int]:
+    """(_s, ids, vecs) in about count / size blocks, and their number."""
+    n = max(1, -(-df.count() // size))
+    dealt = df.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
+    return dealt.groupBy("_s").agg(F.collect_list(id_col).alias("ids"), F.collect_list("vec").alias("vecs")), n
 
 
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """qid, id, score, rank: the k nearest by cosine (ties to the smaller id), the floor applied after the cut.
 
-    queries: qid, vec; corpus: id, vec.  Query blocks meet corpus partitions; a
-    task multiplies matrices and keeps k per query, the window merges.
+    queries: qid, vec; corpus: id, vec.  Blocks of queries meet blocks of the
+    corpus; a task multiplies matrices and keeps k per query, the window merges.
     """
-    dim_blocks = queries.where("vec is not null").withColumn("_b", F.pmod(F.xxhash64("qid"), F.lit(1)))
-    blocks = dim_blocks.withColumn("_b", F.floor((F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("qid"), F.lit(16))).orderBy("qid")) - 1) / QUERY_BLOCK).cast("int"))
-    blocks = blocks.withColumn("_h", F.pmod(F.xxhash64("qid"), F.lit(16))).groupBy("_h", "_b").agg(F.collect_list("qid").alias("qids"), F.collect_list("vec").alias("vecs"))
-    salted = corpus.where("vec is not null").select("id", "vec").withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(32))).groupBy("_s").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("cvecs"))
-    met = blocks.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(31)))).join(salted, "_s")
+    asked, _ = blocks_of(queries.where("vec is not null").select("qid", "vec"), "qid", QUERY_BLOCK)
+    stored, n = blocks_of(corpus.where("vec is not null").select("id", "vec"), "id", CORPUS_BLOCK)
+    # The stated queries meet every block of the corpus.
+    met = asked.select(F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_s")).join(stored, "_s")
 
     def best(batches):
         for pdf in batches:
-            for qids, vecs, ids, cvecs in zip(pdf.qids, pdf.vecs, pdf.ids, pdf.cvecs):
+            for qids, vecs, ids, cvecs in zip(pdf.qids, pdf.qvecs, pdf.ids, pdf.vecs):
                 q, c = np.stack(list(vecs)).astype(np.float64), np.stack(list(cvecs)).astype(np.float64)
                 ids = np.asarray(ids)
                 nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)

@@ -39,8 +39,7 @@ def hot_topics(topics: DataFrame) -> DataFrame:
 
 def validate_hot(asked: DataFrame, topics: DataFrame) -> DataFrame:
     """asked (topic) -> topic, canonical, valid; each canonical topic once."""
-    got = normalize_topic(asked.select("topic").distinct(), topics).withColumn("valid", F.exists(F.array("canonical"), lambda c: c.isNotNull()))
-    return got
+    return normalize_topic(asked.select("topic").distinct(), topics).withColumn("valid", F.col("canonical").isNotNull())
 
 
 def topic_delta(old: DataFrame, new: DataFrame) -> DataFrame:
