@@ -5,12 +5,16 @@ of MATCH bytes the positions whose GRAM bytes hash lowest.  Equal windows have
 equal anchors, so two documents that share MATCH bytes share the first GRAM
 bytes of an anchored suffix.  Suffixes are sorted by the hash of those bytes.
 
-Batches of documents come in ascending doc_id.  Each gets its suffix array; a
-merge-scan of it with the levels so far yields the anchors that documents share;
-two levels of equal size merge into one of double size before the next batch.
-Shared anchors are then matched exactly: around an anchor a document is compared
-byte by byte with the contexts of earlier documents, each distinct context once,
-and what lies in a common string of at least MATCH bytes is covered.
+Batches of documents come in ascending doc_id.  Each gets its suffix array; two
+levels of equal size merge into one of double size before the next batch; a
+merge-scan of the arrays that were not scanned yet with the other levels yields
+the anchors that documents share.
+
+Shared anchors are then matched.  A document whose whole context of an anchor
+(all bytes that a window with the anchor can reach) occurs in an earlier one is
+covered there; of each distinct context only the earliest document goes on, and
+only where an anchor has several contexts.  Its windows around the anchor are
+compared with those of the other contexts by 64-bit hashes.
 
 Defined cases: null text is empty; texts are UTF-8; shorter ones than MATCH are
 kept; matches never cross documents and never come from the document itself;
@@ -22,8 +26,6 @@ are left out.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,8 +39,8 @@ from kgspark.llm.shingles import mix
 MATCH, GRAM = 50, 16
 #: Bytes on either side of an anchor's gram that a window containing it can reach.
 REACH = MATCH - GRAM
-#: Contexts of one anchor that are compared pairwise; beyond, window by window.
-PAIRWISE = 256
+#: Contexts of one anchor that a task compares at once; where there are more, Spark compares their windows by key.
+AT_ONCE = 50_000
 CHUNK = 1 << 21
 BATCHES = 2
 
@@ -123,150 +125,236 @@ def shared_runs(batches):
 
 
 class SuffixLevels:
-    """Levels of suffix arrays; add() returns the places of a batch and of earlier ones that share an anchor."""
+    """Levels of suffix arrays: add() stores a batch's array, scan() yields the places that share an anchor."""
 
     def __init__(self):
-        self.levels: list[tuple[int, DataFrame]] = []
-        self.waiting: DataFrame | None = None
-
-    def add(self, docs: DataFrame, last: bool = False) -> DataFrame:
-        """docs: doc_id, text, with ids above all earlier ones. last: no batch follows, so its array is not stored."""
-        if self.waiting is not None:
-            self.levels.append((1, self.waiting))
-            self.waiting = None
-            while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-                (n, a), (_, b) = self.levels.pop(), self.levels.pop()
-                merged = a.unionByName(b)
-                self.levels.append((2 * n, materialize(merged, sort_within=["fp", "doc", "pos"])))
+        self.levels: list[tuple[int, DataFrame, bool]] = []  # batches, array, scanned already
+
+    def add(self, docs: DataFrame, stored: bool = True) -> None:
+        """docs: doc_id, text, with ids above all earlier ones. An array that is not stored is made anew when scanned."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (n, x, x_done), (_, y, y_done) = self.levels.pop(), self.levels.pop()
+            if x_done != y_done:
+                raise ValueError("scan() before adding, or not at all between two levels of equal size")
+            self.levels.append((2 * n, materialize(x.unionByName(y), sort_within=["fp", "doc", "pos"]), x_done))
         array = suffix_array(docs)
-        if not last:
-            array = self.waiting = materialize(array, sort_within=["fp", "doc", "pos"])
-        rows = array.withColumn("new", F.lit(True))
-        for _, level in self.levels:
-            rows = rows.unionByName(level.withColumn("new", F.lit(False)))
+        self.levels.append((1, materialize(array, sort_within=["fp", "doc", "pos"]) if stored else array, False))
+
+    def scan(self) -> DataFrame:
+        """doc, pos (materialized) of anchors that several documents share, one of them in an array not scanned before."""
+        rows = None
+        for _, level, done in self.levels:
+            part = level.withColumn("new", F.lit(not done))
+            rows = part if rows is None else rows.unionByName(part)
+        self.levels = [(n, level, True) for n, level, _ in self.levels]
         scanned = rows.repartition("fp").sortWithinPartitions("fp", F.desc("new"), "doc", "pos")
         return materialize(scanned.mapInPandas(shared_runs, "doc long, pos int"))
 
 
-CONTEXT = "fp long, ctx binary, a int, doc long, text_key long, pos int"
+CONTEXTS = pa.schema([("fp", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("shape", pa.int32())])
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the strings raw[start:end], equal for equal strings."""
+    n = len(raw) + 1
+    total = np.zeros(n, np.uint64)
+    np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[raw] * powers(BASE, n - 1), out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
 
 
 def _contexts(batches):
+    """Of every place: hashes of its anchor's gram and of its context, where that starts, and its length * 64 + the anchor's offset."""
+    for batch in batches:
+        out = []
+        for doc, key, text, positions in zip(*(batch.column(c).to_pylist() if c != "positions" else batch.column(c) for c in ("doc_id", "key", "text", "positions"))):
+            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+            at = np.unique(positions.values.to_numpy()).astype(np.int64)
+            at = at[at + GRAM <= len(raw)]
+            if len(at):
+                start, end = np.maximum(0, at - REACH), np.minimum(len(raw), at + GRAM + REACH)
+                fp, ch = span_hashes(raw, np.r_[at, start], np.r_[at + GRAM, end]).reshape(2, -1)
+                out.append((fp.view(np.int64), ch.view(np.int64), np.full(len(at), doc), np.full(len(at), key), start.astype(np.int32), ((end - start) * 64 + at - start).astype(np.int32)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=CONTEXTS)
+
+
+COVERED = "doc long, key long, s int, e int, fp long"
+
+
+def _first_docs(batches):
+    """Over contexts sorted by (fp, ch, doc): covered strings (s, e) of documents after a context's first; where an anchor has
+    several contexts, the places of the first documents (s, with fp)."""
+    last, d0, several, held = None, None, False, None  # the run's last (fp, ch), that context's first doc, whether the run has several, rows that wait
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        fp, ch, doc = pdf["fp"].to_numpy(), pdf["ch"].to_numpy(), pdf["doc"].to_numpy()
+        start, shape = pdf["start"].to_numpy(), pdf["shape"].to_numpy()
+        fresh = np.r_[last is None or (fp[0], ch[0]) != last, (fp[1:] != fp[:-1]) | (ch[1:] != ch[:-1])]
+        group = np.cumsum(fresh) - (1 if fresh[0] else 0)  # group 0 goes on from the batch before
+        firsts = doc[fresh] if fresh[0] else np.r_[d0, doc[fresh]]
+        first = doc == firsts[group]
+        run_new = np.r_[last is None or fp[0] != last[0], fp[1:] != fp[:-1]]
+        run = np.cumsum(run_new) - (1 if run_new[0] else 0)
+        contexts = np.bincount(run[fresh], minlength=run[-1] + 1)
+        if not run_new[0]:
+            contexts[0] += 2 if several else 1  # the batch before has one at least
+        many = contexts > 1
+        length = shape // 64
+        cover = ~first & (length >= MATCH)
+        yield pd.DataFrame({"doc": doc[cover], "key": pdf["key"].to_numpy()[cover], "s": start[cover], "e": (start + length)[cover], "fp": pd.array([None] * int(cover.sum()), "Int64")})
+        if held is not None and (run_new[0] or many[0]):
+            if many[0] and not run_new[0]:
+                yield held
+            held = None
+        reps = pd.DataFrame({"doc": doc, "key": pdf["key"].to_numpy(), "s": start + shape % 64, "e": np.full(len(doc), -1, np.int32), "fp": pd.array(fp, "Int64")})[first & (length >= MATCH)]
+        in_run = run[first & (length >= MATCH)]
+        yield reps[many[in_run]]
+        if not many[-1]:
+            rest = reps[in_run == run[-1]]
+            held = rest if held is None else pd.concat([held, rest], ignore_index=True)
+        last, d0, several = (fp[-1], ch[-1]), firsts[-1], bool(many[-1])
+
+
+WIDTH = GRAM + 2 * REACH
+WINDOWS = "fp long, doc long, key long, pos int, low int, n int, ctx binary"
+
+
+def _context_bytes(batches):
     for pdf in batches:
         out = []
-        for doc, key, text, positions in zip(pdf.doc_id, pdf.text_key, pdf.text, pdf.positions):
+        for doc, key, text, places in zip(pdf.doc_id, pdf.key, pdf.text, pdf.places):
             raw = text.encode("utf-8", "surrogatepass")
-            arr = np.frombuffer(raw, np.uint8)
-            at = np.unique(np.asarray(positions, np.int64))
-            at = at[at + GRAM <= len(arr)]
-            if len(at):
-                fp = gram_hashes(arr[at[:, None] + np.arange(GRAM)].ravel())[::GRAM].view(np.int64)
-                out.extend((f, raw[max(0, p - REACH) : p + GRAM + REACH], min(p, REACH), doc, key, p) for f, p in zip(fp.tolist(), at.tolist()))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in CONTEXT.split(", ")])
+            for x in places:
+                p = x["s"]
+                if p + GRAM <= len(raw):
+                    part = raw[max(0, p - REACH) : p + GRAM + REACH]
+                    out.append((x["fp"], doc, key, p, max(0, REACH - p), len(part), part))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in WINDOWS.split(", ")])
+
+
+def window_hashes(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows at offsets 0..REACH of every context, and which of them are whole."""
+    m = len(pdf)
+    grid = np.zeros((m, WIDTH), np.uint8)
+    low, n = pdf["low"].to_numpy(), pdf["n"].to_numpy()
+    flat = np.frombuffer(b"".join(pdf["ctx"]), np.uint8)
+    row = np.repeat(np.arange(m), n)
+    grid[row, np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + low[row]] = flat
+    total = np.zeros((m, WIDTH + 1), np.uint64)
+    np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[grid] * powers(BASE, WIDTH), axis=1, out=total[:, 1:])
+    o = np.arange(REACH + 1)
+    hashes = mix((total[:, MATCH:] - total[:, : REACH + 1]) * powers(INVERSE, REACH + 1))
+    return hashes, (o >= low[:, None]) & (o + MATCH <= (low + n)[:, None])
+
+
+def _reached(pdf: pd.DataFrame, hit: np.ndarray) -> pd.DataFrame:
+    some = hit.any(axis=1)
+    first, last = np.argmax(hit, axis=1)[some], REACH - np.argmax(hit[:, ::-1], axis=1)[some]
+    at = pdf["pos"].to_numpy()[some] - REACH
+    return pd.DataFrame({"doc": pdf["doc"].to_numpy()[some], "key": pdf["key"].to_numpy()[some], "s": at + first, "e": at + last + MATCH})
+
+
+def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Whole runs sorted by (fp, doc): windows that an earlier document of the run has at the same offset."""
+    hashes, whole = window_hashes(pdf)
+    fp, doc = pdf["fp"].to_numpy(), pdf["doc"].to_numpy()
+    keys = mix(hashes ^ mix(fp.view(np.uint64)[:, None] * np.uint64(BASE) + np.arange(REACH + 1, dtype=np.uint64)))
+    at = np.flatnonzero(whole.ravel())
+    order = at[np.argsort(keys.ravel()[at], kind="stable")]  # equal windows stay in order of doc
+    k, d = keys.ravel()[order], doc[order // (REACH + 1)]
+    start = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+    hit = np.zeros(whole.size, bool)
+    hit[order] = d > np.repeat(d[start], np.diff(np.r_[start, len(k)]))
+    return _reached(pdf, hit.reshape(whole.shape))
 
 
 def _compared(batches):
-    """Over distinct contexts sorted by (fp, d0): how far to the left and right of its anchor each agrees with earlier documents."""
-    held = None
+    held: list[pd.DataFrame] = []
     for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
+        if not len(pdf):
+            continue
         fp = pdf["fp"].to_numpy()
-        cut = int(np.searchsorted(fp, fp[-1])) if len(fp) else 0
-        held = pdf.iloc[cut:]
-        yield _agreement(pdf.iloc[:cut])
-    if held is not None:
-        yield _agreement(held)
-
-
-def _agreement(pdf: pd.DataFrame) -> pd.DataFrame:
-    n = len(pdf)
-    sides = np.full((n, 2 * REACH), -1, np.int16)
-    for i, (ctx, a) in enumerate(zip(pdf.ctx, pdf.a)):
-        c = np.frombuffer(ctx, np.uint8)
-        left, right = c[:a][::-1], c[a + GRAM :]
-        sides[i, : len(left)] = left
-        sides[i, REACH : REACH + len(right)] = right
-    fp, d0 = pdf.fp.to_numpy(), pdf.d0.to_numpy()
-    lo, hi = np.full(n, -1), np.full(n, -1)
-    starts = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]]) if n else []
-    for s, e in zip(starts, np.r_[starts[1:], n] if n else []):
-        for i in range(s + 1, e):
-            before = s + int(np.searchsorted(d0[s:e], d0[i]))
-            if before == s:
-                continue
-            other = sides[i] >= 0
-            same = (sides[s:before] == sides[i]) & other
-            ends = np.concatenate([same, np.zeros((len(same), 0), bool)], axis=1)
-            left = np.where(ends[:, :REACH].all(axis=1), REACH, np.argmin(ends[:, :REACH], axis=1))
-            right = np.where(ends[:, REACH:].all(axis=1), REACH, np.argmin(ends[:, REACH:], axis=1))
-            fits = left + right >= REACH
-            if fits.any():
-                lo[i], hi[i] = left[fits].max(), right[fits].max()
-    return pd.DataFrame({"fp": fp, "ch": pdf.ch.to_numpy(), "lo": lo, "hi": hi})[lo >= 0]
-
-
-def _windows(batches):
+        cut = len(fp) - int(np.searchsorted((fp == fp[-1])[::-1] == False, True))  # noqa: E712  where the last run starts
+        if cut:
+            yield _compare(pd.concat([*held, pdf.iloc[:cut]], ignore_index=True))
+            held = []
+        held.append(pdf.iloc[cut:])
+        if held[0]["fp"].iloc[0] != fp[-1]:
+            yield _compare(pd.concat(held[:-1], ignore_index=True))
+            held = held[-1:]
+    if held:
+        yield _compare(pd.concat(held, ignore_index=True))
+
+
+def _window_rows(batches):
     for pdf in batches:
-        out = []
-        for f, ch, ctx, a, d in zip(pdf.fp, pdf.ch, pdf.ctx, pdf.a, pdf.d0):
-            out.extend((f, ch, d, a - o, o - a + REACH, hashlib.blake2b(ctx[o : o + MATCH], digest_size=16).digest()) for o in range(len(ctx) - MATCH + 1))
-        yield pd.DataFrame(out, columns=["fp", "ch", "d0", "lo", "hi", "window"])
-
-
-def agreements(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(distinct contexts: fp, ch, d0 the smallest doc with it; fp, ch, lo, hi: reach of the agreement with smaller docs than d0)."""
-    keyed = contexts.withColumn("ch", F.xxhash64("ctx", "a"))
-    distinct = materialize(keyed.groupBy("fp", "ch").agg(F.min("doc").alias("d0"), F.min_by("pos", F.struct("doc", "text_key", "pos")).alias("pos"), F.min_by("text_key", F.struct("doc", "text_key", "pos")).alias("text_key")))
-    several = distinct.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    first = distinct.join(several, "fp").withColumnRenamed("d0", "doc")
-    bytes_ = materialize(keyed.join(first, ["fp", "ch", "doc", "text_key", "pos"]).select("fp", "ch", "ctx", "a", F.col("doc").alias("d0"), "k").dropDuplicates(["fp", "ch"]))
-    small = bytes_.where(F.col("k") <= PAIRWISE).drop("k").repartition("fp").sortWithinPartitions("fp", "d0")
-    near = small.mapInPandas(_compared, "fp long, ch long, lo long, hi long")
-    windows = bytes_.where(F.col("k") > PAIRWISE).mapInPandas(_windows, "fp long, ch long, d0 long, lo long, hi long, window binary")
-    windows = materialize(windows)
-    if not windows.isEmpty():
-        least = windows.groupBy("window").agg(F.min("d0").alias("least"))
-        far = windows.join(least, "window").where("least < d0").groupBy("fp", "ch").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
-        near = near.unionByName(far)
-    return distinct, materialize(near)
+        hashes, whole = window_hashes(pdf)
+        row, o = np.nonzero(whole)
+        yield pd.DataFrame({"fp": pdf["fp"].to_numpy()[row], "window": hashes[row, o].view(np.int64), "doc": pdf["doc"].to_numpy()[row], "key": pdf["key"].to_numpy()[row], "s": pdf["pos"].to_numpy()[row] - REACH + o})
+
+
+def compared(contexts: DataFrame) -> DataFrame:
+    """doc, key, s, e of what agrees with an earlier document's context of the same anchor. contexts: WINDOWS, materialized."""
+    crowded = materialize(contexts.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > AT_ONCE).select("fp"))
+    few = contexts if crowded.isEmpty() else join_checked(contexts, crowded, "fp", "left_anti", row_bytes=16)
+    out = few.repartition("fp").sortWithinPartitions("fp", "doc").mapInPandas(_compared, "doc long, key long, s int, e int")
+    if crowded.isEmpty():
+        return out
+    rows = materialize(join_checked(contexts, crowded, "fp", "left_semi", row_bytes=16).mapInPandas(_window_rows, "fp long, window long, doc long, key long, s int"))
+    least = rows.groupBy("fp", "window").agg(F.min("doc").alias("least"))
+    return out.unionByName(rows.join(least, ["fp", "window"]).where("least < doc").select("doc", "key", "s", (F.col("s") + MATCH).cast("int").alias("e")))
 
 
 def _merged(batches):
     for pdf in batches:
         out = []
-        for doc, key, spans in zip(pdf.doc, pdf.text_key, pdf.spans):
+        for doc, key, spans in zip(pdf.doc, pdf.key, pdf.spans):
             ab = np.array([(s["s"], s["e"]) for s in spans], np.int64)
             ab = ab[np.argsort(ab[:, 0], kind="stable")]
             top = np.maximum.accumulate(ab[:, 1])
             new = np.r_[True, ab[1:, 0] > top[:-1]]
             out.append((doc, key, ab[new, 0], top[np.r_[np.flatnonzero(new)[1:] - 1, len(ab) - 1]]))
-        yield pd.DataFrame(out, columns=["doc", "text_key", "starts", "ends"])
+        yield pd.DataFrame(out, columns=["doc", "key", "starts", "ends"])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with key: 0, but a hash of the text where rows share a doc_id."""
+    shared = materialize(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("doc_id", F.lit(True).alias("_shared")))
+    if shared.isEmpty():
+        return docs.withColumn("key", F.lit(0).cast("long"))
+    return join_checked(docs, shared, "doc_id", "left", row_bytes=24).withColumn("key", F.when(F.col("_shared"), F.xxhash64("text")).otherwise(0)).drop("_shared")
 
 
 def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """doc, text_key, starts, ends: the maximal byte runs to remove (materialized). docs: doc_id (distinct texts only), text."""
-    docs = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    """doc, key, starts, ends: the maximal byte runs to remove (materialized). docs: doc_id, text (distinct texts only), key."""
+    docs = docs.where("doc_id is not null").select("doc_id", "text", "key")
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("q")).first()["q"] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
-    index, places = SuffixLevels(), None
+    index = SuffixLevels()
     for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
         part = docs
         part = part if low is None else part.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        got = index.add(part, last=i == len(bounds) - 2)
-        places = got if places is None else places.unionByName(got)
-    places = materialize(places.groupBy(F.col("doc").alias("doc_id")).agg(F.collect_set("pos").alias("positions")))
+        index.add(part, stored=i < len(bounds) - 2)
+    places = materialize(index.scan().groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias("positions")))
     weight = places.agg(F.sum(F.size("positions") * 4 + 48)).first()[0] or 0
-    contexts = materialize(join_checked(docs, places, "doc_id", small_bytes=weight).select("doc_id", "text_key", "text", "positions").mapInPandas(_contexts, CONTEXT))
-    distinct, reach = agreements(contexts)
-    found = contexts.select("fp", F.xxhash64("ctx", "a").alias("ch"), "a", F.octet_length("ctx").alias("len"), "doc", "text_key", "pos")
-    found = found.join(distinct.select("fp", "ch", "d0"), ["fp", "ch"]).join(reach, ["fp", "ch"], "left")
-    later = (F.col("doc") > F.col("d0")) & (F.col("len") >= MATCH)
-    start = F.when(later, F.col("pos") - F.col("a")).when(F.col("lo").isNotNull(), F.col("pos") - F.col("lo"))
-    end = F.when(later, F.col("pos") - F.col("a") + F.col("len")).when(F.col("lo").isNotNull(), F.col("pos") + GRAM + F.col("hi"))
-    spans = found.select("doc", "text_key", F.struct(start.cast("long").alias("s"), end.cast("long").alias("e")).alias("span")).where("span.s is not null")
-    merged = spans.groupBy("doc", "text_key").agg(F.collect_set("span").alias("spans")).mapInPandas(_merged, "doc long, text_key long, starts array<long>, ends array<long>")
+    at = join_checked(docs, places, "doc_id", small_bytes=weight).select("doc_id", "key", "text", "positions")
+    contexts = at.mapInArrow(_contexts, "fp long, ch long, doc long, key long, start int, shape int")
+    found = materialize(contexts.repartition("fp").sortWithinPartitions("fp", "ch", "doc").mapInPandas(_first_docs, COVERED))
+    firsts = materialize(found.where("fp is not null").groupBy(F.col("doc").alias("doc_id"), "key").agg(F.collect_list(F.struct("s", "fp")).alias("places")))
+    weight = firsts.agg(F.sum(F.size("places") * 16 + 64)).first()[0] or 0
+    bytes_ = materialize(join_checked(docs, firsts, ["doc_id", "key"], small_bytes=weight).select("doc_id", "key", "text", "places").mapInPandas(_context_bytes, WINDOWS))
+    spans = found.where("fp is null").select("doc", "key", "s", "e").unionByName(compared(bytes_))
+    merged = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("s", "e")).alias("spans")).mapInPandas(_merged, "doc long, key long, starts array<long>, ends array<long>")
     return materialize(merged)
 
 
@@ -288,14 +376,15 @@ def kept_bytes(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series
 def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_bytes, starts, ends (removed byte runs) and kept (remaining bytes) of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    keyed = docs.withColumn("_same", F.unhex(F.md5("text")))
-    many = materialize(keyed.where("doc_id is not null").groupBy("_same").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k"))
-    marked = join_checked(keyed, many, "_same", "left", row_bytes=48).withColumn("_copy", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)))
-    spans = repeated_spans(marked.where("not _copy").select("doc_id", "text"), batches)
+    same = docs.withColumn("_same", F.unhex(F.md5("text")))
+    many = materialize(same.where("doc_id is not null").groupBy("_same").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("_k")).where("_k > 1").drop("_k"))
+    marked = join_checked(same, many, "_same", "left", row_bytes=48).withColumn("_copy", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)))
+    marked = keyed(marked.drop("_same", "_first"))
+    spans = repeated_spans(marked.where("not _copy"), batches)
     weight = spans.agg(F.sum(F.size("starts") * 16 + 64)).first()[0] or 0
-    spans = spans.withColumnRenamed("doc", "doc_id").withColumnRenamed("text_key", "_key")
+    spans = spans.withColumnRenamed("doc", "doc_id")
     n, none = F.octet_length("text").cast("long"), F.array().cast("array<long>")
-    out = join_checked(marked.withColumn("_key", F.xxhash64("text")), spans, ["doc_id", "_key"], "left", small_bytes=weight)
+    out = join_checked(marked, spans, ["doc_id", "key"], "left", small_bytes=weight)
     gone = F.col("_copy") & (n >= MATCH)
     whole = out.where(gone).select("doc_id", n.alias("n_bytes"), F.array(F.lit(0).cast("long")).alias("starts"), F.array(n).alias("ends"), F.lit("").cast("binary").alias("kept"))
     same = out.where(~gone & F.col("starts").isNull()).select("doc_id", n.alias("n_bytes"), none.alias("starts"), none.alias("ends"), F.col("text").cast("binary").alias("kept"))
