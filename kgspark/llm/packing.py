@@ -40,16 +40,18 @@ VOCABULARY = "word_bpe_49k.json"
 CACHE_CHUNKS = 800_000
 #: Characters of text split and looked up at once.
 SLICE_CHARS = 2 << 20
+#: Marks that the splitter keeps apart from the letters before them (the apostrophe is not one).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-class ChunkCache(dict):
+class ChunkCache:
     """White-space chunk -> its ids as little-endian unsigned 32-bit numbers."""
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
+        self.ids: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -58,48 +60,44 @@ class ChunkCache(dict):
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks) -> None:
-        """Adds the ids of chunks not seen yet."""
-        plain: dict[str, list[tuple[str, str]]] = defaultdict(list)
+    def learn_words(self, words: list[str]) -> None:
+        """Adds words of letters only, in lower case; each is one word for the splitter, so one call takes them all."""
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(self.word_end[ids]) + 1
+        if len(ends) == len(words) and ends[-1] == len(ids):
+            raw, cuts = ids.tobytes(), (4 * np.r_[0, ends]).tolist()
+            self.ids.update(zip(words, map(raw.__getitem__, map(slice, cuts, cuts[1:]))))
+        else:
+            self.ids.update((w, self.whole(w)) for w in words)
+
+    def learn(self, chunks: list[str]) -> None:
+        """Adds the ids of chunks not seen yet: letters and the marks after them apart, all else by the library as it is."""
+        ids, tails = self.ids, {"": b""}
+        words = [c.rstrip(MARKS) for c in chunks]
+        lower = [w.lower() if w.isalpha() and "Σ" not in w else None for w in words]  # the library lower-cases first; a final sigma apart
+        if new := list({w for w in lower if w and w not in ids}):
+            self.learn_words(new)
         odd = []
-        for c in chunks:
-            tail = c[-1] if c[-1] in ".," else ""
-            word = c[:-1] if tail else c
-            # Letters only: one word for the splitter, and lower-casing is the library's first step anyway.
-            if word.isalpha() and "Σ" not in word:
-                plain[word.lower()].append((c, tail))
-            else:
+        for c, w, low in zip(chunks, words, lower):
+            if low is None:
                 odd.append(c)
-        tails = {t: self.get(t) or self.whole(t) for t in ".,"} | {"": b""}
-        self.update({t: v for t, v in tails.items() if t})
-        new = [w for w in plain if w not in self]
-        if new:
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            ends = np.flatnonzero(self.word_end[ids]) + 1
-            if len(ends) == len(new) and ends[-1] == len(ids):
-                raw, cuts = ids.tobytes(), (4 * np.r_[0, ends]).tolist()
-                self.update((w, raw[a:b]) for w, a, b in zip(new, cuts, cuts[1:]))
             else:
-                self.update((w, self.whole(w)) for w in new)
-        for w, users in plain.items():
-            v = self[w]
-            for c, tail in users:
-                self[c] = v + tails[tail]
-        if odd:
-            for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4").tobytes()
+                tail = c[len(w) :]
+                if tail not in tails:  # a run of marks is one word for the splitter
+                    tails[tail] = self.whole(tail)
+                ids[c] = ids[low] + tails[tail]
+        for c, e in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False) if odd else ()):
+            ids[c] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self) > CACHE_CHUNKS:
-            self.clear()
+        if len(self.ids) > CACHE_CHUNKS:
+            self.ids.clear()
         split = [None if any(map(t.count, "\x1c\x1d\x1e\x1f")) else t.split() for t in texts]
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s or ())
-        missing = [c for c in seen if c not in self]
+        missing = set().union(*(s for s in split if s)).difference(self.ids)
         if missing:
-            self.learn(missing)
-        return [self.whole(t) if s is None else b"".join([self[c] for c in s]) for t, s in zip(texts, split)]
+            self.learn(list(missing))
+        get = self.ids.__getitem__
+        return [self.whole(t) if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
 
 
 def tokenizer_path() -> str:
