@@ -33,7 +33,7 @@ TARGETS = {"clean": 0.90, "low": 0.09, "toxic": 0.01}
 SAMPLE_ROWS, LEXICON = 4000, 64
 #: Posteriors are rounded to this many parts for the fit.
 PARTS = 50
-STEPS, TOLERANCE = 40, 1e-4
+STEPS, TOLERANCE = 25, 5e-4
 FEATURES = ("symbols", "repeated", "lines", "length", "short", "lexicon")
 
 
@@ -88,7 +88,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
         sure = F.array(*[F.lit(1.0 if i == (seen or [0])[0] else 0.0) for i in range(len(DOMAINS))])
         return lambda text: features(text, lexicon).withField("p", sure)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(data.select(F.col("domain").cast("double").alias("label"), *FEATURES))
-    model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=100).fit(vectors)
+    model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=20).fit(vectors)
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
 
     def with_posteriors(s: Column) -> Column:
@@ -109,29 +109,36 @@ def profiles(scored: DataFrame) -> DataFrame:
     return materialize(grouped.select(F.array(F.col("a") / PARTS, F.col("b") / PARTS, (PARTS - F.col("a") - F.col("b")) / PARTS).alias("p"), "tokens").coalesce(1))
 
 
-def rate(p: Column, steps: list[list[float]], max_rate: float | None = None) -> Column:
-    """Rate of a document with posteriors p after these steps, from 1."""
-    if not steps:
-        return F.lit(1.0)
+def rate(p: Column, steps: Column, max_rate: float | None = None) -> Column:
+    """Rate of a document with posteriors p after these steps (an array of vectors over DOMAINS), from 1."""
 
     def move(r: Column, e: Column) -> Column:
         r = F.greatest(F.lit(0.0), r - sum((p[d] * e[d] for d in range(1, len(DOMAINS))), p[0] * e[0]))
         return r if max_rate is None else F.least(r, F.lit(max_rate))
 
-    return F.aggregate(F.array(*[F.array(*map(F.lit, s)) for s in steps]), F.lit(1.0), move)
+    return F.aggregate(steps, F.lit(1.0), move)
+
+
+def as_column(steps: list[list[float]]) -> Column:
+    return F.array(*[F.array(*map(F.lit, s)) for s in steps])
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float], max_rate: float | None = None, steps: int = STEPS) -> list[list[float]]:
     """Step vectors of projected gradient descent; residuals are scaled by each domain's tokens, which makes unit steps safe."""
-    sums = lambda r: table.agg(*[F.sum(r * F.col("tokens") * F.col("p")[d]) for d in range(len(DOMAINS))]).first()
-    have = [x or 0.0 for x in sums(F.lit(1.0))]
+
+    def sums(done: list[list[float]]) -> list[float]:
+        # The steps so far are data, not literals: every round runs the same compiled plan.
+        now = table.sparkSession.createDataFrame([(done,)], "steps array<array<double>>")
+        r = rate(F.col("p"), F.col("steps"), max_rate)
+        got = table.crossJoin(F.broadcast(now)).agg(*[F.sum(r * F.col("tokens") * F.col("p")[d]) for d in range(len(DOMAINS))])
+        return [x or 0.0 for x in got.first()]
+
+    have = sums([])
     want = [targets[d] * sum(have) for d in DOMAINS]
-    done: list[list[float]] = []
-    now = have
+    done, now = [], have
     for _ in range(steps):
-        step = [(e - w) / h if h > 0 else 0.0 for e, w, h in zip(now, want, have)]
-        done.append(step)
-        before, now = now, [x or 0.0 for x in sums(rate(F.col("p"), done, max_rate))]
+        done.append([(e - w) / h if h > 0 else 0.0 for e, w, h in zip(now, want, have)])
+        before, now = now, sums(done)
         if max(abs(a - b) for a, b in zip(before, now)) <= TOLERANCE * max(sum(have), 1.0):
             break
     return done
@@ -142,7 +149,7 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     score = fit_classifier(docs, labels)
     scored = docs.withColumn("m", score(F.col("text")))
     scored = materialize(scored if keep_text else scored.drop("text"))
-    found = rate(F.col("m.p"), fit_rates(profiles(scored), targets or TARGETS, max_rate), max_rate)
+    found = rate(F.col("m.p"), as_column(fit_rates(profiles(scored), targets or TARGETS, max_rate)), max_rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
     return scored.withColumn("rate", found).withColumn("copies", F.floor(F.col("rate") + draw))
 

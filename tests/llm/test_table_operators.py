@@ -291,7 +291,7 @@ def test_steps_reach_the_least_squares_solution(spark):
     table = spark.createDataFrame([(a.tolist(), t) for a, t in zip(p, tokens)], "p array<double>, tokens double")
     want = np.array([0.7, 0.25, 0.05]) * tokens.sum()
     steps = mixing.fit_rates(table, {"clean": 0.7, "low": 0.25, "toxic": 0.05}, steps=40)
-    rate = np.array([r[0] for r in table.select(mixing.rate(F.col("p"), steps)).collect()])
+    rate = np.array([r[0] for r in table.select(mixing.rate(F.col("p"), mixing.as_column(steps))).collect()])
     r, have = np.ones(30), (tokens[:, None] * p).sum(axis=0)
     for _ in range(20000):
         r = np.maximum(0, r - p @ ((((r * tokens)[:, None] * p).sum(axis=0) - want) / have))
