@@ -346,13 +346,12 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         part = part if high is None else part.where(F.col("doc_id") <= high)
         index.add(part, stored=i < len(bounds) - 2)
     places = materialize(index.scan().groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias("positions")))
-    weight = places.agg(F.sum(F.size("positions") * 4 + 48)).first()[0] or 0
-    at = join_checked(docs, places, "doc_id", small_bytes=weight).select("doc_id", "key", "text", "positions")
+    # Nearly every document has places, so these tables grow with the texts: the joins with texts always shuffle.
+    at = docs.join(places.hint("merge"), "doc_id").select("doc_id", "key", "text", "positions")
     contexts = at.mapInArrow(_contexts, "fp long, ch long, doc long, key long, start int, shape int")
     found = materialize(contexts.repartition("fp").sortWithinPartitions("fp", "ch", "doc").mapInPandas(_first_docs, COVERED))
     firsts = materialize(found.where("fp is not null").groupBy(F.col("doc").alias("doc_id"), "key").agg(F.collect_list(F.struct("s", "fp")).alias("places")))
-    weight = firsts.agg(F.sum(F.size("places") * 16 + 64)).first()[0] or 0
-    bytes_ = materialize(join_checked(docs, firsts, ["doc_id", "key"], small_bytes=weight).select("doc_id", "key", "text", "places").mapInPandas(_context_bytes, WINDOWS))
+    bytes_ = materialize(docs.join(firsts.hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "places").mapInPandas(_context_bytes, WINDOWS))
     spans = found.where("fp is null").select("doc", "key", "s", "e").unionByName(compared(bytes_))
     merged = spans.groupBy("doc", "key").agg(F.collect_list(F.struct("s", "e")).alias("spans")).mapInPandas(_merged, "doc long, key long, starts array<long>, ends array<long>")
     return materialize(merged)
@@ -381,10 +380,9 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     marked = join_checked(same, many, "_same", "left", row_bytes=48).withColumn("_copy", F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False)))
     marked = keyed(marked.drop("_same", "_first"))
     spans = repeated_spans(marked.where("not _copy"), batches)
-    weight = spans.agg(F.sum(F.size("starts") * 16 + 64)).first()[0] or 0
-    spans = spans.withColumnRenamed("doc", "doc_id")
+    spans = spans.withColumnRenamed("doc", "doc_id").hint("merge")
     n, none = F.octet_length("text").cast("long"), F.array().cast("array<long>")
-    out = join_checked(marked, spans, ["doc_id", "key"], "left", small_bytes=weight)
+    out = marked.join(spans, ["doc_id", "key"], "left")
     gone = F.col("_copy") & (n >= MATCH)
     whole = out.where(gone).select("doc_id", n.alias("n_bytes"), F.array(F.lit(0).cast("long")).alias("starts"), F.array(n).alias("ends"), F.lit("").cast("binary").alias("kept"))
     same = out.where(~gone & F.col("starts").isNull()).select("doc_id", n.alias("n_bytes"), none.alias("starts"), none.alias("ends"), F.col("text").cast("binary").alias("kept"))
