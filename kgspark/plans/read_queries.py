@@ -267,9 +267,9 @@ def a14(t):
     return stats.generic_tokens(t.entities.select("id", F.concat_ws(" ", F.lower("canonical_name"), F.lower("alias1")).alias("name")))
 
 
-@query("a15_usage_cost", "SELECT model, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum((prompt_tokens * input + completion_tokens * output) / 1e6), 6) AS cost FROM kg_usage JOIN kg_model_prices USING (model) GROUP BY ROLLUP (model)")
+@query("a15_usage_cost", "SELECT model, CAST(sum(prompt_tokens + completion_tokens) AS BIGINT) AS tokens, round(sum((prompt_tokens * input + completion_tokens * output) / 1e6), 4) AS cost FROM kg_usage JOIN kg_model_prices USING (model) GROUP BY ROLLUP (model)")
 def a15(t):
-    return stats.usage_cost(t.usage, t.model_prices).withColumn("cost", F.round("cost", 6))
+    return stats.usage_cost(t.usage, t.model_prices).withColumn("cost", F.round("cost", 4))
 
 
 @query("a16_token_estimate", "SELECT source, CAST(sum(length(text) // 4) AS BIGINT) AS tokens FROM documents GROUP BY source")
