@@ -288,7 +288,7 @@ def test_steps_reach_the_least_squares_solution(spark):
     g = np.random.default_rng(1)
     p = g.dirichlet([0.3, 0.3, 0.3], 30)
     tokens = g.integers(1, 100, 30).astype(float)
-    table = spark.createDataFrame([(a.tolist(), t) for a, t in zip(p, tokens)], "p array<double>, tokens double")
+    table = spark.createDataFrame([(a.tolist(), float(t)) for a, t in zip(p, tokens)], "p array<double>, tokens double")
     want = np.array([0.7, 0.25, 0.05]) * tokens.sum()
     steps = mixing.fit_rates(table, {"clean": 0.7, "low": 0.25, "toxic": 0.05}, steps=40)
     rate = np.array([r[0] for r in table.select(mixing.rate(F.col("p"), mixing.as_column(steps))).collect()])
