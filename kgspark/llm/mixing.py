@@ -3,11 +3,13 @@
 A classifier fitted on a bounded sample of the labels table gives every
 document posteriors over DOMAINS (clean, low quality, toxic).  Then nonnegative
 rates are fitted so that the expected tokens of each domain, sum of rate *
-tokens * posterior, match targets: least squares by projected gradient steps,
-each a distributed aggregation.  A step depends on a document only through its
-posteriors, so documents are first added up by rounded posteriors: the fitted
-table has a fixed number of rows at most, and a document's rate is a function
-of its posteriors and the (short) list of step vectors.
+tokens * posterior, match targets: of the least squares solutions the one
+nearest to rates of 1, which is 1 - posterior . e cut to the bounds, for one
+vector e over DOMAINS.  e is found by Newton steps (a system of one row per
+domain over the documents within the bounds), each a distributed aggregation.
+Documents are first added up by rounded posteriors, with their mean posteriors,
+so that this table has a fixed number of rows at most; the last steps then run
+on the documents' own posteriors, until every target that rates can reach is met.
 
 Defined cases: null or blank text has no tokens and still gets a rate; null
 labels count as good and not toxic; with labels of one class only, or none,
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,10 @@ TARGETS = {"clean": 0.90, "low": 0.09, "toxic": 0.01}
 SAMPLE_ROWS, LEXICON = 4000, 64
 #: Posteriors are rounded to this many parts for the fit.
 PARTS = 50
-STEPS, TOLERANCE = 25, 5e-4
+#: Aggregations of a fit at most (beyond them it fails), and how far a domain's tokens may be from the reachable target, relative to it.
+STEPS, TOLERANCE = 400, 1e-3
+#: Weights of the distance to rates of 1 beside the squared residuals, one fit after the other.
+NEARNESS = tuple(10.0**-i for i in range(1, 9))
 FEATURES = ("symbols", "repeated", "lines", "length", "short", "lexicon")
 
 
@@ -88,7 +94,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
         sure = F.array(*[F.lit(1.0 if i == (seen or [0])[0] else 0.0) for i in range(len(DOMAINS))])
         return lambda text: features(text, lexicon).withField("p", sure)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(data.select(F.col("domain").cast("double").alias("label"), *FEATURES))
-    model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=20).fit(vectors)
+    model = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=100).fit(vectors)
     weights, bias = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
 
     def with_posteriors(s: Column) -> Column:
@@ -102,11 +108,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS):
 
 
 def profiles(scored: DataFrame) -> DataFrame:
-    """p, tokens: documents added up by rounded posteriors; at most (PARTS+1)(PARTS+2)/2 rows (materialized)."""
-    p = F.col("m.p")
+    """p, tokens: documents added up by rounded posteriors, p their mean by tokens; at most (PARTS+1)(PARTS+2)/2 rows (materialized)."""
+    p, n = F.col("m.p"), F.col("m.n_tokens")
     a, b = F.round(p[0] * PARTS).cast("int"), F.round(p[1] * PARTS).cast("int")
-    grouped = scored.select(a.alias("a"), F.least(b, PARTS - a).alias("b"), F.col("m.n_tokens").alias("n")).groupBy("a", "b").agg(F.sum("n").cast("double").alias("tokens"))
-    return materialize(grouped.select(F.array(F.col("a") / PARTS, F.col("b") / PARTS, (PARTS - F.col("a") - F.col("b")) / PARTS).alias("p"), "tokens").coalesce(1))
+    grouped = scored.where(n > 0).groupBy(a.alias("a"), F.least(b, PARTS - a).alias("b")).agg(F.sum(n).cast("double").alias("tokens"), *[F.sum(p[d] * n).alias(f"p{d}") for d in range(len(DOMAINS))])
+    return materialize(grouped.select(F.array(*[F.col(f"p{d}") / F.col("tokens") for d in range(len(DOMAINS))]).alias("p"), "tokens").coalesce(1))
 
 
 def rate(p: Column, steps: Column, max_rate: float | None = None) -> Column:
@@ -123,25 +129,61 @@ def as_column(steps: list[list[float]]) -> Column:
     return F.array(*[F.array(*map(F.lit, s)) for s in steps])
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], max_rate: float | None = None, steps: int = STEPS) -> list[list[float]]:
-    """Step vectors of projected gradient descent; residuals are scaled by each domain's tokens, which makes unit steps safe."""
-
-    def sums(done: list[list[float]]) -> list[float]:
-        # The steps so far are data, not literals: every round runs the same compiled plan.
-        now = table.sparkSession.createDataFrame([(done,)], "steps array<array<double>>")
-        r = rate(F.col("p"), F.col("steps"), max_rate)
-        got = table.crossJoin(F.broadcast(now)).agg(*[F.sum(r * F.col("tokens") * F.col("p")[d]) for d in range(len(DOMAINS))])
-        return [x or 0.0 for x in got.first()]
-
-    have = sums([])
-    want = [targets[d] * sum(have) for d in DOMAINS]
-    done, now = [], have
-    for _ in range(steps):
-        done.append([(e - w) / h if h > 0 else 0.0 for e, w, h in zip(now, want, have)])
-        before, now = now, sums(done)
-        if max(abs(a - b) for a, b in zip(before, now)) <= TOLERANCE * max(sum(have), 1.0):
+def fit_rates(table: DataFrame, targets: dict[str, float], max_rate: float | None = None, steps: int = STEPS, start: list[list[float]] | None = None) -> list[list[float]]:
+    """The step vector e of the rates 1 - p . e within the bounds, as a list of one; start: that of a table much like this one.
+
+    e is least where the convex function of value() is: its gradient is want - expected tokens + nearness * have * e, so e is
+    the scaled residual, and 0 in the limit wherever the target can be reached. Newton steps with halving.
+    """
+    n, spent = len(DOMAINS), 0
+
+    def at(e: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Expected tokens by domain, minus their derivative by e, and the documents' part of the convex function."""
+        nonlocal spent
+        spent += 1
+        p, t = F.col("p"), F.col("tokens")
+        u = sum((p[d] * float(e[d]) for d in range(1, n)), p[0] * float(e[0]))
+        rows = table.select("p", "tokens", rate(p, as_column([e.tolist()]), max_rate).alias("r"), u.alias("u"))
+        r, free = F.col("r"), F.when((F.col("u") < 1) & (F.lit(True) if max_rate is None else 1 - F.col("u") < max_rate), t).otherwise(0.0)
+        got = rows.agg(
+            *[F.sum(r * t * p[d]) for d in range(n)], *[F.sum(free * p[c] * p[d]) for c in range(n) for d in range(n)],
+            F.sum(t * (-(r - 1) * (r - 1) / 2 - F.col("u") * r)),
+        ).first()
+        got = np.array([x or 0.0 for x in got])
+        return got[:n], got[n:-1].reshape(n, n), float(got[-1])
+
+    have = np.array([x or 0.0 for x in table.agg(*[F.sum(F.col("tokens") * F.col("p")[d]) for d in range(n)]).first()])
+    total = have.sum()
+    some = have > 0
+    if not some.any():
+        return [[0.0] * n]
+    want, scale = np.array([targets[d] for d in DOMAINS]) * total, np.where(some, have, 1.0)
+    e = np.zeros(n) if start is None else np.array(start[0])
+    now = at(e)
+    # A target of 0 is met by the tolerance's share of what there was.
+    close = TOLERANCE * np.where(want > 0, np.minimum(want, scale), scale)
+    for near in NEARNESS if start is None else NEARNESS[3::2]:
+        if (np.abs(now[0] - want) <= close)[some].all():
             break
-    return done
+        while True:
+            slope = lambda x, got: np.where(some, near * scale * x + want - got[0], 0.0)  # noqa: B023, E731
+            value = lambda x, got: near / 2 * (scale * x * x).sum() + (want * x)[some].sum() + got[2]  # noqa: B023, E731
+            g = slope(e, now)
+            if (np.abs(g) <= close / 2).all():
+                break
+            move, length = np.linalg.solve(np.diag(near * scale) + now[1], g), 1.0
+            while True:
+                if spent >= steps:
+                    raise ArithmeticError(f"rates not found in {steps} steps")
+                to = e - length * move
+                then = at(to)
+                # Where the values differ by no more than they are exact, the gradients decide.
+                less, exact = value(e, now) - value(to, then), 1e-10 * abs(value(e, now))
+                if less >= 1e-4 * length * (g @ move) or abs(less) <= exact and (slope(to, then) ** 2 / scale).sum() < (1 - 1e-4 * length) * (g**2 / scale).sum():
+                    break
+                length /= 2
+            e, now = to, then
+    return [e.tolist()]
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float | None = None, keep_text: bool = True) -> DataFrame:
@@ -149,11 +191,20 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     score = fit_classifier(docs, labels)
     scored = docs.withColumn("m", score(F.col("text")))
     scored = materialize(scored if keep_text else scored.drop("text"))
-    found = rate(F.col("m.p"), as_column(fit_rates(profiles(scored), targets or TARGETS, max_rate)), max_rate)
+    rough = fit_rates(profiles(scored), targets or TARGETS, max_rate)
+    own = scored.select(F.col("m.p").alias("p"), F.col("m.n_tokens").cast("double").alias("tokens"))
+    found = rate(F.col("m.p"), as_column(fit_rates(own, targets or TARGETS, max_rate, start=rough)), max_rate)
     draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
     return scored.withColumn("rate", found).withColumn("copies", F.floor(F.col("rate") + draw))
 
 
+def expected_shares(mixed: DataFrame) -> dict[str, float]:
+    """Of mix(): each domain's expected tokens, by the documents' own posteriors, as shares of the tokens before mixing."""
+    tokens = F.col("m.n_tokens")
+    got = mixed.agg(F.sum(tokens), *[F.sum(F.col("rate") * tokens * F.col("m.p")[d]) for d in range(len(DOMAINS))]).first()
+    return {d: (x or 0.0) / max(got[0] or 0, 1) for d, x in zip(DOMAINS, got[1:])}
+
+
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float | None = None) -> DataFrame:
     """docs as often as their copies say, with their own columns only."""
     mixed = mix(docs, labels, targets, max_rate).where("copies > 0")

@@ -299,6 +299,21 @@ def test_steps_reach_the_least_squares_solution(spark):
     assert loss(rate) <= loss(r) + 0.02 * loss(np.ones(30)) and (rate >= 0).all()
 
 
+@pytest.mark.parametrize("apart", [2.0, 1.5])
+def test_shares_of_soft_posteriors_are_within_two_percent_of_each_target(spark, apart):
+    g = np.random.default_rng(5)
+    kind, z = g.choice(3, 4000, p=[0.6, 0.3, 0.1]), g.normal(size=(4000, 3))
+    z[np.arange(4000), kind] += apart
+    p = np.exp(apart * z)
+    p /= p.sum(axis=1, keepdims=True)
+    n = g.integers(1, 400, 4000)
+    scored = spark.createDataFrame([((a.tolist(), int(t)),) for a, t in zip(p, n)], "m struct<p: array<double>, n_tokens: long>").repartition(4)
+    own = scored.select(F.col("m.p").alias("p"), F.col("m.n_tokens").cast("double").alias("tokens"))
+    steps = mixing.fit_rates(own, mixing.TARGETS, start=mixing.fit_rates(mixing.profiles(scored), mixing.TARGETS))
+    shares = mixing.expected_shares(scored.withColumn("rate", mixing.rate(F.col("m.p"), mixing.as_column(steps))))
+    assert shares == pytest.approx(mixing.TARGETS, rel=0.02)
+
+
 def test_resampling_keeps_clean_documents_and_columns(spark):
     docs, labels = labelled(spark)
     kept = mixing.resample(docs.withColumn("rate", F.lit("clash")), labels, {"clean": 1.0, "low": 0.0, "toxic": 0.0}, max_rate=1.0)
