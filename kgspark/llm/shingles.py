@@ -70,7 +70,8 @@ def shingle_sets(texts: pa.Array, n: int):
         cut = np.searchsorted(starts, at)
         run = words.copy()
         for k in range(1, n):
-            run[: len(run) - k] = run[: len(run) - k] * np.uint64(0x9E3779B97F4A7C15) + words[k:]
+            m = max(0, len(run) - k)  # a chunk may have fewer words than a shingle
+            run[:m] = run[:m] * np.uint64(0x9E3779B97F4A7C15) + words[k:]
         run = mix(run)
         for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
             if b - a >= n:

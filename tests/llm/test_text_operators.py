@@ -5,10 +5,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kgspark.llm import components, jaccard, pii, quality, suffixes
+from kgspark.llm import components, jaccard, pii, quality, shingles, suffixes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 rnd = random.Random(7)
@@ -108,6 +109,17 @@ def test_jaccard_groups_equal_brute_force(docs, monkeypatch, n, num, den, block)
     assert got == linked(ROWS, n, num, den)
 
 
+@pytest.mark.parametrize("n", [4, 5])
+def test_shingles_of_chunks_with_few_words(monkeypatch, n):
+    words = [f"w{i}" for i in range(7)]
+    for k in range(7):
+        (got,) = shingles.shingle_sets(pa.array([" ".join(words[:k])]), n)
+        assert len(got) == (k - n + 1 if k >= n else min(k, 1))
+    monkeypatch.setattr(shingles, "CHUNK", 1 << 12)
+    long, alone = shingles.shingle_sets(pa.array(["a b c d " * 600, "x y"]), n)
+    assert len(long) == 4 and alone.tolist() == next(shingles.shingle_sets(pa.array(["X  y"]), n)).tolist()
+
+
 def test_block_links_find_what_stars_miss(spark, monkeypatch):
     """A chain of texts: neighbours are alike, ends are not; blocks of two."""
     monkeypatch.setattr(jaccard, "BLOCK", 2)
