@@ -77,10 +77,10 @@ def probes(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def clean(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """_id and _v of the vectors that take part."""
+    """_id and _v of the vectors that take part, each pair once."""
     v = F.col(vec_col)
     fine = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).where(F.col("_id").isNotNull() & fine)
+    return vectors.select(F.col(id_col).cast("long").alias("_id"), v.alias("_v")).where(F.col("_id").isNotNull() & fine).dropDuplicates(["_id", "_v"])
 
 
 def posted(rows: DataFrame, hashed, block: int) -> DataFrame:
@@ -111,7 +111,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, *, id_col: str =
 
 def probed(vectors: DataFrame, queries: DataFrame, k: int, *, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, probe: int = PROBES, seed: int = SEED) -> DataFrame:
     """As nearest(), from the probed buckets alone."""
-    data = clean(vectors, id_col, vec_col)
+    data = materialize(clean(vectors, id_col, vec_col))
     squares = F.aggregate("_v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     stats = data.groupBy(F.size("_v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(squares).alias("m"), F.min(squares).alias("l")).orderBy(F.desc("n"), "d").first()
     if stats is None:

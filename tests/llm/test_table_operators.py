@@ -243,6 +243,17 @@ def test_neighbours(spark, monkeypatch, scaled):
     assert ann.nearest(df.where("false"), df).count() == 0
 
 
+def test_copies_of_a_row_have_one_place(spark):
+    g = np.random.default_rng(3)
+    x = np.eye(16)[0] + 0.01 * g.normal(size=(60, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = int(np.argsort(-(x @ x[0]))[0]) or int(np.argsort(-(x @ x[0]))[1])
+    vectors = spark.createDataFrame(rows + [rows[near]] * 29, "vec_id long, embedding array<double>").repartition(3)
+    got = ann.nearest(vectors, vectors.where("vec_id = 0"), 20, tables=1, probe=1 << 30).orderBy("rank").collect()
+    want = sorted(range(1, 60), key=lambda i: -(x[0] * x[i]).sum())[:20]
+    assert [r.vec_id for r in got] == want
+
+
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert np.allclose(np.linalg.norm(ann.hadamard(x), axis=1), np.linalg.norm(x, axis=1)) and np.allclose(ann.hadamard(ann.hadamard(x)), x)
