@@ -19,16 +19,29 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder every executor can see; a temporary one where that is unset."""
+    """spark.checkpoint.dir, the folder every executor can see. Where it is unset, a local session gets a temporary one; a cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="kgspark-"))
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/kgspark-{uuid.uuid4().hex}"
+    """A new folder; all of one application lie in one folder, which clean() deletes."""
+    return f"{shared_root(spark)}/kgspark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that this application's operators wrote to the shared folder. For the owner of the session, once results are stored."""
+    _delete(spark, f"{shared_root(spark)}/kgspark-{spark.sparkContext.applicationId}")
 
 
 def materialize(df: DataFrame, *, sort_within: list[str] | None = None) -> DataFrame:
@@ -37,7 +50,23 @@ def materialize(df: DataFrame, *, sort_within: list[str] | None = None) -> DataF
     if sort_within:
         df = df.sortWithinPartitions(*sort_within)
     df.write.option("compression", "zstd").parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    out = spark.read.schema(df.schema).parquet(where)
+    out._kgspark_folder = where
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the folders of materialized tables that nothing will read again."""
+    for t in tables:
+        _delete(t.sparkSession, t._kgspark_folder)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", *, small_bytes: int | None = None, row_bytes: int = 64) -> DataFrame:

@@ -16,4 +16,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op10_nearest_neighbours": ann.query,
 }
-ORACLES = {"op3_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE}
+ORACLES = {"op3_chat_formatting": chat.ORACLE, "op5_quality_rules": quality.ORACLE, "op7_warc": warc.ORACLE}

@@ -1,13 +1,22 @@
-"""Quality rules whose thresholds come from the corpus itself.
+"""Quality rules whose limits come from the corpus itself.
 
-Per document a handful of text measures; per (lang, source) a mergeable
-quantile sketch of each measure (logarithmic buckets with counts, so sketches
-add up and every percentile is within a fixed relative error); from the
-sketches one upper threshold per group and measure, joined back to filter.
+Per document a handful of text measures; per (lang, source), per lang and over
+all, a mergeable quantile sketch of each measure (logarithmic buckets with
+counts, so sketches add up and every quantile is within a fixed relative
+error).  A measure is out of bounds beyond its group's quartiles by more than
+FENCE times their distance, all on the logarithmic scale of the buckets.
+A group of fewer than MIN_GROUP texts takes the limits of its language, and a
+language of fewer those of all documents.  No fixed cutoff decides anything
+but the base rule.
+
+Copies of a text within a group count once in the sketches, and the distance of
+a group's quartiles counts as half of that over all documents at least, so that
+a group full of near copies does not reject everything else.
 
 Defined cases: null or blank text has zero words and fails the base rule;
 null lang or source form a group of their own (null-safe join); repeated rows
-are judged one by one; extra columns are kept; an empty table gives no rows.
+are judged one by one; extra columns are kept with their values, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,23 +26,26 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.common import materialize
+from kgspark.llm.common import fresh, load, materialize
 
 WINDOW = 8
-MEASURES = T.StructType([T.StructField(c, T.LongType(), False) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")])
-#: Measures that get adaptive thresholds: name -> (ratio, smallest threshold ever used).
+MEASURES = T.StructType([T.StructField(c, T.LongType(), False) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")])
+#: name -> (numerator, denominator, bounded below, bounded above). The added constants keep short texts from looking extreme and zero counts measurable.
 RATIOS = {
-    "symbol_ratio": (lambda m: m["n_symbols"] / F.greatest(m["word_chars"], F.lit(1)), 0.05),
-    "dup_line_ratio": (lambda m: m["n_dup_lines"] / F.greatest(m["n_words"], F.lit(1)), 0.10),
-    "word_length": (lambda m: m["word_chars"] / F.greatest(m["n_words"], F.lit(1)), 12.0),
+    "symbols": ("n_symbols + 1", "word_chars + 100", False, True),
+    "dup_lines": ("n_dup_lines + 1", "n_lines + 10", False, True),
+    "word_length": ("word_chars", "n_words", True, True),
+    "distinct_words": ("n_distinct", "n_words", True, False),
 }
 #: Relative error of a sketch bucket.
-ALPHA = 0.01
-#: The threshold is the group's centre percentile times SLACK, never below the smallest one.
-CENTRE, SLACK = 0.5, 4.0
+ALPHA = 0.002
+GAMMA = (1 + ALPHA) / (1 - ALPHA)
+#: Quartile distances beyond the quartiles that are still in bounds, and texts that a group needs for limits of its own.
+FENCE, MIN_GROUP = 3, 100
 
 
 def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -63,13 +75,13 @@ def repeat_words(words: list[bytes], window: int = WINDOW) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
-def measure_text(text: str | None) -> tuple[int, int, int, int, int]:
+def measure_text(text: str | None) -> tuple[int, ...]:
     if not text:
-        return 0, 0, 0, 0, 0
+        return (0,) * len(MEASURES)
     words = text.encode("utf-8", "surrogatepass").split()
     chars = len(text) - sum(map(text.count, " \t\n\v\f\r"))
     lines = [x for x in text.split("\n") if x.strip(" \t\n\v\f\r")]
-    return len(words), chars, sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeat_words(words)
+    return len(words), chars, sum(map(text.count, "#*$%&|<>")), len(lines) - len(set(lines)), repeat_words(words), len(lines), len(set(words))
 
 
 @F.pandas_udf(MEASURES)
@@ -86,75 +98,123 @@ def base_failed(m: Column) -> Column:
     return (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
 
 
-def sketch_bucket(value: Column, alpha: float = ALPHA) -> Column:
-    """Bucket of a nonnegative value; every value of a bucket is within alpha of its middle. 0 has bucket null."""
-    gamma = (1 + alpha) / (1 - alpha)
-    return F.when(value > 0, F.ceil(F.log(value) / math.log(gamma)).cast("int"))
+def sketch_bucket(value: Column) -> Column:
+    """Bucket of a positive value; every value of a bucket is within ALPHA of its middle."""
+    return F.ceil(F.log(value) / math.log(GAMMA)).cast("long")
+
+
+def buckets(m: Column) -> dict[str, Column]:
+    """Bucket of each measure, from a struct of MEASURES."""
+
+    def sum_of(text: str) -> Column:
+        name, _, more = text.partition(" + ")
+        return m[name] + int(more or 0)
 
+    return {k: sketch_bucket(sum_of(a) / F.greatest(sum_of(b), F.lit(1))) for k, (a, b, _, _) in RATIOS.items()}
 
-def bucket_value(bucket: Column, alpha: float = ALPHA) -> Column:
-    gamma = (1 + alpha) / (1 - alpha)
-    return F.coalesce(2 * F.pow(F.lit(gamma), bucket.cast("double")) / (gamma + 1), F.lit(0.0))
 
+def sketches(scored: DataFrame, m: str, key: Column) -> DataFrame:
+    """Mergeable sketches: n texts per (lang, source, measure, bucket), copies (equal key) within a group once. Sum n to merge two."""
+    each = F.array(*[F.struct(F.lit(k).alias("measure"), b.alias("bucket")) for k, b in buckets(F.col(m)).items()])
+    texts = scored.where(~base_failed(F.col(m))).select("lang", "source", key.alias("_key"), each.alias("_each")).dropDuplicates(["lang", "source", "_key"])
+    return materialize(texts.select("lang", "source", F.explode("_each").alias("_e")).groupBy("lang", "source", "_e.measure", "_e.bucket").agg(F.count(F.lit(1)).alias("n")))
 
-def sketches(scored: DataFrame, m: str = "measures") -> DataFrame:
-    """Mergeable sketches: a count per (lang, source, measure, bucket). Sum counts to merge two."""
-    each = F.array(*[F.struct(F.lit(k).alias("measure"), sketch_bucket(ratio(F.col(m))).alias("bucket")) for k, (ratio, _) in RATIOS.items()])
-    return (
-        scored.where(~base_failed(F.col(m))).select("lang", "source", F.explode(each).alias("_e"))
-        .groupBy("lang", "source", "_e.measure", "_e.bucket").agg(F.count(F.lit(1)).alias("n"))
-    )
 
+def quartiles(sketch: DataFrame, *group: str) -> DataFrame:
+    """group, measure, q1, q3 (buckets) and n texts, of the sketches merged by group."""
+    by = [*group, "measure"]
+    merged = sketch.groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
+    ranked = merged.withColumn("_cum", F.sum("n").over(W.partitionBy(*by).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0))).withColumn("_all", F.sum("n").over(W.partitionBy(*by)))
+    at = lambda q: F.min(F.when(F.col("_cum") >= F.col("_all") * q, F.col("bucket")))
+    return ranked.groupBy(*by).agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("_all").alias("n"))
 
-def quantiles(sketch: DataFrame, q: float) -> DataFrame:
-    """lang, source, measure, value: the q-quantile of each sketch."""
-    from pyspark.sql import Window as W
 
-    group = ["lang", "source", "measure"]
-    up = W.partitionBy(*group).orderBy(F.col("bucket").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    return (
-        sketch.withColumn("_cum", F.sum("n").over(up)).withColumn("_all", F.sum("n").over(W.partitionBy(*group)))
-        .where(F.col("_cum") >= F.greatest(F.lit(1), F.ceil(F.col("_all") * q)))
-        .groupBy(*group).agg(F.min(F.coalesce("bucket", F.lit(-(2**31)))).alias("_b"))
-        .select(*group, bucket_value(F.when(F.col("_b") > -(2**31), F.col("_b"))).alias("value"))
-    )
+def limits(sketch: DataFrame, fence: int = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
+    """lang, source and a struct low, high (buckets) per measure: lim_<measure>. Materialized."""
 
+    def level(name: str, *group: str) -> DataFrame:
+        return quartiles(sketch, *group).select(*[F.col(c).alias(f"{name}_{c}") for c in group], F.col("measure").alias(f"{name}_m"), F.struct("q1", "q3", "n").alias(name))
 
-def thresholds(sketch: DataFrame, centre: float = CENTRE, slack: float = SLACK) -> DataFrame:
-    """One row per (lang, source): a column max_<measure> each."""
-    at = quantiles(sketch, centre)
-    return at.groupBy("lang", "source").agg(
-        *[F.greatest(F.lit(floor), slack * F.max(F.when(F.col("measure") == k, F.col("value")))).alias(f"max_{k}") for k, (_, floor) in RATIOS.items()]
-    )
+    own = level("own", "lang", "source")
+    lang, every = level("lang", "lang"), level("every")
+    both = own.join(lang, own["own_lang"].eqNullSafe(lang["lang_lang"]) & (F.col("own_m") == F.col("lang_m"))).join(every, F.col("own_m") == F.col("every_m"))
+    used = F.when(F.col("own.n") >= min_group, F.col("own")).when(F.col("lang.n") >= min_group, F.col("lang")).otherwise(F.col("every"))
+    wide = F.greatest(used["q3"] - used["q1"], F.ceil((F.col("every.q3") - F.col("every.q1")) / 2))
+    bound = F.struct((used["q1"] - fence * wide).alias("low"), (used["q3"] + fence * wide).alias("high"))
+    each = both.select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), F.col("own_m").alias("measure"), bound.alias("b"))
+    return materialize(each.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("b"))).alias(f"lim_{k}") for k in RATIOS]))
 
 
-def judge(scored: DataFrame, limits: DataFrame, m: str = "measures") -> DataFrame:
-    """Adds base_failed and kept. A group without a threshold row (all its documents failed the base rule) keeps none."""
-    names = [f"_max_{k}" for k in RATIOS]
-    limits = limits.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[F.col(f"max_{k}").alias(f"_max_{k}") for k in RATIOS])
-    on = scored["lang"].eqNullSafe(limits["_lang"]) & scored["source"].eqNullSafe(limits["_source"])
+def judge(scored: DataFrame, bounds: DataFrame, m: str, into: str) -> DataFrame:
+    """scored with a struct into: base_failed and kept. (A group without limits has no document that passes the base rule.)"""
+    names = [fresh(scored, c) for c in ("lim_lang", "lim_source", "lim")]
+    side = bounds.select(F.col("lang").alias(names[0]), F.col("source").alias(names[1]), F.struct(*[f"lim_{k}" for k in RATIOS]).alias(names[2]))
     fine = F.lit(True)
-    for k, (ratio, _) in RATIOS.items():
-        fine &= ratio(F.col(m)) <= F.coalesce(F.col(f"_max_{k}"), F.lit(float("inf")))
+    for k, b in buckets(F.col(m)).items():
+        limit = F.col(names[2])[f"lim_{k}"]
+        fine = fine & (b >= limit["low"] if RATIOS[k][2] else F.lit(True)) & (b <= limit["high"] if RATIOS[k][3] else F.lit(True))
     failed = base_failed(F.col(m))
-    return scored.join(limits, on, "left").withColumn("base_failed", failed).withColumn("kept", ~failed & fine).drop("_lang", "_source", *names)
+    verdict = F.struct(failed.alias("base_failed"), (~failed & F.coalesce(fine, F.lit(True))).alias("kept"))
+    joined = scored.join(side, scored["lang"].eqNullSafe(side[names[0]]) & scored["source"].eqNullSafe(side[names[1]]), "left")
+    return joined.withColumn(into, verdict).drop(*names)
 
 
-def apply_rules(docs: DataFrame) -> DataFrame:
-    """docs with measures, base_failed and kept. The measures are computed once and written to the shared folder."""
-    scored = materialize(docs.withColumn("measures", measures("text")))
-    return judge(scored, thresholds(sketches(scored)))
+def apply_rules(docs: DataFrame, keep_text: bool = True) -> tuple[DataFrame, str, str]:
+    """docs with two struct columns, whose names are returned too: the measures, and the verdict (base_failed, kept).
+
+    The measures are computed once and written to the shared folder.
+    """
+    m, key, verdict = (fresh(docs, c) for c in ("measures", "text_key", "verdict"))
+    scored = docs.withColumn(m, measures("text")).withColumn(key, F.xxhash64("text"))
+    scored = materialize(scored if keep_text else scored.drop("text"))
+    bounds = limits(sketches(scored, m, F.col(key)))
+    return judge(scored, bounds, m, verdict).drop(key), m, verdict
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns only."""
-    return apply_rules(docs).where("kept").select(*docs.columns)
+    out, _, verdict = apply_rules(docs)
+    return out.where(F.col(verdict)["kept"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    from kgspark.llm.common import load
-
     docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
-    scored = materialize(docs.withColumn("measures", measures("text")).drop("text"))
-    out = judge(scored, thresholds(sketches(scored)))
-    return out.select("doc_id", *[F.col(f"measures.{c}").alias(c) for c in MEASURES.names], "base_failed", "kept")
+    out, m, verdict = apply_rules(docs, keep_text=False)
+    return out.select("doc_id", *[F.col(m)[c].alias(c) for c in MEASURES.names], F.col(verdict)["base_failed"].alias("base_failed"), F.col(verdict)["kept"].alias("kept"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_LEADS = " || ' ' || ".join(f"lead(w, {i}) OVER (PARTITION BY r ORDER BY i)" for i in range(1, WINDOW))
+_BUCKETS = " UNION ALL ".join(f"SELECT r, lang, source, text, '{k}' AS measure, CAST(ceil(ln(({a}) / greatest({b}, 1)) / ln({GAMMA!r})) AS BIGINT) AS b FROM m WHERE NOT base_failed" for k, (a, b, _, _) in RATIOS.items())
+_OUT = " OR ".join(f"(e.measure = '{k}' AND ({' OR '.join(c for c, on in (('e.b < l.low', low), ('e.b > l.high', high)) if on)}))" for k, (_, _, low, high) in RATIOS.items())
+
+
+def _level(*group: str) -> str:
+    by = ", ".join((*group, "measure"))
+    ranked = f"SELECT {by}, b, row_number() OVER (PARTITION BY {by} ORDER BY b) AS k, count(*) OVER (PARTITION BY {by}) AS n FROM one"
+    return f"SELECT {by}, min(b) FILTER (k >= n * 0.25) AS q1, min(b) FILTER (k >= n * 0.75) AS q3, max(n) AS n FROM ({ranked}) GROUP BY {by}"
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+t AS (SELECT *, regexp_extract_all(text, '{_WORD}') AS ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM t),
+win AS (SELECT r, i, w || ' ' || {_LEADS} AS k FROM w),
+twice AS (SELECT r, i FROM win WHERE k IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, k) > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, range({WINDOW}) AS g(j) GROUP BY r),
+m0 AS (SELECT t.*, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+ CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+ CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(list_distinct(ws)) AS BIGINT) AS n_distinct FROM t LEFT JOIN rep USING (r)),
+m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m0),
+e AS ({_BUCKETS}),
+one AS (SELECT DISTINCT ON (lang, source, text, measure) lang, source, measure, b FROM e),
+own AS ({_level("lang", "source")}),
+lang_ AS ({_level("lang")}),
+every AS ({_level()}),
+used AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.n >= {MIN_GROUP} THEN own.q1 WHEN l.n >= {MIN_GROUP} THEN l.q1 ELSE v.q1 END AS q1,
+ CASE WHEN own.n >= {MIN_GROUP} THEN own.q3 WHEN l.n >= {MIN_GROUP} THEN l.q3 ELSE v.q3 END AS q3, CAST(ceil((v.q3 - v.q1) / 2.0) AS BIGINT) AS half
+ FROM own JOIN lang_ l ON own.lang IS NOT DISTINCT FROM l.lang AND own.measure = l.measure JOIN every v ON own.measure = v.measure),
+l AS (SELECT lang, source, measure, q1 - {FENCE} * greatest(q3 - q1, half) AS low, q3 + {FENCE} * greatest(q3 - q1, half) AS high FROM used),
+bad AS (SELECT DISTINCT e.r FROM e JOIN l ON e.lang IS NOT DISTINCT FROM l.lang AND e.source IS NOT DISTINCT FROM l.source AND e.measure = l.measure WHERE {_OUT})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM m LEFT JOIN bad USING (r)
+"""
