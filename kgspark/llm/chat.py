@@ -13,9 +13,9 @@ doubled and control strings (the template's own, </s>, <s>, [INST], [/INST],
 <<SYS>>, <</SYS>>) get a backslash after their first character, so none is
 left and unescape() restores every text.
 
-Defined cases: null role or text is empty; a null turn sorts first and shares
-the block of turn 0's predecessors; a null conv_id is one conversation; rows
-equal in turn keep (seq, role, text) order; repeated message rows are repeated
+Defined cases: null role or text is empty; a null turn sorts first, in a block
+of its own, and only its own resets reach it; a null conv_id is one
+conversation; rows equal in turn keep (seq, role, text) order; repeated message rows are repeated
 turns; other kinds are ignored; extra columns are left out; an empty log gives
 no rows.
 """
@@ -23,6 +23,7 @@ no rows.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import load
@@ -32,6 +33,11 @@ BLOCK = 64
 CONTROL = r"(<)(?=\|(?:start|text|end)\|>|/?s>|</?SYS>>)|(\[)(?=/?INST\])"
 
 
+def block_of(turn: str) -> Column:
+    """Block of BLOCK turns; null turns have one of their own, before all others."""
+    return F.when(F.col(turn).isNull(), F.lit(-(1 << 60))).otherwise(F.floor(F.col(turn) / BLOCK))
+
+
 def escape(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), CONTROL, r"$1$2\\")
 
@@ -41,21 +47,28 @@ def unescape(text: Column) -> Column:
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Final messages: conv_id, turn, seq, role, text."""
-    e = events.select("conv_id", "turn", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
-    resets = (
-        e.where(F.col("kind").isin("edit", "regenerate")).groupBy("conv_id", "turn", "kind").agg(F.max("seq").alias("reset_seq"))
-        .select(F.col("conv_id").alias("r_conv"), F.col("turn").alias("r_turn"), F.col("kind").alias("r_kind"), "reset_seq")
-    )
-    dead = (
-        e["conv_id"].eqNullSafe(resets["r_conv"]) & (resets["reset_seq"] > e["seq"])
-        & (e["turn"].eqNullSafe(resets["r_turn"]) | (resets["r_kind"] == "regenerate") & (resets["r_turn"] < e["turn"]))
-    )
-    live = e.join(resets, dead, "left_anti")
-    whole = live.where("kind = 'message'").drop("kind")
+    """Final messages: conv_id, turn, seq, role, text.
+
+    An event is dead if a later edit of its turn, or a later regeneration of its turn or an earlier one, exists.  The latest
+    regeneration up to a turn is a running maximum within the turn's block; that of all earlier blocks is a running
+    maximum over one row a block.
+    """
+    e = events.select("conv_id", "turn", "seq", "kind", "role", F.coalesce("text", F.lit("")).alias("text"), block_of("turn").alias("block"))
+    regenerated = lambda s: F.max(F.when(F.col("kind") == "regenerate", F.col(s)))
+    in_block = W.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(W.unboundedPreceding, W.currentRow)
+    by_turn = W.partitionBy("conv_id", "block", "turn")
+    marked = e.withColumn("within", regenerated("seq").over(in_block)).withColumn("edited", F.max(F.when(F.col("kind") == "edit", F.col("seq"))).over(by_turn))
+    tops = e.groupBy("conv_id", "block").agg(regenerated("seq").alias("top"))
+    tops = tops.withColumn("before", F.max("top").over(W.partitionBy("conv_id").orderBy("block").rowsBetween(W.unboundedPreceding, -1)))
+    tops = tops.where("before is not null").select(F.col("conv_id").alias("c"), F.col("block").alias("b"), "before")
+    known = marked.join(tops, marked["conv_id"].eqNullSafe(tops["c"]) & (marked["block"] == tops["b"]), "left")
+    # A null turn is under the resets of null turns alone: it sorts first and its block holds nothing but null turns.
+    reset = F.greatest("within", "edited", F.when(F.col("turn").isNotNull(), F.col("before")))
+    live = known.where(reset.isNull() | (F.col("seq") >= reset)).select("conv_id", "block", "turn", "seq", "kind", "role", "text")
+    whole = live.where("kind = 'message'").select("conv_id", "turn", "seq", "role", "text")
     parts = F.sort_array(F.collect_list(F.struct("seq", "role", "text")))
     streamed = (
-        live.where(F.col("kind").isin("delta", "edit")).groupBy("conv_id", "turn").agg(parts.alias("p"))
+        live.where(F.col("kind").isin("delta", "edit")).groupBy("conv_id", "block", "turn").agg(parts.alias("p"))
         .select("conv_id", "turn", F.col("p")[0]["seq"].alias("seq"), F.expr("filter(p.role, r -> r is not null)[0]").alias("role"), F.array_join("p.text", "").alias("text"))
     )
     return whole.unionByName(streamed)
@@ -63,9 +76,8 @@ def fold(events: DataFrame) -> DataFrame:
 
 def render(messages: DataFrame) -> DataFrame:
     """Blocks: conv_id, block, n_turns, formatted, loss_spans (start and length of assistant texts in formatted, in characters)."""
-    block = F.floor(F.coalesce("turn", F.lit(-1)) / BLOCK)
     piece = F.struct("turn", "seq", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    sorted_ = messages.groupBy("conv_id", block.alias("block")).agg(F.sort_array(F.collect_list(piece)).alias("m"))
+    sorted_ = messages.groupBy("conv_id", block_of("turn").alias("block")).agg(F.sort_array(F.collect_list(piece)).alias("m"))
     head = lambda x: F.concat(F.lit("<|start|>"), escape(x["role"]), F.lit("<|text|>"))
     parts = F.transform("m", lambda x: F.struct(head(x).alias("head"), escape(x["text"]).alias("body"), (x["role"] == "assistant").alias("loss")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
@@ -104,8 +116,28 @@ def read_back(blocks: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Every row of a conversations table as a message event."""
-    return conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("turn").cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    """A log whose final state is the conversations table.
+
+    By a hash of its place and text a turn was: said whole; streamed in three deltas; drafted and then edited; or
+    streamed, answered by a next turn, regenerated (which discards both) and streamed again.  Turns that several rows
+    share, and rows without a turn, are whole messages, as only those may repeat.
+    """
+    turn = F.col("turn").cast("long")
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
+    alone = (F.count(F.lit(1)).over(W.partitionBy("conv_id", "turn")) == 1) & turn.isNotNull()
+    kinds = F.when(alone, F.pmod(F.xxhash64("conv_id", "turn", "text"), F.lit(4))).otherwise(0)
+    rows, how = conversations.select("conv_id", "turn", "role", "text", kinds.alias("how")), F.col("how")
+    third = F.ceil(F.length(text) / 3).cast("int")
+    parts = [F.substring(text, 1, third), F.substring(text, third + 1, third), F.substring(text, 2 * third + 1, F.length(text))]
+
+    def event(seq: int, kind: str, what: Column, later: int = 0) -> Column:
+        return F.struct((turn + later).alias("turn"), (turn * 16 + seq).alias("seq"), F.lit(kind).alias("kind"), role.alias("role"), what.alias("text"))
+
+    streamed = [event(8 + i, "delta", p) for i, p in enumerate(parts)]
+    edited = [event(0, "delta", F.lit("draft of ")), event(1, "message", F.lit("draft")), event(2, "edit", text)]
+    again = [event(0, "delta", F.reverse(text)), event(1, "delta", F.lit(" ...")), event(2, "message", F.lit("an answer to that"), 1), event(3, "regenerate", F.lit(None).cast("string"))]
+    log = F.when(how == 1, F.array(*streamed)).when(how == 2, F.array(*edited)).when(how == 3, F.array(*again, *streamed)).otherwise(F.array(event(0, "message", text)))
+    return rows.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import load, materialize
+from kgspark.llm.common import fresh, load, materialize
 
 DOMAINS = ("clean", "low", "toxic")
 #: Share of all tokens that each domain is to have.
@@ -70,7 +70,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
     domain = F.when(F.coalesce("toxic", F.lit(0)) == 1, 2).when(F.coalesce("quality", F.lit(1)) == 0, 1).otherwise(0)
     few = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(domain).alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     few = materialize(few)
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "domain").limit(rows))  # rows at most: bounded
+    return materialize(docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id", "text"), "domain").select("text", "domain").limit(rows))  # ids may repeat
 
 
 def lexicon_of(sample: DataFrame, size: int = LEXICON) -> list[str]:
@@ -207,8 +207,9 @@ def expected_shares(mixed: DataFrame) -> dict[str, float]:
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, max_rate: float | None = None) -> DataFrame:
     """docs as often as their copies say, with their own columns only."""
-    mixed = mix(docs, labels, targets, max_rate).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias(fresh(docs, "none"))).alias("own"))
+    mixed = mix(packed, labels, targets, max_rate).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return mixed.select(*[c if c in ("doc_id", "text") else F.col("own")[c].alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
