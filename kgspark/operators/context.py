@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.operators.recovery import saved
+from kgspark.operators.greedy import kept_items
 
 
 def hydrate(refs: DataFrame, hot: DataFrame, archive: DataFrame) -> DataFrame:
@@ -30,19 +30,11 @@ def surrounding(messages: DataFrame, hits: DataFrame, forward: int = 3, total: i
     return wanted.join(placed.select("id", "ts", "rn", *keys), ["rn", *keys]).select("hit_id", "id", "ts", (F.col("id") == F.col("hit_id")).alias("is_hit"))
 
 
-def fresh_hits(context: DataFrame, hits: DataFrame, rounds: int = 20) -> DataFrame:
+def fresh_hits(context: DataFrame, hits: DataFrame) -> DataFrame:
     """hits (hit_id, rank) that no kept hit of better rank already shows in its context."""
-    shows = saved(context.where("not is_hit").select(F.col("hit_id").alias("by"), F.col("id").alias("hit_id")).join(hits.select("hit_id", "rank"), "hit_id").join(hits.select(F.col("hit_id").alias("by"), F.col("rank").alias("by_rank")), "by").where("by_rank < rank").select("by", "hit_id"))
-    kept, open_ = None, hits
-    for _ in range(rounds):
-        blocked = shows.join(open_.select(F.col("hit_id").alias("by")), "by", "left_semi")
-        now = saved(open_.join(blocked.select("hit_id"), "hit_id", "left_anti"))  # nothing undecided shows them
-        kept = now if kept is None else kept.unionByName(now)
-        gone = shows.join(now.select(F.col("hit_id").alias("by")), "by", "left_semi").select("hit_id")
-        open_ = saved(open_.join(now.select("hit_id"), "hit_id", "left_anti").join(gone, "hit_id", "left_anti"))
-        if open_.isEmpty():
-            break
-    return kept
+    shown = context.where("not is_hit").select(F.col("hit_id").alias("by"), F.col("id"))
+    ranked = shown.join(hits.select(F.col("hit_id").alias("id"), F.col("rank").alias("id_rank")), "id").join(hits.select(F.col("hit_id").alias("by"), F.col("rank").alias("by_rank")), "by")
+    return hits.join(kept_items(ranked.where("by_rank < id_rank")).withColumnRenamed("id", "hit_id"), "hit_id", "left_anti")
 
 
 def balanced_window(turns: DataFrame, n: int, ratio: float = 0.75) -> DataFrame:
@@ -57,11 +49,13 @@ def balanced_window(turns: DataFrame, n: int, ratio: float = 0.75) -> DataFrame:
 
 def turns_before(turns: DataFrame, targets: DataFrame, n: int) -> DataFrame:
     """targets (session_id, msg_id) -> the n turns strictly before the message's; none for a message after the log head."""
-    at = turns.select("session_id", F.col("user_msg_id").alias("msg_id"), F.col("ts").alias("at"))
-    t = targets.join(at, ["session_id", "msg_id"])
-    got = t.join(turns, "session_id").where("ts < at")
-    rn = F.row_number().over(W.partitionBy("session_id", "msg_id").orderBy(F.desc("ts"), F.desc("turn_id")))
-    return got.withColumn("rn", rn).where(F.col("rn") <= n).select("session_id", "msg_id", "turn_id", "rn")
+    # A turn of equal time is not before the message: places are counted up to the first turn of its time.
+    by_time = W.partitionBy("session_id").orderBy("ts", "turn_id")
+    placed = turns.withColumn("pos", F.row_number().over(by_time)).withColumn("first", F.min("pos").over(W.partitionBy("session_id", "ts")))
+    at = placed.where("user_msg_id is not null").select("session_id", F.col("user_msg_id").alias("msg_id"), "first")
+    t = targets.join(at, ["session_id", "msg_id"]).select("session_id", "msg_id", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("rn"), "first")
+    wanted = t.select("session_id", "msg_id", "rn", (F.col("first") - F.col("rn")).alias("pos"))
+    return wanted.join(placed.select("session_id", "pos", "turn_id"), ["session_id", "pos"]).select("session_id", "msg_id", "turn_id", "rn")
 
 
 def trim_history(turns: DataFrame, n: int = 10_000) -> DataFrame:

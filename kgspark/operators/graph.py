@@ -49,7 +49,8 @@ def related(edges: DataFrame, entities: DataFrame, facts: DataFrame, names: Data
     sources = entities.select(F.col("id").alias("src"), F.col("canonical_name").alias("source"), F.lower("canonical_name").alias("name")).join(wanted, "name").drop("name")
     target = entities.where(visible(F.col("topic"), topics)).select(F.col("id").alias("dst"), F.col("canonical_name").alias("target"), "type", "topic")
     got = undirected(edges).join(sources, "src").join(target, "dst")
-    got = got.join(fact_lists(facts).withColumnRenamed("entity_id", "dst"), "dst", "left")
+    theirs = facts.join(got.select(F.col("dst").alias("source_entity_id")), "source_entity_id", "left_semi")
+    got = got.join(fact_lists(theirs).withColumnRenamed("entity_id", "dst"), "dst", "left")
     got = got.select("source", F.col("dst").alias("target_id"), "target", "type", "topic", "weight", "confidence", "last_seen", "context", "message_ids", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), "facts")
     return got if limit is None else got.orderBy(F.desc("weight"), F.desc("last_seen"), "target_id", "source").limit(limit)
 
@@ -84,20 +85,23 @@ def parents(part_of: DataFrame, entities: DataFrame, facts: DataFrame, ids: Data
     return near.join(fact_lists(facts).withColumnRenamed("entity_id", "other_id"), "other_id", "left").withColumn("n_facts", F.coalesce("n_facts", F.lit(0)))
 
 
-def ancestry(part_of: DataFrame, ids: DataFrame, max_depth: int = 32) -> DataFrame:
-    """id, chain: the ids from the entity up its first parents to the root; a cycle ends the chain."""
-    first = part_of.groupBy("child_id").agg(F.min("parent_id").alias("parent_id"))
-    now = ids.select("id", F.array("id").alias("chain"))
-    done = None
-    for _ in range(max_depth):
-        step = now.join(first, F.element_at("chain", -1) == first["child_id"], "left")
-        grows = F.col("parent_id").isNotNull() & ~F.array_contains("chain", F.coalesce("parent_id", F.lit(-1)))
-        ended = step.where(~grows).select("id", "chain")
-        done = ended if done is None else done.unionByName(ended)
-        now = saved(step.where(grows).select("id", F.concat("chain", F.array("parent_id")).alias("chain")))
-        if now.isEmpty():
-            break
-    return done
+def ancestry(part_of: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, chain: the ids from the entity up its first parents to the root; a cycle ends the chain.
+
+    Chains double in length each round, so the rounds are the logarithm of the longest one.
+    """
+    up = part_of.groupBy("child_id").agg(F.min("parent_id").alias("parent_id")).select(F.col("child_id").alias("node"), F.array("parent_id").alias("up"), F.lit(True).alias("open"))
+    up = saved(up)
+    while not up.where("open").isEmpty():
+        further = up.select(F.col("node").alias("last"), F.col("up").alias("more"))
+        step = up.join(further, F.when(F.col("open"), F.element_at("up", -1)) == further["last"], "left")
+        longer = F.concat("up", F.coalesce("more", F.array().cast(up.schema["up"].dataType)))
+        # A chain is closed at the root or where it meets a node of its own again; what comes before that is distinct.
+        whole = F.array_distinct(F.concat(F.array("node"), longer))
+        closed = F.col("more").isNull() | (F.size(whole) <= F.size(longer))
+        up = saved(step.select("node", F.slice(whole, F.lit(2), F.size(whole)).alias("up"), (~closed).alias("open")))
+    got = ids.select("id").join(up, ids["id"] == up["node"], "left")
+    return got.select("id", F.concat(F.array("id"), F.coalesce("up", F.array().cast("array<bigint>"))).alias("chain"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> DataFrame:
@@ -106,7 +110,7 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> Da
     Frontiers of all sources move together; each hop keeps one path per
     (source, node), and nodes already seen by a source leave the frontier.
     """
-    hop = undirected(edges).select("src", "dst").distinct()
+    hop = saved(undirected(edges).select("src", "dst").distinct())
     starts = pairs.select(F.col("a_id").alias("source")).distinct()
     front = starts.select("source", F.col("source").alias("node"), F.array("source").alias("path"))
     seen = front
@@ -126,20 +130,36 @@ def on_topics(edges: DataFrame, entities: DataFrame, topics: list[str]) -> DataF
     return keep(keep(edges, "a_id"), "b_id").select(*edges.columns)
 
 
-def path_steps(paths: DataFrame, entities: DataFrame, topics: list[str] | None = None) -> DataFrame:
-    """One row a step: pair, step number, ends with names; locked where an end's topic is inactive."""
+def topic_paths(edges: DataFrame, entities: DataFrame, pairs: DataFrame, topics: list[str], max_depth: int = 4) -> DataFrame:
+    """a_id, b_id, path, shortcut, hidden: the shortest path; where it touches a hidden entity, the shortest among visible ones.
+
+    shortcut: the shortest path touches a hidden entity.  hidden: no visible path exists; path is the shortest one then.
+    """
+    shortest = saved(shortest_paths(edges, pairs, max_depth))
+    unseen = entities.where(~visible(F.col("topic"), topics)).select("id")
+    touched = shortest.select("a_id", "b_id", F.explode("path").alias("id")).join(unseen, "id").select("a_id", "b_id").distinct()
+    around = shortest_paths(on_topics(edges, entities, topics), touched, max_depth).withColumnRenamed("path", "around")
+    got = shortest.join(touched.withColumn("shortcut", F.lit(True)), ["a_id", "b_id"], "left").join(around, ["a_id", "b_id"], "left")
+    got = got.withColumn("shortcut", F.coalesce("shortcut", F.lit(False)))
+    return got.select("a_id", "b_id", F.coalesce("around", "path").alias("path"), "shortcut", (F.col("shortcut") & F.col("around").isNull()).alias("hidden"))
+
+
+def path_steps(paths: DataFrame, entities: DataFrame, edges: DataFrame, evidence: int = 5) -> DataFrame:
+    """One row a step: pair, step number, ends with names and topics, the first evidence ids of the edge."""
     ends = F.arrays_zip(F.expr("slice(path, 1, size(path) - 1)").alias("a"), F.expr("slice(path, 2, size(path) - 1)").alias("b"))
     step = paths.select("a_id", "b_id", F.posexplode(ends).alias("step", "e")).select("a_id", "b_id", "step", F.col("e.a").alias("from_id"), F.col("e.b").alias("to_id"))
-    named = entities.select("id", "canonical_name", F.coalesce("topic", F.lit("General")).alias("topic"), visible(F.col("topic"), topics).alias("seen"))
+    named = entities.select("id", "canonical_name", F.coalesce("topic", F.lit("General")).alias("topic"))
     for side in ("from", "to"):
-        step = step.join(named.select(F.col("id").alias(f"{side}_id"), F.col("canonical_name").alias(f"{side}_name"), F.col("topic").alias(f"{side}_topic"), F.col("seen").alias(f"{side}_seen")), f"{side}_id")
-    return step.withColumn("locked", ~(F.col("from_seen") & F.col("to_seen"))).drop("from_seen", "to_seen")
+        step = step.join(named.select(F.col("id").alias(f"{side}_id"), F.col("canonical_name").alias(f"{side}_name"), F.col("topic").alias(f"{side}_topic")), f"{side}_id")
+    proof = edges.select(*pair_key("a_id", "b_id"), F.slice("message_ids", 1, evidence).alias("evidence"))
+    return step.withColumn("lo", F.least("from_id", "to_id")).withColumn("hi", F.greatest("from_id", "to_id")).join(proof, ["lo", "hi"], "left").drop("lo", "hi")
 
 
-def redacted(steps: DataFrame) -> DataFrame:
-    """Locked steps lose their names."""
-    hide = lambda c: F.when(F.col("locked"), F.lit("LOCKED")).otherwise(F.col(c)).alias(c)
-    return steps.select("a_id", "b_id", "step", "from_id", "to_id", hide("from_name"), hide("to_name"), "locked")
+def redacted(steps: DataFrame, topics: list[str]) -> DataFrame:
+    """steps with locked and locked_reason: a step that touches an inactive topic loses its evidence."""
+    off = F.array_compact(F.array(*[F.when(~F.col(f"{s}_topic").isin(topics), F.col(f"{s}_topic")) for s in ("from", "to")]))
+    got = steps.withColumn("locked", F.size(off) > 0).withColumn("locked_reason", F.when(F.size(off) > 0, F.concat(F.lit("Inactive topic(s): "), F.array_join(off, ", "))))
+    return got.withColumn("evidence", F.when(~F.col("locked"), F.col("evidence")))
 
 
 def alias_names(entities: DataFrame) -> DataFrame:

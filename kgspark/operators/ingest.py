@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.scan import uncovered, valid_mention
 
 
-def tag_known(messages: DataFrame, aliases: DataFrame, longest: int = 3) -> DataFrame:
-    """msg_id, name, id: every known alias that occurs as whole tokens, whatever the case; token n-grams meet the aliases."""
-    tokens = F.filter(F.split(F.lower("content"), r"[^\p{L}\p{N}']+"), lambda t: t != "")
-    n = F.size("tokens")
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("tokens", i, k), " "))).otherwise(F.array().cast("array<string>"))))
-    got = messages.select(F.col("id").alias("msg_id"), tokens.alias("tokens")).select("msg_id", F.explode(F.array_distinct(grams)).alias("name"))
-    return got.join(aliases.select(F.lower("alias").alias("name"), "id"), "name").select("msg_id", "name", "id").distinct()
+def word_list(text) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}']+"), lambda t: t != "")
+
+
+def tag_known(messages: DataFrame, aliases: DataFrame) -> DataFrame:
+    """msg_id, name, id: every known alias that occurs as whole tokens, whatever the case.
+
+    Runs of as many tokens as some alias has meet the aliases by their tokens.
+    """
+    known = aliases.select(F.lower("alias").alias("name"), "id", word_list("alias").alias("words")).where(F.size("words") > 0)
+    lengths = [r[0] for r in known.select(F.size("words")).distinct().collect()]  # one number per length
+    tokens, n = F.col("tokens"), F.size("tokens")
+    runs = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    grams = F.flatten(F.transform(F.array(*map(F.lit, sorted(lengths) or [1])), runs))
+    got = messages.select(F.col("id").alias("msg_id"), word_list("content").alias("tokens")).select("msg_id", F.explode(F.array_distinct(grams)).alias("run"))
+    return got.join(known.select(F.array_join("words", " ").alias("run"), "name", "id"), "run").select("msg_id", "name", "id").distinct()
 
 
 def filter_spans(spans: DataFrame, least: float = 0.5) -> DataFrame:

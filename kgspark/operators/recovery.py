@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df computed once and stored by checkpoint(); the folder is spark.checkpoint.dir, or a temporary one where that is unset."""
+    """df computed once and stored by checkpoint() in spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; a cluster must name one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kgspark-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(where or tempfile.mkdtemp(prefix="kgspark-"))
     return df.checkpoint()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import cosine, sigmoid
 from kgspark.operators.graph import alias_names, undirected, visible
+from kgspark.operators.recovery import saved
 
 #: Vectors of a query block and of a corpus block multiplied at once.
 QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
@@ -109,9 +110,14 @@ def overlap_score(q: Column, t: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(a)
 
 
-def parent_retrieval(hits: DataFrame, children: DataFrame, n: int) -> DataFrame:
-    """hits (qid, id, score) on children (id, parent_id) -> best parents with a sigmoid score to four places."""
+def parent_retrieval(hits: DataFrame, children: DataFrame, n: int, parents: DataFrame | None = None, queries: DataFrame | None = None, scorer=None) -> DataFrame:
+    """hits (qid, id, score) on children (id, parent_id) -> best parents with a sigmoid score to four places.
+
+    A parent's raw score is its best child's; with scorer(query text, parent text) it is that of parents (parent_id, text).
+    """
     got = hits.join(children.select("id", "parent_id"), "id").groupBy("qid", "parent_id").agg(F.max("score").alias("raw"))
+    if scorer is not None:
+        got = got.join(parents.select("parent_id", "text"), "parent_id").join(queries.select("qid", F.col("text").alias("q_text")), "qid").withColumn("raw", scorer(F.col("q_text"), F.col("text")))
     rn = F.row_number().over(W.partitionBy("qid").orderBy(F.round("raw", 9).desc(), "parent_id"))
     return got.withColumn("rank", rn).where(F.col("rank") <= n).select("qid", "parent_id", F.round(sigmoid(F.col("raw")), 4).alias("score"), "rank")
 
@@ -123,6 +129,19 @@ def search_entity(entities: DataFrame, queries: DataFrame, topics: list[str] | N
     return hits.join(entities.select("id", "canonical_name", "type", "topic"), "id")
 
 
+def entity_cards(hits: DataFrame, facts: DataFrame, part_of: DataFrame, edges: DataFrame, n_facts: int = 5, k: int = 5) -> DataFrame:
+    """hits (with id) and what is known of each: facts (newest active contents), parent_id, n_children, connections (ids, heaviest first)."""
+    ids = hits.select("id").distinct()
+    near = top_connections(edges, ids, k).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", "other_id")))["other_id"].alias("connections"))
+    mine = facts.where("invalid_at is null").join(ids.select(F.col("id").alias("source_entity_id")), "source_entity_id", "left_semi")
+    rn = F.row_number().over(W.partitionBy("source_entity_id").orderBy(F.desc("created_at"), F.desc("id")))
+    known = mine.withColumn("rn", rn).where(F.col("rn") <= n_facts).groupBy(F.col("source_entity_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("rn", "content")))["content"].alias("facts"))
+    up = part_of.groupBy(F.col("child_id").alias("id")).agg(F.min("parent_id").alias("parent_id"))
+    down = part_of.groupBy(F.col("parent_id").alias("id")).agg(F.count(F.lit(1)).alias("n_children"))
+    got = hits.join(known, "id", "left").join(up, "id", "left").join(down, "id", "left").join(near, "id", "left")
+    return got.withColumn("n_children", F.coalesce("n_children", F.lit(0)))
+
+
 def top_connections(edges: DataFrame, ids: DataFrame, k: int = 5, evidence: int = 5) -> DataFrame:
     """The k heaviest edges of each id with the first evidence ids."""
     near = undirected(edges).join(ids.select(F.col("id").alias("src")), "src", "left_semi")
@@ -137,17 +156,32 @@ def recent_activity(edges: DataFrame, entities: DataFrame, names: DataFrame, now
 
 
 def fuzzy_candidates(mentions: DataFrame, names: DataFrame, ratio, cutoff: float = 85, k: int = 50) -> DataFrame:
-    """mention, id, score (0..1): edit ratio over names; candidates share a character trigram or are equal.
+    """mention, id, score (0..1): edit ratio over names, of 85 or more.
 
-    Blocking loses pairs of very short names that share no trigram.
+    Candidates lose no pair.  With c = cutoff / 100, texts of a and b letters have c (a + b) / 2 letters in common order at
+    least, hence 3 c (a + b) / 2 - (a + b) - 1 pairs of adjacent letters, each with its number of occurrence.  Of so many
+    shared pairs one is among the rarest of each text, once that many less one are left out.  One and two letters: equal only.
     """
-    grams = lambda df, key: df.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 2, F.lit(1))), lambda i: F.substring(F.col(key), i, F.lit(3))))))
-    m = grams(mentions.select(F.lower("mention").alias("mention")).distinct(), "mention")
-    n = grams(names.select("id", "name").distinct(), "name")
+    if cutoff < 85:
+        raise ValueError("below 85 short names need not share adjacent letters")
+    c = cutoff / 100
+    texts = mentions.select(F.lower("mention").alias("s")).unionByName(names.select(F.col("name").alias("s"))).where("s is not null").distinct()
+    at = F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1)))
+    pairs = F.array_sort(F.transform(at, lambda i: F.substring(F.col("s"), i, F.lit(2))))
+    # Equal pairs stand together once sorted; the number of occurrence is the distance to the first of them.
+    counted = texts.select("s", pairs.alias("p")).select("s", F.transform("p", lambda x, i: F.concat(x, F.lit(":"), (i + 1 - F.array_position("p", x)).cast("string"))).alias("grams"))
+    posted = counted.select("s", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ordered = posted.join(df, "g").groupBy("s", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    a = F.length("s")
+    least = F.ceil((1.5 * c - 1) * a * (1 + c / (2 - c)) - 1 - 1e-9)
+    rare = saved(ordered.select("s", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), least) + 1).cast("int"))).alias("x")).select("s", "x.g"))
+    m = rare.join(mentions.select(F.lower("mention").alias("s")).distinct(), "s", "left_semi").withColumnRenamed("s", "mention")
+    n = rare.join(names.select(F.col("name").alias("s")).distinct(), "s", "left_semi").withColumnRenamed("s", "name")
     near = F.abs(F.length("mention") - F.length("name")) * 100 <= (100 - cutoff) * (F.length("mention") + F.length("name"))
-    pairs = m.join(n, "_g").where(near).select("mention", "id", "name").distinct()
-    scored = pairs.withColumn("score", F.when(F.col("mention") == F.col("name"), 100.0).otherwise(ratio(F.col("mention"), F.col("name")))).where(F.col("score") >= cutoff)
-    best = scored.groupBy("mention", "id").agg((F.max("score") / 100).alias("score"))
+    met = m.join(n, "g").where(near).select("mention", "name").distinct()
+    scored = met.withColumn("score", F.when(F.col("mention") == F.col("name"), 100.0).otherwise(ratio(F.col("mention"), F.col("name")))).where(F.col("score") >= cutoff)
+    best = scored.join(names.select("id", "name").distinct(), "name").groupBy("mention", "id").agg((F.max("score") / 100).alias("score"))
     rn = F.row_number().over(W.partitionBy("mention").orderBy(F.desc("score"), "id"))
     return best.withColumn("rank", rn).where(F.col("rank") <= k)
 

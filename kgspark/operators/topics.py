@@ -17,14 +17,14 @@ def alias_table(topics: DataFrame) -> DataFrame:
 def normalize_topic(df: DataFrame, topics: DataFrame, col: str = "topic") -> DataFrame:
     """Adds canonical: the topic an alias means, else General if that is active, else null."""
     general = topics.where("active and name = 'General'").select(F.lit("General").alias("_g"))
-    got = df.join(F.broadcast(alias_table(topics)), F.lower(F.col(col)) == F.col("key"), "left").join(F.broadcast(general), F.lit(True), "left")
+    got = df.join(alias_table(topics), F.lower(F.col(col)) == F.col("key"), "left").join(F.broadcast(general), F.lit(True), "left")
     return got.withColumn("canonical", F.coalesce("canonical", "_g")).drop("key", "_g")
 
 
 def assign_topic(df: DataFrame, topics: DataFrame, col: str = "type") -> DataFrame:
     """Adds topic and candidates: the one topic of the label, General without any, ambiguous with several."""
     labels = topics.where("active").select("name", F.explode(F.split("labels", ",")).alias("label")).groupBy("label").agg(F.sort_array(F.collect_set("name")).alias("candidates"))
-    got = df.join(F.broadcast(labels), F.lower(F.col(col)) == F.col("label"), "left").drop("label")
+    got = df.join(labels, F.lower(F.col(col)) == F.col("label"), "left").drop("label")
     n = F.coalesce(F.size("candidates"), F.lit(0))
     return got.withColumn("assigned", F.when(n == 1, F.col("candidates")[0]).when(n > 1, "ambiguous").otherwise("General"))
 
@@ -48,21 +48,27 @@ def topic_delta(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.select("name", F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_o") & ~F.col("_n"), "deactivated").when(~F.col("_o") & F.col("_n"), "activated").otherwise("unchanged").alias("change"))
 
 
+#: The form of a label, and how long it may be.
+LABEL, LABEL_LENGTH = "^[a-z][a-z0-9 _-]*$", 30
+
+
 def guard_topics(old: DataFrame, new: DataFrame, cap: int = 3) -> DataFrame:
-    """The new settings made safe: removed topics return, protected ones stay active, at most cap new ones, clean labels.
+    """The new settings made safe: removed topics return as they were, protected ones keep their old entry, at most cap new ones.
 
-    If more than half of the active topics would be deactivated the old settings are returned.
+    Labels are trimmed and lower-cased, and those of another form go. If more than half of the active topics would be
+    deactivated the old settings are returned as they were.
     """
-    o = old.select("name", F.col("active").alias("o_active"), F.col("labels").alias("o_labels"))
-    n = new.select("name", F.col("active").alias("n_active"), F.col("labels").alias("n_labels"))
+    o = old.select("name", F.coalesce("active", F.lit(True)).alias("o_active"), F.col("labels").alias("o_labels"))
+    n = new.select("name", F.coalesce("active", F.lit(True)).alias("n_active"), F.col("labels").alias("n_labels"))
     both = o.join(n, "name", "full_outer").withColumn("is_new", F.col("o_active").isNull())
-    both = both.withColumn("rn", F.when(F.col("is_new"), F.row_number().over(W.partitionBy("is_new").orderBy("name")))).where(~F.col("is_new") | (F.col("rn") <= cap))
-    labels = F.array_join(F.filter(F.split(F.coalesce("n_labels", "o_labels"), ","), lambda x: F.rlike(x, F.lit("^[a-z][a-z0-9 _-]*$")) & (F.length(x) <= 30)), ",")
-    is_active = F.col("name").isin(*PROTECTED) | F.coalesce("n_active", "o_active")
-    off = both.agg((F.count_if(F.col("o_active") & ~is_active) * 2 > F.count_if("o_active")).alias("rejected"))
-    got = both.crossJoin(F.broadcast(off))
-    kept = got.where(~(F.col("rejected") & F.col("is_new")))
-    return kept.select("name", F.when(F.col("rejected"), F.col("o_active")).otherwise(is_active).alias("active"), F.when(F.col("rejected"), F.col("o_labels")).otherwise(labels).alias("labels"))
+    as_was = ~F.col("is_new") & (F.col("n_active").isNull() | F.col("name").isin(*PROTECTED))
+    both = both.select("name", "is_new", "o_active", "o_labels", F.when(as_was, F.col("o_active")).otherwise(F.col("n_active")).alias("active"), F.when(as_was, F.col("o_labels")).otherwise(F.col("n_labels")).alias("labels"))
+    off = both.agg((F.count_if(F.col("o_active") & ~F.col("active")) * 2 > F.count_if("o_active")).alias("rejected"))
+    both = both.withColumn("rn", F.row_number().over(W.partitionBy("is_new").orderBy("name"))).where(~F.col("is_new") | (F.col("rn") <= cap))
+    words = F.transform(F.split(F.coalesce("labels", F.lit("")), ","), lambda x: F.lower(F.trim(x)))
+    clean = F.array_join(F.filter(words, lambda x: F.rlike(x, F.lit(LABEL)) & (F.length(x) <= LABEL_LENGTH)), ",")
+    got = both.join(off, F.lit(True)).where(~(F.col("rejected") & F.col("is_new")))
+    return got.select("name", F.when(F.col("rejected"), F.col("o_active")).otherwise(F.col("active")).alias("active"), F.when(F.col("rejected"), F.col("o_labels")).otherwise(clean).alias("labels"))
 
 
 def edit_topics(topics: DataFrame, edits: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.graph import PROTECTED, alias_names, undirected
-from kgspark.operators.recovery import saved
+from kgspark.operators.greedy import disjoint
 
 
 def newest_by_key(df: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -69,20 +69,9 @@ def guard_protected(pairs: DataFrame, protected: int = PROTECTED) -> DataFrame:
     return pairs.where("primary_id <> secondary_id").select(F.when(swap, F.col("secondary_id")).otherwise(F.col("primary_id")).alias("primary_id"), F.when(swap, F.col("primary_id")).otherwise(F.col("secondary_id")).alias("secondary_id"), *[c for c in pairs.columns if c not in ("primary_id", "secondary_id")])
 
 
-def disjoint_pairs(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """Greedy in order of rank: each id is used once. A pair stays if it has the least rank of both its ids, again and again."""
-    kept, rest = None, pairs
-    for _ in range(rounds):
-        ends = rest.select(F.explode(F.array("primary_id", "secondary_id")).alias("x"), "rank")
-        best = ends.groupBy("x").agg(F.min("rank").alias("least"))
-        at = lambda c: best.select(F.col("x").alias(c), F.col("least").alias(f"_{c}"))
-        now = saved(rest.join(at("primary_id"), "primary_id").join(at("secondary_id"), "secondary_id").where("rank = _primary_id and rank = _secondary_id").select(*pairs.columns))
-        kept = now if kept is None else kept.unionByName(now)
-        used = now.select(F.explode(F.array("primary_id", "secondary_id")).alias("x"))
-        rest = saved(rest.join(used.withColumnRenamed("x", "primary_id"), "primary_id", "left_anti").join(used.withColumnRenamed("x", "secondary_id"), "secondary_id", "left_anti").select(*pairs.columns))
-        if rest.isEmpty():
-            break
-    return kept
+def disjoint_pairs(pairs: DataFrame) -> DataFrame:
+    """primary_id, secondary_id, rank (distinct): greedy in order of rank, each id is used once."""
+    return disjoint(pairs, "primary_id", "secondary_id", "rank")
 
 
 def _moved(df: DataFrame, col: str, pairs: DataFrame) -> DataFrame:

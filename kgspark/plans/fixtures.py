@@ -50,14 +50,14 @@ SELECT * FROM (VALUES ('General', TRUE, FALSE, 'misc,other', 'world'), ('AFRICA'
 SELECT alias, CAST(id AS BIGINT) AS id FROM (VALUES ('thtion', 1000), ('retion', 1001), ('antion', 1002), ('ertion', 1003), ('ontion', 1004), ('hetion', 1005), ('enkeit', 1006), ('edtion', 1007), ('the the', 1008)) AS t(alias, id)""",
     "kg_model_prices": "SELECT model, CAST(input AS DOUBLE) AS input, CAST(output AS DOUBLE) AS output FROM (VALUES ('click', 1.0, 2.0), ('view', 0.5, 1.5), ('purchase', 3.0, 15.0)) AS t(model, input, output)",
     "kg_usage": "SELECT event_type AS model, 1 + user_id AS prompt_tokens, CAST(floor(value) AS BIGINT) AS completion_tokens FROM events",
-    "kg_queries": "SELECT item_id AS qid, text FROM benchmark WHERE item_id < 5",
+    "kg_queries": "SELECT item_id AS qid, text FROM benchmark WHERE item_id % 20 = 0",
     "kg_vectors": "SELECT vec_id, embedding FROM embeddings",
     "kg_turns": "SELECT conv_id AS session_id, turn AS turn_id, role, text AS content, TIMESTAMP '2024-01-01 00:00:00' + conv_id * INTERVAL '1' HOUR + turn * INTERVAL '1' MINUTE AS ts, CASE WHEN role = 'user' THEN conv_id * 1000 + turn END AS user_msg_id FROM conversations",
     "kg_names": "SELECT * FROM (VALUES ('ASIA'), ('small ring'), ('supplier#000000003'), ('nobody')) AS t(name)",
     "kg_ids": "SELECT CAST(id AS BIGINT) AS id FROM (VALUES (1), (2), (104), (1003), (1005), (1000007), (1000010), (1000017), (2000005), (77)) AS t(id)",
     "kg_dlq": """
 SELECT CAST(event_id AS BIGINT) AS id, CAST(event_id % 4 AS BIGINT) AS attempt, CASE WHEN event_id % 2 = 0 THEN 'extract' ELSE 'write' END AS stage,
- CASE event_id % 5 WHEN 0 THEN 'Connection TIMEOUT' WHEN 1 THEN 'rate limit hit' WHEN 2 THEN 'schema mismatch' WHEN 3 THEN '503 Service Unavailable' ELSE 'bad value' END AS error, props AS payload FROM events""",
+ CASE event_id % 9 WHEN 0 THEN 'connection REFUSED by host' WHEN 1 THEN 'rate limit hit' WHEN 2 THEN 'schema mismatch' WHEN 3 THEN '503 Service Unavailable' WHEN 4 THEN 'upstream: bad gateway' WHEN 5 THEN 'Conflicting transactions' WHEN 6 THEN 'model overloaded' WHEN 7 THEN 'Connection timed out' ELSE 'bad value' END AS error, props AS payload FROM events""",
 }
 
 

@@ -27,9 +27,9 @@ def j2(t):
 
 @query("j3_related_entities", f"""
 SELECT s.canonical_name AS source, u.dst AS target_id, e.canonical_name AS target, e.topic, weight, round(u.confidence, 6) AS confidence, CAST(epoch(last_seen) AS BIGINT) AS last_seen, context, array_to_string(message_ids, ',') AS evidence, coalesce(n_facts, 0) AS n_facts
-FROM {UND} u JOIN kg_entities s ON s.id = u.src AND s.id BETWEEN 1000 AND 1999 JOIN kg_entities e ON e.id = u.dst AND (e.topic IS NULL OR e.topic IN {ACTIVE_SQL}) LEFT JOIN {FACTS} f ON f.source_entity_id = u.dst""")
+FROM {UND} u JOIN kg_entities s ON s.id = u.src AND s.type = 'supplier' JOIN kg_entities e ON e.id = u.dst AND (e.topic IS NULL OR e.topic IN {ACTIVE_SQL}) LEFT JOIN {FACTS} f ON f.source_entity_id = u.dst""")
 def j3(t):
-    names = t.entities.where("type = 'supplier'").where("id between 1000 and 1999").select(F.col("canonical_name").alias("name"))
+    names = t.entities.where("type = 'supplier'").select(F.col("canonical_name").alias("name"))
     got = graph.related(t.related_to, t.entities, t.facts, names, ACTIVE)
     return got.select("source", "target_id", "target", "topic", "weight", F.round("confidence", 6).alias("confidence"), F.unix_timestamp("last_seen").alias("last_seen"), "context", F.array_join("message_ids", ",").alias("evidence"), "n_facts")
 
@@ -81,19 +81,19 @@ def j8(t):
 
 
 def path_pairs(t):
-    e = heavy(t)
-    return e.select("a_id").distinct().orderBy("a_id").limit(4).crossJoin(F.broadcast(e.select("b_id").distinct().orderBy("b_id").limit(30)))
+    """Every pair of one shared message: is there a path of heavier edges between its ends?"""
+    return t.related_to.where("weight = 1").select("a_id", "b_id")
 
 
 def heavy(t):
-    return t.related_to.where("weight >= 3").select("a_id", "b_id")
+    return t.related_to.where("weight >= 2").select("a_id", "b_id")
 
 
-PATHS = """WITH RECURSIVE h AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 3 {where}), e AS (SELECT a_id AS src, b_id AS dst FROM h UNION SELECT b_id, a_id FROM h),
-hv AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 3), s AS (SELECT DISTINCT a_id FROM hv ORDER BY a_id LIMIT 4), g AS (SELECT DISTINCT b_id FROM hv ORDER BY b_id LIMIT 30),
+PATHS = """WITH RECURSIVE h AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 2 {where}), e AS (SELECT a_id AS src, b_id AS dst FROM h UNION SELECT b_id, a_id FROM h),
+asked AS (SELECT a_id, b_id FROM kg_related_to WHERE weight = 1), s AS (SELECT DISTINCT a_id FROM asked),
 p AS (SELECT a_id AS source, a_id AS node, [a_id] AS path, 0 AS d FROM s UNION
  SELECT source, node, min(path) AS path, d FROM (SELECT p.source, e.dst AS node, list_append(path, e.dst) AS path, d + 1 AS d FROM p JOIN e ON e.src = p.node WHERE d < 4 AND NOT list_contains(path, e.dst)) GROUP BY source, node, d)
-SELECT source AS a_id, node AS b_id, array_to_string(path, '>') AS path FROM p WHERE node IN (SELECT b_id FROM g) QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY d, path) = 1"""
+SELECT p.source AS a_id, p.node AS b_id, array_to_string(path, '>') AS path FROM p JOIN asked ON asked.a_id = source AND asked.b_id = node QUALIFY row_number() OVER (PARTITION BY source, node ORDER BY d, path) = 1"""
 
 
 @query("j9_shortest_paths", PATHS.format(where=""))
@@ -104,30 +104,34 @@ def j9(t):
 SEEN = f"SELECT id FROM kg_entities WHERE topic IS NULL OR topic IN {ACTIVE_SQL}"
 
 
-@query("j10_paths_on_topics", PATHS.format(where=f"AND a_id IN ({SEEN}) AND b_id IN ({SEEN})"))
-def j10(t):
-    return graph.shortest_paths(graph.on_topics(heavy(t), t.entities, ACTIVE), path_pairs(t)).select("a_id", "b_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+SP, AP = PATHS.format(where=""), PATHS.format(where=f"AND a_id IN ({SEEN}) AND b_id IN ({SEEN})")
+TOPIC_PATHS = f"""WITH sp AS ({SP}), ap AS ({AP}), off AS (SELECT DISTINCT a_id, b_id FROM (SELECT a_id, b_id, CAST(unnest(string_split(path, '>')) AS BIGINT) AS id FROM sp) WHERE id NOT IN ({SEEN})),
+tp AS (SELECT sp.a_id, sp.b_id, coalesce(ap.path, sp.path) AS path, off.a_id IS NOT NULL AS shortcut, off.a_id IS NOT NULL AND ap.path IS NULL AS hidden FROM sp LEFT JOIN off USING (a_id, b_id) LEFT JOIN ap ON off.a_id = ap.a_id AND off.b_id = ap.b_id),
+st AS (SELECT a_id, b_id, hidden, p, CAST(unnest(range(len(p) - 1)) AS INTEGER) AS step FROM (SELECT *, list_transform(string_split(path, '>'), lambda x: CAST(x AS BIGINT)) AS p FROM tp)),
+ns AS (SELECT st.a_id, st.b_id, hidden, step, p[step + 1] AS from_id, p[step + 2] AS to_id, f.canonical_name AS from_name, g.canonical_name AS to_name, coalesce(f.topic, 'General') AS from_topic, coalesce(g.topic, 'General') AS to_topic, array_to_string(r.message_ids[1:5], ',') AS evidence
+ FROM st JOIN kg_entities f ON f.id = p[step + 1] JOIN kg_entities g ON g.id = p[step + 2] LEFT JOIN kg_related_to r ON r.a_id = least(p[step + 1], p[step + 2]) AND r.b_id = greatest(p[step + 1], p[step + 2]))"""
+
 
+def all_paths(t):
+    return graph.topic_paths(heavy(t), t.entities, path_pairs(t), ACTIVE)
 
-def two_step(t):
-    e = graph.undirected(heavy(t))
-    return e.join(e.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").where("src < far").select(F.col("src").alias("a_id"), F.col("far").alias("b_id"), F.array("src", "dst", "far").alias("path"))
+
+@query("j10_paths_on_topics", f"{TOPIC_PATHS} SELECT a_id, b_id, CASE WHEN NOT hidden THEN path END AS path, shortcut FROM tp")
+def j10(t):
+    return all_paths(t).select("a_id", "b_id", F.when(~F.col("hidden"), F.array_join(F.col("path").cast("array<string>"), ">")).alias("path"), "shortcut")
 
 
-@query("j11_redacted_paths", f"""
-WITH h AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 3), e AS (SELECT a_id AS src, b_id AS dst FROM h UNION ALL SELECT b_id, a_id FROM h), p AS (SELECT e.src AS a, e.dst AS m, f.dst AS b FROM e JOIN e f ON f.src = e.dst WHERE e.src < f.dst),
-s AS (SELECT a AS a_id, b AS b_id, 0 AS step, a AS from_id, m AS to_id FROM p UNION ALL SELECT a, b, 1, m, b FROM p), n AS (SELECT id, canonical_name, topic IS NULL OR topic IN {ACTIVE_SQL} AS seen FROM kg_entities)
-SELECT a_id, b_id, step, from_id, to_id, CASE WHEN f.seen AND g.seen THEN f.canonical_name ELSE 'LOCKED' END AS from_name, CASE WHEN f.seen AND g.seen THEN g.canonical_name ELSE 'LOCKED' END AS to_name, NOT (f.seen AND g.seen) AS locked FROM s JOIN n f ON f.id = from_id JOIN n g ON g.id = to_id""")
+@query("j11_redacted_paths", f"""{TOPIC_PATHS}, l AS (SELECT *, NOT (from_topic IN {ACTIVE_SQL} AND to_topic IN {ACTIVE_SQL}) AS locked FROM ns WHERE hidden)
+SELECT a_id, b_id, step, from_name, to_name, from_topic, to_topic, locked, CASE WHEN locked THEN 'Inactive topic(s): ' || concat_ws(', ', CASE WHEN from_topic NOT IN {ACTIVE_SQL} THEN from_topic END, CASE WHEN to_topic NOT IN {ACTIVE_SQL} THEN to_topic END) END AS locked_reason, CASE WHEN NOT locked THEN evidence END AS evidence FROM l""")
 def j11(t):
-    return graph.redacted(graph.path_steps(two_step(t), t.entities, ACTIVE))
+    steps = graph.redacted(graph.path_steps(all_paths(t).where("hidden"), t.entities, t.related_to), ACTIVE)
+    return steps.select("a_id", "b_id", "step", "from_name", "to_name", "from_topic", "to_topic", "locked", "locked_reason", F.array_join("evidence", ",").alias("evidence"))
 
 
-@query("f8_path_steps", """
-WITH h AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 3), e AS (SELECT a_id AS src, b_id AS dst FROM h UNION ALL SELECT b_id, a_id FROM h), p AS (SELECT e.src AS a, e.dst AS m, f.dst AS b FROM e JOIN e f ON f.src = e.dst WHERE e.src < f.dst),
-s AS (SELECT a AS a_id, b AS b_id, 0 AS step, a AS from_id, m AS to_id FROM p UNION ALL SELECT a, b, 1, m, b FROM p)
-SELECT a_id, b_id, step, from_id, to_id, coalesce(f.topic, 'General') AS from_topic FROM s JOIN kg_entities f ON f.id = from_id""")
+@query("f8_path_steps", f"{TOPIC_PATHS} SELECT a_id, b_id, step, from_id, to_id, from_name, to_name, from_topic, to_topic, evidence FROM ns WHERE NOT hidden")
 def f8(t):
-    return graph.path_steps(two_step(t), t.entities).select("a_id", "b_id", "step", "from_id", "to_id", "from_topic")
+    steps = graph.path_steps(all_paths(t).where("not hidden"), t.entities, t.related_to)
+    return steps.select("a_id", "b_id", "step", "from_id", "to_id", "from_name", "to_name", "from_topic", "to_topic", F.array_join("evidence", ",").alias("evidence"))
 
 
 @query("j12_hydrate", "SELECT r.a_id || '-' || r.b_id AS key, message_id, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus ELSE o_orderpriority END AS content FROM (SELECT a_id, b_id, unnest(message_ids) AS message_id FROM kg_related_to WHERE weight >= 2) r JOIN orders ON message_id = 'msg_' || o_orderkey WHERE o_orderkey % 5 <> 0")
@@ -152,9 +156,12 @@ def j14(t):
     return context.surrounding(t.messages, t.messages.where("id % 5 = 0").select(F.col("id").alias("hit_id"))).drop("ts")
 
 
-@query("j15_fresh_hits")
+@query("j15_fresh_hits", f"""{CTX.replace('WITH ', 'WITH RECURSIVE ', 1)}, n AS MATERIALIZED (SELECT session_id AS s, id, rn, row_number() OVER (PARTITION BY session_id ORDER BY (id * 7919) % 10007, id) AS k FROM r),
+g AS (SELECT DISTINCT s, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept, CAST(NULL AS BIGINT) AS hit_id FROM n
+ UNION ALL SELECT g.s, n.k, CASE WHEN fresh THEN list_append(kept, n.rn) ELSE kept END, CASE WHEN fresh THEN n.id END FROM g JOIN (SELECT * FROM n) n ON n.s = g.s AND n.k = g.k + 1, LATERAL (SELECT len(list_filter(g.kept, lambda x: n.rn BETWEEN x - 6 AND x + 3)) = 0 AS fresh) z)
+SELECT hit_id, (hit_id * 7919) % 10007 * 1000000000 + hit_id AS rank FROM g WHERE hit_id IS NOT NULL""")
 def j15(t):
-    hits = t.messages.select(F.col("id").alias("hit_id"), F.xxhash64("id").alias("rank"))
+    hits = t.messages.select(F.col("id").alias("hit_id"), (F.col("id") * 7919 % 10007 * 1000000000 + F.col("id")).alias("rank"))
     return context.fresh_hits(context.surrounding(t.messages, hits), hits)
 
 
@@ -240,10 +247,10 @@ def a11(t):
 
 
 @query("u2_shared_neighbors", f"""
-WITH p AS (SELECT DISTINCT 1000 + l_suppkey AS a_id, 1000 + (l_suppkey + l_partkey) % 90 AS b_id FROM lineitem WHERE l_orderkey % 50 = 0), u AS (SELECT DISTINCT src, dst FROM {UND} WHERE dst <> 1)
+WITH p AS (SELECT DISTINCT 1000 + l_suppkey AS a_id, 1000 + (l_suppkey + l_partkey) % 90 AS b_id FROM lineitem), u AS (SELECT DISTINCT src, dst FROM {UND} WHERE dst <> 1)
 SELECT a_id, b_id, (SELECT count(*) FROM u x JOIN u y ON x.dst = y.dst WHERE x.src = a_id AND y.src = b_id) AS shared FROM p""")
 def u2(t):
-    p = t.lineitem.where("l_orderkey % 50 = 0").select((1000 + F.col("l_suppkey")).alias("a_id"), (1000 + (F.col("l_suppkey") + F.col("l_partkey")) % 90).alias("b_id")).distinct()
+    p = t.lineitem.select((1000 + F.col("l_suppkey")).alias("a_id"), (1000 + (F.col("l_suppkey") + F.col("l_partkey")) % 90).alias("b_id")).distinct()
     return graph.shared_neighbors(t.related_to, p)
 
 

@@ -190,19 +190,19 @@ def p10(t):
 
 
 @query("p11_guard_topics", """
-WITH o AS (SELECT name, active, labels FROM kg_topics), n AS (SELECT topic AS name, max(id) % 2 = 0 AS active, 'ok,Bad Label,' || lower(max(type)) AS labels FROM kg_entities WHERE topic IS NOT NULL GROUP BY topic),
-b AS (SELECT coalesce(o.name, n.name) AS name, o.active AS oa, o.labels AS ol, n.active AS na, n.labels AS nl, o.name IS NULL AS fresh FROM o FULL JOIN n ON o.name = n.name),
-c AS (SELECT *, CASE WHEN fresh THEN row_number() OVER (PARTITION BY fresh ORDER BY name) END AS rn, name IN ('General', 'Identity') OR coalesce(na, oa) AS act FROM b),
-d AS (SELECT * FROM c WHERE NOT fresh OR rn <= 3), r AS (SELECT 2 * count(*) FILTER (oa AND NOT act) > count(*) FILTER (oa) AS rej FROM d)
-SELECT name, CASE WHEN rej THEN oa ELSE act END AS active, CASE WHEN rej THEN ol ELSE array_to_string(list_filter(string_split(coalesce(nl, ol), ','), lambda x: regexp_matches(x, '^[a-z][a-z0-9 _-]*$') AND length(x) <= 30), ',') END AS labels FROM d, r WHERE NOT (rej AND fresh)""")
+WITH o AS (SELECT name, active, labels FROM kg_topics), n AS (SELECT topic AS name, max(id) % 2 = 0 AS active, 'ok, Good Label,b@d,' || max(type) AS labels FROM kg_entities WHERE topic IS NOT NULL GROUP BY topic),
+b AS (SELECT coalesce(o.name, n.name) AS name, o.active AS oa, o.labels AS ol, o.name IS NULL AS fresh, o.name IS NOT NULL AND (n.name IS NULL OR o.name IN ('General', 'Identity')) AS was, n.active AS na, n.labels AS nl FROM o FULL JOIN n ON o.name = n.name),
+c AS (SELECT name, oa, ol, fresh, CASE WHEN was THEN oa ELSE na END AS act, CASE WHEN was THEN ol ELSE nl END AS lab, row_number() OVER (PARTITION BY fresh ORDER BY name) AS rn FROM b),
+r AS (SELECT 2 * count(*) FILTER (oa AND NOT act) > count(*) FILTER (oa) AS rej FROM c)
+SELECT name, CASE WHEN rej THEN oa ELSE act END AS active, CASE WHEN rej THEN ol ELSE array_to_string(list_filter(list_transform(string_split(lab, ','), lambda x: lower(trim(x))), lambda x: regexp_matches(x, '^[a-z][a-z0-9 _-]*$') AND length(x) <= 30), ',') END AS labels FROM c, r WHERE NOT (rej AND fresh) AND (NOT fresh OR rn <= 3)""")
 def p11(t):
-    new = t.entities.where("topic is not null").groupBy(F.col("topic").alias("name")).agg((F.max("id") % 2 == 0).alias("active"), F.concat(F.lit("ok,Bad Label,"), F.lower(F.max("type"))).alias("labels"))
+    new = t.entities.where("topic is not null").groupBy(F.col("topic").alias("name")).agg((F.max("id") % 2 == 0).alias("active"), F.concat(F.lit("ok, Good Label,b@d,"), F.max("type")).alias("labels"))
     return topics.guard_topics(t.topics, new)
 
 
-@query("p12_sanitize", """SELECT doc_id, trim(regexp_replace(regexp_replace(substr(text, 1, 200), '[+\\-&|!(){}\\[\\]^"~*?:\\\\/]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents""")
+@query("p12_sanitize", """SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[+\\-&|!(){}\\[\\]^"~*?:\\\\/]', ' ', 'g'), '\\s+', ' ', 'g')) AS q FROM documents""")
 def p12(t):
-    return t.documents.select("doc_id", scalars.sanitize(F.substring("text", 1, 200)).alias("q"))
+    return t.documents.select("doc_id", scalars.sanitize(F.col("text")).alias("q"))
 
 
 @query("p13_message_ids", "SELECT id, CASE WHEN id % 2 = 0 THEN 'msg_' || id ELSE 'turn_' || id END AS label, CASE WHEN id % 2 = 0 THEN id ELSE id + 1000000000 END AS parsed FROM kg_messages")
@@ -384,9 +384,9 @@ def f11(t):
     return t.entities.select("id", rendered("entity").alias("line"))
 
 
-@query("f12_html_escape", """SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 500), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS s FROM pages""")
+@query("f12_html_escape", """SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS s FROM pages""")
 def f12(t):
-    return t.pages.select("page_id", scalars.html_escape(F.substring("html", 1, 500)).alias("s"))
+    return t.pages.select("page_id", scalars.html_escape(F.col("html")).alias("s"))
 
 
 @query("f13_label_block", "SELECT string_agg('- ' || name || ': ' || replace(labels, ',', ', '), chr(10) ORDER BY '- ' || name || ': ' || replace(labels, ',', ', ')) AS block FROM kg_topics WHERE active AND name IN (SELECT topic FROM kg_entities)")

@@ -17,12 +17,12 @@ def vecs(t):
 
 
 def asked(t):
-    return t.vectors.where("vec_id % 25 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    return t.vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
 
 
 DOT = "list_inner_product({a}::DOUBLE[], {b}::DOUBLE[])"
 COS = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
-TOPK = f"""SELECT q.vec_id AS qid, v.vec_id AS id, round({COS.format(a='q.embedding', b='v.embedding')}, 4) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='v.embedding')}, 9) DESC, v.vec_id) AS INTEGER) AS rank FROM kg_vectors q, kg_vectors v WHERE q.vec_id % 25 = 0 QUALIFY rank <= {{k}}"""
+TOPK = f"""SELECT q.vec_id AS qid, v.vec_id AS id, round({COS.format(a='q.embedding', b='v.embedding')}, 4) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='v.embedding')}, 9) DESC, v.vec_id) AS INTEGER) AS rank FROM kg_vectors q, kg_vectors v WHERE q.vec_id % 20 = 0 QUALIFY rank <= {{k}}"""
 
 
 @query("r1_vector_topk", TOPK.format(k=10))
@@ -83,19 +83,24 @@ def r6(t):
 EQ = f"SELECT row_number() OVER (ORDER BY p_name) AS qid, p_name AS text FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey < 40)"
 
 
-@query("r5_entity_search", BM25.format(corpus=f"SELECT id, canonical_name || ' ' || alias1 AS text FROM kg_entities WHERE topic IS NULL OR topic IN {ACTIVE_SQL}", queries="SELECT n_nationkey AS qid, n_name AS text FROM nation") + " SELECT qid, id, round(score, 4) AS score, canonical_name FROM b JOIN kg_entities USING (id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 5")
+@query("r5_entity_search", BM25.format(corpus=f"SELECT id, canonical_name || ' ' || alias1 AS text FROM kg_entities WHERE topic IS NULL OR topic IN {ACTIVE_SQL}", queries="SELECT n_nationkey AS qid, n_name AS text FROM nation") + f""",
+h AS (SELECT qid, id, round(score, 4) AS score, canonical_name FROM b JOIN kg_entities USING (id) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 5),
+fx AS (SELECT source_entity_id AS id, string_agg(content, ';' ORDER BY created_at DESC, fid DESC) AS facts FROM (SELECT *, id AS fid, row_number() OVER (PARTITION BY source_entity_id ORDER BY created_at DESC, id DESC) AS k FROM kg_facts WHERE invalid_at IS NULL) WHERE k <= 5 GROUP BY 1),
+un AS (SELECT a_id AS src, b_id AS dst, weight FROM kg_related_to UNION ALL SELECT b_id, a_id, weight FROM kg_related_to), cx AS (SELECT src AS id, array_to_string(array_agg(dst ORDER BY k), ',') AS connections FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM un) WHERE k <= 5 GROUP BY 1)
+SELECT qid, h.id, score, canonical_name, facts, (SELECT min(parent_id) FROM kg_part_of WHERE child_id = h.id) AS parent_id, (SELECT count(*) FROM kg_part_of WHERE parent_id = h.id) AS n_children, connections FROM h LEFT JOIN fx USING (id) LEFT JOIN cx USING (id)""")
 def r5(t):
     q = t.nation.select(F.col("n_nationkey").alias("qid"), F.col("n_name").alias("text"))
-    return search.search_entity(t.entities, q, ACTIVE, 5).select("qid", "id", F.round("score", 4).alias("score"), "canonical_name")
+    got = search.entity_cards(search.search_entity(t.entities, q, ACTIVE, 5), t.facts, t.part_of, t.related_to)
+    return got.select("qid", "id", F.round("score", 4).alias("score"), "canonical_name", F.array_join("facts", ";").alias("facts"), "parent_id", "n_children", F.array_join(F.col("connections").cast("array<string>"), ",").alias("connections"))
 
 
 def hybrid_parts(t):
-    v = search.vector_topk(t.vectors.where("vec_id < 5").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), vecs(t), 50)
+    v = search.vector_topk(t.vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), vecs(t), 50)
     return v, search.bm25(docs(t), t.queries, 50)
 
 
 HY = BM25.format(corpus=DOCS, queries=QS) + f""", tx AS (SELECT qid, id, score / max(score) OVER (PARTITION BY qid) AS s FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 50)),
-vx AS (SELECT q.vec_id AS qid, v.vec_id AS id, {COS.format(a='q.embedding', b='v.embedding')} AS s FROM kg_vectors q, kg_vectors v WHERE q.vec_id < 5 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='v.embedding')}, 9) DESC, v.vec_id) <= 50),
+vx AS (SELECT q.vec_id AS qid, v.vec_id AS id, {COS.format(a='q.embedding', b='v.embedding')} AS s FROM kg_vectors q, kg_vectors v WHERE q.vec_id % 20 = 0 QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='v.embedding')}, 9) DESC, v.vec_id) <= 50),
 h AS (SELECT coalesce(vx.qid, tx.qid) AS qid, coalesce(vx.id, tx.id) AS id, coalesce(vx.s, 0) + coalesce(tx.s, 0) AS score FROM vx FULL JOIN tx ON vx.qid = tx.qid AND vx.id = tx.id)"""
 
 
@@ -112,15 +117,24 @@ def r9(t):
     return search.rerank(cands, docs(t), t.queries, search.overlap_score).select("qid", "id", F.round("score", 4).alias("score"))
 
 
-CH = "SELECT id || '_parent_' || k AS id, doc_id, substr(text, 1 + k * 1800, 2000) AS text FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 200) / 1800.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0)"
+CH = "SELECT id || '_parent_' || k AS id, doc_id, doc_id * 1000000 + k AS k, substr(text, 1 + k * 1800, 2000) AS text FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 200) / 1800.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0)"
 
 
-@query("r10_parent_retrieval", BM25.format(corpus=CH, queries=QS) + f""", c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 35), p AS (SELECT qid, split_part(id, '_parent_', 1) AS parent_id, max(score) AS raw FROM c GROUP BY ALL)
-SELECT qid, parent_id, round(1 / (1 + exp(-raw)), 4) AS score FROM p QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, parent_id) <= 8""")
+@query("r10_parent_retrieval", BM25.format(corpus=CH, queries=QS) + f""", c AS (SELECT qid, id FROM (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 35)
+ UNION SELECT qid, id FROM (SELECT q.qid, ch.id FROM kg_queries q JOIN kg_vectors qv ON qv.vec_id = q.qid, ({CH}) ch JOIN kg_vectors v ON v.vec_id = ch.doc_id QUALIFY row_number() OVER (PARTITION BY q.qid ORDER BY round({COS.format(a='qv.embedding', b='v.embedding')}, 9) DESC, ch.k) <= 35)),
+p AS (SELECT DISTINCT qid, split_part(id, '_parent_', 1) AS parent_id FROM c),
+s2 AS (SELECT p.qid, parent_id, len(list_intersect(list_distinct(string_split(lower(q.text), ' ')), list_distinct(string_split(lower(d.text), ' ')))) / len(list_distinct(string_split(lower(q.text), ' '))) AS raw FROM p JOIN kg_queries q ON q.qid = p.qid JOIN documents d ON CAST(d.doc_id AS VARCHAR) = parent_id)
+SELECT qid, parent_id, round(1 / (1 + exp(-raw)), 4) AS score FROM s2 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, parent_id) <= 8""")
 def r10(t):
-    c = ingest.chunk(docs(t), 2000, 200).select(F.concat_ws("_parent_", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "text")
-    kids = c.select("id", F.split("id", "_parent_")[0].alias("parent_id"))
-    return search.parent_retrieval(search.bm25(c, t.queries, 35), kids, 8).select("qid", "parent_id", "score")
+    """Children by text and by vector (a chunk has its document's vector), their documents rescored."""
+    c = ingest.chunk(docs(t), 2000, 200).select(F.col("id").alias("doc_id"), F.concat_ws("_parent_", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("id"), "text", (F.col("id") * 1000000 + F.col("chunk_index")).alias("k"))
+    kids = c.select("id", F.col("doc_id").cast("string").alias("parent_id"))
+    q = t.queries.join(t.vectors, F.col("qid") == F.col("vec_id")).select("qid", F.col("embedding").alias("vec"))
+    near = search.vector_topk(q, c.join(t.vectors, F.col("doc_id") == F.col("vec_id")).select(F.col("k").alias("id"), F.col("embedding").alias("vec")), 35)
+    near = near.select("qid", F.concat(F.floor(F.col("id") / 1000000).cast("string"), F.lit("_parent_"), (F.col("id") % 1000000).cast("string")).alias("id"), "score")
+    hits = search.bm25(c, t.queries, 35).select("qid", "id", "score").unionByName(near)
+    parents = docs(t).select(F.col("id").cast("string").alias("parent_id"), "text")
+    return search.parent_retrieval(hits, kids, 8, parents, t.queries, search.overlap_score).select("qid", "parent_id", "score")
 
 
 @query("x2_chunks", "SELECT id, chunk_index, text FROM (SELECT doc_id AS id, CAST(k AS INTEGER) AS chunk_index, substr(text, 1 + k * 462, 512) AS text FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 50) / 462.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0))")
@@ -166,7 +180,11 @@ def r11(t):
 def fused(t):
     fuzzy = search.fuzzy_candidates(mentions(t), graph.alias_names(t.entities.where("type = 'supplier'")), ratio, 85, 5)
     exact = graph.alias_names(t.entities).select(F.col("name").alias("mention"), "id", F.lit(1.0).alias("score")).join(mentions(t), "mention", "left_semi")
-    return search.fuse(exact, fuzzy)
+    # A mention's vector is that of its supplier; the five nearest suppliers of a cosine of 0.85 or more are candidates too.
+    own = t.supplier.select(F.concat(F.lower("s_name"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("x")).otherwise(F.lit(""))).alias("mention"), F.col("s_suppkey").alias("qid"))
+    v = t.vectors.join(t.supplier.select(F.col("s_suppkey").alias("vec_id")), "vec_id", "left_semi")
+    near = search.vector_topk(v.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec")), v.select((F.col("vec_id") + 1000).alias("id"), F.col("embedding").alias("vec")), 5, floor=0.85)
+    return search.fuse(exact, fuzzy, own.join(near, "qid").select("mention", "id", "score"))
 
 
 @query("r12_candidate_fusion")
@@ -181,14 +199,16 @@ def r13(t):
 
 
 @query("r14_fact_check", """
-SELECT n.name, CASE WHEN e.id IS NOT NULL THEN 'name' ELSE 'messages' END AS resolution, coalesce(e.id, -1) AS entity_id, CASE WHEN e.id IS NOT NULL THEN (SELECT count(*) FROM kg_facts f WHERE f.source_entity_id = e.id) ELSE (SELECT count(*) FROM kg_messages m WHERE contains(lower(m.content), lower(n.name))) END AS evidence
+WITH w AS (SELECT ' ' || array_to_string(list_filter(string_split_regex(lower(content), '[^\\p{L}\\p{N}'']+'), lambda x: x <> ''), ' ') || ' ' AS words FROM kg_messages)
+SELECT n.name, CASE WHEN e.id IS NOT NULL THEN 'name' ELSE 'messages' END AS resolution, coalesce(e.id, -1) AS entity_id, CASE WHEN e.id IS NOT NULL THEN (SELECT count(*) FROM kg_facts f WHERE f.source_entity_id = e.id) ELSE (SELECT count(*) FROM w WHERE contains(words, ' ' || array_to_string(list_filter(string_split_regex(lower(n.name), '[^\\p{L}\\p{N}'']+'), lambda x: x <> ''), ' ') || ' ')) END AS evidence
 FROM (SELECT c_name AS name FROM customer UNION ALL SELECT alias FROM kg_term_aliases) n LEFT JOIN kg_entities e ON lower(e.canonical_name) = lower(n.name)""")
 def r14(t):
     names = t.customer.select(F.col("c_name").alias("name")).unionByName(t.term_aliases.select(F.col("alias").alias("name")))
     exact = names.join(t.entities.select(F.lower("canonical_name").alias("k"), F.col("id").alias("entity_id")), F.lower("name") == F.col("k")).select("name", "entity_id")
     by_name = exact.join(t.facts.groupBy(F.col("source_entity_id").alias("entity_id")).agg(F.count(F.lit(1)).alias("n")), "entity_id", "left").select("name", F.lit("name").alias("resolution"), "entity_id", F.coalesce("n", F.lit(0)).alias("evidence"))
     rest = names.join(exact.select("name"), "name", "left_anti")
-    hits = rest.join(t.messages, F.contains(F.lower("content"), F.lower("name")), "left").groupBy("name").agg(F.count("id").alias("evidence"))
+    found = ingest.tag_known(t.messages, rest.select(F.col("name").alias("alias"), F.lit(0).alias("id"))).groupBy(F.col("name").alias("k")).agg(F.count_distinct("msg_id").alias("n"))
+    hits = rest.join(found, F.lower("name") == F.col("k"), "left").select("name", F.coalesce("n", F.lit(0)).alias("evidence"))
     return by_name.unionByName(hits.select("name", F.lit("messages").alias("resolution"), F.lit(-1).cast("long").alias("entity_id"), "evidence"))
 
 
@@ -208,9 +228,9 @@ def r18(t):
     return t.part_of.join(t.entities.select(F.col("id").alias("child_id"), "type"), "child_id")
 
 
-@query("r19_proposals", "SELECT CAST(row_number() OVER (PARTITION BY context ORDER BY last_seen, a_id, b_id) AS INTEGER) AS place, context, a_id, b_id FROM kg_related_to WHERE weight >= 3")
+@query("r19_proposals", "SELECT CAST(row_number() OVER (PARTITION BY context ORDER BY last_seen, a_id, b_id) AS INTEGER) AS place, context, a_id, b_id FROM kg_related_to")
 def r19(t):
-    return stats.top_per_group(t.related_to.where("weight >= 3"), ["context"], ["last_seen", "a_id", "b_id"], 1 << 30, "place").select("place", "context", "a_id", "b_id")
+    return stats.top_per_group(t.related_to, ["context"], ["last_seen", "a_id", "b_id"], 1 << 30, "place").select("place", "context", "a_id", "b_id")
 
 
 @query("d1_merge_pairs")
@@ -253,14 +273,19 @@ def d8(t):
     return fact_ops.duplicate_facts(fact_vecs(t), p, 0.2).withColumn("score", F.round("score", 4))
 
 
-@query("d9_dedupe_facts")
+@query("d9_dedupe_facts", f"""
+WITH RECURSIVE v AS (SELECT source_entity_id AS e, id, vec, created_at, row_number() OVER (PARTITION BY source_entity_id ORDER BY created_at, id) AS k FROM {FV} WHERE invalid_at IS NULL AND vec IS NOT NULL),
+d AS MATERIALIZED (SELECT a.e, b.k, array_agg(a.k) AS bys FROM v a JOIN v b ON a.e = b.e AND a.k < b.k WHERE {COS.format(a='a.vec', b='b.vec')} >= 0.2 GROUP BY a.e, b.k),
+g AS (SELECT DISTINCT e, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS gone FROM v
+ UNION ALL SELECT g.e, g.k + 1, CASE WHEN d.k IS NOT NULL AND len(list_filter(d.bys, lambda x: NOT list_contains(g.gone, x))) > 0 THEN list_append(g.gone, g.k + 1) ELSE g.gone END FROM g JOIN v ON v.e = g.e AND v.k = g.k + 1 LEFT JOIN d ON d.e = g.e AND d.k = g.k + 1)
+SELECT v.id FROM (SELECT e, max_by(gone, k) AS gone FROM g GROUP BY e) x JOIN v ON v.e = x.e AND list_contains(x.gone, v.k)""")
 def d9(t):
     return fact_ops.dedupe_facts(fact_vecs(t), 0.2)
 
 
 @query("d10_apply_fact_updates")
 def d10(t):
-    u = t.facts.where("invalid_at is null and vec_id % 20 = 0").select(F.col("source_entity_id").alias("entity_id"), F.col("vec_id").alias("seq"), F.concat("content", F.lit("0")).alias("content"), F.when(F.col("vec_id") % 40 == 0, F.col("content")).alias("supersedes"), F.lit(None).cast("string").alias("invalidates"))
+    u = t.facts.where("invalid_at is null").select(F.col("source_entity_id").alias("entity_id"), F.col("vec_id").alias("seq"), F.concat("content", F.lit("0")).alias("content"), F.when(F.col("vec_id") % 2 == 0, F.col("content")).alias("supersedes"), F.lit(None).cast("string").alias("invalidates"))
     return fact_ops.apply_fact_updates(t.facts, u)
 
 

@@ -36,7 +36,7 @@ def s12(t):
 
 
 A8 = """WITH old AS (SELECT * FROM kg_related_to WHERE (a_id + b_id) % 2 = 0),
-new AS (SELECT least(a_id, b_id) AS a_id, greatest(a_id, b_id) AS b_id, max(confidence) AS confidence, array_agg(DISTINCT message_id) AS message_ids FROM (SELECT * FROM kg_edge_rows WHERE a_id % 5 = 0 UNION ALL SELECT a_id, b_id, message_id || 'n', 0.99, seen_at, context FROM kg_edge_rows WHERE b_id % 7 = 0) GROUP BY 1, 2)
+new AS (SELECT least(a_id, b_id) AS a_id, greatest(a_id, b_id) AS b_id, max(confidence) AS confidence, array_agg(DISTINCT message_id) AS message_ids FROM (SELECT * FROM kg_edge_rows UNION ALL SELECT a_id, b_id, message_id || 'n', 0.99, seen_at, context FROM kg_edge_rows) GROUP BY 1, 2)
 SELECT coalesce(o.a_id, n.a_id) AS a_id, coalesce(o.b_id, n.b_id) AS b_id, CAST(coalesce(o.weight, 0) + len(list_filter(coalesce(n.message_ids, []), lambda x: NOT list_contains(coalesce(o.message_ids, []), x))) AS BIGINT) AS weight, round(greatest(o.confidence, n.confidence), 6) AS confidence,
  array_to_string(list_sort(list_distinct(list_concat(coalesce(o.message_ids, []), coalesce(n.message_ids, [])))), ',') AS evidence FROM old o FULL JOIN new n ON o.a_id = n.a_id AND o.b_id = n.b_id"""
 
@@ -44,7 +44,7 @@ SELECT coalesce(o.a_id, n.a_id) AS a_id, coalesce(o.b_id, n.b_id) AS b_id, CAST(
 @query("a8_upsert_edges", A8)
 def a8(t):
     old = t.related_to.where("(a_id + b_id) % 2 = 0")
-    rows = t.edge_rows.where("a_id % 5 = 0").unionByName(t.edge_rows.where("b_id % 7 = 0").withColumns({"message_id": F.concat("message_id", F.lit("n")), "confidence": F.lit(0.99)}))
+    rows = t.edge_rows.unionByName(t.edge_rows.withColumns({"message_id": F.concat("message_id", F.lit("n")), "confidence": F.lit(0.99)}))
     return edge_out(upsert.upsert_edges(old, rows))
 
 
@@ -110,9 +110,9 @@ def a20(t):
     return stats.assign_ids(t.pages.select("url", "page_id"), t.entities, ["url", "page_id"]).select("url", "id")
 
 
-@query("u1_array_union", "SELECT context, array_to_string(list_sort(array_agg(DISTINCT x)), ',') AS ids FROM (SELECT context, unnest(message_ids) AS x FROM kg_related_to WHERE weight >= 3) GROUP BY context")
+@query("u1_array_union", "SELECT context, array_to_string(list_sort(array_agg(DISTINCT x)), ',') AS ids FROM (SELECT context, unnest(message_ids) AS x FROM kg_related_to) GROUP BY context")
 def u1(t):
-    return t.related_to.where("weight >= 3").groupBy("context").agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("message_ids")))), ",").alias("ids"))
+    return t.related_to.groupBy("context").agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("message_ids")))), ",").alias("ids"))
 
 
 @query("d5_proposals", f"""
@@ -122,7 +122,11 @@ def d5(t):
     return t.related_to.where("weight = 2").join(gone, "a_id", "left_anti").select("a_id", "b_id", (F.unix_timestamp(now()) + 7 * 86400).alias("expires_at"))
 
 
-@query("d6_disjoint_pairs")
+@query("d6_disjoint_pairs", """
+WITH RECURSIVE p AS MATERIALIZED (SELECT a_id, b_id, row_number() OVER (ORDER BY weight DESC, a_id, b_id) AS k FROM kg_related_to WHERE weight >= 2),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS a_id, CAST(NULL AS BIGINT) AS b_id
+ UNION ALL SELECT q.k, list_concat(used, [q.a_id, q.b_id]), q.a_id, q.b_id FROM g, LATERAL (SELECT * FROM p WHERE p.k > g.k AND NOT list_contains(g.used, p.a_id) AND NOT list_contains(g.used, p.b_id) ORDER BY p.k LIMIT 1) q)
+SELECT a_id AS primary_id, b_id AS secondary_id FROM g WHERE k > 0""")
 def d6(t):
     p = t.related_to.where("weight >= 2").select(F.col("a_id").alias("primary_id"), F.col("b_id").alias("secondary_id"), F.struct(-F.col("weight"), "a_id", "b_id").alias("rank"))
     return upsert.disjoint_pairs(p).select("primary_id", "secondary_id")
@@ -298,9 +302,14 @@ def t4(t):
     return good.agg(F.count(F.lit(1)).alias("n")).select(F.lit("good").alias("stage"), "n").unionByName(dead.groupBy("stage").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("t5_plan_replay", "SELECT id, CASE WHEN regexp_matches(lower(error), 'timeout|timed out|rate limit|connection|503|temporarily') AND attempt < 2 THEN 'retry' ELSE 'park' END AS action, CASE WHEN NOT regexp_matches(lower(error), 'timeout|timed out|rate limit|connection|503|temporarily') THEN 'fatal' WHEN attempt >= 2 THEN 'exhausted' END AS reason FROM kg_dlq")
+TRANSIENT_SQL = " OR ".join(f"contains(lower(error), '{x.lower()}')" for x in streams.TRANSIENT)
+
+
+@query("t5_plan_replay", f"""
+SELECT id, CASE WHEN ok AND attempt < 2 THEN 'retry' ELSE 'park' END AS action, CASE WHEN NOT ok THEN 'fatal' WHEN attempt >= 2 THEN 'exhausted' END AS reason, CASE WHEN ok AND attempt < 2 THEN attempt + 1 END AS next_attempt
+FROM (SELECT *, {TRANSIENT_SQL} AS ok FROM kg_dlq)""")
 def t5(t):
-    return streams.plan_replay(t.dlq).select("id", "action", "reason")
+    return streams.plan_replay(t.dlq).select("id", "action", "reason", "next_attempt")
 
 
 @query("t5_stop_after_failures", """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +12,11 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import msg_hash
 
-TRANSIENT = ("timeout", "timed out", "rate limit", "connection", "503", "temporarily")
+#: Parts of error texts, whatever their case, that make an error one to retry.
+TRANSIENT = (
+    "ConnectionError", "TimeoutError", "socket.timeout", "Connection refused", "ECONNRESET", "Service Unavailable", "Bad Gateway", "Gateway Timeout", "rate limit", "Too Many Requests", "BusyLoadingError",
+    "overloaded", "serialization error", "conflicting transactions", "Cannot get shared access", "Cannot get unique access", "Cannot get read only access", "Storage access timeout", "access timeout", "TransientError",
+)
 
 
 def dedup_stream(messages: DataFrame, ttl: str = "300 seconds") -> DataFrame:
@@ -72,10 +78,12 @@ def route_failures(rows: DataFrame, bad: Column, stage: str) -> tuple[DataFrame,
 
 
 def plan_replay(dlq: DataFrame, most: int = 2) -> DataFrame:
-    """Adds action (retry, or park with a reason): transient errors are retried until the attempts are used up."""
-    transient = F.rlike(F.lower("error"), F.lit("|".join(TRANSIENT)))
+    """Adds action (retry, or park with a reason) and next_attempt: transient errors are retried until the attempts are used up."""
+    error = F.lower(F.coalesce("error", F.lit("")))
+    transient = functools.reduce(operator.or_, [F.contains(error, F.lit(t.lower())) for t in TRANSIENT])
     reason = F.when(F.get_json_object("payload", "$").isNull(), "corrupt").when(~transient, "fatal").when(F.col("attempt") >= most, "exhausted")
-    return dlq.withColumn("reason", reason).withColumn("action", F.when(F.col("reason").isNull(), "retry").otherwise("park"))
+    got = dlq.withColumn("reason", reason).withColumn("action", F.when(F.col("reason").isNull(), "retry").otherwise("park"))
+    return got.withColumn("next_attempt", F.when(F.col("action") == "retry", F.col("attempt") + 1))
 
 
 def stop_after(results: DataFrame, n: int = 5, key: str = "stage") -> DataFrame:

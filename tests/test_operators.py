@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import scalars
 from kgspark.functions.udfs import embed, lcs_length, ratio, ratio_of
-from kgspark.operators import facts, graph, search, topics, upsert
+from kgspark.operators import context, facts, graph, greedy, ingest, search, topics, upsert
 from kgspark.sources import sessions
 from kgspark.sources.store import SnapshotStore
 from kgspark.streaming import streams
@@ -27,6 +27,75 @@ def test_edge_upsert_twice_is_once(spark):
     assert rows(once, "a_id", "b_id", "weight", "confidence") == rows(twice, "a_id", "b_id", "weight", "confidence") == [(1, 2, 2, 0.9)]
 
 
+def test_long_chains(spark):
+    part_of = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 502), (502, 500), (600, 500)], "child_id long, parent_id long")
+    got = {r.id: r.chain for r in graph.ancestry(part_of, spark.createDataFrame([(0,), (150,), (200,), (500,), (600,)], "id long")).collect()}
+    assert got == {0: list(range(201)), 150: list(range(150, 201)), 200: [200], 500: [500, 501, 502], 600: [600, 500, 501, 502]}
+    pairs = [(i, i + 1, i) for i in range(200)]
+    kept = upsert.disjoint_pairs(spark.createDataFrame(pairs, "primary_id long, secondary_id long, rank long"))
+    assert rows(kept, "primary_id", "secondary_id") == [(i, i + 1) for i in range(0, 200, 2)]
+    shown = spark.createDataFrame([(i, i + 1, False) for i in range(199)] + [(i, i, True) for i in range(200)], "hit_id long, id long, is_hit boolean")
+    hits = spark.createDataFrame([(i, i) for i in range(200)], "hit_id long, rank long")
+    assert rows(context.fresh_hits(shown, hits), "hit_id") == [(i,) for i in range(0, 200, 2)]
+
+
+@pytest.mark.parametrize("part", [0, 50_000])
+def test_sequential_rules_equal_the_loop(spark, monkeypatch, part):
+    monkeypatch.setattr(greedy, "PART", part)
+    monkeypatch.setattr(greedy, "ROUNDS", 1)
+    rnd = random.Random(part)
+    rules = sorted({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(90)})
+    gone = set()
+    for item in range(60):
+        if any(by not in gone for by, x in rules if x == item):
+            gone.add(item)
+    df = spark.createDataFrame([(a, b, a, b) for a, b in rules], "by long, id long, by_rank long, id_rank long")
+    assert {r.id for r in greedy.kept_items(df).collect()} == gone
+    assert greedy.kept_items(df.where("false")).count() == 0
+    pairs = [(a, b, rnd.random()) for a, b in rules]
+    used, want = set(), []
+    for a, b, _ in sorted(pairs, key=lambda x: x[2]):
+        if not {a, b} & used:
+            used |= {a, b}
+            want.append((a, b))
+    got = greedy.disjoint(spark.createDataFrame(pairs, "p long, q long, rank double"), "p", "q", "rank")
+    assert rows(got, "p", "q") == sorted(want)
+
+
+def test_aliases_of_any_length_are_found(spark):
+    m = spark.createDataFrame([(1, "I met the Grand Old Duke-of York today"), (2, "york, YORK")], "id long, content string")
+    a = spark.createDataFrame([("grand old duke of york today", 7), ("York", 8), ("duke", 9), ("!", 10)], "alias string, id long")
+    assert rows(ingest.tag_known(m, a), "msg_id", "name", "id") == [(1, "duke", 9), (1, "grand old duke of york today", 7), (1, "york", 8), (2, "york", 8)]
+    assert ingest.tag_known(m, a.where("false")).count() == 0
+
+
+def test_name_candidates_lose_no_pair(spark):
+    rnd = random.Random(2)
+    names = sorted({"".join(rnd.choice("abn") for _ in range(rnd.randrange(1, 9))) for _ in range(150)} | {"jon", "karen", "kaen", "john"})
+    mentions = sorted({"".join(rnd.choice("abn") for _ in range(rnd.randrange(1, 9))) for _ in range(80)} | {"john", "kaen"})
+    got = search.fuzzy_candidates(spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame(list(enumerate(names)), "id long, name string"), ratio, 85, 10_000)
+    want = {(m, i) for m in mentions for i, n in enumerate(names) if ratio_of(m, n) >= 85}
+    assert {(r.mention, r.id) for r in got.collect()} == want and ("john", names.index("jon")) in want
+
+
+def test_turns_of_equal_time_are_not_before(spark):
+    t = spark.createDataFrame([(1, i, ts, u) for i, (ts, u) in enumerate([(1, None), (2, 10), (2, 11), (3, 12)])], "session_id long, turn_id long, ts long, user_msg_id long")
+    got = context.turns_before(t, spark.createDataFrame([(1, 11), (1, 12), (1, 99)], "session_id long, msg_id long"), 2)
+    assert rows(got, "msg_id", "turn_id", "rn") == [(11, 0, 1), (12, 1, 2), (12, 2, 1)]
+
+
+def test_hidden_paths_are_locked(spark):
+    e = spark.createDataFrame([(1, "a", "x"), (2, "b", "off"), (3, "c", None), (4, "d", "x"), (5, "e", "off")], "id long, canonical_name string, topic string")
+    edges = spark.createDataFrame([(1, 2, ["m1"]), (2, 3, ["m2"]), (1, 4, ["m3"]), (3, 4, ["m4"]), (4, 5, ["m5"])], "a_id long, b_id long, message_ids array<string>")
+    edges = edges.unionByName(spark.createDataFrame([(1, 5, ["m6"]), (5, 3, ["m7"])], edges.schema))
+    got = graph.topic_paths(edges.where("a_id <> 3"), e, spark.createDataFrame([(1, 3), (1, 4)], "a_id long, b_id long"), ["x", "General"])
+    assert rows(got, "a_id", "b_id", "path", "shortcut", "hidden") == [(1, 3, [1, 2, 3], True, True), (1, 4, [1, 4], False, False)]
+    steps = graph.redacted(graph.path_steps(got, e, edges), ["x", "General"])
+    assert rows(steps.fillna({"locked_reason": "-"}), "a_id", "b_id", "step", "locked", "locked_reason") == [(1, 3, 0, True, "Inactive topic(s): off"), (1, 3, 1, True, "Inactive topic(s): off"), (1, 4, 0, False, "-")]
+    around = graph.topic_paths(edges, e, spark.createDataFrame([(1, 3)], "a_id long, b_id long"), ["x", "General"])
+    assert rows(around, "path", "shortcut", "hidden") == [([1, 4, 3], True, False)]
+
+
 def test_ancestry_survives_a_cycle(spark):
     part_of = spark.createDataFrame([(1, 2), (2, 3), (3, 2)], "child_id long, parent_id long")
     got = graph.ancestry(part_of, spark.createDataFrame([(1,), (9,)], "id long"))
