@@ -10,8 +10,8 @@ language of fewer those of all documents.  No fixed cutoff decides anything
 but the base rule.
 
 Copies of a text within a group count once in the sketches, and the distance of
-a group's quartiles counts as half of that over all documents at least, so that
-a group full of near copies does not reject everything else.
+a group's quartiles counts as half of the median one of all groups at least, so
+that a group full of near copies does not reject everything else.
 
 Defined cases: null or blank text has zero words and fails the base rule;
 null lang or source form a group of their own (null-safe join); repeated rows
@@ -139,9 +139,11 @@ def limits(sketch: DataFrame, fence: int = FENCE, min_group: int = MIN_GROUP) ->
     lang, every = level("lang", "lang"), level("every")
     both = own.join(lang, own["own_lang"].eqNullSafe(lang["lang_lang"]) & (F.col("own_m") == F.col("lang_m"))).join(every, F.col("own_m") == F.col("every_m"))
     used = F.when(F.col("own.n") >= min_group, F.col("own")).when(F.col("lang.n") >= min_group, F.col("lang")).otherwise(F.col("every"))
-    wide = F.greatest(used["q3"] - used["q1"], F.ceil((F.col("every.q3") - F.col("every.q1")) / 2))
-    bound = F.struct((used["q1"] - fence * wide).alias("low"), (used["q3"] + fence * wide).alias("high"))
-    each = both.select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), F.col("own_m").alias("measure"), bound.alias("b"))
+    chosen = materialize(both.select(F.col("own_lang").alias("lang"), F.col("own_source").alias("source"), F.col("own_m").alias("measure"), used["q1"].alias("q1"), used["q3"].alias("q3")))
+    typical = chosen.groupBy("measure").agg(F.percentile_approx(F.col("q3") - F.col("q1"), 0.5, 100_000).alias("typical"))
+    wide = F.greatest(F.col("q3") - F.col("q1"), F.ceil(F.col("typical") / 2))
+    bound = F.struct((F.col("q1") - fence * wide).alias("low"), (F.col("q3") + fence * wide).alias("high"))
+    each = chosen.join(typical, "measure").select("lang", "source", "measure", bound.alias("b"))
     return materialize(each.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == k, F.col("b"))).alias(f"lim_{k}") for k in RATIOS]))
 
 
@@ -212,9 +214,10 @@ own AS ({_level("lang", "source")}),
 lang_ AS ({_level("lang")}),
 every AS ({_level()}),
 used AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.n >= {MIN_GROUP} THEN own.q1 WHEN l.n >= {MIN_GROUP} THEN l.q1 ELSE v.q1 END AS q1,
- CASE WHEN own.n >= {MIN_GROUP} THEN own.q3 WHEN l.n >= {MIN_GROUP} THEN l.q3 ELSE v.q3 END AS q3, CAST(ceil((v.q3 - v.q1) / 2.0) AS BIGINT) AS half
+ CASE WHEN own.n >= {MIN_GROUP} THEN own.q3 WHEN l.n >= {MIN_GROUP} THEN l.q3 ELSE v.q3 END AS q3
  FROM own JOIN lang_ l ON own.lang IS NOT DISTINCT FROM l.lang AND own.measure = l.measure JOIN every v ON own.measure = v.measure),
-l AS (SELECT lang, source, measure, q1 - {FENCE} * greatest(q3 - q1, half) AS low, q3 + {FENCE} * greatest(q3 - q1, half) AS high FROM used),
+half AS (SELECT measure, CAST(ceil(min(x) / 2.0) AS BIGINT) AS half FROM (SELECT measure, q3 - q1 AS x, row_number() OVER (PARTITION BY measure ORDER BY q3 - q1) AS k, count(*) OVER (PARTITION BY measure) AS n FROM used) WHERE k >= n * 0.5 GROUP BY measure),
+l AS (SELECT lang, source, measure, q1 - {FENCE} * greatest(q3 - q1, half) AS low, q3 + {FENCE} * greatest(q3 - q1, half) AS high FROM used JOIN half USING (measure)),
 bad AS (SELECT DISTINCT e.r FROM e JOIN l ON e.lang IS NOT DISTINCT FROM l.lang AND e.source IS NOT DISTINCT FROM l.source AND e.measure = l.measure WHERE {_OUT})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_distinct, base_failed, NOT base_failed AND bad.r IS NULL AS kept FROM m LEFT JOIN bad USING (r)
 """
