@@ -143,9 +143,11 @@ def passages(text: Column) -> Column:
 def labelled_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """url, blocked: of a page's passages in labelled documents, do more lie in low or toxic ones than in others?"""
     bad = labels.groupBy("doc_id").agg(F.max(((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).cast("long")).alias("bad"))
-    known = docs.select("doc_id", "text").join(bad, "doc_id").select(F.explode(passages(F.col("text"))).alias("h"), "bad").groupBy("h").agg(F.avg("bad").alias("bad"))
+    # Hashes, not texts, meet the labels; both grow with the documents, so the join shuffles at every size.
+    held = docs.select("doc_id", passages(F.col("text")).alias("hs")).where(F.size("hs") > 0)
+    known = held.join(bad.hint("merge"), "doc_id").select(F.explode("hs").alias("h"), "bad").groupBy("h").agg(F.avg("bad").alias("bad"))
     read = pages.where("url is not null").select("page_id", "url", F.explode(passages(F.col("html"))).alias("h"))
-    return read.join(known, "h").groupBy("page_id", "url").agg((F.avg("bad") > 0.5).alias("blocked")).select("url", "blocked")
+    return read.join(known.hint("merge"), "h").groupBy("page_id", "url").agg((F.avg("bad") > 0.5).alias("blocked")).select("url", "blocked")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
