@@ -65,13 +65,12 @@ def fold(events: DataFrame) -> DataFrame:
     # A null turn is under the resets of null turns alone: it sorts first and its block holds nothing but null turns.
     reset = F.greatest("within", "edited", F.when(F.col("turn").isNotNull(), F.col("before")))
     live = known.where(reset.isNull() | (F.col("seq") >= reset)).select("conv_id", "block", "turn", "seq", "kind", "role", "text")
-    whole = live.where("kind = 'message'").select("conv_id", "turn", "seq", "role", "text")
-    parts = F.sort_array(F.collect_list(F.struct("seq", "role", "text")))
-    streamed = (
-        live.where(F.col("kind").isin("delta", "edit")).groupBy("conv_id", "block", "turn").agg(parts.alias("p"))
-        .select("conv_id", "turn", F.col("p")[0]["seq"].alias("seq"), F.expr("filter(p.role, r -> r is not null)[0]").alias("role"), F.array_join("p.text", "").alias("text"))
-    )
-    return whole.unionByName(streamed)
+    item = F.struct("seq", "role", "text")
+    of = lambda *kinds: F.collect_list(F.when(F.col("kind").isin(*kinds), item))
+    turns = live.groupBy("conv_id", "block", "turn").agg(of("message").alias("whole"), F.sort_array(of("delta", "edit")).alias("p"))
+    streamed = F.struct(F.col("p")[0]["seq"].alias("seq"), F.expr("filter(p.role, r -> r is not null)[0]").alias("role"), F.array_join("p.text", "").alias("text"))
+    each = F.concat("whole", F.when(F.size("p") > 0, F.array(streamed)).otherwise(F.array().cast("array<struct<seq:bigint,role:string,text:string>>")))
+    return turns.select("conv_id", "turn", F.explode(each).alias("x")).select("conv_id", "turn", "x.seq", "x.role", "x.text")
 
 
 def render(messages: DataFrame) -> DataFrame:
