@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.operators.scan import uncovered, valid_mention
+from kgspark.operators.recovery import saved
+from kgspark.operators.scan import uncovered, valid_mentions
+from kgspark.operators.stats import assign_ids
+from kgspark.operators.upsert import upsert_edges
 
 
 def word_list(text) -> Column:
@@ -27,9 +30,13 @@ def tag_known(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     return got.join(known.select(F.array_join("words", " ").alias("run"), "name", "id"), "run").select("msg_id", "name", "id").distinct()
 
 
-def filter_spans(spans: DataFrame, least: float = 0.5) -> DataFrame:
-    """spans (msg_id, name, label, score) that are valid mentions, sure enough and start with a capital or have a digit."""
-    return spans.where(valid_mention(F.col("name")) & (F.col("score") >= least) & F.rlike("name", F.lit(r"^\p{Lu}|[0-9]")))
+def filter_spans(spans: DataFrame, least: float = 0.5, generic: DataFrame | None = None) -> DataFrame:
+    """spans (msg_id, name, label, score) that are sure enough, start with a capital or have a digit, and are valid mentions.
+
+    generic: phrase, generic (see generic_phrases); generic names count only under a specific label.
+    """
+    sure = spans.where((F.col("score") >= least) & F.rlike("name", F.lit(r"^\p{Lu}|[0-9]")))
+    return valid_mentions(sure, generic=generic)
 
 
 def merge_mentions(known: DataFrame, tagged: DataFrame, found: DataFrame, sure: float = 0.8) -> DataFrame:
@@ -48,11 +55,18 @@ def resolve_pairs(pairs: DataFrame, names: DataFrame) -> DataFrame:
     return got.join(at("name_a", "a_id"), "_name_a", "left").join(at("name_b", "b_id"), "_name_b", "left").drop("_name_a", "_name_b")
 
 
-def resolve_mentions(mentions: DataFrame, candidates: DataFrame, least: float = 0.85) -> DataFrame:
-    """mentions (msg_id, name), candidates (mention, id, score) -> name, id (null: new), n_messages per lower-cased name."""
+def resolve_mentions(mentions: DataFrame, candidates: DataFrame, names: DataFrame, least: float = 0.85) -> DataFrame:
+    """mentions (msg_id, name), candidates (mention, id, score), names (id, name: known ones) -> one row per lower-cased name.
+
+    mention, id (the best candidate's, else a new one after the largest), is_new, new_alias (the entity did not have the name), msg_ids.
+    """
     best = candidates.where(F.col("score") >= least).groupBy("mention").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id"))
-    each = mentions.select("msg_id", F.lower("name").alias("mention")).groupBy("mention").agg(F.count_distinct("msg_id").alias("n_messages"))
-    return each.join(best, "mention", "left")
+    each = mentions.select("msg_id", F.lower("name").alias("mention")).groupBy("mention").agg(F.sort_array(F.collect_set("msg_id")).alias("msg_ids"))
+    found = saved(each.join(best, "mention", "left"))
+    had = names.select("id", F.lower("name").alias("mention")).distinct().withColumn("_had", F.lit(True))
+    old = found.where("id is not null").join(had, ["id", "mention"], "left").select("mention", "id", F.lit(False).alias("is_new"), F.col("_had").isNull().alias("new_alias"), "msg_ids")
+    new = assign_ids(found.where("id is null").drop("id"), names, ["mention"]).select("mention", "id", F.lit(True).alias("is_new"), F.lit(False).alias("new_alias"), "msg_ids")
+    return old.unionByName(new)
 
 
 def find_or_create(names: DataFrame, exact: DataFrame, vector: DataFrame, least: float = 0.88) -> DataFrame:
@@ -100,6 +114,27 @@ def bootstrap_entities(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy(F.lower("name").alias("key")).agg(F.min_by("name", "msg_id").alias("canonical_name"), F.min_by("type", "msg_id").alias("type"), F.count_distinct("msg_id").alias("n_messages"))
 
 
+def bootstrap(mentions: DataFrame, pairs: DataFrame, facts: DataFrame, entities: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+    """A bulk load beside what is stored: entities (id, key, canonical_name, type, n_messages), edges, facts (entity_id, content).
+
+    mentions: msg_id, name, type; pairs: name_a, name_b, message_id, confidence, seen_at, context; facts: name, content.
+    Names already stored keep their ids; pairs and facts whose name nobody has are dropped.
+    """
+    known = entities.groupBy(F.lower("canonical_name").alias("key")).agg(F.min("id").alias("id"))
+    each = saved(bootstrap_entities(mentions).join(known, "key", "left"))
+    new = assign_ids(each.where("id is null").drop("id"), entities, ["key"])
+    loaded = saved(each.where("id is not null").unionByName(new.select(*each.columns)))
+    at = lambda c: loaded.select(F.col("key").alias(f"_{c}"), F.col("id").alias(f"{c}_id"))
+    rows = pairs.withColumn("_a", F.lower("name_a")).withColumn("_b", F.lower("name_b")).join(at("a"), "_a").join(at("b"), "_b")
+    told = facts.join(loaded.select(F.col("key").alias("_k"), F.col("id").alias("entity_id")), F.lower("name") == F.col("_k")).select("entity_id", "content")
+    return {"entities": loaded, "edges": upsert_edges(edges, rows.select("a_id", "b_id", "message_id", "confidence", "seen_at", "context")), "facts": told.distinct()}
+
+
+def forget_notes(notes: DataFrame, ids: DataFrame) -> DataFrame:
+    """Notes of these ids go, whatever their topic."""
+    return notes.join(ids.select("id"), "id", "left_anti").select(*notes.columns)
+
+
 def note_verdicts(notes: DataFrame, topics: DataFrame, existing: DataFrame, longest: int = 200, cap: int = 10) -> DataFrame:
     """notes (id, topic, content, created_at) with reason: null where accepted."""
     have = existing.groupBy("topic").agg(F.count(F.lit(1)).alias("have"))

@@ -52,6 +52,35 @@ def valid_mention(name: Column) -> Column:
     return F.length(name).between(2, 100) & ~low.isin(*STOP_WORDS, *PRONOUNS) & F.rlike(name, F.lit(r"\p{L}"))
 
 
+def valid_mentions(mentions: DataFrame, generic: DataFrame | None = None, topics: DataFrame | None = None) -> DataFrame:
+    """mentions (name, label, and topic if topics are given) that may become entities.
+
+    generic: phrase, generic; a generic phrase needs a label other than none or general.  topics: key (lower-cased names and
+    aliases of active topics); a topic other than General must be one of them.
+    """
+    got = mentions.where(valid_mention(F.col("name")))
+    if generic is not None:
+        dull = generic.where("generic").select(F.lower("phrase").alias("_g")).distinct()
+        vague = F.lower(F.coalesce("label", F.lit(""))).isin("", "general")
+        got = got.join(dull, vague & (F.lower("name") == F.col("_g")), "left_anti")
+    if topics is not None:
+        keys = topics.select(F.col("key").alias("_k")).distinct().withColumn("_known", F.lit(True))
+        free = F.coalesce("topic", F.lit("")).isin("", "General")
+        got = got.join(keys, F.lower("topic") == F.col("_k"), "left").where(free | F.col("_known")).drop("_k", "_known")
+    return got
+
+
+def refinement_plan(dirty: DataFrame, mentions: DataFrame, failed: DataFrame, now: Column, targeted: bool = False, again_s: int = 60) -> DataFrame:
+    """dirty (id, checkpoint, refined_at) -> id, status: clear without new turns, keep dirty after a failed invalidation, else checkpoint.
+
+    In targeted mode entities refined less than again_s seconds ago are skipped.
+    """
+    n = new_turns(dirty, mentions).groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("k"))
+    got = dirty.join(n, "id", "left").join(failed.select("id").distinct().withColumn("_failed", F.lit(True)), "id", "left")
+    recent = F.coalesce(F.unix_timestamp(now) - F.unix_timestamp("refined_at") < again_s, F.lit(False)) & F.lit(targeted)
+    return got.select("id", F.when(recent, "skip").when(F.col("k").isNull(), "clear").when(F.col("_failed"), "keep dirty").otherwise("checkpoint").alias("status"))
+
+
 def word_frequencies(texts: DataFrame, col: str = "text") -> DataFrame:
     """word, freq: share of all words of the corpus."""
     words = texts.select(F.explode(F.split(F.lower(col), r"\s+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kgspark.operators.graph import active, undirected
+from kgspark.operators.graph import active, fact_lists, undirected
 from kgspark.operators.recovery import saved
 
 
@@ -76,3 +76,21 @@ def assign_ids(new: DataFrame, existing: DataFrame, order: list[str], parts: int
     before = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("n"), F.min("_i").alias("i0")).withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     got = ranged.join(F.broadcast(before.select("_p", "before", "i0")), "_p").crossJoin(F.broadcast(top))
     return got.withColumn("id", F.col("top") + 1 + F.col("before") + F.col("_i") - F.col("i0")).drop("_p", "_i", "before", "i0", "top")
+
+
+def hot_context(entities: DataFrame, facts: DataFrame, edges: DataFrame, hot: DataFrame, msg_limit: int = 10, slim: bool = False, n: int = 3) -> DataFrame:
+    """hot (topic) -> its n most recent entities: rn, id, canonical_name, told (active facts newest first, or aliases if slim), evidence.
+
+    evidence: the first msg_limit message ids of the entity's heaviest edges, 5 of them or 20 if slim.
+    """
+    top = saved(top_per_group(entities.join(hot.select("topic"), "topic", "left_semi"), ["topic"], [F.col("last_mentioned").desc_nulls_last(), "id"], n))
+    near = undirected(edges).join(top.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", "weight", "message_ids")
+    strong = top_per_group(near, ["src"], [F.desc("weight"), "dst"], 20 if slim else 5, "k")
+    ids = F.flatten(F.sort_array(F.collect_list(F.struct("k", "message_ids")))["message_ids"])
+    proof = strong.groupBy(F.col("src").alias("id")).agg(F.slice(ids, 1, msg_limit).alias("evidence"))
+    if slim:
+        told = top.select("id", F.array_compact(F.array("alias1")).alias("told"))
+    else:
+        mine = facts.join(top.select(F.col("id").alias("source_entity_id")), "source_entity_id", "left_semi")
+        told = fact_lists(mine).select(F.col("entity_id").alias("id"), F.col("facts").alias("told"))
+    return top.join(told, "id", "left").join(proof, "id", "left").select("topic", "rn", "id", "canonical_name", "told", "evidence")

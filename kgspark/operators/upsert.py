@@ -125,18 +125,55 @@ def delete_edges(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return edges.join(keys, ["a_id", "b_id"], "left_anti").select(*edges.columns)
 
 
-def snapshot(pair_ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """owner, other and weight of each side's edges before a merge."""
-    return undirected(edges).join(pair_ids.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("src").alias("owner"), F.col("dst").alias("other"), "weight")
+def store_proposals(pairs: DataFrame, merged: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """a_id, b_id, expires_at of the pairs to review: none that holds an id which was merged away (id)."""
+    free = pairs.join(merged.select(F.col("id").alias("a_id")), "a_id", "left_anti").join(merged.select(F.col("id").alias("b_id")), "b_id", "left_anti")
+    return free.select("a_id", "b_id", (F.unix_timestamp(now) + days * 86400).alias("expires_at"))
 
 
-def undo_merge(merged: DataFrame, before: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges after undoing: those that touch a merged id give way to the edges of the snapshot."""
+def close_proposals(proposals: DataFrame, done: DataFrame) -> DataFrame:
+    """Approved or rejected pairs (a_id, b_id) leave the queue."""
+    return proposals.join(done.select("a_id", "b_id"), ["a_id", "b_id"], "left_anti").select(*proposals.columns)
+
+
+def snapshot(pairs: DataFrame, entities: DataFrame, facts: DataFrame, edges: DataFrame, part_of: DataFrame) -> dict[str, DataFrame]:
+    """What a merge of these pairs (primary_id, secondary_id) changes, as it was before: the secondaries' rows and facts, both sides' edges and places."""
+    gone = pairs.select(F.col("secondary_id").alias("id"))
+    both = pairs.select(F.explode(F.array("primary_id", "secondary_id")).alias("id")).distinct()
+    touch = lambda df, ids, *cols: df.join(ids.withColumnRenamed("id", cols[0]), cols[0], "left_semi") if len(cols) == 1 else touch(df, ids, cols[0]).unionByName(touch(df, ids, cols[1])).distinct()
+    return {"entities": touch(entities, gone, "id"), "facts": touch(facts, gone, "source_entity_id").select("id", "source_entity_id"), "edges": touch(edges, both, "a_id", "b_id"), "part_of": touch(part_of, both, "child_id", "parent_id")}
+
+
+def undo_merge(now: dict[str, DataFrame], before: dict[str, DataFrame], pairs: DataFrame) -> dict[str, DataFrame]:
+    """pairs: primary_id, secondary_id, new_id. The merged tables with the secondaries back under their new ids.
+
+    Edges and places in the hierarchy that touch a merged entity give way to those of the snapshot, so the primary loses what
+    it did not have before; facts go back as well.
+    """
+    new = pairs.select(F.col("secondary_id").alias("_old"), F.col("new_id").alias("_new"))
+
+    def renamed(df: DataFrame, *cols: str) -> DataFrame:
+        for c in cols:
+            df = df.join(new, df[c] == new["_old"], "left").withColumn(c, F.coalesce("_new", c)).drop("_old", "_new")
+        return df
+
     ids = pairs.select(F.explode(F.array("primary_id", "secondary_id")).alias("id")).distinct()
     off = lambda df, c: df.join(ids.withColumnRenamed("id", c), c, "left_anti")
-    untouched = off(off(merged, "a_id"), "b_id").select("a_id", "b_id", "weight")
-    restored = before.select(F.least("owner", "other").alias("a_id"), F.greatest("owner", "other").alias("b_id"), "weight").distinct()
-    return untouched.unionByName(restored)
+    edges = off(off(now["edges"], "a_id"), "b_id").select(*now["edges"].columns).unionByName(renamed(before["edges"], "a_id", "b_id").select(*now["edges"].columns))
+    back = renamed(before["facts"], "source_entity_id").select("id", F.col("source_entity_id").alias("_owner"))
+    facts = now["facts"].join(back, "id", "left").withColumn("source_entity_id", F.coalesce("_owner", "source_entity_id")).select(*now["facts"].columns)
+    places = off(off(now["part_of"], "child_id"), "parent_id").select("child_id", "parent_id").unionByName(renamed(before["part_of"], "child_id", "parent_id").select("child_id", "parent_id"))
+    return {"entities": now["entities"].unionByName(renamed(before["entities"], "id").select(*now["entities"].columns)), "facts": facts, "edges": edges, "part_of": places.distinct()}
+
+
+def finalize_merges(entities: DataFrame, facts: DataFrame, names: DataFrame, dirty: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """names (id, name: suggested ones of primaries) -> (id, canonical_name, text to embed of the renamed, dirty ids with the primaries)."""
+    renamed = update_columns(entities, names.select("id", F.col("name").alias("canonical_name")), "id").join(names.select("id"), "id", "left_semi")
+    lines = F.sort_array(F.collect_list(F.struct("created_at", "id", "content")))["content"]
+    mine = facts.where("invalid_at is null").join(names.select(F.col("id").alias("source_entity_id")), "source_entity_id", "left_semi")
+    told = mine.groupBy(F.col("source_entity_id").alias("_id")).agg(F.array_join(lines, " ").alias("_t"))
+    text = renamed.join(told, F.col("id") == F.col("_id"), "left").select("id", "canonical_name", F.concat_ws(". ", "canonical_name", "_t").alias("text"))
+    return text, dirty.select("id").unionByName(names.select("id")).distinct()
 
 
 def retain(facts: DataFrame, now: Column, days: int) -> DataFrame:

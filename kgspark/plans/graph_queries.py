@@ -236,14 +236,17 @@ def w6(t):
 
 
 @query("a11_hot_context", """
-WITH h AS (SELECT id, topic, canonical_name, row_number() OVER (PARTITION BY topic ORDER BY last_mentioned DESC, id) AS rn FROM kg_entities WHERE topic IN (SELECT name FROM kg_topics WHERE hot AND active))
-SELECT topic, id, canonical_name, (SELECT count(*) FROM kg_facts f WHERE f.source_entity_id = h.id AND invalid_at IS NULL) AS n_facts FROM h WHERE rn <= 3""")
+WITH h AS (SELECT id, topic, canonical_name, alias1, row_number() OVER (PARTITION BY topic ORDER BY last_mentioned DESC, id) AS rn FROM kg_entities WHERE topic IN (SELECT name FROM kg_topics WHERE hot AND active)), u AS (SELECT a_id AS src, b_id AS dst, weight, message_ids FROM kg_related_to UNION ALL SELECT b_id, a_id, weight, message_ids FROM kg_related_to),
+k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst) AS k FROM u WHERE src IN (SELECT id FROM h WHERE rn <= 3)),
+f AS (SELECT src AS id, array_to_string(flatten(array_agg(message_ids ORDER BY k))[1:10], ',') AS ev FROM k WHERE k <= 5 GROUP BY src), s AS (SELECT src AS id, array_to_string(flatten(array_agg(message_ids ORDER BY k))[1:10], ',') AS ev FROM k WHERE k <= 20 GROUP BY src),
+a AS (SELECT source_entity_id AS id, string_agg(content, ';' ORDER BY created_at DESC, fid DESC) AS told FROM (SELECT *, id AS fid FROM kg_facts WHERE invalid_at IS NULL) GROUP BY 1)
+SELECT 'full' AS form, topic, rn, id, canonical_name, told, ev AS evidence FROM h LEFT JOIN a USING (id) LEFT JOIN f USING (id) WHERE rn <= 3 UNION ALL SELECT 'slim', topic, rn, id, canonical_name, alias1, ev FROM h LEFT JOIN s USING (id) WHERE rn <= 3""")
 def a11(t):
     from kgspark.operators import stats, topics
 
     hot = topics.hot_topics(t.topics).select(F.col("name").alias("topic"))
-    top = stats.top_per_group(t.entities.join(hot, "topic", "left_semi"), ["topic"], [F.desc("last_mentioned"), "id"], 3)
-    return top.join(graph.fact_lists(t.facts).withColumnRenamed("entity_id", "id"), "id", "left").select("topic", "id", "canonical_name", F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+    form = lambda slim: stats.hot_context(t.entities, t.facts, t.related_to, hot, slim=slim).select(F.lit("slim" if slim else "full").alias("form"), "topic", "rn", "id", "canonical_name", F.array_join("told", ";").alias("told"), F.array_join("evidence", ",").alias("evidence"))
+    return form(False).unionByName(form(True))
 
 
 @query("u2_shared_neighbors", f"""

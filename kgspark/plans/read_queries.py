@@ -141,11 +141,15 @@ def p4(t):
 
 
 @query("p5_valid_mentions", """
-SELECT DISTINCT w AS name FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM conversations) WHERE length(w) BETWEEN 2 AND 100 AND regexp_matches(w, '\\p{L}')
- AND lower(w) NOT IN ('the','a','an','and','or','of','to','in','on','at','by','for','with','from','is','was','be','it','as','that','this','i','me','my','you','your','he','him','his','she','her','we','us','our','they','them','their','its')""")
+WITH m AS (SELECT DISTINCT w AS name, CASE WHEN length(w) % 3 = 0 THEN 'general' ELSE 'person' END AS label, CASE length(w) % 4 WHEN 0 THEN 'General' WHEN 1 THEN 'cars' WHEN 2 THEN 'EUROPE' END AS topic FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM conversations)),
+k AS (SELECT lower(name) AS key FROM kg_topics WHERE active UNION SELECT trim(lower(unnest(string_split(aliases, ',')))) FROM kg_topics WHERE active)
+SELECT name, label, topic FROM m WHERE length(name) BETWEEN 2 AND 100 AND regexp_matches(name, '\\p{L}') AND NOT (label = 'general' AND length(name) = 6) AND (topic IS NULL OR topic = 'General' OR lower(topic) IN (SELECT key FROM k))
+ AND lower(name) NOT IN ('the','a','an','and','or','of','to','in','on','at','by','for','with','from','is','was','be','it','as','that','this','i','me','my','you','your','he','him','his','she','her','we','us','our','they','them','their','its')""")
 def p5(t):
-    words = t.conversations.select(F.explode(F.split("text", r"\s+")).alias("name")).distinct()
-    return words.where(scan.valid_mention(F.col("name")))
+    """Names of six letters count as generic; labels and topics follow from the length."""
+    n = F.length("name")
+    words = t.conversations.select(F.explode(F.split("text", r"\s+")).alias("name")).distinct().withColumn("label", F.when(n % 3 == 0, "general").otherwise("person")).withColumn("topic", F.when(n % 4 == 0, "General").when(n % 4 == 1, "cars").when(n % 4 == 2, "EUROPE"))
+    return scan.valid_mentions(words, words.select(F.col("name").alias("phrase"), (n == 6).alias("generic")), topics.alias_table(t.topics)).select("name", "label", "topic")
 
 
 @query("p6_generic_phrases", """

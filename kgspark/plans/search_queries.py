@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions import scalars
 from kgspark.functions.udfs import hashed_embedding, ratio
 from kgspark.operators import facts as fact_ops
-from kgspark.operators import graph, ingest, search, stats
+from kgspark.operators import discussions, graph, ingest, search, stats
 from kgspark.plans.read_queries import ACTIVE, ACTIVE_SQL
 from kgspark.plans.registry import query
 
@@ -137,9 +138,10 @@ def r10(t):
     return search.parent_retrieval(hits, kids, 8, parents, t.queries, search.overlap_score).select("qid", "parent_id", "score")
 
 
-@query("x2_chunks", "SELECT id, chunk_index, text FROM (SELECT doc_id AS id, CAST(k AS INTEGER) AS chunk_index, substr(text, 1 + k * 462, 512) AS text FROM (SELECT doc_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 50) / 462.0) AS BIGINT)))) AS k FROM documents WHERE length(text) > 0))")
+@query("x2_chunks", f"""
+SELECT id AS parent_id, id || '_child_' || j AS id, CAST(j AS INTEGER) AS chunk_index, substr(text, 1 + j * 462, 512) AS text FROM (SELECT id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 50) / 462.0) AS BIGINT)))) AS j FROM ({CH}))""")
 def x2(t):
-    return ingest.chunk(docs(t), 512, 50).select("id", "chunk_index", "text")
+    return ingest.parent_child_chunks(docs(t))
 
 
 @query("x1_hashed_embedding", "SELECT id, array_to_string(list_transform(range(16), lambda i: CAST(len(list_filter(list_transform(list_filter(string_split(lower(content), ' '), lambda w: w <> ''), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16), lambda s: s = i)) AS VARCHAR)), ',') AS vec FROM kg_messages")
@@ -218,14 +220,26 @@ def r16(t):
     return stats.top_per_group(some, ["user_id", "kind"], [F.desc("ts"), "event_id"], 3).select("user_id", "event_id", "kind")
 
 
-@query("r17_transcripts", "SELECT session_id, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS INTEGER) AS place, id FROM kg_messages")
+@query("r17_transcripts", """
+SELECT 'said' AS kind, session_id AS key, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts, id) AS INTEGER) AS place, CAST(id AS VARCHAR) AS id FROM kg_messages
+UNION ALL SELECT 'discussion', session_id, CAST(row_number() OVER (ORDER BY min(ts) DESC, session_id) AS INTEGER), CAST(count(*) AS VARCHAR) FROM kg_messages GROUP BY session_id
+UNION ALL SELECT 'insight', CAST(0 AS BIGINT), CAST(0 AS INTEGER), id FROM (SELECT id FROM kg_facts WHERE source = 'llm' ORDER BY created_at DESC, id LIMIT 20)""")
 def r17(t):
-    return stats.top_per_group(t.messages, ["session_id"], ["ts", "id"], 1 << 30, "place").select("session_id", "place", "id")
-
-
-@query("r18_spawn_tree", "SELECT child_id, parent_id, type FROM kg_part_of JOIN kg_entities ON id = child_id")
+    """Transcripts in time order, all discussions newest first, and the newest insights."""
+    said = t.messages.select("id", F.col("session_id").alias("discussion_id"), "ts", "content")
+    all_ = discussions.listing(said.groupBy(F.col("discussion_id").alias("id")).agg(F.min("ts").alias("opened_at")), said)
+    newest = all_.withColumn("place", F.row_number().over(W.orderBy(F.desc("opened_at"), "id")))
+    out = discussions.transcript(said).select(F.lit("said").alias("kind"), F.col("discussion_id").alias("key"), "place", F.col("id").cast("string").alias("id"))
+    out = out.unionByName(newest.select(F.lit("discussion").alias("kind"), F.col("id").alias("key"), "place", F.col("n_messages").cast("string").alias("id")))
+    return out.unionByName(discussions.insights(t.facts, 20).select(F.lit("insight").alias("kind"), F.lit(0).cast("long").alias("key"), F.lit(0).alias("place"), "id"))
+
+
+@query("r18_spawn_tree", """
+WITH RECURSIVE p AS (SELECT child_id, min(parent_id) AS parent_id FROM kg_part_of GROUP BY child_id), c AS (SELECT child_id, parent_id AS at, 1 AS depth FROM p UNION ALL SELECT c.child_id, p.parent_id, depth + 1 FROM c JOIN p ON p.child_id = c.at)
+SELECT child_id, parent_id, type AS detail, CAST(max(depth) AS INTEGER) AS depth FROM p JOIN kg_entities ON id = child_id JOIN c USING (child_id) GROUP BY ALL""")
 def r18(t):
-    return t.part_of.join(t.entities.select(F.col("id").alias("child_id"), "type"), "child_id")
+    spawns = t.part_of.join(t.entities.select(F.col("id").alias("child_id"), F.col("type").alias("detail"), F.col("last_mentioned").alias("ts")), "child_id").select("parent_id", "child_id", "detail", "ts")
+    return discussions.spawn_tree(discussions.record_spawns(spawns.where("child_id % 2 = 0"), spawns)).select("child_id", "parent_id", "detail", "depth")
 
 
 @query("r19_proposals", "SELECT CAST(row_number() OVER (PARTITION BY context ORDER BY last_seen, a_id, b_id) AS INTEGER) AS place, context, a_id, b_id FROM kg_related_to")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark.operators import facts as fact_ops
-from kgspark.operators import graph, ingest, scan, search, stats, upsert
+from kgspark.operators import discussions, graph, ingest, scan, search, stats, upsert
 from kgspark.plans.fixtures import NOW
 from kgspark.plans.read_queries import now
 from kgspark.plans.registry import query
@@ -116,10 +116,10 @@ def u1(t):
 
 
 @query("d5_proposals", f"""
-SELECT a_id, b_id, CAST(epoch({NOW}) + 7 * 86400 AS BIGINT) AS expires_at FROM kg_related_to WHERE weight = 2 AND a_id NOT IN (SELECT secondary_id FROM {M})""")
+SELECT a_id, b_id, CAST(epoch({NOW}) + 7 * 86400 AS BIGINT) AS expires_at FROM kg_related_to WHERE weight = 2 AND a_id NOT IN (SELECT secondary_id FROM {M}) AND b_id NOT IN (SELECT secondary_id FROM {M}) AND (a_id + b_id) % 5 <> 0""")
 def d5(t):
-    gone = merges(t).select(F.col("secondary_id").alias("a_id"))
-    return t.related_to.where("weight = 2").join(gone, "a_id", "left_anti").select("a_id", "b_id", (F.unix_timestamp(now()) + 7 * 86400).alias("expires_at"))
+    queue = upsert.store_proposals(t.related_to.where("weight = 2"), merges(t).select(F.col("secondary_id").alias("id")), now())
+    return upsert.close_proposals(queue, t.related_to.where("(a_id + b_id) % 5 = 0"))
 
 
 @query("d6_disjoint_pairs", """
@@ -163,10 +163,20 @@ def name_mentions(t):
 MENTIONS = "(SELECT o_orderkey AS msg_id, lower('Customer#' || lpad(CAST(o_custkey * 2 AS VARCHAR), 9, '0')) AS mention FROM orders)"
 
 
-@query("d15_resolve_mentions", f"SELECT mention, count(DISTINCT msg_id) AS n_messages, (SELECT min(id) FROM kg_entities WHERE lower(canonical_name) = mention) AS id FROM {MENTIONS} GROUP BY mention")
+MENTIONS_D = "(SELECT msg_id, CASE WHEN msg_id % 3 = 0 THEN mention || '.' ELSE mention END AS mention FROM " + MENTIONS + ")"
+
+
+@query("d15_resolve_mentions", f"""
+WITH e AS (SELECT mention, array_to_string(list_sort(array_agg(DISTINCT msg_id)), ',') AS msg_ids, (SELECT min(id) FROM kg_entities WHERE lower(canonical_name) = mention OR lower(canonical_name) || '.' = mention) AS eid FROM {MENTIONS_D} GROUP BY mention),
+n AS (SELECT *, row_number() OVER (PARTITION BY eid IS NULL ORDER BY mention) AS k FROM e)
+SELECT mention, coalesce(eid, (SELECT max(id) FROM kg_entities) + k) AS id, eid IS NULL AS is_new, eid IS NOT NULL AND right(mention, 1) = '.' AS new_alias, msg_ids FROM n""")
 def d15(t):
-    c = graph.alias_names(t.entities).select(F.col("name").alias("mention"), "id", F.lit(1.0).alias("score"))
-    return ingest.resolve_mentions(name_mentions(t), c)
+    """Every third mention is spelled with a full stop, which a candidate bridges."""
+    dotted = F.when(F.col("msg_id") % 3 == 0, F.concat("name", F.lit("."))).otherwise(F.col("name"))
+    names = graph.alias_names(t.entities)
+    c = names.select(F.explode(F.array("name", F.concat("name", F.lit(".")))).alias("mention"), "id", F.lit(0.9).alias("score"))
+    got = ingest.resolve_mentions(name_mentions(t).withColumn("name", dotted), c, names)
+    return got.withColumn("msg_ids", F.array_join(F.col("msg_ids").cast("array<string>"), ","))
 
 
 @query("d17_attach_facts", f"SELECT msg_id, id AS entity_id, 'llm' AS source, CAST(0.9 AS DOUBLE) AS confidence FROM {MENTIONS} JOIN (SELECT min(id) AS id, lower(canonical_name) AS mention FROM kg_entities GROUP BY 2) USING (mention)")
@@ -176,10 +186,14 @@ def d17(t):
     return name_mentions(t).withColumn("mention", F.lower("name")).join(best, "mention").select("msg_id", "entity_id", F.lit("llm").alias("source"), F.lit(0.9).alias("confidence"))
 
 
-@query("d18_find_or_create", f"SELECT mention AS name, id, CASE WHEN id IS NULL THEN 'new' ELSE 'name' END AS method FROM (SELECT DISTINCT mention, (SELECT min(id) FROM kg_entities WHERE lower(canonical_name) = mention) AS id FROM {MENTIONS})")
+@query("d18_find_or_create", f"""
+SELECT mention AS name, coalesce(id, CASE WHEN CAST(right(mention, 2) AS INTEGER) < 50 THEN 1000 + CAST(right(mention, 2) AS BIGINT) END) AS id, CASE WHEN id IS NOT NULL THEN 'name' WHEN CAST(right(mention, 2) AS INTEGER) < 50 THEN 'vector' ELSE 'new' END AS method
+FROM (SELECT DISTINCT mention, (SELECT min(id) FROM kg_entities WHERE lower(canonical_name) = mention) AS id FROM {MENTIONS})""")
 def d18(t):
-    nobody = graph.alias_names(t.entities).select("name", "id", F.lit(0.5).alias("score"))
-    return ingest.find_or_create(name_mentions(t), graph.alias_names(t.entities), nobody)
+    """The vector table's best candidate of a name is an entity by its last two digits, near enough for those under 50."""
+    tail = F.substring("name", -2, 2).cast("long")
+    near = name_mentions(t).select(F.lower("name").alias("name"), (1000 + tail).alias("id"), F.when(tail < 50, 0.9).otherwise(0.5).alias("score")).distinct()
+    return ingest.find_or_create(name_mentions(t), graph.alias_names(t.entities), near.unionByName(near.withColumns({"id": F.col("id") + 1, "score": F.col("score") - 0.01})))
 
 
 @query("d20_delete_entities", """
@@ -194,16 +208,47 @@ def d20(t):
     return got
 
 
-@query("d21_retention", f"SELECT id FROM kg_facts WHERE invalid_at IS NULL OR floor(epoch(invalid_at)) >= epoch({NOW}) - 14 * 86400")
+DISC = "SELECT session_id AS id, min(ts) AS opened_at FROM kg_messages GROUP BY session_id"
+
+
+def talks(t):
+    d = t.messages.groupBy(F.col("session_id").alias("id")).agg(F.min("ts").alias("opened_at"))
+    none = d.where("false").select("id", F.lit("open").alias("status"), "opened_at", F.lit(None).cast("timestamp").alias("closed_at"))
+    return discussions.open_discussions(none, d), t.messages.select("id", F.col("session_id").alias("discussion_id"), "ts", "content")
+
+
+@query("d21_retention", f"""
+SELECT 'fact' AS kind, id FROM kg_facts WHERE invalid_at IS NULL OR floor(epoch(invalid_at)) >= epoch({NOW}) - 14 * 86400
+UNION ALL SELECT 'message', CAST(m.id AS VARCHAR) FROM kg_messages m JOIN ({DISC}) d ON d.id = m.session_id WHERE floor(epoch(opened_at)) >= epoch({NOW}) - 30 * 86400
+UNION ALL SELECT 'discussion', CAST(id AS VARCHAR) FROM ({DISC}) WHERE floor(epoch(opened_at)) >= epoch({NOW}) - 30 * 86400""")
 def d21(t):
-    return upsert.retain(t.facts, now(), 14).select("id")
+    kept, said = discussions.expire(*talks(t), now(), 30)
+    got = upsert.retain(t.facts, now(), 14).select(F.lit("fact").alias("kind"), "id")
+    for kind, df in (("message", said), ("discussion", kept)):
+        got = got.unionByName(df.select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id")))
+    return got
+
+
+BACK = f"(SELECT secondary_id AS o, secondary_id + 90000000 AS n FROM {M})"
 
 
-@query("d22_undo_merge", "SELECT a_id, b_id, weight FROM kg_related_to")
+@query("d22_undo_merge", f"""
+SELECT 'edge' AS kind, coalesce(n, a_id) || '-' || b_id AS key, weight AS v FROM kg_related_to LEFT JOIN {BACK} ON o = a_id
+UNION ALL SELECT 'fact', id, coalesce(n, source_entity_id) FROM (SELECT id, CASE WHEN vec_id % 2 = 0 THEN 1000 + vec_id % 40 ELSE source_entity_id END AS source_entity_id FROM kg_facts) LEFT JOIN {BACK} ON o = source_entity_id
+UNION ALL SELECT 'entity', canonical_name, coalesce(n, id) FROM kg_entities LEFT JOIN {BACK} ON o = id
+UNION ALL SELECT DISTINCT 'part', coalesce(n, child_id) || '-' || parent_id, CAST(1 AS BIGINT) FROM kg_part_of LEFT JOIN {BACK} ON o = child_id""")
 def d22(t):
-    p = merges(t)
-    before = upsert.snapshot(p.select(F.explode(F.array("primary_id", "secondary_id")).alias("id")), t.related_to)
-    return upsert.undo_merge(upsert.merge_edges(t.related_to, p), before, p)
+    p = merges(t).withColumn("new_id", F.col("secondary_id") + 90000000)
+    facts = t.facts.withColumn("source_entity_id", F.when(F.col("vec_id") % 2 == 0, 1000 + F.col("vec_id") % 40).otherwise(F.col("source_entity_id"))).select("id", "source_entity_id")
+    names = t.entities.select("id", "canonical_name")
+    before = upsert.snapshot(p, names, facts, t.related_to, t.part_of)
+    after = {"entities": names.join(p.select(F.col("secondary_id").alias("id")), "id", "left_anti"), "facts": upsert.merge_facts(facts, p), "edges": upsert.merge_edges(t.related_to, p), "part_of": upsert.merge_part_of(t.part_of, p)}
+    got = upsert.undo_merge(after, before, p)
+    pair = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string"))
+    out = got["edges"].select(F.lit("edge").alias("kind"), pair("a_id", "b_id").alias("key"), F.col("weight").cast("long").alias("v"))
+    out = out.unionByName(got["facts"].select(F.lit("fact").alias("kind"), F.col("id").alias("key"), F.col("source_entity_id").cast("long").alias("v")))
+    out = out.unionByName(got["entities"].select(F.lit("entity").alias("kind"), F.col("canonical_name").alias("key"), F.col("id").alias("v")))
+    return out.unionByName(got["part_of"].select(F.lit("part").alias("kind"), pair("child_id", "parent_id").alias("key"), F.lit(1).cast("long").alias("v")))
 
 
 @query("d23_update_columns", "SELECT id, CASE WHEN id % 4 = 0 THEN 'renamed' ELSE canonical_name END AS canonical_name, type FROM kg_entities")
@@ -219,10 +264,11 @@ def d24(t):
 
 @query("d25_note_verdicts", """
 WITH n AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'EUROPE' ELSE 'ASIA' END AS topic, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE p_name END AS content, CASE WHEN p_partkey % 3 = 0 THEN 'empty' WHEN p_partkey % 5 = 0 THEN 'inactive topic' END AS reason FROM part)
-SELECT id, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY topic, reason IS NULL ORDER BY id) + 2 > 10 THEN 'full' ELSE reason END AS reason FROM n""")
+SELECT id, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY topic, reason IS NULL ORDER BY id) + 2 > 10 THEN 'full' ELSE reason END AS reason FROM n QUALIFY id % 11 <> 0""")
 def d25(t):
     n = t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 5 == 0, "EUROPE").otherwise("ASIA").alias("topic"), F.when(F.col("p_partkey") % 3 == 0, " ").otherwise(F.col("p_name")).alias("content"), F.col("p_partkey").alias("created_at"))
-    return ingest.note_verdicts(n, t.topics, n.where("topic = 'ASIA' and id < 3").select("topic")).select("id", "reason")
+    judged = ingest.note_verdicts(n, t.topics, n.where("topic = 'ASIA' and id < 3").select("topic")).select("id", "reason")
+    return ingest.forget_notes(judged, n.where("id % 11 = 0"))
 
 
 @query("d26_preferences", "SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'view') AND event_id % 9 <> 0")
@@ -231,10 +277,17 @@ def d26(t):
     return some.join(some.where("event_id % 9 = 0").select("event_id"), "event_id", "left_anti")
 
 
-@query("d27_discussions", "SELECT session_id, count(*) AS n, CASE WHEN session_id % 2 = 0 THEN 'closed' ELSE 'open' END AS status FROM kg_messages GROUP BY session_id")
+@query("d27_discussions", f"""
+SELECT d.id, CASE WHEN d.id % 2 = 0 THEN 'closed' ELSE 'open' END AS status, CASE WHEN d.id % 2 = 0 THEN CAST(epoch({NOW}) AS BIGINT) END AS closed_at, n + CASE WHEN d.id % 2 = 1 THEN 1 ELSE 0 END AS n_messages
+FROM ({DISC}) d JOIN (SELECT session_id AS id, count(*) AS n FROM kg_messages GROUP BY 1) c ON c.id = d.id""")
 def d27(t):
-    d = t.messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("n")).withColumn("status", F.lit("open"))
-    return upsert.update_columns(d, d.where("session_id % 2 = 0").select("session_id", F.lit("closed").alias("status")), "session_id")
+    """All are opened and filled, the even ones closed, and then each is sent one more message and a known one again."""
+    d, said = talks(t)
+    d = discussions.close(d, d.where("id % 2 = 0"), now())
+    more = said.groupBy("discussion_id").agg(F.max("id").alias("id"), F.max("ts").alias("ts")).select((F.col("id") + 500000000).alias("id"), "discussion_id", "ts", F.lit("more").alias("content"))
+    said = discussions.append_messages(said, more.unionByName(said.where("id % 10 = 0")), d)
+    got = discussions.listing(d, said)
+    return got.select("id", "status", F.unix_timestamp("closed_at").alias("closed_at"), F.col("n_messages").cast("long").alias("n_messages"))
 
 
 @query("d28_shape_messages", "SELECT id, coalesce(CASE WHEN turn = 0 THEN NULL ELSE role END, 'user') AS role FROM kg_messages")
@@ -242,10 +295,19 @@ def d28(t):
     return ingest.shape_messages(t.messages.withColumn("role", F.when(F.col("turn") != 0, F.col("role")))).select("id", "role")
 
 
-@query("d29_bootstrap", "SELECT lower(p_name) AS key, count(DISTINCT p_partkey) AS n_messages, min_by(p_type, p_partkey) AS type FROM part GROUP BY 1")
+@query("d29_bootstrap", """
+WITH m AS (SELECT lower(p_name) AS key, count(DISTINCT p_partkey) AS n_messages, min_by(p_type, p_partkey) AS type FROM part GROUP BY 1), n AS (SELECT m.*, min(e.id) AS eid FROM m LEFT JOIN kg_entities e ON lower(e.canonical_name) = key GROUP BY ALL),
+i AS (SELECT *, coalesce(eid, (SELECT max(id) FROM kg_entities) + row_number() OVER (PARTITION BY eid IS NULL ORDER BY key)) AS id FROM n),
+x AS (SELECT DISTINCT least(a.id, b.id) AS a_id, greatest(a.id, b.id) AS b_id, p_partkey FROM (SELECT p_partkey, lower(p_name) AS x, lower(lead(p_name) OVER (ORDER BY p_partkey)) AS y FROM part) JOIN i a ON a.key = x JOIN i b ON b.key = y WHERE a.id <> b.id)
+SELECT 'entity' AS kind, key, id, n_messages AS n FROM i UNION ALL SELECT 'edge', CAST(a_id AS VARCHAR), b_id, count(DISTINCT p_partkey) FROM x GROUP BY ALL UNION ALL SELECT 'fact', 'is a ' || p_type, i.id, CAST(1 AS BIGINT) FROM (SELECT DISTINCT lower(p_name) AS key, p_type FROM part) JOIN i USING (key)""")
 def d29(t):
     m = t.part.select(F.col("p_partkey").alias("msg_id"), F.col("p_name").alias("name"), F.col("p_type").alias("type"))
-    return ingest.bootstrap_entities(m).select("key", "n_messages", "type")
+    after = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("name_b"))
+    pairs = t.part.join(after, "p_partkey").select(F.col("p_name").alias("name_a"), "name_b", F.col("p_partkey").cast("string").alias("message_id"), F.lit(1.0).alias("confidence"), F.lit(None).cast("timestamp").alias("seen_at"), F.lit("x").alias("context"))
+    got = ingest.bootstrap(m, pairs, t.part.select(F.col("p_name").alias("name"), F.concat(F.lit("is a "), F.col("p_type")).alias("content")), t.entities, t.related_to.where("false"))
+    out = got["entities"].select(F.lit("entity").alias("kind"), "key", "id", F.col("n_messages").alias("n"))
+    out = out.unionByName(got["edges"].select(F.lit("edge").alias("kind"), F.col("a_id").cast("string").alias("key"), F.col("b_id").alias("id"), F.col("weight").alias("n")))
+    return out.unionByName(got["facts"].select(F.lit("fact").alias("kind"), F.col("content").alias("key"), F.col("entity_id").alias("id"), F.lit(1).cast("long").alias("n")))
 
 
 @query("d30_register_aliases", "SELECT name, min(id) AS id FROM (SELECT 2000000 + p_partkey AS id, lower(p_brand || '/' || p_type) AS name FROM part UNION ALL SELECT 2000000 + p_partkey, lower(p_name) FROM part) WHERE name NOT IN (SELECT lower(alias1) FROM kg_entities) AND name NOT IN (SELECT lower(canonical_name) FROM kg_entities) GROUP BY name")
@@ -254,23 +316,24 @@ def d30(t):
     return ingest.register_aliases(new, graph.alias_names(t.entities))
 
 
-@query("d31_finalize_merges", f"SELECT m.primary_id AS id, e.canonical_name || ' (merged)' AS canonical_name, coalesce((SELECT count(*) FROM kg_facts f WHERE f.source_entity_id IN (m.primary_id, m.secondary_id)), 0) AS n_facts FROM {M} m JOIN kg_entities e ON e.id = m.primary_id")
+@query("d31_finalize_merges", """
+WITH p AS (SELECT 1000000 + c_custkey AS id, c_name || ' (merged)' AS name FROM customer WHERE c_custkey % 2 = 0), f AS (SELECT source_entity_id AS id, string_agg(content, ' ' ORDER BY created_at, id) AS x FROM kg_facts WHERE invalid_at IS NULL GROUP BY 1)
+SELECT coalesce(p.id, d.id) AS id, p.name AS canonical_name, CASE WHEN p.id IS NOT NULL THEN concat_ws('. ', p.name, f.x) END AS text FROM p FULL JOIN (SELECT DISTINCT source_entity_id AS id FROM kg_facts WHERE vec_id % 3 = 0) d ON d.id = p.id LEFT JOIN f ON f.id = p.id""")
 def d31(t):
-    p = merges(t)
-    named = upsert.update_columns(t.entities, p.join(t.entities.select(F.col("id").alias("primary_id"), "canonical_name"), "primary_id").select(F.col("primary_id").alias("id"), F.concat("canonical_name", F.lit(" (merged)")).alias("canonical_name")), "id")
-    n = upsert.merge_facts(t.facts, p).groupBy(F.col("source_entity_id").alias("id")).agg(F.count(F.lit(1)).alias("n_facts"))
-    return named.join(p.select(F.col("primary_id").alias("id")), "id", "left_semi").join(n, "id", "left").select("id", "canonical_name", F.coalesce("n_facts", F.lit(0)).alias("n_facts"))
+    names = t.customer.where("c_custkey % 2 = 0").select((1000000 + F.col("c_custkey")).alias("id"), F.concat("c_name", F.lit(" (merged)")).alias("name"))
+    told, dirty = upsert.finalize_merges(t.entities, t.facts, names, t.facts.where("vec_id % 3 = 0").select(F.col("source_entity_id").alias("id")).distinct())
+    return dirty.join(told, "id", "left").select("id", "canonical_name", "text")
 
 
-@query("d32_refinement_plan", """
-WITH d AS (SELECT DISTINCT source_entity_id AS id FROM kg_facts), n AS (SELECT source_entity_id AS id, count(*) AS k FROM kg_facts WHERE source_msg_id > coalesce((source_entity_id - 1000000) * 400, 0) GROUP BY 1)
-SELECT d.id, CASE WHEN n.k IS NULL THEN 'clear' WHEN d.id % 7 = 0 THEN 'keep dirty' ELSE 'checkpoint' END AS status FROM d LEFT JOIN n USING (id)""")
+@query("d32_refinement_plan", f"""
+WITH d AS (SELECT source_entity_id AS id, max(created_at) AS seen FROM kg_facts GROUP BY 1), n AS (SELECT source_entity_id AS id, count(*) AS k FROM kg_facts WHERE source_msg_id > coalesce((source_entity_id - 1000000) * 400, 0) GROUP BY 1)
+SELECT d.id, CASE WHEN n.k IS NULL THEN 'clear' WHEN d.id % 7 = 0 THEN 'keep dirty' ELSE 'checkpoint' END AS status, CASE WHEN epoch({NOW}) - floor(epoch(seen)) < 86400 THEN 'skip' WHEN n.k IS NULL THEN 'clear' WHEN d.id % 7 = 0 THEN 'keep dirty' ELSE 'checkpoint' END AS targeted FROM d LEFT JOIN n USING (id)""")
 def d32(t):
-    dirty = t.facts.select(F.col("source_entity_id").alias("id")).distinct()
-    e = dirty.withColumn("checkpoint", (F.col("id") - 1000000) * 400)
+    dirty = t.facts.groupBy(F.col("source_entity_id").alias("id")).agg(F.max("created_at").alias("refined_at")).withColumn("checkpoint", (F.col("id") - 1000000) * 400)
     m = t.facts.select(F.col("source_entity_id").alias("entity_id"), F.col("source_msg_id").alias("msg_id"))
-    n = scan.new_turns(e, m).groupBy(F.col("entity_id").alias("id")).agg(F.count(F.lit(1)).alias("k"))
-    return dirty.join(n, "id", "left").select("id", F.when(F.col("k").isNull(), "clear").when(F.col("id") % 7 == 0, "keep dirty").otherwise("checkpoint").alias("status"))
+    failed = dirty.where("id % 7 = 0").select("id")
+    some = scan.refinement_plan(dirty, m, failed, now(), targeted=True, again_s=86400).withColumnRenamed("status", "targeted")
+    return scan.refinement_plan(dirty, m, failed, now()).join(some, "id")
 
 
 @query("d33_guard_protected", "SELECT CASE WHEN n_nationkey % 4 = 0 THEN 1 ELSE CAST(100 + n_nationkey AS BIGINT) END AS primary_id, CASE WHEN n_nationkey % 4 = 0 THEN CAST(100 + n_nationkey AS BIGINT) ELSE CAST(2 + n_regionkey AS BIGINT) END AS secondary_id FROM nation")
@@ -373,11 +436,14 @@ def t12(t):
 
 
 @query("x3_filter_spans", """
-SELECT id AS msg_id, w AS name FROM (SELECT id, unnest(string_split(content, ' ')) AS w FROM kg_messages) WHERE length(w) BETWEEN 2 AND 100 AND regexp_matches(w, '\\p{L}') AND regexp_matches(w, '^\\p{Lu}|[0-9]')
- AND lower(w) NOT IN ('the','a','an','and','or','of','to','in','on','at','by','for','with','from','is','was','be','it','as','that','this','i','me','my','you','your','he','him','his','she','her','we','us','our','they','them','their','its')""")
+WITH s AS (SELECT id AS msg_id, w AS name, CASE WHEN length(w) % 2 = 0 THEN 'General' ELSE 'person' END AS label FROM (SELECT id, unnest(string_split(content, ' ')) AS w FROM kg_messages))
+SELECT msg_id, name FROM s WHERE length(name) BETWEEN 2 AND 100 AND regexp_matches(name, '\\p{L}') AND regexp_matches(name, '^\\p{Lu}|[0-9]') AND NOT (label = 'General' AND length(name) = 4)
+ AND lower(name) NOT IN ('the','a','an','and','or','of','to','in','on','at','by','for','with','from','is','was','be','it','as','that','this','i','me','my','you','your','he','him','his','she','her','we','us','our','they','them','their','its')""")
 def x3(t):
-    spans = t.messages.select(F.col("id").alias("msg_id"), F.explode(F.split("content", " ")).alias("name"), F.lit("X").alias("label"), F.lit(0.7).alias("score"))
-    return ingest.filter_spans(spans).select("msg_id", "name")
+    """Names of four letters count as generic; labels alternate with the length."""
+    spans = t.messages.select(F.col("id").alias("msg_id"), F.explode(F.split("content", " ")).alias("name"), F.lit(0.7).alias("score")).withColumn("label", F.when(F.length("name") % 2 == 0, "General").otherwise("person"))
+    generic = spans.select(F.lower("name").alias("phrase"), (F.length("name") == 4).alias("generic")).distinct()
+    return ingest.filter_spans(spans, generic=generic).select("msg_id", "name")
 
 
 @query("x4_merge_mentions", """

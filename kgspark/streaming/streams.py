@@ -108,6 +108,26 @@ def checkpoint_events(messages: DataFrame, n: int = 24) -> DataFrame:
     return messages.withColumn("rn", rn).where(F.col("rn") % n == 0)
 
 
+def checkpoint_stream(messages: DataFrame, n: int = 24) -> DataFrame:
+    """session_id, id, count: checkpoint_events as a stream; the state of a session is its number of messages so far."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, parts, state: GroupState):
+        import pandas as pd
+
+        (seen,) = state.get if state.exists else (0,)
+        out = []
+        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
+        for i in rows["id"].tolist():
+            seen += 1
+            if seen % n == 0:
+                out.append((key[0], i, seen))
+        state.update((seen,))
+        yield pd.DataFrame(out, columns=["session_id", "id", "count"])
+
+    return messages.groupBy("session_id").applyInPandasWithState(step, "session_id long, id long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
 def heartbeats(messages: DataFrame, n: int = 40, size: int = 8) -> DataFrame:
     """Every n-th message of a session at which no partial batch is pending."""
     return checkpoint_events(messages, n).where(F.col("rn") % size == 0)

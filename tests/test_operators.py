@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import scalars
 from kgspark.functions.udfs import embed, lcs_length, ratio, ratio_of
-from kgspark.operators import context, facts, graph, greedy, ingest, search, topics, upsert
+from kgspark.operators import context, discussions, facts, graph, greedy, ingest, search, topics, upsert
 from kgspark.sources import sessions
 from kgspark.sources.store import SnapshotStore
 from kgspark.streaming import streams
@@ -221,3 +221,27 @@ def test_full_batches_leave_the_stream_at_once(spark, tmp_path):
     q = streams.batch_stream(stream_of(spark, str(tmp_path / "in"), MESSAGES)).writeStream.format("memory").queryName("batch_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert rows(spark.table("batch_out").where("reason = 'full'"), "batch", "ids") == [(0, list(range(8))), (1, list(range(8, 16)))]
+
+
+def test_the_counter_keeps_its_state(spark, tmp_path):
+    day = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id)")
+    for k, ids in enumerate([range(5), range(5, 12)]):
+        spark.createDataFrame([(1, i, "x", None) for i in ids], MESSAGES).withColumn("ts", day).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = streams.checkpoint_stream(stream_of(spark, str(tmp_path / "in"), MESSAGES), 4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "count") == [(3, 4), (7, 8), (11, 12)]
+
+
+def test_discussions(spark):
+    at = "timestamp '2024-01-01 00:00:00'"
+    none = spark.sql(f"SELECT 1L AS id, 'open' AS status, {at} AS opened_at, CAST(NULL AS timestamp) AS closed_at").where("false")
+    d = discussions.open_discussions(none, spark.sql(f"SELECT id, {at} AS opened_at FROM range(3)"))
+    assert discussions.open_discussions(d, d.select("id", "opened_at")).count() == 3
+    d = discussions.close(d, spark.range(1), F.expr(at))
+    d2 = discussions.close(d, spark.range(1), F.expr("timestamp '2025-01-01 00:00:00'"))
+    assert rows(d2.where("closed_at is not null"), "id", "status") == [(0, "closed")] and d2.exceptAll(d).count() == 0
+    said = spark.sql(f"SELECT id, id % 3 AS discussion_id, {at} AS ts, 'x' AS content FROM range(6)")
+    got = discussions.append_messages(said.where("id < 1"), said.unionByName(said.withColumn("id", F.col("id") + 10).withColumn("discussion_id", F.lit(9).cast("long"))), d)
+    assert rows(got, "id", "discussion_id") == [(0, 0), (1, 1), (2, 2), (4, 1), (5, 2)]
+    spawns = spark.createDataFrame([(1, 2, "a", 1), (2, 3, "b", 2), (9, 3, "later", 5)], "parent_id long, child_id long, detail string, ts long")
+    assert rows(discussions.spawn_tree(discussions.record_spawns(spawns.where("false"), spawns)), "child_id", "parent_id", "depth") == [(2, 1, 1), (3, 2, 2)]
