@@ -9,7 +9,7 @@ others are revisits without a payload that refer to it.
 
 Reading: the file list is a Spark table; each task streams its files frame by
 frame, loads the dictionary from the skippable frame, and checks version line,
-required headers, block length, payload digest and the record's end.
+required headers, date, block length, payload digest and the record's end.
 
 Defined cases: a null html has an empty payload; a null url an empty target;
 rows with equal page_id and payload are separate records, all but one of them
@@ -21,7 +21,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
+import time
 
 import pandas as pd
 import zstandard as zstd
@@ -43,12 +45,28 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def write_record(page_id, url: str, payload: bytes, digest: str, refers_to=None, revisit: bool = False) -> bytes:
+def record_id(page_id, digest: str, place: str = "") -> str:
+    """Of the one response of a digest without a place, which revisits name; of any other record with its place in the archives."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{digest}{place and ':' + place}>"
+
+
+def page_of(record: str):
+    page = record[len("<urn:page:") :].split(":")[0]
+    return int(page) if page else None
+
+
+def write_info(date: str, place: str) -> bytes:
+    block = b"software: kgspark\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:info:{place}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n"
+    return head.encode() + block + b"\r\n\r\n"
+
+
+def write_record(page_id, url: str, payload: bytes, digest: str, refers_to=None, revisit: bool = False, *, date: str = "1970-01-01T00:00:00Z", place: str = "") -> bytes:
     kind, block = ("revisit", b"") if revisit else ("response", payload)
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, digest, place)}", f"WARC-Date: {date}",
         f"WARC-Target-URI: {url.replace(chr(13), '%0D').replace(chr(10), '%0A')}", f"WARC-Payload-Digest: sha1:{digest}", f"WARC-Payload-Length: {len(payload)}",
-        *([] if not revisit else [f"WARC-Refers-To: <urn:page:{'' if refers_to is None else refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
+        *([] if not revisit else [f"WARC-Refers-To: {record_id(refers_to, digest)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]),
         f"Content-Length: {len(block)}",
     ]
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -70,9 +88,13 @@ def parse_record(raw: bytes) -> dict:
         if not colon:
             raise WarcError(f"bad header line {line[:80]!r}")
         headers[name.strip().lower().decode()] = value.strip().decode("utf-8", "surrogatepass")
-    missing = {"warc-type", "warc-record-id", "content-length", "warc-payload-digest"} - headers.keys()
+    missing = {"warc-type", "warc-record-id", "warc-date", "content-length"} - headers.keys()
+    if headers.get("warc-type") != "warcinfo":
+        missing |= {"warc-payload-digest"} - headers.keys()
     if missing:
         raise WarcError(f"headers missing: {sorted(missing)}")
+    if not re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d{1,9})?Z", headers["warc-date"]):
+        raise WarcError(f"not a date: {headers['warc-date'][:40]}")
     length = int(headers["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError(f"block of {len(rest) - 4} bytes where the header says {length}")
@@ -131,10 +153,11 @@ def read_archive(stream):
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """From a bounded sample of pages; b'' if there is too little text."""
+    """From a bounded sample of pages. Of too few to train on, the text itself is the dictionary; b'' without any text."""
     sample = [r[0].encode("utf-8", "surrogatepass") for r in pages.where("html is not null").select(F.substring("html", 1, SAMPLE_CHARS)).limit(SAMPLE_PAGES).collect()]
     if sum(map(len, sample)) < 20 * DICTIONARY_BYTES // 10 or len(sample) < 20:
-        return b""
+        text = b"".join(sample)[:DICTIONARY_BYTES]
+        return text if len(text) >= 8 and text[:4] != struct.pack("<I", DICT_MAGIC) else b""
     return zstd.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
 
 
@@ -167,10 +190,11 @@ def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the archives; returns their manifest: path, n_records."""
     where, dictionary = shared_dir(pages.sparkSession), train_dictionary(pages)
-    return materialize(with_roles(pages, min_bytes).mapInPandas(_writer(where, dictionary), "path string, n_records long"))
+    date = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
+    return materialize(with_roles(pages, min_bytes).mapInPandas(_writer(where, dictionary, date, min_bytes), "path string, n_records long"))
 
 
-def _writer(where: str, dictionary: bytes):
+def _writer(where: str, dictionary: bytes, date: str, min_bytes: int):
     def write(batches):
         import uuid
 
@@ -192,7 +216,9 @@ def _writer(where: str, dictionary: bytes):
                     out = store.open_output_stream(temporary, compression=None)
                     if dictionary:
                         out.write(struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary)
-                out.write(packer.compress(write_record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers, not first)))
+                    out.write(packer.compress(write_info(date, f"{part}.{shard}")))
+                place = "" if first and len(payload) >= min_bytes else f"{part}.{shard}.{n}"
+                out.write(packer.compress(write_record(page_id, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers, not first, date=date, place=place)))
                 size, n = size + len(payload), n + 1
                 if size >= SHARD_BYTES:
                     out.close()
@@ -225,10 +251,10 @@ def read_archives(manifest: DataFrame, uri: str = "file:///") -> DataFrame:
                 rows, n = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for r in read_archive(stream):
+                        if r["warc-type"] == "warcinfo":
+                            continue
                         refers = r.get("warc-refers-to")
-                        page = r["warc-record-id"][len("<urn:page:") : -1]
-                        refers = refers and refers[len("<urn:page:") : -1]
-                        rows.append((int(page) if page else None, r.get("warc-target-uri"), int(r["warc-payload-length"]), r["warc-payload-digest"][5:], r["warc-type"], int(refers) if refers else None))
+                        rows.append((page_of(r["warc-record-id"]), r.get("warc-target-uri"), int(r["warc-payload-length"]), r["warc-payload-digest"][5:], r["warc-type"], refers and page_of(refers)))
                         n += 1
                         if len(rows) == 10_000:
                             yield _frame(rows)

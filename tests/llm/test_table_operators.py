@@ -235,6 +235,16 @@ def test_archives_round_trip(spark):
     for payload, records in by_payload.items():
         first = [x for x in records if x.record_type == "response"]
         assert len(first) == 1 and (first[0].page_id if first[0].page_id is not None else -1) == top[payload]
+    ids, kinds = [], Counter()
+    for x in warc.write_archives(pages).collect():
+        with open(x.path, "rb") as f:
+            assert warc.struct.unpack("<I", f.read(4)) == (warc.DICTIONARY_MAGIC,)
+            f.seek(0)
+            found = list(warc.read_archive(f))
+        ids += [r["warc-record-id"] for r in found]
+        kinds.update(r["warc-type"] for r in found)
+        assert found[0]["warc-type"] == "warcinfo"
+    assert len(ids) == len(set(ids)) and kinds["warcinfo"] >= 1
     assert warc.read_archives(warc.write_archives(pages.where("false")), warc.uri_of(shared_root(spark))).count() == 0
 
 
@@ -253,7 +263,7 @@ def test_damaged_archives_are_refused():
     packed = zstandard.ZstdCompressor().compress(trained)
     raw = warc.struct.pack("<II", warc.DICTIONARY_MAGIC, len(packed)) + packed + archive(good, dictionary=trained)[8 + len(trained) :]
     assert len(list(warc.read_archive(io.BytesIO(raw)))) == 1
-    bad = [archive(good)[:-3], archive(good.replace(b"body", b"bodi")), archive(good.replace(b"WARC/1.1", b"HTTP/1.1")), archive(good.replace(b"Content-Length: 4", b"Content-Length: 5")), archive(good[:-2]), archive(good) + b"junk", archive(good.replace(b"WARC-Type", b"WARC-Kind"))]
+    bad = [archive(good)[:-3], archive(good.replace(b"body", b"bodi")), archive(good.replace(b"WARC/1.1", b"HTTP/1.1")), archive(good.replace(b"Content-Length: 4", b"Content-Length: 5")), archive(good[:-2]), archive(good) + b"junk", archive(good.replace(b"WARC-Type", b"WARC-Kind")), archive(good.replace(b"WARC-Date", b"WARC-When")), archive(good.replace(b"1970-01-01T", b"1970-01-01 "))]
     for b in bad:
         with pytest.raises((warc.WarcError, zstandard.ZstdError)):
             list(warc.read_archive(io.BytesIO(b)))
