@@ -3,7 +3,9 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes
 each result as Parquet to the shared folder and reads it as the next one's docs.
 All but the last return the columns of docs.  SQL cannot express the stages with
-fitted models, so run() is tested against stage-wise brute force instead.
+fitted models, so tests hold quality rules, near copies, base spans and pieces
+against plain loops, stage by stage, and the mixing against documents whose
+domain is known.
 """
 
 from __future__ import annotations

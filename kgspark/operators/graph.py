@@ -182,7 +182,7 @@ def hierarchy_candidates(edges: DataFrame, entities: DataFrame, part_of: DataFra
     e = undirected(edges.where(F.col("weight") >= min_weight)).select("src", "dst", "weight")
     side = lambda c: entities.select(F.col("id").alias(f"{c}_id"), F.col("type").alias(f"{c}_type"), F.col("topic").alias(f"{c}_topic"))
     got = e.withColumnsRenamed({"src": "parent_id", "dst": "child_id"}).join(side("parent"), "parent_id").join(side("child"), "child_id")
-    got = got.where("parent_topic = child_topic").join(F.broadcast(rules), ["parent_type", "child_type"])
+    got = got.where("parent_topic = child_topic").join(rules, ["parent_type", "child_type"])
     return got.join(part_of, ["parent_id", "child_id"], "left_anti").select("parent_id", "child_id", "parent_type", "child_type", "weight")
 
 

@@ -47,7 +47,7 @@ def recent_facts(entities: DataFrame, facts: DataFrame, now: Column, days: int,
 
 def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
     """model (null: all), tokens, cost; models without a price are left out."""
-    got = usage.join(F.broadcast(prices), "model")
+    got = usage.join(prices, "model")
     cost = (F.col("prompt_tokens") * F.col("input") + F.col("completion_tokens") * F.col("output")) / 1e6
     return got.rollup("model").agg(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("tokens"), F.sum(cost).alias("cost"))
 

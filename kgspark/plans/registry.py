@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark import cloudpickle
+
+import kgspark
 from kgspark.plans.fixtures import Tables, oracle
 
+cloudpickle.register_pickle_by_value(kgspark)  # helpers that run on executors travel with the job, so a cluster needs no copy of the package
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 

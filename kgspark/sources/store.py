@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,11 +19,11 @@ class SnapshotStore:
     def _versions(self, table: str) -> list[str]:
         try:
             rows = self.spark.read.schema("version long, path string").json(f"{self.root}/{table}/_versions")
-            return [r["path"] for r in rows.orderBy("version").collect()]  # one row per version kept
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" in str(e):
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
                 return []
             raise
+        return [r["path"] for r in rows.orderBy("version").collect()]  # one row per version kept
 
     def write(self, table: str, df: DataFrame, token: str | None = None) -> None:
         """A new snapshot. With a token (an epoch, say) a repeated write of it is skipped."""
