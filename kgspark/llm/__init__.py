@@ -1,11 +1,11 @@
 """Operators for preparing training text, ten of them, each a DataFrame in and a DataFrame out.
 
-Nothing else in the library imports this subpackage.  Python helpers that run
-on executors are shipped by value, so a cluster needs no copy of the package.
+Nothing else in the library imports this subpackage.  Its Python helpers that
+run on executors are shipped by value, so a cluster needs no copy of it.
 """
 
-from pyspark import cloudpickle
+import sys
 
-import kgspark
+from pyspark import cloudpickle
 
-cloudpickle.register_pickle_by_value(kgspark)
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
