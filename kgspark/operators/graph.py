@@ -48,7 +48,7 @@ def related(edges: DataFrame, entities: DataFrame, facts: DataFrame, names: Data
     wanted = names.select(F.lower("name").alias("name")).distinct()
     sources = entities.select(F.col("id").alias("src"), F.col("canonical_name").alias("source"), F.lower("canonical_name").alias("name")).join(wanted, "name").drop("name")
     target = entities.where(visible(F.col("topic"), topics)).select(F.col("id").alias("dst"), F.col("canonical_name").alias("target"), "type", "topic")
-    got = undirected(edges).join(sources, "src").join(target, "dst")
+    got = saved(undirected(edges).join(sources, "src").join(target, "dst"))
     theirs = facts.join(got.select(F.col("dst").alias("source_entity_id")), "source_entity_id", "left_semi")
     got = got.join(fact_lists(theirs).withColumnRenamed("entity_id", "dst"), "dst", "left")
     got = got.select("source", F.col("dst").alias("target_id"), "target", "type", "topic", "weight", "confidence", "last_seen", "context", "message_ids", F.coalesce("n_facts", F.lit(0)).alias("n_facts"), "facts")
