@@ -5,15 +5,14 @@ of MATCH bytes the positions whose GRAM bytes hash lowest.  Equal windows have
 equal anchors, so two documents that share MATCH bytes share the first GRAM
 bytes of an anchored suffix.  Suffixes are sorted by the hash of those bytes.
 
-Batches of documents come in ascending doc_id.  Each gets its suffix array; two
-levels of equal size merge into one of double size before the next batch; a
-merge-scan of the arrays that were not scanned yet with the other levels yields
-the anchors that documents share.
-
-Shared anchors are then matched.  A document whose whole context of an anchor
-(all bytes that a window with the anchor can reach) occurs in an earlier one is
-covered there; of each distinct context only the earliest document goes on, and
-only where an anchor has several contexts.  Its windows around the anchor are
+Batches of documents come in ascending doc_id.  Each gets its suffix array,
+which is merge-scanned against the existing levels for long matches; two levels
+of equal size merge into one of double size before the next batch.
+
+A suffix carries a hash of its whole context (all bytes that a window with the
+anchor can reach).  A document whose context occurs in an earlier one is covered
+there; of each distinct context only the earliest document goes on, and only
+where an anchor has several contexts.  Its windows around the anchor are
 compared with those of the other contexts by 64-bit hashes.
 
 Defined cases: null text is empty; texts are UTF-8; shorter ones than MATCH are
@@ -26,14 +25,17 @@ are left out.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.common import join_checked, load, materialize
+from kgspark.llm.common import join_checked, load, materialize, release
 from kgspark.llm.shingles import mix
 
 MATCH, GRAM = 50, 16
@@ -42,7 +44,7 @@ REACH = MATCH - GRAM
 #: Contexts of one anchor that a task compares at once; where there are more, Spark compares their windows by key.
 AT_ONCE = 50_000
 CHUNK = 1 << 21
-BATCHES = 2
+BATCHES = 4
 
 
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -78,150 +80,121 @@ def anchors(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, h[at]
 
 
-ROWS = pa.schema([("fp", pa.int64()), ("doc", pa.int64()), ("pos", pa.int32())])
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+
+
+@functools.lru_cache(4)
+def _powers(base: int, n: int) -> np.ndarray:
+    p = np.full(n, base, np.uint64)
+    p[:1] = 1
+    return np.cumprod(p, dtype=np.uint64)
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    return _powers(base, 1 << max(1, n - 1).bit_length())[:n]
 
 
-def _anchor_rows(batches):
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the strings raw[start:end], equal for equal strings."""
+    n = len(raw) + 1
+    total = np.zeros(n, np.uint64)
+    np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[raw] * powers(BASE, n - 1), out=total[1:])
+    return mix((total[ends] - total[starts]) * powers(INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
+
+
+ROWS = pa.schema([("fp", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("shape", pa.int32())])
+ARRAY = "fp long, ch long, doc long, key long, start int, shape int"
+
+
+def _later_copies(ch: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which places have a context that a smaller document among them has too."""
+    order = np.argsort(ch, kind="stable")
+    starts = np.flatnonzero(np.r_[True, ch[order][1:] != ch[order][:-1]])
+    least = np.repeat(np.minimum.reduceat(doc[order], starts), np.diff(np.r_[starts, len(order)]))
+    out = np.zeros(len(ch), bool)
+    out[order] = doc[order] > least
+    return out
+
+
+def _array_rows(batches):
     for batch in batches:
-        texts, ids = batch.column("text").cast(pa.large_string()), batch.column("doc_id").to_numpy()
+        texts, ids, keys = batch.column("text").cast(pa.large_string()), batch.column("doc_id").to_numpy(), batch.column("key").to_numpy()
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
         i = 0
         while i < len(texts):
             j = min(len(texts), max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1))
-            edges = offsets[i : j + 1] - offsets[i]
-            at, h = anchors(data[offsets[i] : offsets[j]], edges[1:])
-            doc = np.searchsorted(edges, at, side="right") - 1
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[i:j][doc]), pa.array((at - edges[doc]).astype(np.int32))], schema=ROWS)
+            edges, raw = offsets[i : j + 1] - offsets[i], data[offsets[i] : offsets[j]]
+            at, fp = anchors(raw, edges[1:])
+            if len(at):
+                row = np.searchsorted(edges, at, side="right") - 1
+                start, end = np.maximum(edges[row], at - REACH), np.minimum(edges[row + 1], at + GRAM + REACH)
+                ch, doc, begin, shape = span_hashes(raw, start, end), ids[i:j][row], start - edges[row], (end - start) * 64 + at - start
+                # Copies within a task's slice need no source from elsewhere: they go on under a key of their own, so no common passage makes a large group.
+                own = _later_copies(ch, doc)
+                fp = np.where(own, mix(doc.astype(np.uint64) * np.uint64(BASE) + begin.astype(np.uint64)), fp)
+                shape = np.where(own, start - end, shape)
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ch.view(np.int64)), pa.array(doc), pa.array(keys[i:j][row]), pa.array(begin.astype(np.int32)), pa.array(shape.astype(np.int32))], schema=ROWS)
             i = j
 
 
 def suffix_array(docs: DataFrame) -> DataFrame:
-    """fp, doc, pos of the anchored suffixes."""
-    return docs.select("doc_id", "text").mapInArrow(_anchor_rows, "fp long, doc long, pos int")
-
-
-def shared_runs(batches):
-    """Over suffixes sorted by (fp, new first, doc): those whose fp occurs in several documents, one of them new at least."""
-    held, open_, verdict = None, None, False  # rows of one document that wait for another; fp of a decided run that may go on
-    for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        fp, doc = pdf["fp"].to_numpy(), pdf["doc"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, fp[1:] != fp[:-1]])
-        fresh = pdf["new"].to_numpy()[starts]
-        shared = fresh & (np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts))
-        decided = shared | ~fresh
-        if open_ is not None and fp[0] == open_:
-            shared[0], decided[0] = verdict, True
-        keep = np.repeat(shared, np.diff(np.r_[starts, len(fp)]))
-        if decided[-1]:
-            held, open_, verdict = None, fp[-1], shared[-1]
-        else:
-            held, open_ = pdf.iloc[starts[-1] :], None
-        yield pdf.loc[keep, ["doc", "pos"]]
+    """ARRAY rows of the anchored suffixes: hashes of the anchor's gram and of its context, where that starts, and its length * 64 + the anchor's offset;
+    with minus the length for a context that a smaller document of the same slice of docs has."""
+    return docs.select("doc_id", "key", "text").mapInArrow(_array_rows, ARRAY)
 
 
 class SuffixLevels:
-    """Levels of suffix arrays: add() stores a batch's array, scan() yields the places that share an anchor."""
+    """Levels of suffix arrays: add() stores a batch's array, scan() matches what is new with all levels, drop() deletes them."""
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame, bool]] = []  # batches, array, scanned already
+        self.stored: list[DataFrame] = []
+
+    def _store(self, array: DataFrame) -> DataFrame:
+        self.stored.append(materialize(array, sort_within=["fp"]))
+        return self.stored[-1]
+
+    def drop(self) -> None:
+        release(*self.stored)
+        self.levels, self.stored = [], []
 
     def add(self, docs: DataFrame, stored: bool = True) -> None:
-        """docs: doc_id, text, with ids above all earlier ones. An array that is not stored is made anew when scanned."""
+        """docs: doc_id, key, text, with ids above all earlier ones. An array that is not stored is made anew when scanned."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (n, x, x_done), (_, y, y_done) = self.levels.pop(), self.levels.pop()
-            if x_done != y_done:
-                raise ValueError("scan() before adding, or not at all between two levels of equal size")
-            self.levels.append((2 * n, materialize(x.unionByName(y), sort_within=["fp", "doc", "pos"]), x_done))
+            if not (x_done and y_done):
+                raise ValueError("scan() before adding to two levels of equal size")
+            merged = self._store(x.where("shape > 0").unionByName(y.where("shape > 0")))
+            release(x, y)
+            self.stored = [t for t in self.stored if t is not x and t is not y]
+            self.levels.append((2 * n, merged, True))
         array = suffix_array(docs)
-        self.levels.append((1, materialize(array, sort_within=["fp", "doc", "pos"]) if stored else array, False))
-
-    def scan(self) -> DataFrame:
-        """doc, pos (materialized) of anchors that several documents share, one of them in an array not scanned before."""
+        self.levels.append((1, self._store(array) if stored else array, False))
+
+    def scan(self, above: int | None = None) -> DataFrame:
+        """COVERED rows (materialized) of the arrays not scanned before, whose documents have ids above the given one (None: all are new):
+        strings (s, e) whose whole context an earlier document has; where an anchor gets several contexts, the places (s, with fp) of each
+        context's first document."""
+        run, context = W.partitionBy("fp"), W.partitionBy("fp", "ch")
+        new = F.lit(True) if above is None else F.col("doc") > above
+        differ = lambda c: F.coalesce(F.min(c).over(run) < F.max(c).over(run), F.lit(False))
+        old = lambda c: F.when(~F.col("new"), F.col(c))
         rows = None
         for _, level, done in self.levels:
-            part = level.withColumn("new", F.lit(not done))
+            part = level.where("shape > 0") if done else level
             rows = part if rows is None else rows.unionByName(part)
         self.levels = [(n, level, True) for n, level, _ in self.levels]
-        scanned = rows.repartition("fp").sortWithinPartitions("fp", F.desc("new"), "doc", "pos")
-        return materialize(scanned.mapInPandas(shared_runs, "doc long, pos int"))
-
-
-CONTEXTS = pa.schema([("fp", pa.int64()), ("ch", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("shape", pa.int32())])
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the strings raw[start:end], equal for equal strings."""
-    n = len(raw) + 1
-    total = np.zeros(n, np.uint64)
-    np.cumsum(mix(np.arange(1, 257, dtype=np.uint64))[raw] * powers(BASE, n - 1), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
-
-
-def _contexts(batches):
-    """Of every place: hashes of its anchor's gram and of its context, where that starts, and its length * 64 + the anchor's offset."""
-    for batch in batches:
-        out = []
-        for doc, key, text, positions in zip(*(batch.column(c).to_pylist() if c != "positions" else batch.column(c) for c in ("doc_id", "key", "text", "positions"))):
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-            at = np.unique(positions.values.to_numpy()).astype(np.int64)
-            at = at[at + GRAM <= len(raw)]
-            if len(at):
-                start, end = np.maximum(0, at - REACH), np.minimum(len(raw), at + GRAM + REACH)
-                fp, ch = span_hashes(raw, np.r_[at, start], np.r_[at + GRAM, end]).reshape(2, -1)
-                out.append((fp.view(np.int64), ch.view(np.int64), np.full(len(at), doc), np.full(len(at), key), start.astype(np.int32), ((end - start) * 64 + at - start).astype(np.int32)))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], schema=CONTEXTS)
-
-
-COVERED = "doc long, key long, s int, e int, fp long"
-
-
-def _first_docs(batches):
-    """Over contexts sorted by (fp, ch, doc): covered strings (s, e) of documents after a context's first; where an anchor has
-    several contexts, the places of the first documents (s, with fp)."""
-    last, d0, several, held = None, None, False, None  # the run's last (fp, ch), that context's first doc, whether the run has several, rows that wait
-    for pdf in batches:
-        if not len(pdf):
-            continue
-        fp, ch, doc = pdf["fp"].to_numpy(), pdf["ch"].to_numpy(), pdf["doc"].to_numpy()
-        start, shape = pdf["start"].to_numpy(), pdf["shape"].to_numpy()
-        fresh = np.r_[last is None or (fp[0], ch[0]) != last, (fp[1:] != fp[:-1]) | (ch[1:] != ch[:-1])]
-        group = np.cumsum(fresh) - (1 if fresh[0] else 0)  # group 0 goes on from the batch before
-        firsts = doc[fresh] if fresh[0] else np.r_[d0, doc[fresh]]
-        first = doc == firsts[group]
-        run_new = np.r_[last is None or fp[0] != last[0], fp[1:] != fp[:-1]]
-        run = np.cumsum(run_new) - (1 if run_new[0] else 0)
-        contexts = np.bincount(run[fresh], minlength=run[-1] + 1)
-        if not run_new[0]:
-            contexts[0] += 2 if several else 1  # the batch before has one at least
-        many = contexts > 1
-        length = shape // 64
-        cover = ~first & (length >= MATCH)
-        yield pd.DataFrame({"doc": doc[cover], "key": pdf["key"].to_numpy()[cover], "s": start[cover], "e": (start + length)[cover], "fp": pd.array([None] * int(cover.sum()), "Int64")})
-        if held is not None and (run_new[0] or many[0]):
-            if many[0] and not run_new[0]:
-                yield held
-            held = None
-        reps = pd.DataFrame({"doc": doc, "key": pdf["key"].to_numpy(), "s": start + shape % 64, "e": np.full(len(doc), -1, np.int32), "fp": pd.array(fp, "Int64")})[first & (length >= MATCH)]
-        in_run = run[first & (length >= MATCH)]
-        yield reps[many[in_run]]
-        if not many[-1]:
-            rest = reps[in_run == run[-1]]
-            held = rest if held is None else pd.concat([held, rest], ignore_index=True)
-        last, d0, several = (fp[-1], ch[-1]), firsts[-1], bool(many[-1])
+        rows = rows.repartition("fp").withColumns({"least": F.min("doc").over(run), "most": F.max("doc").over(run)})
+        met = rows.where((F.col("shape") < 0) | (F.col("least") < F.col("most")) & (F.lit(True) if above is None else F.col("most") > above)).withColumn("new", new)
+        # given: an earlier scan returned the places of the old documents
+        met = met.select("*", differ("ch").alias("several"), (differ(old("ch")) & differ(old("doc"))).alias("given")).withColumn("least", F.min("doc").over(context))
+        found = met.where("new and (shape < 0 or doc > least) or shape > 0 and doc = least and several and (new or not given)")
+        covered = (F.col("shape") < 0) | (F.col("doc") > F.col("least"))
+        length, offset = F.when(F.col("shape") < 0, -F.col("shape")).otherwise(F.shiftright("shape", 6)), F.col("shape").bitwiseAND(63)
+        out = found.select("doc", "key", F.when(covered, F.col("start")).otherwise(F.col("start") + offset).alias("s"), F.when(covered, F.col("start") + length).otherwise(-1).alias("e"), F.when(~covered, F.col("fp")).alias("fp"))
+        return materialize(out)
 
 
 WIDTH = GRAM + 2 * REACH
@@ -339,17 +312,18 @@ def repeated_spans(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     docs = docs.where("doc_id is not null").select("doc_id", "text", "key")
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000).alias("q")).first()["q"] if batches > 1 else []
     bounds = [None, *sorted(set(cuts or [])), None]
-    index = SuffixLevels()
+    index, scans = SuffixLevels(), []
     for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
         part = docs
         part = part if low is None else part.where(F.col("doc_id") > low)
         part = part if high is None else part.where(F.col("doc_id") <= high)
-        index.add(part, stored=i < len(bounds) - 2)
-    places = materialize(index.scan().groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("pos").alias("positions")))
+        last = i == len(bounds) - 2
+        index.add(part, stored=not last)
+        if i > 0 or last:  # the first batch is scanned with the second
+            scans.append(index.scan(bounds[i] if i > 1 else None))
+    index.drop()
+    found = functools.reduce(DataFrame.unionByName, scans)
     # Nearly every document has places, so these tables grow with the texts: the joins with texts always shuffle.
-    at = docs.join(places.hint("merge"), "doc_id").select("doc_id", "key", "text", "positions")
-    contexts = at.mapInArrow(_contexts, "fp long, ch long, doc long, key long, start int, shape int")
-    found = materialize(contexts.repartition("fp").sortWithinPartitions("fp", "ch", "doc").mapInPandas(_first_docs, COVERED))
     firsts = materialize(found.where("fp is not null").groupBy(F.col("doc").alias("doc_id"), "key").agg(F.collect_list(F.struct("s", "fp")).alias("places")))
     bytes_ = materialize(docs.join(firsts.hint("merge"), ["doc_id", "key"]).select("doc_id", "key", "text", "places").mapInPandas(_context_bytes, WINDOWS))
     spans = found.where("fp is null").select("doc", "key", "s", "e").unionByName(compared(bytes_))

@@ -233,9 +233,11 @@ def test_repeated_strings_of_odd_rows(spark):
 def test_levels_merge_geometrically(spark):
     index = suffixes.SuffixLevels()
     for i in range(7):
-        index.add(spark.createDataFrame([(i, prose(30))], "doc_id long, text string"))
-        index.scan()
+        index.add(spark.createDataFrame([(i, 0, prose(30))], "doc_id long, key long, text string"))
+        index.scan(i - 1)
     assert [n for n, _, _ in index.levels] == [4, 2, 1]  # equal ones merge before the next batch
+    index.drop()
+    assert not index.levels
 
 
 def base_spans(t):
