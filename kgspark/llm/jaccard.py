@@ -10,7 +10,8 @@
    candidates are as many as postings, never all pairs. Overlaps are counted
    per fragment and summed per pair.
 6. Candidates form clusters. Where a cluster is not one component yet, its classes
-   meet in blocks of about BLOCK: a task counts the partial overlaps of two blocks
+   meet in blocks of at most about BLOCK, dealt by their smallest prefix n-gram,
+   where two blocks share a prefix n-gram across components: a task counts the partial overlaps of two blocks
    in one fragment as a matrix, matrices are summed over fragments, and of the
    links only a spanning forest is returned. No link is lost.
 
@@ -119,10 +120,14 @@ def segments(sets: DataFrame, fragments: int = FRAGMENTS) -> DataFrame:
     return materialize(sets.select("cls", "n", F.posexplode(cut).alias("frag", "hs")).where(F.size("hs") > 0))
 
 
-def star_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: each class with the smallest class of each of its prefix lists (materialized)."""
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """cls, h: the prefix n-grams of each class (materialized); classes that link share one."""
     size = F.col("n") - at_least(F.col("n"), num, den) + 1 - (F.col("n") - F.size("tokens"))
-    posted = materialize(sets.select("cls", F.explode(F.slice(F.col("tokens.h"), F.lit(1), F.greatest(size, F.lit(1)).cast("int"))).alias("h")))
+    return materialize(sets.select("cls", F.explode(F.slice(F.col("tokens.h"), F.lit(1), F.greatest(size, F.lit(1)).cast("int"))).alias("h")))
+
+
+def star_pairs(posted: DataFrame) -> DataFrame:
+    """a, b: each class with the smallest class of each of its prefix lists (materialized)."""
     leads = posted.groupBy("h").agg(F.min("cls").alias("lead"))
     return materialize(posted.join(leads, "h").where("lead <> cls").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct())
 
@@ -139,19 +144,30 @@ def linked(pairs: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
     return materialize(summed.where(den * F.col("k") >= num * (F.col("na") + F.col("nb") - F.col("k"))).select("a", "b"))
 
 
-def block_links(nodes: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
+def block_links(nodes: DataFrame, posted: DataFrame, cut: DataFrame, num: int, den: int) -> DataFrame:
     """Links between classes of one cluster (nodes: cls, n, cluster, comp) that join different components."""
     # Partners' sizes differ by the similarity at most, so they lie in the same size band or the next.
     band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num))).cast("int")
-    banded = nodes.withColumn("band", band)
+    mine = posted.join(nodes.select("cls"), "cls", "left_semi")
+    # Similar classes have the same smallest prefix n-gram more often than not: blocks are dealt by it, and those that grow too large by class.
+    banded = materialize(nodes.withColumn("band", band).join(mine.groupBy("cls").agg(F.min("h").alias("near")), "cls"))
     blocks = banded.groupBy("cluster", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = banded.join(blocks, ["cluster", "band"]).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).select("cluster", "band", "block", "cls", "n", "comp")
+    near = banded.join(blocks, ["cluster", "band"]).withColumn("near", F.pmod(F.xxhash64("near"), F.col("blocks")))
+    parts = near.groupBy("cluster", "band", "near").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    block = F.col("near") * (1 << 24) + F.pmod(F.xxhash64("cls"), F.col("parts"))
+    dealt = materialize(near.join(parts, ["cluster", "band", "near"]).withColumn("block", block).select("cluster", "band", "block", "cls", "n", "comp"))
     member = F.struct("cls", "n", "comp", "hs")
     packed = materialize(dealt.join(cut.drop("n"), "cls").groupBy("cluster", "frag", "band", "block").agg(F.sort_array(F.collect_list(member)).alias("m")))
-    side = lambda s: packed.select("cluster", "frag", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "block")], *[F.col(f"m.{c}").alias(f"{c}_{s}") for c in ("cls", "n", "comp", "hs")])
-    a, b = side("a"), side("b")
+    # Blocks meet where a prefix n-gram occurs in both with different components; each pair of blocks once.
+    held = materialize(mine.join(dealt, "cls").groupBy("h", "cluster", "band", "block").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")))
+    held = held.join(held.groupBy("h").agg(F.min("lo").alias("a"), F.max("hi").alias("b")).where("a < b").select("h"), "h", "left_semi")
+    end = lambda s: held.select("h", "cluster", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "block", "lo", "hi")])
     ahead = (F.col("band_a") < F.col("band_b")) | (F.col("band_a") == F.col("band_b")) & (F.col("block_a") <= F.col("block_b"))
-    met = a.join(b, ["cluster", "frag"]).where(ahead & (F.col("band_b") - F.col("band_a") <= 1))
+    two = F.least("lo_a", "lo_b") < F.greatest("hi_a", "hi_b")
+    facing = end("a").join(end("b"), ["h", "cluster"]).where(ahead & (F.col("band_b") - F.col("band_a") <= 1) & two)
+    facing = materialize(facing.select("cluster", "band_a", "block_a", "band_b", "block_b").distinct())
+    side = lambda s: packed.select("cluster", "frag", *[F.col(c).alias(f"{c}_{s}") for c in ("band", "block")], *[F.col(f"m.{c}").alias(f"{c}_{s}") for c in ("cls", "n", "comp", "hs")])
+    met = facing.join(side("a"), ["cluster", "band_a", "block_a"]).join(side("b"), ["cluster", "frag", "band_b", "block_b"])
     ids = "cluster long, band_a int, block_a long, band_b int, block_b long, cls_a array<long>, n_a array<long>, comp_a array<long>, cls_b array<long>, n_b array<long>, comp_b array<long>"
     names = [x.split()[0] for x in ids.split(", ")]
 
@@ -191,8 +207,8 @@ def block_links(nodes: DataFrame, cut: DataFrame, num: int, den: int) -> DataFra
                 out.append((ka[i][0], kb[j][0]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    parts = met.mapInPandas(partial, f"{ids}, counts binary")
-    return materialize(parts.groupBy("cluster", "band_a", "block_a", "band_b", "block_b").applyInPandas(total, "a long, b long"))
+    counted = met.mapInPandas(partial, f"{ids}, counts binary")
+    return materialize(counted.groupBy("cluster", "band_a", "block_a", "band_b", "block_b").applyInPandas(total, "a long, b long"))
 
 
 def overlaps(left, right) -> np.ndarray:
@@ -222,7 +238,8 @@ def overlaps(left, right) -> np.ndarray:
 def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """node, label (classes): label is the smallest class of the component, for classes that are not it."""
     sets = ordered_sets(docs, candidates_by_prefix(rows, num, den), n, num, den)
-    pairs, cut = star_pairs(sets, num, den), segments(sets)
+    posted, cut = prefixes(sets, num, den), segments(sets)
+    pairs = star_pairs(posted)
     found = linked(pairs, cut, num, den)
     comp, cluster = components(found), components(pairs)
     members = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
@@ -232,7 +249,7 @@ def links(docs: DataFrame, rows: DataFrame, n: int, num: int, den: int) -> DataF
     nodes = materialize(members.join(open_, "cluster", "left_semi").join(cut.select("cls", "n").distinct(), "cls"))
     if nodes.isEmpty():
         return comp
-    return components(found.unionByName(block_links(nodes, cut, num, den)))
+    return components(found.unionByName(block_links(nodes, posted, cut, num, den)))
 
 
 def groups(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> DataFrame:
