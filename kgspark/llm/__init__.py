@@ -1,4 +1,4 @@
-"""Operators for preparing training text, ten of them, each a DataFrame in and a DataFrame out.
+"""Operators for preparing training text, each a DataFrame in and a DataFrame out.
 
 Nothing else in the library imports this subpackage.  Its Python helpers that
 run on executors are shipped by value, so a cluster needs no copy of it.
