@@ -7,7 +7,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join may be broadcast while its rows, as counted, stay below this many bytes.
@@ -69,6 +69,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def own(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever characters their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", *, small_bytes: int | None = None, row_bytes: int = 64) -> DataFrame:
     """Join that broadcasts small only if its counted size is under BROADCAST_BYTES; else both sides shuffle.
 

@@ -1,7 +1,7 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
 import corpus_pipeline
-from kgspark.llm import ann, chat, jaccard, mixing, packing, pii, quality, spelling, suffixes, urls, warc
+from kgspark.llm import ann, chat, fingerprints, jaccard, mixing, packing, pii, quality, spelling, suffixes, urls, warc, whitening
 
 QUERIES = {
     "op1_mixing": mixing.query,
@@ -16,5 +16,7 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op10_nearest_neighbours": ann.query,
     "op11_spelling_variants": spelling.query,
+    "op12_fingerprints": fingerprints.query,
+    "op13_whitening": whitening.query,
 }
 ORACLES = {"op3_chat_formatting": chat.ORACLE, "op5_quality_rules": quality.ORACLE, "op7_warc": warc.ORACLE}

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm import shingles
-from kgspark.llm.common import join_checked, load, materialize
+from kgspark.llm.common import fresh, join_checked, load, materialize, own
 from kgspark.llm.components import components
 
 FRAGMENTS, BLOCK = 6, 256
@@ -253,16 +253,16 @@ def drop_copies(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10) -> Dat
     found = materialize(groups(docs, n, num, den))
     gone = materialize(found.where("doc_id <> component_id").select("doc_id", "text_key").distinct())
     same = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.min("text_key").alias("keep_key")).where("k > 1")
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    gone = gone.select("doc_id", F.col("text_key").alias("_key"))
-    left = join_checked(keyed, gone, ["doc_id", "_key"], "left_anti", row_bytes=32)
+    key, keep, r = (fresh(docs, c) for c in ("text_key", "keep_key", "r"))
+    gone = gone.withColumnRenamed("text_key", key)
+    left = join_checked(docs.withColumn(key, F.xxhash64("text")), gone, ["doc_id", key], "left_anti", row_bytes=32)
     if not same.isEmpty():  # rows that repeat the doc_id of a group's first: one of them stays
         from pyspark.sql import Window as W
 
-        twice = same.select("doc_id", "keep_key")
-        one = left.join(twice, "doc_id").where("_key = keep_key").withColumn("_r", F.row_number().over(W.partitionBy("doc_id").orderBy("_key"))).where("_r = 1").drop("_r", "keep_key")
+        twice = same.select("doc_id", F.col("keep_key").alias(keep))
+        one = left.join(twice, "doc_id").where(F.col(key) == F.col(keep)).withColumn(r, F.row_number().over(W.partitionBy("doc_id").orderBy(key))).where(F.col(r) == 1).drop(r, keep)
         left = left.join(twice, "doc_id", "left_anti").unionByName(one)
-    return left.select(*docs.columns)
+    return left.select(*own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

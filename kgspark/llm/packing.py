@@ -27,7 +27,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,19 +116,20 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
             caches[path] = ChunkCache(path)
         cache = caches[path]
         end = np.array([END], "<u4").tobytes()
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf.text]
+        for batch in batches:
+            texts, ids = [t or "" for t in batch.column("text").to_pylist()], batch.column("doc_id").to_pylist()
             sizes = np.cumsum([len(t) for t in texts]) // SLICE_CHARS
             for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
                 out = []
-                for doc_id, raw in zip(pdf.doc_id.iloc[at], cache.encode([texts[i] for i in at])):
+                for doc_id, raw in zip((ids[i] for i in at), cache.encode([texts[i] for i in at])):
                     raw += end
                     for i, start in enumerate(range(0, len(raw), 4 * capacity)):
                         part = raw[start : start + 4 * capacity]
                         out.append((doc_id, i, start // 4, len(part) // 4, zlib.crc32(part)))
-                yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> dict[int, list[tuple[int, int, int, int, int]]]:

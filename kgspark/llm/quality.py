@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.common import fresh, load, materialize
+from kgspark.llm.common import fresh, load, materialize, own
 
 WINDOW = 8
 MEASURES = T.StructType([T.StructField(c, T.LongType(), False) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct")])
@@ -176,7 +176,7 @@ def apply_rules(docs: DataFrame, keep_text: bool = True) -> tuple[DataFrame, str
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass, with their own columns only."""
     out, _, verdict = apply_rules(docs)
-    return out.where(F.col(verdict)["kept"]).select(*docs.columns)
+    return out.where(F.col(verdict)["kept"]).select(*own(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kgspark.llm.common import join_checked, load, materialize, release
+from kgspark.llm.common import join_checked, load, materialize, release, worker_cache
 from kgspark.llm.shingles import mix
 
 MATCH, GRAM = 50, 16
@@ -84,15 +84,13 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-@functools.lru_cache(4)
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
-    p[:1] = 1
-    return np.cumprod(p, dtype=np.uint64)
-
-
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(1, n - 1).bit_length())[:n]
+    held = worker_cache("powers")
+    if len(held.get(base, ())) < n:
+        p = np.full(1 << max(1, n - 1).bit_length(), base, np.uint64)
+        p[0] = 1
+        held[base] = np.cumprod(p, dtype=np.uint64)
+    return held[base][:n]
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

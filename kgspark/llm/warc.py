@@ -25,7 +25,7 @@ import re
 import struct
 import time
 
-import pandas as pd
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,7 +191,7 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes the archives; returns their manifest: path, n_records."""
     where, dictionary = shared_dir(pages.sparkSession), train_dictionary(pages)
     date = time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())
-    return materialize(with_roles(pages, min_bytes).mapInPandas(_writer(where, dictionary, date, min_bytes), "path string, n_records long"))
+    return materialize(with_roles(pages, min_bytes).mapInArrow(_writer(where, dictionary, date, min_bytes), "path string, n_records long"))
 
 
 def _writer(where: str, dictionary: bytes, date: str, min_bytes: int):
@@ -205,12 +205,11 @@ def _writer(where: str, dictionary: bytes, date: str, min_bytes: int):
         store.create_dir(base, recursive=True)
         dict_data = zstd.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstd.ZstdCompressor(level=3, dict_data=dict_data, write_content_size=True)
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, attempt = TaskContext.get().partitionId(), 0, TaskContext.get().taskAttemptId()  # attempts never write to one name
         out, temporary, size, n = None, "", 0, 0
-        for pdf in batches:
-            for page_id, url, payload, digest, response_id, first in zip(pdf.page_id, pdf.url, pdf.payload, pdf.digest, pdf.response_id, pdf.is_response):
-                page_id = None if pd.isna(page_id) else int(page_id)
-                refers = None if pd.isna(response_id) else int(response_id)
+        names = "path", "n_records"
+        for batch in batches:
+            for page_id, url, payload, digest, refers, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "response_id", "is_response"))):
                 if out is None:
                     temporary, size, n = f"{base}/_{uuid.uuid4().hex}", 0, 0
                     out = store.open_output_stream(temporary, compression=None)
@@ -222,13 +221,13 @@ def _writer(where: str, dictionary: bytes, date: str, min_bytes: int):
                 size, n = size + len(payload), n + 1
                 if size >= SHARD_BYTES:
                     out.close()
-                    store.move(temporary, name := f"{base}/part-{part:05d}-{shard:05d}.warc.zst")
+                    store.move(temporary, name := f"{base}/part-{part:05d}-{shard:05d}-{attempt}.warc.zst")
                     out, shard = None, shard + 1
-                    yield pd.DataFrame({"path": [name], "n_records": [n]})
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=names)
         if out is not None:
             out.close()
-            store.move(temporary, name := f"{base}/part-{part:05d}-{shard:05d}.warc.zst")
-            yield pd.DataFrame({"path": [name], "n_records": [n]})
+            store.move(temporary, name := f"{base}/part-{part:05d}-{shard:05d}-{attempt}.warc.zst")
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=names)
 
     where = uri_of(where)
     return write
@@ -246,8 +245,8 @@ def read_archives(manifest: DataFrame, uri: str = "file:///") -> DataFrame:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(uri)
-        for pdf in batches:
-            for path, n_records in zip(pdf.path, pdf.n_records):
+        for batch in batches:
+            for path, n_records in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist()):
                 rows, n = [], 0
                 with store.open_input_stream(path, compression=None) as stream:
                     for r in read_archive(stream):
@@ -264,12 +263,13 @@ def read_archives(manifest: DataFrame, uri: str = "file:///") -> DataFrame:
                 yield _frame(rows)
 
     files = manifest.repartition(max(1, manifest.sparkSession.sparkContext.defaultParallelism * 4))
-    return files.mapInPandas(read, RECORDS)
+    return files.mapInArrow(read, RECORDS)
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def _frame(rows: list[tuple]) -> pa.RecordBatch:
     names = [x.split()[0] for x in RECORDS.split(", ")]
-    return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype="Int64" if n in ("page_id", "payload_bytes", "refers_to") else "object") for i, n in enumerate(names)})
+    kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in RECORDS.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
