@@ -2,59 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import cosine, sigmoid
+from kgspark.functions.udfs import ratio, weighted_ratio
 from kgspark.operators.graph import alias_names, undirected, visible
 from kgspark.operators.recovery import saved
-
-#: Vectors of a query block and of a corpus block multiplied at once.
-QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
-
-
-def blocks_of(df: DataFrame, id_col: str, size: int) -> tuple[DataFrame, int]:
-    """(_s, ids, vecs) in about count / size blocks, and their number."""
-    n = max(1, -(-df.count() // size))
-    dealt = df.withColumn("_s", F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int"))
-    return dealt.groupBy("_s").agg(F.collect_list(id_col).alias("ids"), F.collect_list("vec").alias("vecs")), n
-
-
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """qid, id, score, rank: the k nearest by cosine (ties to the smaller id), the floor applied after the cut.
-
-    queries: qid, vec; corpus: id, vec.  Blocks of queries meet blocks of the
-    corpus; a task multiplies matrices and keeps k per query, the window merges.
-    """
-    asked, _ = blocks_of(queries.where("vec is not null").select("qid", "vec"), "qid", QUERY_BLOCK)
-    stored, n = blocks_of(corpus.where("vec is not null").select("id", "vec"), "id", CORPUS_BLOCK)
-    # The stated queries meet every block of the corpus.
-    met = asked.select(F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_s")).join(stored, "_s")
-
-    def best(batches):
-        for pdf in batches:
-            for qids, vecs, ids, cvecs in zip(pdf.qids, pdf.qvecs, pdf.ids, pdf.vecs):
-                q, c = np.stack(list(vecs)).astype(np.float64), np.stack(list(cvecs)).astype(np.float64)
-                ids = np.asarray(ids)
-                nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
-                s = (q @ c.T) / np.where(nq == 0, 1, nq)[:, None] / np.where(nc == 0, 1, nc)[None, :]
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(np.asarray(qids), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
-
-    found = met.mapInPandas(best, "qid long, id long, score double")
-    rn = F.row_number().over(W.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id"))
-    got = found.withColumn("rank", rn).where(F.col("rank") <= k)
-    return got if floor is None else got.where(F.col("score") >= floor)
-
-
-def knn_self(vectors: DataFrame, k: int = 50) -> DataFrame:
-    """id, other, score: the k nearest of each, itself counted and then dropped."""
-    v = vectors.where("vec is not null")
-    return vector_topk(v.select(F.col("id").alias("qid"), "vec"), v, k).where("qid <> id").select(F.col("qid").alias("id"), F.col("id").alias("other"), "score")
-
+from kgspark.operators.vectors import knn_self, vector_topk  # noqa: F401
 
 def relevant_facts(facts: DataFrame, query: DataFrame, k: int = 5) -> DataFrame:
     """query (entity_id, qvec) -> its active facts nearest by cosine."""
@@ -155,34 +111,60 @@ def recent_activity(edges: DataFrame, entities: DataFrame, names: DataFrame, now
     return near.join(entities.where(visible(F.col("topic"), topics)).select(F.col("id").alias("dst"), F.col("canonical_name").alias("other")), "dst").select(F.col("src").alias("id"), F.col("dst").alias("other_id"), "other", "last_seen", "weight")
 
 
-def fuzzy_candidates(mentions: DataFrame, names: DataFrame, ratio, cutoff: float = 85, k: int = 50) -> DataFrame:
-    """mention, id, score (0..1): edit ratio over names, of 85 or more.
+def _pairs_of_letters(texts: DataFrame) -> DataFrame:
+    """f, n, g: of each text f its pairs of adjacent letters, each with its number of occurrence, and how many there are; shorter texts are one."""
+    at = F.sequence(F.lit(1), F.greatest(F.length("f") - 1, F.lit(1)))
+    pairs = F.array_sort(F.transform(at, lambda i: F.substring(F.col("f"), i, F.lit(2))))
+    # Equal pairs stand together once sorted; the number of occurrence is the distance to the first of them.
+    counted = texts.select("f", pairs.alias("p")).select("f", F.transform("p", lambda x, i: F.concat(x, F.lit(":"), (i + 1 - F.array_position("p", x)).cast("string"))).alias("grams"))
+    return counted.select("f", F.size("grams").alias("n"), F.explode("grams").alias("g"))
 
-    Candidates lose no pair.  With c = cutoff / 100, texts of a and b letters have c (a + b) / 2 letters in common order at
-    least, hence 3 c (a + b) / 2 - (a + b) - 1 pairs of adjacent letters, each with its number of occurrence.  Of so many
-    shared pairs one is among the rarest of each text, once that many less one are left out.  One and two letters: equal only.
+
+def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85, k: int = 50) -> DataFrame:
+    """mention, id, score (0..1): the weighted ratio over names (id, name in lower case), of the cutoff (85 or more); below four letters the plain ratio.
+
+    Candidates lose no pair; c = cutoff / 100.  A text counts as it is, with its words sorted, and with its distinct words sorted.
+      - Plain ratios, of any of these: texts of a and b letters have c (a + b) / 2 in common order at least, hence 3 c (a + b) / 2 - (a + b) - 1 pairs
+        of adjacent letters.  Of so many shared pairs one is among the rarest of each text, once that many less one are left out.
+      - Sets of words, where one word is shared, and parts that share one: the word.
+      - Parts, weighted 0.9: with p = c / 0.9 a part and the shorter text of a letters differ by 2 (1 - p) a edits at most, each of which takes
+        away two of the a - 1 pairs at most; one of the others is among the rarest that many and one of the shorter text, and anywhere in the longer.
+          - One letter alone: the letter.
     """
     if cutoff < 85:
         raise ValueError("below 85 short names need not share adjacent letters")
     c = cutoff / 100
-    texts = mentions.select(F.lower("mention").alias("s")).unionByName(names.select(F.col("name").alias("s"))).where("s is not null").distinct()
-    at = F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1)))
-    pairs = F.array_sort(F.transform(at, lambda i: F.substring(F.col("s"), i, F.lit(2))))
-    # Equal pairs stand together once sorted; the number of occurrence is the distance to the first of them.
-    counted = texts.select("s", pairs.alias("p")).select("s", F.transform("p", lambda x, i: F.concat(x, F.lit(":"), (i + 1 - F.array_position("p", x)).cast("string"))).alias("grams"))
-    posted = counted.select("s", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    asked = mentions.select(F.lower("mention").alias("s")).where("s <> ''").distinct()
+    known = names.select(F.col("name").alias("s")).where("s is not null").distinct()
+    texts = asked.withColumn("m", F.lit(1)).unionByName(known.withColumn("m", F.lit(0))).groupBy("s").agg(F.max("m").alias("m"), F.min("m").alias("n_side"))
+    words = F.filter(F.split("s", r"\s+"), lambda w: w != "")
+    forms = F.array_distinct(F.array(F.col("s"), F.array_join(F.array_sort(words), " "), F.array_join(F.array_sort(F.array_distinct(words)), " ")))
+    sides = saved(texts.select("s", (F.col("m") == 1).alias("is_m"), (F.col("n_side") == 0).alias("is_n"), forms.alias("forms"), F.array_distinct(words).alias("words")))
+    form = sides.select("s", "is_m", "is_n", F.explode("forms").alias("f"))
+    posted = _pairs_of_letters(form.select("f").distinct())
     df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ordered = posted.join(df, "g").groupBy("s", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
-    a = F.length("s")
+    ordered = posted.join(df, "g").groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    a, gone = F.length("f"), F.floor(4 * (1 - c / 0.9) * F.length("f") + 1e-9)
     least = F.ceil((1.5 * c - 1) * a * (1 + c / (2 - c)) - 1 - 1e-9)
-    rare = saved(ordered.select("s", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), least) + 1).cast("int"))).alias("x")).select("s", "x.g"))
-    m = rare.join(mentions.select(F.lower("mention").alias("s")).distinct(), "s", "left_semi").withColumnRenamed("s", "mention")
-    n = rare.join(names.select(F.col("name").alias("s")).distinct(), "s", "left_semi").withColumnRenamed("s", "name")
-    near = F.abs(F.length("mention") - F.length("name")) * 100 <= (100 - cutoff) * (F.length("mention") + F.length("name"))
-    met = m.join(n, "g").where(near).select("mention", "name").distinct()
-    scored = met.withColumn("score", F.when(F.col("mention") == F.col("name"), 100.0).otherwise(ratio(F.col("mention"), F.col("name")))).where(F.col("score") >= cutoff)
+    plain = F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), least) + 1)
+    rare = saved(ordered.select("f", "n", F.posexplode(F.col("o")).alias("r", "x")).select("f", "x.g", (F.col("r") < plain).alias("plain"), (F.col("r") <= gone).alias("part")).join(form, "f"))
+    m = rare.where("is_m").select(F.col("s").alias("mention"), F.col("f").alias("mf"), "g", F.col("plain").alias("m_plain"), F.col("part").alias("m_part"))
+    n = rare.where("is_n").select(F.col("s").alias("name"), F.col("f").alias("nf"), "g", F.col("plain").alias("n_plain"), F.col("part").alias("n_part"))
+    lm, ln, fm, fn = F.length("mention"), F.length("name"), F.length("mf"), F.length("nf")
+    near = F.abs(fm - fn) * 100 <= (100 - cutoff) * (fm + fn)
+    apart = (F.greatest(lm, ln) >= 1.5 * F.least(lm, ln)) & (F.greatest(lm, ln) <= 8 * F.least(lm, ln)) & (lm >= 4)
+    part = F.col("m_part") & (fm <= fn) | F.col("n_part") & (fn <= fm)
+    met = m.where("m_plain").join(n.where("n_plain"), "g").where(near).select("mention", "name")
+    met = met.unionByName(m.where("m_part").join(n, "g").where(apart & part).select("mention", "name")).unionByName(m.join(n.where("n_part"), "g").where(apart & part).select("mention", "name"))
+    word = lambda side, to: sides.where(side).select(F.col("s").alias(to), F.explode("words").alias("w"))
+    met = met.unionByName(word("is_m", "mention").where(lm >= 4).join(word("is_n", "name"), "w").where(F.greatest(lm, ln) <= 8 * F.least(lm, ln)).select("mention", "name"))
+    letter = sides.where("is_m").select(F.col("s").alias("mention"), F.explode(F.array_distinct(F.split("s", ""))).alias("f"))
+    alone = form.where("is_n").where(F.length("f") == 1).select("f", F.col("s").alias("name"))
+    met = met.unionByName(letter.join(alone, "f").where(apart).select("mention", "name")).distinct()
+    r = F.when(F.col("mention") == F.col("name"), 100.0).otherwise(F.when(lm < 4, ratio("mention", "name")).otherwise(weighted_ratio("mention", "name")))
+    scored = met.withColumn("score", r).where(F.col("score") >= cutoff)
     best = scored.join(names.select("id", "name").distinct(), "name").groupBy("mention", "id").agg((F.max("score") / 100).alias("score"))
-    rn = F.row_number().over(W.partitionBy("mention").orderBy(F.desc("score"), "id"))
+    rn = F.row_number().over(W.partitionBy("mention").orderBy(F.round("score", 9).desc(), "id"))
     return best.withColumn("rank", rn).where(F.col("rank") <= k)
 
 

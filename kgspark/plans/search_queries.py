@@ -9,6 +9,8 @@ from kgspark.functions import scalars
 from kgspark.functions.udfs import hashed_embedding, ratio
 from kgspark.operators import facts as fact_ops
 from kgspark.operators import discussions, graph, ingest, search, stats
+from kgspark.operators.recovery import saved
+from kgspark.operators.vectors import Lsh
 from kgspark.plans.read_queries import ACTIVE, ACTIVE_SQL
 from kgspark.plans.registry import query
 
@@ -164,9 +166,20 @@ def f3(t):
     return t.part.select("p_partkey", (scalars.substring_match(F.col("p_name"), F.col("p_type")) | scalars.substring_match(F.concat("p_brand", "p_name"), F.col("p_name"))).alias("hit"))
 
 
-@query("f4_indel_ratio")
+def lcs_sql(a, b):
+    """Length of the longest common subsequence of two short columns in SQL: a row of the table as the bits of a number."""
+    full = f"((CAST(1 AS HUGEINT) << CAST(length({a}) AS INTEGER)) - 1)"
+    bits = f"list_transform(string_split({b}, ''), lambda c: coalesce(list_sum(list_transform(range(length({a})), lambda i: CASE WHEN substr({a}, i + 1, 1) = c THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE CAST(0 AS HUGEINT) END)), 0)::HUGEINT)"
+    return f"CASE WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 ELSE length({a}) - bit_count(list_reduce({bits}, lambda s, m: ((s + (s & m)) | (s - (s & m))) & {full}, {full})) END"
+
+
+def ratio_sql(a, b):
+    return f"(200.0::DOUBLE * ({lcs_sql(a, b)}) / (length({a}) + length({b})))"
+
+
+@query("f4_indel_ratio", f"SELECT p_partkey, round({ratio_sql('p_name', 'b')}, 6) AS ratio, round({ratio_sql('p_name', 'b')}, 6) AS native FROM (SELECT p_partkey, p_name, p_type || ' ' || p_name AS b FROM part)")
 def f4(t):
-    pairs = t.part.select("p_partkey", F.col("p_name").alias("a"), F.concat("p_name", F.lit(" "), "p_type").alias("b"))
+    pairs = t.part.select("p_partkey", F.col("p_name").alias("a"), F.concat("p_type", F.lit(" "), "p_name").alias("b"))
     return pairs.select("p_partkey", F.round(ratio("a", "b"), 6).alias("ratio"), F.round(scalars.indel_ratio(F.col("a"), F.col("b")), 6).alias("native"))
 
 
@@ -174,13 +187,32 @@ def mentions(t):
     return t.supplier.select(F.concat(F.lower("s_name"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("x")).otherwise(F.lit(""))).alias("mention"))
 
 
-@query("r11_fuzzy_candidates")
+# Of these names, one word each or much shorter, none is alike by words or parts, so the weighted ratio is the plain one.
+FUZZY = f"""m AS (SELECT lower(s_name) || CASE WHEN s_suppkey % 2 = 0 THEN 'x' ELSE '' END AS mention, s_suppkey FROM supplier), n AS (SELECT DISTINCT id, lower(name) AS name FROM (SELECT id, canonical_name AS name FROM kg_entities UNION ALL SELECT id, alias1 FROM kg_entities) WHERE name IS NOT NULL),
+f AS (SELECT mention, id, max(r) / 100 AS score FROM (SELECT mention, id, {ratio_sql('mention', 'name')} AS r FROM m, n WHERE abs(length(mention) - length(name)) * 100 <= 15 * (length(mention) + length(name))) WHERE r >= 85 GROUP BY mention, id QUALIFY row_number() OVER (PARTITION BY mention ORDER BY round(max(r), 7) DESC, id) <= 5)"""
+
+
+@query("r11_fuzzy_candidates", f"WITH {FUZZY} SELECT mention, id, round(score, 6) AS score FROM f")
 def r11(t):
-    return search.fuzzy_candidates(mentions(t), graph.alias_names(t.entities.where("type = 'supplier'")), ratio, 85, 5).select("mention", "id", F.round("score", 6).alias("score"))
+    return search.fuzzy_candidates(mentions(t), graph.alias_names(t.entities), 85, 5).select("mention", "id", F.round("score", 6).alias("score"))
+
+
+def turned_parts(t):
+    """Mentions of parts with their words in another order, and some cut short or misspelt."""
+    words, k = F.split("p_name", " "), F.col("p_partkey") % 4
+    said = F.when(k == 0, F.array_join(F.reverse(words), " ")).when(k == 1, F.concat_ws(" ", F.element_at(words, -1), F.element_at(words, 1))).when(k == 2, F.substring("p_name", 1, 9)).otherwise(F.concat("p_name", F.lit("s")))
+    return t.part.select(said.alias("mention")).distinct()
+
+
+@query("r11_weighted_candidates")
+def r11b(t):
+    """The weighted ratio in full: words in any order, subsets and parts, of every part's name."""
+    names = t.part.groupBy(F.lower("p_name").alias("name")).agg((2000000 + F.min("p_partkey")).alias("id"))
+    return search.fuzzy_candidates(turned_parts(t), names, 85, 50).select("mention", "id", F.round("score", 6).alias("score"))
 
 
 def fused(t):
-    fuzzy = search.fuzzy_candidates(mentions(t), graph.alias_names(t.entities.where("type = 'supplier'")), ratio, 85, 5)
+    fuzzy = search.fuzzy_candidates(mentions(t), graph.alias_names(t.entities), 85, 5)
     exact = graph.alias_names(t.entities).select(F.col("name").alias("mention"), "id", F.lit(1.0).alias("score")).join(mentions(t), "mention", "left_semi")
     # A mention's vector is that of its supplier; the five nearest suppliers of a cosine of 0.85 or more are candidates too.
     own = t.supplier.select(F.concat(F.lower("s_name"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("x")).otherwise(F.lit(""))).alias("mention"), F.col("s_suppkey").alias("qid"))
@@ -189,7 +221,9 @@ def fused(t):
     return search.fuse(exact, fuzzy, own.join(near, "qid").select("mention", "id", "score"))
 
 
-@query("r12_candidate_fusion")
+@query("r12_candidate_fusion", f"""WITH {FUZZY}, x AS (SELECT mention, id, CAST(1 AS DOUBLE) AS score FROM m JOIN n ON n.name = m.mention),
+v AS (SELECT vec_id, embedding FROM kg_vectors JOIN supplier ON s_suppkey = vec_id), k AS (SELECT q.vec_id AS qid, v.vec_id + 1000 AS id, {COS.format(a='q.embedding', b='v.embedding')} AS score FROM v q, v QUALIFY row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS.format(a='q.embedding', b='v.embedding')}, 9) DESC, v.vec_id) <= 5)
+SELECT mention, id, round(max(score), 6) AS score FROM (SELECT mention, id, score FROM x UNION ALL SELECT mention, id, score FROM f UNION ALL SELECT mention, id, score FROM k JOIN m ON m.s_suppkey = k.qid WHERE score >= 0.85) GROUP BY mention, id""")
 def r12(t):
     return fused(t).select("mention", "id", F.round("score", 6).alias("score"))
 
@@ -247,17 +281,40 @@ def r19(t):
     return stats.top_per_group(t.related_to, ["context"], ["last_seen", "a_id", "b_id"], 1 << 30, "place").select("place", "context", "a_id", "b_id")
 
 
+def merge_candidates(t, lsh=None, k=50):
+    """D1 over all entities with vectors."""
+    knn = search.knn_self(t.entities.join(t.vectors, "vec_id").select("id", F.col("embedding").alias("vec")), k, lsh)
+    return fact_ops.merge_pairs(knn, t.entities, stats.generic_tokens(t.entities.select("id", F.lower("canonical_name").alias("name")), 400))
+
+
 @query("d1_merge_pairs")
 def d1(t):
-    e = t.entities.where("type = 'part'")
-    knn = search.knn_self(e.join(t.vectors, "vec_id").select("id", F.col("embedding").alias("vec")), 20)
-    return fact_ops.merge_pairs(knn, t.entities, stats.generic_tokens(t.entities.select("id", F.lower("canonical_name").alias("name")), 400)).select("lo", "hi", F.round("score", 6).alias("score"))
+    return merge_candidates(t, Lsh()).select("lo", "hi", F.round("score", 6).alias("score"))
+
+
+NAMED = f"""c AS (SELECT DISTINCT least(a.id, b.id) AS lo, greatest(a.id, b.id) AS hi FROM (SELECT id, lower(canonical_name) AS name FROM kg_entities UNION SELECT id, lower(alias1) FROM kg_entities) a JOIN (SELECT id, lower(canonical_name) AS name FROM kg_entities UNION SELECT id, lower(alias1) FROM kg_entities) b ON a.name = b.name AND a.id < b.id),
+p AS (SELECT lo, hi, {ratio_sql('na', 'nb')} AS score, coalesce({COS.format(a='va', b='vb')}, 0) AS cos, ta IS NOT DISTINCT FROM tb AS same_type, pa IS DISTINCT FROM pb AS cross_topic
+ FROM (SELECT lo, hi, lower(a.canonical_name) AS na, lower(b.canonical_name) AS nb, a.type AS ta, b.type AS tb, a.topic AS pa, b.topic AS pb, va.embedding AS va, vb.embedding AS vb FROM c JOIN kg_entities a ON a.id = lo JOIN kg_entities b ON b.id = hi LEFT JOIN kg_vectors va ON va.vec_id = a.vec_id LEFT JOIN kg_vectors vb ON vb.vec_id = b.vec_id)),
+un AS (SELECT a_id AS src, b_id AS dst FROM kg_related_to UNION SELECT b_id, a_id FROM kg_related_to), s AS (SELECT lo, hi, count(*) AS shared FROM p JOIN un x ON x.src = lo JOIN un y ON y.src = hi AND y.dst = x.dst WHERE x.dst <> 1 GROUP BY lo, hi)"""
 
 
-@query("d2_classify_pairs")
+@query("d2_classify_pairs", f"""WITH {NAMED} SELECT lo AS a_id, hi AS b_id, round(score, 6) AS score, round(cos, 6) AS cos, cross_topic, coalesce(shared, 0) AS shared FROM p LEFT JOIN s USING (lo, hi)
+WHERE NOT EXISTS (SELECT 1 FROM un WHERE src = lo AND dst = hi) AND NOT EXISTS (SELECT 1 FROM kg_part_of WHERE (child_id = lo AND parent_id = hi) OR (child_id = hi AND parent_id = lo)) AND (NOT cross_topic OR same_type AND score >= 85) AND (coalesce(shared, 0) = 0 OR same_type AND score >= 95)""")
 def d2(t):
-    p = graph.alias_collisions(t.entities).where("lo >= 2000000").withColumn("score", F.lit(90.0)).withColumn("cos", F.lit(0.8))
-    return fact_ops.classify_pairs(p, t.entities, t.related_to, t.part_of)
+    """Pairs that share a name, with their ratio and cosine."""
+    e = t.entities.join(t.vectors, "vec_id", "left").select("id", F.lower("canonical_name").alias("name"), F.col("embedding").alias("vec"))
+    a, b = (e.select(*[F.col(c).alias(f"{c}_{s}") for c in e.columns]) for s in "ab")
+    p = graph.alias_collisions(t.entities).join(a, F.col("lo") == F.col("id_a")).join(b, F.col("hi") == F.col("id_b"))
+    p = p.select("lo", "hi", ratio("name_a", "name_b").alias("score"), scalars.cosine(F.col("vec_a"), F.col("vec_b")).alias("cos"))
+    got = fact_ops.classify_pairs(p, t.entities, t.related_to, t.part_of)
+    return got.select("a_id", "b_id", F.round("score", 6).alias("score"), F.round("cos", 6).alias("cos"), "cross_topic", "shared")
+
+
+@query("d2_classify_neighbours")
+def d2b(t):
+    """D1's own pairs, classified."""
+    got = fact_ops.classify_pairs(saved(merge_candidates(t, Lsh())), t.entities, t.related_to, t.part_of)
+    return got.select("a_id", "b_id", F.round("score", 6).alias("score"), "cross_topic", "shared")
 
 
 P3 = "(SELECT a_id, b_id, round(confidence - (weight % 3) * 0.1, 6) AS cos, a_id % 2 = b_id % 2 AS same_topic, weight > 2 AS alias_hit, weight % 2 AS facts_a, 1 AS facts_b FROM kg_related_to)"

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions import scalars
-from kgspark.functions.udfs import embed, lcs_length, ratio, ratio_of
-from kgspark.operators import context, discussions, facts, graph, greedy, ingest, search, topics, upsert
+from kgspark.functions.udfs import embed, lcs_length, partial_ratio_of, ratio, ratio_of, weighted_ratio_of
+from kgspark.operators import context, discussions, facts, graph, greedy, ingest, search, topics, upsert, vectors
 from kgspark.sources import sessions
 from kgspark.sources.store import SnapshotStore
 from kgspark.streaming import streams
@@ -71,11 +72,76 @@ def test_aliases_of_any_length_are_found(spark):
 
 def test_name_candidates_lose_no_pair(spark):
     rnd = random.Random(2)
-    names = sorted({"".join(rnd.choice("abn") for _ in range(rnd.randrange(1, 9))) for _ in range(150)} | {"jon", "karen", "kaen", "john"})
-    mentions = sorted({"".join(rnd.choice("abn") for _ in range(rnd.randrange(1, 9))) for _ in range(80)} | {"john", "kaen"})
-    got = search.fuzzy_candidates(spark.createDataFrame([(m,) for m in mentions], "mention string"), spark.createDataFrame(list(enumerate(names)), "id long, name string"), ratio, 85, 10_000)
-    want = {(m, i) for m in mentions for i, n in enumerate(names) if ratio_of(m, n) >= 85}
-    assert {(r.mention, r.id) for r in got.collect()} == want and ("john", names.index("jon")) in want
+    word = lambda k, of="abn": "".join(rnd.choice(of) for _ in range(rnd.randrange(1, k)))
+    several = lambda: (" " * rnd.choice((1, 1, 2))).join(word(7, "abcdefgh") for _ in range(rnd.randrange(1, 5)))
+    base = [several() for _ in range(60)]
+    turned = [" ".join(rnd.sample(x.split(), len(x.split()))) for x in base] + [x[2:] for x in base] + [x + " " + word(9) for x in base] + [x[:6] for x in base]
+    names = sorted({word(9) for _ in range(150)} | set(base) | {several() for _ in range(100)} | {"jon", "karen", "kaen", "john", "smith bob", "a", "x", "b b"})
+    mentions = sorted({word(9) for _ in range(80)} | set(turned) | {"john", "kaen", "bob smith", "xabx", "abab abab", ""})
+    got = search.fuzzy_candidates(spark.createDataFrame([(m,) for m in [*mentions, None]], "mention string"), spark.createDataFrame(list(enumerate(names)), "id long, name string"), 85, 10_000)
+    of = lambda m, n: 100 if m == n else ratio_of(m, n) if len(m) < 4 else weighted_ratio_of(m, n)
+    want = {(m, i): round(of(m, n), 6) for m in mentions if m for i, n in enumerate(names) if of(m, n) >= 85}
+    assert {(r.mention, r.id): round(r.score * 100, 6) for r in got.collect()} == want
+    assert ("john", names.index("jon")) in want and want["bob smith", names.index("smith bob")] == 95 and len(want) > 500
+
+
+def test_partial_ratio_is_the_best_window():
+    rnd = random.Random(5)
+    for _ in range(2000):
+        a, b = ("".join(rnd.choice("abc ") for _ in range(rnd.randrange(1, 9))) for _ in "ab")
+        short, long = sorted((a, b), key=len)
+        m = len(short)
+        windows = lambda x: {x[:i] for i in range(1, m)} | {x[i : i + m] for i in range(len(x) - m + 1)} | {x[i:] for i in range(max(0, len(x) - m + 1), len(x))}
+        want = max(ratio_of(short, w) for w in windows(long))
+        if len(a) == len(b):
+            want = max(want, max(ratio_of(long, w) for w in windows(short)))
+        assert partial_ratio_of(a, b) == want
+
+
+def nearest(rows, k, qid=None):
+    """(id, other) of the k nearest by cosine, itself counted and dropped, per length."""
+    out = set()
+    for i, v in rows:
+        near = sorted((-round(np.dot(v, w) / ((np.linalg.norm(v) or 1) * (np.linalg.norm(w) or 1)), 9), j) for j, w in rows if len(w) == len(v))[:k]
+        out |= {(i, j) for _, j in near if j != i}
+    return out
+
+
+def odd_vectors():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(6, 8))
+    rows = [(i, (centres[i % 6] + 0.2 * rng.normal(size=8)).tolist()) for i in range(120)]
+    rows += [(200 + i, rows[0][1]) for i in range(40)] + [(300, [0.0] * 8), (301, [0.0] * 8), (400, [1.0, 2.0]), (401, [2.0, 4.0]), (402, [1.0, -1.0])]
+    odd = [(500, None), (501, []), (502, [1.0] * 7 + [float("nan")]), (503, [None] * 8), (504, [float("inf")] * 8)]
+    return rows, odd
+
+
+def test_neighbours_of_odd_vectors(spark):
+    rows, odd = odd_vectors()
+    v = spark.createDataFrame(rows + odd, "id long, vec array<double>").repartition(4)
+    for k in (1, 5, 60):
+        assert {(r.id, r.other) for r in vectors.knn_self(v, k).collect()} == nearest(rows, k)
+    got = vectors.vector_topk(v.withColumnRenamed("id", "qid"), v, 4)
+    assert {(r.qid, r.id) for r in got.where("qid <> id").collect()} <= nearest(rows, 5) and got.where("rank > 4").isEmpty()
+    assert vectors.knn_self(v.where("false"), 3).isEmpty() and vectors.knn_self(v.where("false"), 3, vectors.Lsh()).isEmpty()
+
+
+def test_buckets_hold_most_neighbours(spark):
+    rows, odd = odd_vectors()
+    main = [(i, v) for i, v in rows if len(v) == 8]
+    v = spark.createDataFrame(rows + odd, "id long, vec array<double>")
+    want, got = nearest(main, 10), {(r.id, r.other) for r in vectors.knn_self(v, 10, vectors.Lsh(12, 4, 0.5)).collect()}
+    assert len(want & got) > 0.9 * len(want)
+    hit, met = vectors.recall(v.where("id < 120"), 10, vectors.Lsh(12, 4, 0.5), v.where("id < 20").withColumnRenamed("id", "qid"))
+    assert hit > 0.9 and met < 0.6
+
+
+def test_merge_pairs_by_name_and_by_vector(spark):
+    e = spark.createDataFrame([(1, "Bob Smith"), (2, "Smith Bob"), (3, "Roberta"), (4, "Roberta Corp"), (5, "Corp"), (6, "Ann Corp")], "id long, canonical_name string")
+    knn = spark.createDataFrame([(1, 2, 0.1), (3, 4, 0.2), (5, 4, 0.95), (2, 3, 0.9), (2, 6, 0.89), (4, 3, 0.3)], "id long, other long, score double")
+    got = rows(facts.merge_pairs(knn, e, spark.createDataFrame([("corp",)], "token string")), "lo", "hi", "score")
+    # Roberta Corp and Corp are alike by name, but share a generic word only.
+    assert got == [(1, 2, 95.0), (2, 3, 0.0), (3, 4, 90.0)]
 
 
 def test_turns_of_equal_time_are_not_before(spark):
