@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, for stores and the state of streams."""
+    _prepare(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
     """df computed once and stored by checkpoint() in spark.checkpoint.dir. Where that is unset, a local session gets a temporary folder; a cluster must name one."""
-    context = df.sparkSession.sparkContext
+    _prepare(df.sparkSession)
+    return df.checkpoint()
+
+
+def _prepare(spark: SparkSession) -> None:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None)
         if where is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="kgspark-"))
-    return df.checkpoint()

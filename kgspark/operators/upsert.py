@@ -166,6 +166,38 @@ def undo_merge(now: dict[str, DataFrame], before: dict[str, DataFrame], pairs: D
     return {"entities": now["entities"].unionByName(renamed(before["entities"], "id").select(*now["entities"].columns)), "facts": facts, "edges": edges, "part_of": places.distinct()}
 
 
+def later_edges(now: DataFrame, then: DataFrame) -> DataFrame:
+    """Edges of now with the message ids that then did not have; weight is their number."""
+    old = then.select("a_id", "b_id", F.col("message_ids").alias("_then"))
+    got = now.join(old, ["a_id", "b_id"], "left").withColumn("message_ids", F.array_except("message_ids", F.coalesce("_then", F.array().cast("array<string>")))).drop("_then")
+    return got.where(F.size("message_ids") > 0).withColumn("weight", F.size("message_ids").cast("long"))
+
+
+def added_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """edges and more (of the same columns): message ids united, weights added up, the larger confidence and the later time."""
+    both = edges.unionByName(more).groupBy("a_id", "b_id")
+    got = both.agg(F.sum("weight").alias("weight"), F.max("confidence").alias("confidence"), F.max("last_seen").alias("last_seen"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("message_ids")))).alias("message_ids"), F.max("context").alias("context"))
+    return got.select(*edges.columns)
+
+
+def undo_stored(store, label: str, pairs: DataFrame) -> dict[str, DataFrame]:
+    """The stored tables (entities, facts, edges, part_of) with the labelled merge of pairs (primary_id, secondary_id, new_id) taken back.
+
+    What the merge changed comes from the version before it; edges of the merged entities that were written since are added to what comes back.
+    """
+    names = ("entities", "facts", "edges", "part_of")
+    then = {n: store.labelled(n, label) for n in names}
+    if any(v is None for v in then.values()):
+        raise ValueError(f"no stored merge {label}")
+    now, old = {n: store.read(n) for n in names}, {n: store.read(n, label=label) for n in names}
+    before = snapshot(pairs, old["entities"], old["facts"], old["edges"], old["part_of"])
+    got = undo_merge(now, before, pairs)
+    both = pairs.select(F.explode(F.array("primary_id", "secondary_id")).alias("id")).distinct()
+    late = later_edges(now["edges"], then["edges"])
+    late = late.join(both.withColumnRenamed("id", "a_id"), "a_id", "left_semi").unionByName(late.join(both.withColumnRenamed("id", "a_id"), "a_id", "left_anti").join(both.withColumnRenamed("id", "b_id"), "b_id", "left_semi").select(*late.columns))
+    return got | {"edges": added_edges(got["edges"], late)}
+
+
 def finalize_merges(entities: DataFrame, facts: DataFrame, names: DataFrame, dirty: DataFrame) -> tuple[DataFrame, DataFrame]:
     """names (id, name: suggested ones of primaries) -> (id, canonical_name, text to embed of the renamed, dirty ids with the primaries)."""
     renamed = update_columns(entities, names.select("id", F.col("name").alias("canonical_name")), "id").join(names.select("id"), "id", "left_semi")

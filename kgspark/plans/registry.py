@@ -25,4 +25,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from kgspark.plans import graph_queries, read_queries, search_queries, write_queries  # noqa: E402, F401
+from kgspark.plans import graph_queries, read_queries, search_queries, stream_queries, write_queries  # noqa: E402, F401

@@ -41,13 +41,6 @@ SELECT coalesce(o.a_id, n.a_id) AS a_id, coalesce(o.b_id, n.b_id) AS b_id, CAST(
  array_to_string(list_sort(list_distinct(list_concat(coalesce(o.message_ids, []), coalesce(n.message_ids, [])))), ',') AS evidence FROM old o FULL JOIN new n ON o.a_id = n.a_id AND o.b_id = n.b_id"""
 
 
-@query("a8_upsert_edges", A8)
-def a8(t):
-    old = t.related_to.where("(a_id + b_id) % 2 = 0")
-    rows = t.edge_rows.unionByName(t.edge_rows.withColumns({"message_id": F.concat("message_id", F.lit("n")), "confidence": F.lit(0.99)}))
-    return edge_out(upsert.upsert_edges(old, rows))
-
-
 def stored(t):
     return t.entities.select("id", "canonical_name", F.array("alias1").alias("aliases"), "confidence", F.col("vec_id").alias("embedding"))
 
@@ -232,23 +225,30 @@ def d21(t):
 BACK = f"(SELECT secondary_id AS o, secondary_id + 90000000 AS n FROM {M})"
 
 
-@query("d22_undo_merge", f"""
+ORACLE_D22 = f"""
 SELECT 'edge' AS kind, coalesce(n, a_id) || '-' || b_id AS key, weight AS v FROM kg_related_to LEFT JOIN {BACK} ON o = a_id
 UNION ALL SELECT 'fact', id, coalesce(n, source_entity_id) FROM (SELECT id, CASE WHEN vec_id % 2 = 0 THEN 1000 + vec_id % 40 ELSE source_entity_id END AS source_entity_id FROM kg_facts) LEFT JOIN {BACK} ON o = source_entity_id
 UNION ALL SELECT 'entity', canonical_name, coalesce(n, id) FROM kg_entities LEFT JOIN {BACK} ON o = id
-UNION ALL SELECT DISTINCT 'part', coalesce(n, child_id) || '-' || parent_id, CAST(1 AS BIGINT) FROM kg_part_of LEFT JOIN {BACK} ON o = child_id""")
+UNION ALL SELECT DISTINCT 'part', coalesce(n, child_id) || '-' || parent_id, CAST(1 AS BIGINT) FROM kg_part_of LEFT JOIN {BACK} ON o = child_id"""
+
+
+def undone(got):
+    """The tables that an undo gives back, as rows of one table."""
+    pair = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string"))
+    out = got["edges"].select(F.lit("edge").alias("kind"), pair("a_id", "b_id").alias("key"), F.col("weight").cast("long").alias("v"))
+    out = out.unionByName(got["facts"].select(F.lit("fact").alias("kind"), F.col("id").alias("key"), F.col("source_entity_id").cast("long").alias("v")))
+    out = out.unionByName(got["entities"].select(F.lit("entity").alias("kind"), F.col("canonical_name").alias("key"), F.col("id").alias("v")))
+    return out.unionByName(got["part_of"].select(F.lit("part").alias("kind"), pair("child_id", "parent_id").alias("key"), F.lit(1).cast("long").alias("v")))
+
+
+@query("d22_undo_merge", ORACLE_D22)
 def d22(t):
     p = merges(t).withColumn("new_id", F.col("secondary_id") + 90000000)
     facts = t.facts.withColumn("source_entity_id", F.when(F.col("vec_id") % 2 == 0, 1000 + F.col("vec_id") % 40).otherwise(F.col("source_entity_id"))).select("id", "source_entity_id")
     names = t.entities.select("id", "canonical_name")
     before = upsert.snapshot(p, names, facts, t.related_to, t.part_of)
     after = {"entities": names.join(p.select(F.col("secondary_id").alias("id")), "id", "left_anti"), "facts": upsert.merge_facts(facts, p), "edges": upsert.merge_edges(t.related_to, p), "part_of": upsert.merge_part_of(t.part_of, p)}
-    got = upsert.undo_merge(after, before, p)
-    pair = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string"))
-    out = got["edges"].select(F.lit("edge").alias("kind"), pair("a_id", "b_id").alias("key"), F.col("weight").cast("long").alias("v"))
-    out = out.unionByName(got["facts"].select(F.lit("fact").alias("kind"), F.col("id").alias("key"), F.col("source_entity_id").cast("long").alias("v")))
-    out = out.unionByName(got["entities"].select(F.lit("entity").alias("kind"), F.col("canonical_name").alias("key"), F.col("id").alias("v")))
-    return out.unionByName(got["part_of"].select(F.lit("part").alias("kind"), pair("child_id", "parent_id").alias("key"), F.lit(1).cast("long").alias("v")))
+    return undone(upsert.undo_merge(after, before, p))
 
 
 @query("d23_update_columns", "SELECT id, CASE WHEN id % 4 = 0 THEN 'renamed' ELSE canonical_name END AS canonical_name, type FROM kg_entities")

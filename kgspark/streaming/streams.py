@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kgspark.functions.scalars import msg_hash
 
@@ -35,38 +36,13 @@ def micro_batches(messages: DataFrame, size: int = 8) -> DataFrame:
     return messages.withColumn("batch", F.ceil(rn / size))
 
 
-def batch_stream(messages: DataFrame, size: int = 8, timeout_s: int = 300) -> DataFrame:
-    """session_id, batch, ids, reason: a full batch at once, a partial one when its session has been quiet for the timeout."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, parts, state: GroupState):
-        import pandas as pd
-
-        held, n = state.get if state.exists else ([], 0)
-        held, out = list(held), []
-        if state.hasTimedOut:
-            out.append((key[0], n, held, "timeout"))
-            state.remove()
-        else:
-            for pdf in parts:
-                held += pdf.sort_values(["ts", "id"])["id"].tolist()
-            while len(held) >= size:
-                out.append((key[0], n, held[:size], "full"))
-                held, n = held[size:], n + 1
-            state.update((held, n))
-            if held:
-                state.setTimeoutDuration(timeout_s * 1000)
-        yield pd.DataFrame(out, columns=["session_id", "batch", "ids", "reason"])
-
-    schema = "session_id long, batch long, ids array<long>, reason string"
-    return messages.groupBy("session_id").applyInPandasWithState(step, schema, "ids array<long>, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
-
-
-def graph_writer(store, table: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
-    """For foreachBatch: merges a batch into a snapshot table once, however often the batch is repeated."""
+def graph_writer(store, table: str, key: list[str], merged: Callable[[DataFrame, DataFrame], DataFrame], schema: T.StructType, stream: str):
+    """For foreachBatch: merges a batch into the partitions of a stored table that it touches, once for each epoch of the stream."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        store.write(table, merge(store.read(table), batch), token=f"epoch{epoch}")
+        batch = batch.persist()  # read for its partitions, and again for the merge
+        store.merge(table, batch, key, merged, schema=schema, stream=stream, epoch=epoch)
+        batch.unpersist()
 
     return write
 
@@ -108,26 +84,6 @@ def checkpoint_events(messages: DataFrame, n: int = 24) -> DataFrame:
     return messages.withColumn("rn", rn).where(F.col("rn") % n == 0)
 
 
-def checkpoint_stream(messages: DataFrame, n: int = 24) -> DataFrame:
-    """session_id, id, count: checkpoint_events as a stream; the state of a session is its number of messages so far."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key, parts, state: GroupState):
-        import pandas as pd
-
-        (seen,) = state.get if state.exists else (0,)
-        out = []
-        rows = pd.concat(list(parts)).sort_values(["ts", "id"])
-        for i in rows["id"].tolist():
-            seen += 1
-            if seen % n == 0:
-                out.append((key[0], i, seen))
-        state.update((seen,))
-        yield pd.DataFrame(out, columns=["session_id", "id", "count"])
-
-    return messages.groupBy("session_id").applyInPandasWithState(step, "session_id long, id long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
-
-
 def heartbeats(messages: DataFrame, n: int = 40, size: int = 8) -> DataFrame:
     """Every n-th message of a session at which no partial batch is pending."""
     return checkpoint_events(messages, n).where(F.col("rn") % size == 0)

@@ -10,7 +10,6 @@ from kgspark.functions import scalars
 from kgspark.functions.udfs import embed, lcs_length, partial_ratio_of, ratio, ratio_of, weighted_ratio_of
 from kgspark.operators import context, discussions, facts, graph, greedy, ingest, search, topics, upsert, vectors
 from kgspark.sources import sessions
-from kgspark.sources.store import SnapshotStore
 from kgspark.streaming import streams
 
 EDGE = "a_id long, b_id long, message_id string, confidence double, seen_at timestamp, context string"
@@ -233,15 +232,6 @@ def test_malformed_turns_are_skipped(spark):
     assert rows(sessions.parse_turns(lines), "turn_id", "content") == [(1, "hi")]
 
 
-def test_snapshots_can_be_undone_and_epochs_repeat(spark, tmp_path):
-    store = SnapshotStore(spark, str(tmp_path))
-    assert store.read("t") is None
-    store.write("t", spark.range(2))
-    store.write("t", spark.range(5), token="epoch1")
-    store.write("t", spark.range(9), token="epoch1")
-    assert store.read("t").count() == 5 and store.read("t", back=1).count() == 2
-
-
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"ok \xff")
     (tmp_path / "b.exe").write_bytes(b"no")
@@ -270,34 +260,6 @@ def test_stream_dedup_equals_batch(spark, tmp_path):
     assert rows(spark.table("dedup_out"), "content") == rows(streams.dedup_batch(data), "content")
 
 
-def test_foreach_batch_write_equals_batch_upsert(spark, tmp_path):
-    data = spark.createDataFrame([(1 + i % 2, 5, f"m{i % 5}", 0.1 * i, None, "c") for i in range(12)], EDGE)
-    for part in range(3):
-        data.where(f"cast(confidence * 10 as int) % 3 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    store = SnapshotStore(spark, str(tmp_path / "store"))
-    write = streams.graph_writer(store, "edges", lambda old, new: upsert.upsert_edges(old if old is not None else spark.createDataFrame([], STORE), new))
-    for _ in range(2):  # the second run finds nothing new
-        stream_of(spark, str(tmp_path / "in"), EDGE).writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
-    want = upsert.upsert_edges(spark.createDataFrame([], STORE), data)
-    assert rows(store.read("edges"), "a_id", "b_id", "weight", "message_ids") == rows(want, "a_id", "b_id", "weight", "message_ids")
-
-
-def test_full_batches_leave_the_stream_at_once(spark, tmp_path):
-    spark.createDataFrame([(1, i, "x", None) for i in range(19)], MESSAGES).withColumn("ts", F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id)")).coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = streams.batch_stream(stream_of(spark, str(tmp_path / "in"), MESSAGES)).writeStream.format("memory").queryName("batch_out").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert rows(spark.table("batch_out").where("reason = 'full'"), "batch", "ids") == [(0, list(range(8))), (1, list(range(8, 16)))]
-
-
-def test_the_counter_keeps_its_state(spark, tmp_path):
-    day = F.expr("timestamp '2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id)")
-    for k, ids in enumerate([range(5), range(5, 12)]):
-        spark.createDataFrame([(1, i, "x", None) for i in ids], MESSAGES).withColumn("ts", day).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        q = streams.checkpoint_stream(stream_of(spark, str(tmp_path / "in"), MESSAGES), 4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-        q.awaitTermination(120)
-    assert rows(spark.read.parquet(str(tmp_path / "out")), "id", "count") == [(3, 4), (7, 8), (11, 12)]
-
-
 def test_discussions(spark):
     at = "timestamp '2024-01-01 00:00:00'"
     none = spark.sql(f"SELECT 1L AS id, 'open' AS status, {at} AS opened_at, CAST(NULL AS timestamp) AS closed_at").where("false")
