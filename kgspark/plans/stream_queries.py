@@ -60,14 +60,13 @@ def t3(t):
 
 
 def streamed(t, events=None):
-    stateful.with_state_store(t.spark)
     return stateful.replayed(user_events(t) if events is None else events, folder(t.spark))
 
 
 @query("t2_streamed_batches", f"SELECT id, CAST((rn - 1) // 8 AS BIGINT) AS batch FROM (SELECT *, count(*) OVER (PARTITION BY session_id, (rn - 1) // 8) AS k FROM {EV}) WHERE k = 8")
 def t2(t):
     """The full batches; what is left waits for the timeout."""
-    got = stateful.run_out(stateful.batch_stream(streamed(t)), folder(t.spark))
+    got = stateful.run_out(stateful.batch_stream(streamed(t)), folder(t.spark), idle=False)
     return got.where("reason = 'full'").select(F.explode("ids").alias("id"), "batch")
 
 

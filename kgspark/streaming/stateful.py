@@ -1,8 +1,7 @@
 """Streams with state of their own: batches by count or timeout, counters, and triggers by volume or quiet.
 
-Each is a processor for transformWithStateInPandas; the session has to keep
-state in RocksDB (with_state_store).  State is a few numbers a session, or what
-one open batch holds.  Rows of a micro-batch are taken in order of (ts, id).
+State is a few numbers a session, or what one open batch holds; it travels with
+the rows in Arrow batches.  Rows of a micro-batch are taken in order of (ts, id).
 """
 
 from __future__ import annotations
@@ -13,85 +12,49 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-
-def with_state_store(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-
-
-def in_order(rows: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    return pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"], kind="stable")
-
-
-class Batches(StatefulProcessor):
-    """A full batch at once, a partial one when its session has been quiet for the timeout; batch numbers go on."""
-
-    def __init__(self, size: int, timeout_ms: int):
-        self.size, self.timeout_ms = size, timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held, self.number = handle, handle.getListState("held", "id long"), handle.getValueState("number", "n long")
-
-    def _next(self) -> int:
-        n = self.number.get()[0] if self.number.exists() else 0
-        self.number.update((n + 1,))
-        return n
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ids, out = [x[0] for x in self.held.get()] + in_order(rows)["id"].tolist(), []
-        while len(ids) >= self.size:
-            out.append((key[0], self._next(), ids[: self.size], "full"))
-            ids = ids[self.size :]
-        self.held.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if ids:
-            self.held.put([(i,) for i in ids])
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        yield pd.DataFrame(out, columns=["session_id", "batch", "ids", "reason"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ids = [x[0] for x in self.held.get()]
-        self.held.clear()
-        yield pd.DataFrame([(key[0], self._next(), ids, "timeout")] if ids else [], columns=["session_id", "batch", "ids", "reason"])
-
-    def close(self) -> None:
-        pass
+def in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(parts), ignore_index=True).sort_values(["ts", "id"], kind="stable")
 
 
 def batch_stream(messages: DataFrame, size: int = 8, timeout_s: int = 300) -> DataFrame:
-    """session_id, batch (from 0), ids, reason (full or timeout) of messages (session_id, id, ts)."""
-    return messages.select("session_id", "id", "ts").groupBy("session_id").transformWithStateInPandas(Batches(size, timeout_s * 1000), "session_id long, batch long, ids array<long>, reason string", "Append", "ProcessingTime")
-
-
-class Counter(StatefulProcessor):
-    """Every n-th row of a session, if its number is a multiple of step too."""
-
-    def __init__(self, n: int, step: int):
-        self.n, self.step = n, step
+    """session_id, batch (from 0), ids, reason of messages (session_id, id, ts): a full batch at once, a partial one when its
+    session has been quiet for the timeout. Numbers go on after a timeout, so (session_id, batch) is a key."""
+
+    def step(key, parts, state: GroupState):
+        held, n = state.get if state.exists else ([], 0)
+        held, out = list(held), []
+        if state.hasTimedOut:
+            out.append((key[0], n, held, "timeout"))
+            held, n = [], n + 1
+        else:
+            held += in_order(parts)["id"].tolist()
+            while len(held) >= size:
+                out.append((key[0], n, held[:size], "full"))
+                held, n = held[size:], n + 1
+        state.update((held, n))
+        if held:
+            state.setTimeoutDuration(timeout_s * 1000)
+        yield pd.DataFrame(out, columns=["session_id", "batch", "ids", "reason"])
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
+    schema = "session_id long, batch long, ids array<long>, reason string"
+    return messages.select("session_id", "id", "ts").groupBy("session_id").applyInPandasWithState(step, schema, "ids array<long>, n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        seen, out = self.seen.get()[0] if self.seen.exists() else 0, []
-        for i in in_order(rows)["id"].tolist():
-            seen += 1
-            if seen % self.n == 0 and seen % self.step == 0:
-                out.append((key[0], i, seen))
-        self.seen.update((seen,))
-        yield pd.DataFrame(out, columns=["session_id", "id", "count"])
 
-    def close(self) -> None:
-        pass
+def checkpoint_stream(messages: DataFrame, n: int = 24, step: int = 1) -> DataFrame:
+    """session_id, id, count of the messages that complete a group of n in their session, if their number is a multiple of step too."""
 
+    def count(key, parts, state: GroupState):
+        (seen,) = state.get if state.exists else (0,)
+        rows = in_order(parts)
+        number = seen + 1 + pd.RangeIndex(len(rows))
+        hit = (number % n == 0) & (number % step == 0)
+        state.update((seen + len(rows),))
+        yield pd.DataFrame({"session_id": key[0], "id": rows["id"].to_numpy()[hit], "count": number[hit]})
 
-def checkpoint_stream(messages: DataFrame, n: int = 24, step: int = 1) -> DataFrame:
-    """session_id, id, count of the messages that complete a group of n in their session."""
-    return messages.select("session_id", "id", "ts").groupBy("session_id").transformWithStateInPandas(Counter(n, step), "session_id long, id long, count long", "Append", "None")
+    return messages.select("session_id", "id", "ts").groupBy("session_id").applyInPandasWithState(count, "session_id long, id long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def heartbeat_stream(messages: DataFrame, n: int = 40, size: int = 8) -> DataFrame:
@@ -99,53 +62,34 @@ def heartbeat_stream(messages: DataFrame, n: int = 40, size: int = 8) -> DataFra
     return checkpoint_stream(messages, n, size)
 
 
-class Dirty(StatefulProcessor):
-    """Entities that changed in a session, until there are many of them or none has changed for a while of event time."""
-
-    def __init__(self, many: int, quiet_ms: int):
-        self.many, self.quiet_ms = many, quiet_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.dirty = handle, handle.getMapState("dirty", "entity_id string", "ts long")
-
-    def _emptied(self, key, n: int, reason: str) -> tuple:
-        self.dirty.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        return key[0], n, reason
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        out, held = [], {k[0]: v[0] for k, v in self.dirty.iterator()} if self.dirty.exists() else {}
-        for entity, ts in in_order(rows)[["id", "ts"]].itertuples(index=False):
-            ms = int(ts.value // 1_000_000)
-            if held and ms - max(held.values()) >= self.quiet_ms:
-                out.append(self._emptied(key, len(held), "quiet"))
-                held = {}
-            held[entity] = ms
-            if len(held) >= self.many:
-                out.append(self._emptied(key, len(held), "many"))
-                held = {}
-        self.dirty.clear()
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        for entity, ms in held.items():
-            self.dirty.updateValue((entity,), (ms,))
+def refine_stream(dirty: DataFrame, many: int = 15, quiet_s: int = 90, delay: str = "0 seconds") -> DataFrame:
+    """session_id, n, reason (many or quiet): when the dirty entities (session_id, entity_id, ts) of a session are due, which
+    empties them: there are many of them, or none has changed for a while of event time."""
+
+    def step(key, parts, state: GroupState):
+        out, held = [], dict(zip(*state.get)) if state.exists else {}
+        if state.hasTimedOut:
+            out.append((key[0], len(held), "quiet"))
+            held = {}
+        else:
+            for entity, ts in in_order(parts)[["id", "ts"]].itertuples(index=False):
+                ms = ts.value // 1_000_000
+                if held and ms - max(held.values()) >= quiet_s * 1000:
+                    out.append((key[0], len(held), "quiet"))
+                    held = {}
+                held[entity] = ms
+                if len(held) >= many:
+                    out.append((key[0], len(held), "many"))
+                    held = {}
         if held:
-            self.handle.registerTimer(max(held.values()) + self.quiet_ms)
+            state.update((list(held), list(held.values())))
+            state.setTimeoutTimestamp(max(max(held.values()) + quiet_s * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=["session_id", "n", "reason"])
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n = sum(1 for _ in self.dirty.keys()) if self.dirty.exists() else 0
-        yield pd.DataFrame([self._emptied(key, n, "quiet")] if n else [], columns=["session_id", "n", "reason"])
-
-    def close(self) -> None:
-        pass
-
-
-def refine_stream(dirty: DataFrame, many: int = 15, quiet_s: int = 90, delay: str = "0 seconds") -> DataFrame:
-    """session_id, n, reason (many or quiet): when the dirty entities (session_id, entity_id, ts) of a session are due, which empties them."""
     rows = dirty.select("session_id", F.col("entity_id").cast("string").alias("id"), "ts").withWatermark("ts", delay)
-    return rows.groupBy("session_id").transformWithStateInPandas(Dirty(many, quiet_s * 1000), "session_id long, n long, reason string", "Append", "EventTime")
+    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id long, n long, reason string", "ids array<string>, ts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def replayed(df: DataFrame, where: str, key: str = "session_id", slices: int = 2) -> DataFrame:
@@ -164,8 +108,21 @@ def replayed(df: DataFrame, where: str, key: str = "session_id", slices: int = 2
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", max(1, files // slices)).parquet(where)
 
 
-def run_out(stream: DataFrame, where: str) -> DataFrame:
+def run_all(writer, spark: SparkSession, idle: bool = True) -> None:
+    """Runs a stream to the end of the rows there are now. Without idle no batch runs without rows: a stream that waits for
+    processing time would run such batches for ever, and its timeouts come with the next rows as well."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(idle).lower())
+    try:
+        query = writer.trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
+    query.awaitTermination()
+
+
+def run_out(stream: DataFrame, where: str, idle: bool = True) -> DataFrame:
     """What a stream of the rows there are now has written, in a folder of its own."""
     out = f"{where}/{uuid.uuid4().hex}"
-    stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    run_all(stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state"), stream.sparkSession, idle)
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/rows")

@@ -123,12 +123,11 @@ def appended(spark, where, *parts):
 
 
 def test_batch_numbers_go_on_after_a_timeout(spark, tmp_path):
-    stateful.with_state_store(spark)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
 
     def go():
         q = stateful.batch_stream(stream_of(spark, source, MESSAGES), 4, 1)
-        run(q.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")))
+        stateful.run_all(q.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")), spark, idle=False)
 
     appended(spark, source, [(1, i, i) for i in range(6)], [(2, 100, 0)])
     go()
@@ -149,7 +148,6 @@ def test_batch_numbers_go_on_after_a_timeout(spark, tmp_path):
 
 
 def test_the_counter_keeps_its_state(spark, tmp_path):
-    stateful.with_state_store(spark)
     for ids in (range(5), range(5, 12)):
         appended(spark, str(tmp_path / "in"), [(1, i, i) for i in ids])
         run(stateful.checkpoint_stream(stream_of(spark, str(tmp_path / "in"), MESSAGES), 4).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")))
@@ -157,7 +155,6 @@ def test_the_counter_keeps_its_state(spark, tmp_path):
 
 
 def test_triggers_equal_the_loop(spark, tmp_path):
-    stateful.with_state_store(spark)
     rnd, triples, t = random.Random(4), [], 0
     for k in range(300):
         t += rnd.choice((1, 2, 5, 120))
@@ -180,6 +177,5 @@ def test_triggers_equal_the_loop(spark, tmp_path):
 
 def test_a_replayed_table_comes_in_order(spark, tmp_path):
     triples = [(i % 3, i, (i * 7) % 50) for i in range(50)]
-    stateful.with_state_store(spark)
     got = stateful.run_out(stateful.checkpoint_stream(stateful.replayed(messages(spark, triples), str(tmp_path / "in")), 5), str(tmp_path))
     assert rows(got, "session_id", "id") == rows(streams.checkpoint_events(messages(spark, triples), 5), "session_id", "id")
