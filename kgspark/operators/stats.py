@@ -94,3 +94,15 @@ def hot_context(entities: DataFrame, facts: DataFrame, edges: DataFrame, hot: Da
         mine = facts.join(top.select(F.col("id").alias("source_entity_id")), "source_entity_id", "left_semi")
         told = fact_lists(mine).select(F.col("entity_id").alias("id"), F.col("facts").alias("told"))
     return top.join(told, "id", "left").join(proof, "id", "left").select("topic", "rn", "id", "canonical_name", "told", "evidence")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[str], name: str = "place") -> DataFrame:
+    """df with each row's number in its group by order, ascending: rows are sorted in ranges, so a group of any size is many tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = saved(df.repartitionByRange(n, *by, *order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    keys = before.select(F.struct(*by).alias("_by"), F.col("_range").alias("_r"), "_before")
+    rn = F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order))
+    got = ranged.withColumn("_rn", rn).join(keys, (F.col("_range") == F.col("_r")) & F.struct(*by).eqNullSafe(F.col("_by")))
+    return got.withColumn(name, (F.col("_rn") + F.col("_before")).cast("int")).select(*df.columns, name)

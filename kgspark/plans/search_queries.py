@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import scalars
 from kgspark.functions.udfs import hashed_embedding, ratio
 from kgspark.operators import facts as fact_ops
-from kgspark.operators import discussions, graph, ingest, search, stats
+from kgspark.operators import discussions, factcheck, graph, ingest, search, stats
 from kgspark.operators.recovery import saved
 from kgspark.operators.vectors import Lsh
 from kgspark.plans.read_queries import ACTIVE, ACTIVE_SQL
@@ -248,6 +248,31 @@ def r14(t):
     return by_name.unionByName(hits.select("name", F.lit("messages").alias("resolution"), F.lit(-1).cast("long").alias("entity_id"), "evidence"))
 
 
+ASKED = """a AS (SELECT c_custkey AS qid, c_name AS name, embedding AS vec, '' AS question, embedding AS question_vec FROM customer LEFT JOIN kg_vectors ON vec_id = c_custkey
+ UNION ALL SELECT 1000000 + vec_id, 'someone ' || vec_id, embedding, '', list_reverse(embedding) FROM kg_vectors UNION ALL SELECT 2000000 + item_id, 'item ' || item_id, list_reverse(embedding), text, embedding FROM benchmark LEFT JOIN kg_vectors ON vec_id = item_id)"""
+
+
+@query("r14_fact_cascade", BM25.format(corpus=MSGS, queries="SELECT 2000000 + item_id AS qid, text FROM benchmark") + f""", {ASKED},
+x AS (SELECT DISTINCT qid, e.id AS entity_id FROM a JOIN (SELECT id, lower(canonical_name) AS name FROM kg_entities UNION SELECT id, lower(alias1) FROM kg_entities) e ON e.name = lower(a.name)),
+rest AS (SELECT * FROM a WHERE qid NOT IN (SELECT qid FROM x)), ev AS (SELECT id, embedding AS vec FROM kg_entities e JOIN kg_vectors v ON v.vec_id = e.vec_id),
+n AS (SELECT qid, id AS entity_id, s AS similarity FROM (SELECT qid, ev.id, {COS.format(a='rest.vec', b='ev.vec')} AS s, row_number() OVER (PARTITION BY qid ORDER BY round({COS.format(a='rest.vec', b='ev.vec')}, 9) DESC, ev.id) AS k FROM rest, ev WHERE rest.vec IS NOT NULL) WHERE k <= 5 AND s >= 0.69),
+t AS (SELECT qid, n.entity_id, similarity, f.id AS evidence, count(f.id) OVER (PARTITION BY qid) AS total, row_number() OVER (PARTITION BY qid, n.entity_id ORDER BY round(coalesce({COS.format(a='a.question_vec', b='f.vec')}, 0), 9) DESC, f.id) AS k FROM n JOIN a USING (qid) LEFT JOIN {FV} f ON f.source_entity_id = n.entity_id),
+m AS (SELECT qid, id, score FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) <= 8)
+SELECT qid, 'exact' AS resolution, entity_id, 1.0::DOUBLE AS similarity, f.id AS evidence FROM x LEFT JOIN kg_facts f ON f.source_entity_id = entity_id
+UNION ALL SELECT qid, 'vector', entity_id, round(similarity, 6), evidence FROM t WHERE total <= 60 OR k <= 20
+UNION ALL SELECT rest.qid, 'fallback', CAST(NULL AS BIGINT), round(m.score, 6), CAST(m.id AS VARCHAR) FROM rest LEFT JOIN m ON m.qid = rest.qid WHERE rest.qid NOT IN (SELECT qid FROM n)""")
+def r14b(t):
+    """Customers by name, vectors of entities under other names, and questions whose vectors are near to nothing."""
+    v = t.vectors
+    a = t.customer.join(v, F.col("c_custkey") == F.col("vec_id"), "left").select(F.col("c_custkey").alias("qid"), F.col("c_name").alias("name"), F.col("embedding").alias("vec"), F.lit("").alias("question"), F.col("embedding").alias("question_vec"))
+    a = a.unionByName(v.select((1000000 + F.col("vec_id")).alias("qid"), F.concat(F.lit("someone "), F.col("vec_id").cast("string")).alias("name"), F.col("embedding").alias("vec"), F.lit("").alias("question"), F.reverse("embedding").alias("question_vec")))
+    q = t.benchmark.join(v, F.col("item_id") == F.col("vec_id"), "left")
+    a = a.unionByName(q.select((2000000 + F.col("item_id")).alias("qid"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("name"), F.reverse("embedding").alias("vec"), F.col("text").alias("question"), F.col("embedding").alias("question_vec")))
+    e = t.entities.join(v, "vec_id", "left").select("id", "canonical_name", "alias1", F.col("embedding").alias("vec"))
+    got = factcheck.fact_check(a, e, fact_vecs(t), t.messages.select("id", F.col("content").alias("text")), many=60, cut=20)
+    return got.withColumn("similarity", F.round("similarity", 6))
+
+
 @query("r16_preferences", "SELECT user_id, event_id, event_type AS kind FROM events WHERE event_type IN ('click', 'view') QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) <= 3")
 def r16(t):
     some = t.events.where(F.col("event_type").isin("click", "view")).withColumnRenamed("event_type", "kind")
@@ -278,7 +303,7 @@ def r18(t):
 
 @query("r19_proposals", "SELECT CAST(row_number() OVER (PARTITION BY context ORDER BY last_seen, a_id, b_id) AS INTEGER) AS place, context, a_id, b_id FROM kg_related_to")
 def r19(t):
-    return stats.top_per_group(t.related_to, ["context"], ["last_seen", "a_id", "b_id"], 1 << 30, "place").select("place", "context", "a_id", "b_id")
+    return stats.numbered(t.related_to, ["context"], ["last_seen", "a_id", "b_id"]).select("place", "context", "a_id", "b_id")
 
 
 def merge_candidates(t, lsh=None, k=50):

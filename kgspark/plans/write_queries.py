@@ -103,9 +103,11 @@ def a20(t):
     return stats.assign_ids(t.pages.select("url", "page_id"), t.entities, ["url", "page_id"]).select("url", "id")
 
 
-@query("u1_array_union", "SELECT context, array_to_string(list_sort(array_agg(DISTINCT x)), ',') AS ids FROM (SELECT context, unnest(message_ids) AS x FROM kg_related_to) GROUP BY context")
+@query("u1_array_union", "SELECT b_id AS id, array_to_string(list_sort(array_agg(DISTINCT x)), ',') AS ids FROM (SELECT b_id, unnest(message_ids) AS x FROM kg_related_to) GROUP BY b_id")
 def u1(t):
-    return t.related_to.groupBy("context").agg(F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list("message_ids")))), ",").alias("ids"))
+    """The evidence of all edges of an entity."""
+    each = t.related_to.select(F.col("b_id").alias("id"), F.explode("message_ids").alias("x"))
+    return each.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("x")), ",").alias("ids"))
 
 
 @query("d5_proposals", f"""
