@@ -120,6 +120,24 @@ def _pairs_of_letters(texts: DataFrame) -> DataFrame:
     return counted.select("f", F.size("grams").alias("n"), F.explode("grams").alias("g"))
 
 
+def alike_texts(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """k, l, r of left (k, l, text) and right (k, r, text) of one k whose texts' plain ratio is over the cutoff (85 or more).
+
+    No pair is lost: see fuzzy_candidates. Postings are by k and letters, so a k of any size is many keys.
+    """
+    c = cutoff / 100
+    texts = saved(left.select("text").unionByName(right.select("text")).where("text is not null").distinct().withColumnRenamed("text", "f"))
+    posted = _pairs_of_letters(texts)
+    ordered = posted.join(posted.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g").groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    least = F.ceil((1.5 * c - 1) * F.length("f") * (1 + c / (2 - c)) - 1 - 1e-9)
+    rare = saved(ordered.select(F.col("f").alias("text"), F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), least) + 1).cast("int"))).alias("x")).select("text", "x.g"))
+    a = left.join(rare, "text").select("k", "l", "g", F.col("text").alias("lt"))
+    b = right.join(rare, "text").select("k", "r", "g", F.col("text").alias("rt"))
+    near = F.abs(F.length("lt") - F.length("rt")) <= (1 - c) * (F.length("lt") + F.length("rt")) + 1e-9
+    met = a.join(b, ["k", "g"]).where(near).select("k", "l", "r", "lt", "rt").distinct()
+    return met.where(F.when(F.col("lt") == F.col("rt"), 100.0).otherwise(ratio("lt", "rt")) > cutoff).select("k", "l", "r")
+
+
 def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85, k: int = 50) -> DataFrame:
     """mention, id, score (0..1): the weighted ratio over names (id, name in lower case), of the cutoff (85 or more); below four letters the plain ratio.
 

@@ -4,11 +4,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kgspark.functions import scalars
 from kgspark.functions.udfs import embed, lcs_length, partial_ratio_of, ratio, ratio_of, weighted_ratio_of
-from kgspark.operators import context, discussions, facts, graph, greedy, ingest, search, topics, upsert, vectors
+from kgspark.operators import context, discussions, facts, graph, greedy, ingest, search, stats, topics, upsert, vectors
 from kgspark.sources import sessions
 from kgspark.streaming import streams
 
@@ -197,6 +198,35 @@ def test_fact_updates(spark):
     assert rows(facts.apply_fact_updates(f, u).fillna("-"), "entity_id", "action", "fact_id", "content") == [(1, "add", "-", "likes coffee"), (1, "invalidate", "f1", "likes tea"), (2, "add", "-", "new")]
 
 
+def test_fact_updates_equal_the_loop(spark):
+    rnd, have, new, want = random.Random(8), [], [], []
+    words = ["likes tea", "likes teas", "likes green tea", "works at north", "works at the north", "is old", "is cold", "a", "b"]
+    for e in range(40):
+        mine = [(f"f{e}_{i}", e, rnd.choice(words) + rnd.choice(["", " ", "!"]), f"2024-01-0{rnd.randrange(1, 6)}", rnd.choice([None, None, "x"])) for i in range(rnd.randrange(0, 9))]
+        told = []
+        for s in range(rnd.randrange(0, 9)):
+            kind = rnd.randrange(3)
+            told.append((e, s, rnd.choice([*words, "New " + rnd.choice(words), None]), rnd.choice(words) if kind == 1 else None, rnd.choice(words).upper() if kind == 2 else None))
+        live, added = [(i, c) for i, _, c, t, gone in sorted(sorted(mine), key=lambda r: r[3], reverse=True) if gone is None], set()
+        for _, _, content, over, out in told:
+            target = over if over is not None else out
+            if target is not None:
+                hit = next((x for x in live if ratio_of(x[1].strip().lower(), target.strip().lower()) > 90), None)
+                if hit:
+                    live.remove(hit)
+                    want.append((e, "invalidate", hit[0], hit[1]))
+            if content is not None and (target is None or over is not None):
+                said = content.strip().lower()
+                if said not in added and said not in {c.strip().lower() for _, c in live}:
+                    added.add(said)
+                    want.append((e, "add", "-", content))
+        have, new = have + mine, new + told
+    rnd.shuffle(new)
+    f = spark.createDataFrame(have, "id string, source_entity_id long, content string, created_at string, invalid_at string")
+    u = spark.createDataFrame(new, "entity_id long, seq long, content string, supersedes string, invalidates string")
+    assert rows(facts.apply_fact_updates(f, u).fillna("-"), "entity_id", "action", "fact_id", "content") == sorted(want) and len(want) > 60
+
+
 def test_ratio_forms_agree(spark):
     rnd = random.Random(1)
     words = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(6))) for _ in range(60)]
@@ -227,6 +257,12 @@ def test_topic_guard_rejects_mass_deactivation(spark):
     assert rows(topics.guard_topics(old, new), "name", "active") == [("General", True), ("X", True), ("Y", True), ("Z", True)]
 
 
+def test_numbered_rows_of_large_groups(spark):
+    df = spark.range(500).select((F.col("id") % 3 == 0).alias("g"), F.when(F.col("id") % 7 > 0, F.col("id") * 37 % 101).alias("x"), "id")
+    w = Window.partitionBy("g").orderBy("x", "id")
+    assert rows(stats.numbered(df, ["g"], ["x", "id"]), "id", "place") == rows(df.withColumn("place", F.row_number().over(w)), "id", "place")
+
+
 def test_malformed_turns_are_skipped(spark):
     lines = spark.createDataFrame([('{"turn_id": 1, "role": "user", "content": "hi"}',), ("{broken",), ('{"turn_id": 2, "role": "user"}',)], "value string")
     assert rows(sessions.parse_turns(lines), "turn_id", "content") == [(1, "hi")]
