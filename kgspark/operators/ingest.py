@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kgspark.functions.splitting import text_spans
 from kgspark.operators.recovery import saved
 from kgspark.operators.scan import uncovered, valid_mentions
 from kgspark.operators.stats import assign_ids
@@ -98,6 +99,24 @@ def chunk(docs: DataFrame, size: int, overlap: int, id_col: str = "id", text_col
     return got.select("id", "total_chunks", "_t", F.explode(F.sequence(F.lit(0), F.col("total_chunks") - 1)).alias("chunk_index")).select("id", "chunk_index", "total_chunks", F.substring(F.col("_t"), F.col("chunk_index") * step + 1, F.lit(size)).alias("text"))
 
 
+def split_chunks(docs: DataFrame, size: int, overlap: int, id_col: str = "id", text_col: str = "text", kind: Column | None = None) -> DataFrame:
+    """id, chunk_index, total_chunks, fresh (characters that repeat the chunk before), text: chunks that break where the text does.
+
+    kind: the file type, which says what to break before. Null and empty texts have no chunks.
+    """
+    kind = F.lit("") if kind is None else F.lower(F.coalesce(kind, F.lit("")))
+    cut = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t"), kind.alias("_k")).withColumn("_s", text_spans(F.col("_t"), F.col("_k"), size, overlap))
+    each = cut.select("id", "_t", F.size("_s").alias("total_chunks"), F.posexplode("_s").alias("chunk_index", "_x"))
+    return each.select("id", "chunk_index", "total_chunks", (F.col("_x.fresh") - F.col("_x.start")).alias("fresh"), F.substring(F.col("_t"), F.col("_x.start") + 1, F.col("_x.end") - F.col("_x.start")).alias("text"))
+
+
+def split_parents_and_children(docs: DataFrame, kind: Column | None = None, parent=(2000, 200), child=(512, 50)) -> DataFrame:
+    """parent_id, id, chunk_index, fresh, text of child chunks inside parent chunks, both broken where the text does."""
+    p = split_chunks(docs, *parent, kind=kind)
+    p = p.select(F.concat_ws("_parent_", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("parent_id"), "text")
+    return split_chunks(p, *child, id_col="parent_id").select(F.col("id").alias("parent_id"), F.concat_ws("_child_", "id", F.col("chunk_index").cast("string")).alias("id"), "chunk_index", "fresh", "text")
+
+
 def parent_child_chunks(docs: DataFrame, parent=(2000, 200), child=(512, 50)) -> DataFrame:
     """parent_id, id, chunk_index, text of child chunks inside parent chunks."""
     p = chunk(docs, *parent).select(F.concat_ws("_parent_", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("parent_id"), "text")

@@ -146,6 +146,12 @@ def x2(t):
     return ingest.parent_child_chunks(docs(t))
 
 
+@query("x2_split_chunks")
+def x2b(t):
+    """Chunks that break at paragraphs, lines and words."""
+    return ingest.split_parents_and_children(docs(t))
+
+
 @query("x1_hashed_embedding", "SELECT id, array_to_string(list_transform(range(16), lambda i: CAST(len(list_filter(list_transform(list_filter(string_split(lower(content), ' '), lambda w: w <> ''), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 16), lambda s: s = i)) AS VARCHAR)), ',') AS vec FROM kg_messages")
 def x1(t):
     return t.messages.select("id", F.array_join(F.transform(hashed_embedding(F.col("content"), 16), lambda x: x.cast("int").cast("string")), ",").alias("vec"))

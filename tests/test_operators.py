@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from kgspark.functions import scalars
+from kgspark.functions import scalars, splitting
 from kgspark.functions.udfs import embed, lcs_length, partial_ratio_of, ratio, ratio_of, weighted_ratio_of
 from kgspark.operators import context, discussions, facts, graph, greedy, ingest, search, stats, topics, upsert, vectors
 from kgspark.sources import sessions
@@ -268,6 +268,30 @@ def test_malformed_turns_are_skipped(spark):
     assert rows(sessions.parse_turns(lines), "turn_id", "content") == [(1, "hi")]
 
 
+def test_chunks_break_where_the_text_does(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcé\U0001f600") for _ in range(rnd.choice((1, 3, 9, 9, 70))))
+    texts = ["".join(word() + rnd.choice((" ", " ", " ", "\n", "\n\n")) for _ in range(rnd.randrange(1, 300))) for _ in range(40)]
+    texts += ["", "x" * 1000, " " * 300, "\n\n" * 90, "short", "class A:\n    def f():\n        pass\n" * 30]
+    for size, overlap in ((50, 10), (120, 0), (64, 40)):
+        for t in texts:
+            got = splitting.spans(t, size, overlap, splitting.SEPARATORS["py"] if "class" in t else splitting.PLAIN)
+            assert "".join(t[f:e] for _, f, e in got) == t
+            for (s, f, e), before in zip(got, [None, *got]):
+                assert s <= f < e and e - s <= size and f - s <= overlap and (before is None or s >= before[0] and f == before[2])
+            # A word is cut only if it is longer than a chunk.
+            assert all(e == len(t) or t[e] in " \n" or max(map(len, t[max(0, e - size) : e + size].split())) >= size for _, _, e in got)
+    # Paragraphs are kept whole before lines, lines before words.
+    assert [t for t in ("one two\nthree\n\nfour five",) for s, f, e in splitting.spans(t, 16, 0) if t[f:e] in ("one two\nthree", "\n\nfour five")] and len(splitting.spans("one two\nthree\n\nfour five", 16, 0)) == 2
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "id long, text string").withColumn("total_chunks", F.lit(7))
+    back = {}
+    for r in sorted(ingest.split_chunks(df, 64, 20).collect()):
+        back[r.id] = back.get(r.id, "") + r.text[r.fresh :]
+    assert back == {i: t for i, t in enumerate(texts) if t}
+    kids = ingest.split_parents_and_children(df, F.lit("md"), (200, 20), (64, 10))
+    assert kids.where("length(text) > 64").isEmpty() and kids.select("parent_id").distinct().count() > 40
+
+
 def test_text_files(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"ok \xff")
     (tmp_path / "b.exe").write_bytes(b"no")
