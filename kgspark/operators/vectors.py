@@ -74,6 +74,32 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | No
     return got if floor is None else got.where(F.col("score") >= floor)
 
 
+def near_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """k, l, r, score of left (k, l, vec) and right (k, r, vec) of one k whose cosine is at least so much (over 0).
+
+    The rows of a k are dealt to blocks, and each pair of blocks is a key of its own, so a k with very many rows is many tasks.
+    """
+    if least <= 0:
+        raise ValueError("vectors of unequal length have cosine 0")
+    one = blocks(usable(left.select("k", "l", "vec")).withColumn("_d", F.size("vec")), ["k", "_d"], "l", QUERY_BLOCK)
+    two = blocks(usable(right.select("k", "r", "vec")).withColumn("_d", F.size("vec")), ["k", "_d"], "r", QUERY_BLOCK)
+    counts = two.groupBy("k", "_d").agg(F.max("_n").alias("_m"))
+    asked = one.join(counts, ["k", "_d"]).select("k", "_d", F.col("ids").alias("ls"), F.col("vecs").alias("lvecs"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_s"))
+    met = asked.join(two.select("k", "_d", "_s", F.col("ids").alias("rs"), F.col("vecs").alias("rvecs")), ["k", "_d", "_s"])
+
+    def near(batches):
+        for pdf in batches:
+            for k, ls, lvecs, rs, rvecs in zip(pdf.k, pdf.ls, pdf.lvecs, pdf.rs, pdf.rvecs):
+                q, c = np.stack(list(lvecs)).astype(np.float64), np.stack(list(rvecs)).astype(np.float64)
+                nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+                s = (q @ c.T) / np.where(nq == 0, 1, nq)[:, None] / np.where(nc == 0, 1, nc)[None, :]
+                i, j = np.nonzero(np.round(s, 12) >= least)
+                yield pd.DataFrame({"k": pd.Series([k] * len(i), dtype=object), "l": np.asarray(ls)[i], "r": np.asarray(rs)[j], "score": s[i, j]})
+
+    of = {c: df.schema[c].dataType.simpleString() for c, df in (("k", left), ("l", left), ("r", right))}
+    return met.select("k", "ls", "lvecs", "rs", "rvecs").mapInPandas(near, f"k {of['k']}, l {of['l']}, r {of['r']}, score double")
+
+
 @dataclass(frozen=True)
 class Lsh:
     """Random projections of unit vectors cut into buckets of a length; rows meet where all projections of a table agree.

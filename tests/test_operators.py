@@ -136,6 +136,18 @@ def test_buckets_hold_most_neighbours(spark):
     assert hit > 0.9 and met < 0.6
 
 
+def test_near_pairs_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 4)  # one key is many blocks
+    rows_, odd = odd_vectors()
+    keyed = [(i % 2 if i % 3 else 0, f"v{i}", v) for i, v in rows_ + odd]
+    df = spark.createDataFrame(keyed, "k long, l string, vec array<double>").repartition(3)
+    cos = lambda v, w: np.dot(v, w) / ((np.linalg.norm(v) or 1) * (np.linalg.norm(w) or 1))
+    fine = {i for i, _ in rows_}
+    want = {(k, a, b) for k, a, v in keyed for m, b, w in keyed if k == m and int(a[1:]) in fine and int(b[1:]) in fine and len(v) == len(w) and cos(v, w) >= 0.9}
+    assert {(r.k, r.l, r.r) for r in vectors.near_pairs(df, df.withColumnRenamed("l", "r"), 0.9).collect()} == want and len(want) > 500
+    assert vectors.near_pairs(df.where("false"), df.withColumnRenamed("l", "r"), 0.9).isEmpty()
+
+
 def test_merge_pairs_by_name_and_by_vector(spark):
     e = spark.createDataFrame([(1, "Bob Smith"), (2, "Smith Bob"), (3, "Roberta"), (4, "Roberta Corp"), (5, "Corp"), (6, "Ann Corp")], "id long, canonical_name string")
     knn = spark.createDataFrame([(1, 2, 0.1), (3, 4, 0.2), (5, 4, 0.95), (2, 3, 0.9), (2, 6, 0.89), (4, 3, 0.3)], "id long, other long, score double")
