@@ -107,20 +107,86 @@ def ancestry(part_of: DataFrame, ids: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> DataFrame:
     """a_id, b_id, path: for each pair the shortest path of at most max_depth edges, of equal ones the smallest.
 
-    Frontiers of all sources move together; each hop keeps one path per
-    (source, node), and nodes already seen by a source leave the frontier.
+    Searched from both ends.  Each round one side's frontiers grow by an edge,
+    those that cost less by exact counts: edges to follow, and nodes to look up
+    on the other side.  So few pairs, or such as end in hubs, meet half way,
+    and many pairs of few sources (or few targets) are searched from there
+    alone and looked up once at the end.  Ends shared by pairs grow once; each
+    node of a frontier keeps its smallest path, so the smallest over the nodes
+    met is the smallest of all.  A pair of equal ids has the path of that one
+    id; null ids have none; repeated pairs have a row each.
     """
-    hop = saved(undirected(edges).select("src", "dst").distinct())
-    starts = pairs.select(F.col("a_id").alias("source")).distinct()
-    front = starts.select("source", F.col("source").alias("node"), F.array("source").alias("path"))
-    seen = front
-    for _ in range(max_depth):
-        step = front.join(hop, front["node"] == hop["src"]).groupBy("source", F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        front = saved(step.join(seen.select("source", "node"), ["source", "node"], "left_anti"))
-        if front.isEmpty():
+    hop = saved(undirected(edges).select("src", "dst").where("src is not null and dst is not null").distinct())
+    degrees = saved(hop.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
+    asked = saved(pairs.select("a_id", "b_id"))
+    found = [asked.where("a_id = b_id").distinct().withColumn("path", F.array("a_id"))]
+    waiting = asked.where("a_id <> b_id").distinct()
+    reach, last, size = {}, {}, {}
+    for side in ("a", "b"):
+        ends = waiting.select(F.col(f"{side}_id").alias("node")).distinct().join(degrees, "node")
+        reach[side] = last[side] = saved(ends.select(F.col("node").alias("root"), F.lit(0).alias("level"), "node", F.array("node").alias("path"), "degree"))
+        size[side] = _frontier_size(last[side])
+    level, n_pairs = {"a": 0, "b": 0}, waiting.count()
+    for depth in range(1, max_depth + 1):
+        if not size["a"]["nodes"] or not size["b"]["nodes"]:
             break
-        seen = seen.unionByName(front)
-    return pairs.join(seen, (pairs["a_id"] == seen["source"]) & (pairs["b_id"] == seen["node"])).select("a_id", "b_id", "path")
+        grown, other = sorted(("a", "b"), key=lambda x: _growth_cost(x, "b" if x == "a" else "a", level, size, n_pairs))
+        if level[other] and not level[grown]:  # from here on from both sides: what one side found alone leaves first
+            found.append(saved(_looked_up(waiting, reach, other)))
+            waiting = waiting.join(found[-1], ["a_id", "b_id"], "left_anti")
+        level[grown] += 1
+        ends = waiting.select(F.col(f"{grown}_id").alias("root"), F.col(f"{other}_id").alias("node"))
+        if depth == max_depth and not level[other]:  # of the last level only the nodes asked for count
+            reach[grown] = reach[grown].unionByName(_next_level(last[grown], ends, reach[grown], hop.join(ends, hop["dst"] == ends["node"], "left_semi"), degrees, grown))
+            break
+        last[grown] = saved(_next_level(last[grown], ends, reach[grown], hop, degrees, grown))
+        reach[grown], size[grown] = reach[grown].unionByName(last[grown]), _frontier_size(last[grown])
+        if level[other]:
+            found.append(saved(_met(waiting, last, min(("a", "b"), key=level.get))))
+            waiting = saved(waiting.join(found[-1], ["a_id", "b_id"], "left_anti"))
+            n_pairs = waiting.count()
+    if not (level["a"] and level["b"]):
+        found.append(_looked_up(waiting, reach, max(("a", "b"), key=level.get)))
+    paths = found[0]
+    for more in found[1:]:
+        paths = paths.unionByName(more)
+    return asked.join(paths, ["a_id", "b_id"])
+
+
+def _frontier_size(front: DataFrame):
+    return front.agg(F.count(F.lit(1)).alias("nodes"), F.coalesce(F.sum("degree"), F.lit(0)).alias("edges"), F.count_distinct("root").alias("roots")).first()
+
+
+def _growth_cost(grown: str, other: str, level: dict, size: dict, n_pairs: int) -> float:
+    """Edges to follow, and nodes that the pairs then look up: those of the frontiers of fewer edges from their ends."""
+    if not level[other]:
+        return size[grown]["edges"]
+    mine_tried = level[grown] + 1 <= level[other]
+    width = size[grown]["edges"] / size[grown]["roots"] if mine_tried else size[other]["nodes"] / size[other]["roots"]
+    return size[grown]["edges"] + n_pairs * width
+
+
+def _next_level(front: DataFrame, roots: DataFrame, reach: DataFrame, hop: DataFrame, degrees: DataFrame, side: str) -> DataFrame:
+    """Nodes one edge further, of the roots that still wait, that the root has not reached before, with their smallest paths: from the root (a) or to it (b)."""
+    step = front.join(roots.select("root"), "root", "left_semi").withColumnRenamed("node", "src").join(hop, "src")
+    step = step.groupBy("root", "level", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
+    step = step.join(reach.select("root", "node"), ["root", "node"], "left_anti").join(degrees, "node")
+    longer = F.concat("path", F.array("node")) if side == "a" else F.concat(F.array("node"), "path")
+    return step.select("root", (F.col("level") + 1).alias("level"), "node", longer.alias("path"), "degree")
+
+
+def _looked_up(waiting: DataFrame, reach: dict, side: str) -> DataFrame:
+    """The pairs whose other end lies among all that side has reached."""
+    root, node = ("a_id", "b_id") if side == "a" else ("b_id", "a_id")
+    return waiting.join(reach[side].select(F.col("root").alias(root), F.col("node").alias(node), "path"), ["a_id", "b_id"]).select("a_id", "b_id", "path")
+
+
+def _met(waiting: DataFrame, last: dict, tried: str) -> DataFrame:
+    """a_id, b_id, path of the pairs whose newest frontiers share a node; those of the tried side are looked up in the other."""
+    of = {x: last[x].select(F.col("root").alias(f"{x}_id"), "node", F.col("path").alias(f"{x}_path")) for x in ("a", "b")}
+    other = "b" if tried == "a" else "a"
+    both = waiting.join(of[tried], f"{tried}_id").join(of[other], [f"{other}_id", "node"])
+    return both.groupBy("a_id", "b_id").agg(F.min(F.concat("a_path", F.slice("b_path", F.lit(2), F.size("b_path")))).alias("path"))
 
 
 def on_topics(edges: DataFrame, entities: DataFrame, topics: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kgspark.operators import context, graph, ingest, search
+from kgspark.operators.recovery import saved
 from kgspark.plans.fixtures import NOW
 from kgspark.plans.read_queries import ACTIVE, ACTIVE_SQL, now
 from kgspark.plans.registry import query
@@ -80,13 +81,10 @@ def j8(t):
     return graph.ancestry(t.part_of, t.entities.select("id")).select("id", F.array_join(F.col("chain").cast("array<string>"), ">").alias("chain"))
 
 
-def path_pairs(t):
-    """Every pair of one shared message: is there a path of heavier edges between its ends?"""
-    return t.related_to.where("weight = 1").select("a_id", "b_id")
-
-
-def heavy(t):
-    return t.related_to.where("weight >= 2").select("a_id", "b_id")
+def heavy_and_light(t):
+    """Edges of two messages and more, to search; and every pair of one shared message: is there a path of heavier edges between its ends?"""
+    links = saved(t.related_to.select("a_id", "b_id", "weight"))
+    return links.where("weight >= 2").select("a_id", "b_id"), links.where("weight = 1").select("a_id", "b_id")
 
 
 PATHS = """WITH RECURSIVE h AS (SELECT a_id, b_id FROM kg_related_to WHERE weight >= 2 {where}), e AS (SELECT a_id AS src, b_id AS dst FROM h UNION SELECT b_id, a_id FROM h),
@@ -98,7 +96,7 @@ SELECT p.source AS a_id, p.node AS b_id, array_to_string(path, '>') AS path FROM
 
 @query("j9_shortest_paths", PATHS.format(where=""))
 def j9(t):
-    return graph.shortest_paths(heavy(t), path_pairs(t)).select("a_id", "b_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+    return graph.shortest_paths(*heavy_and_light(t)).select("a_id", "b_id", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
 SEEN = f"SELECT id FROM kg_entities WHERE topic IS NULL OR topic IN {ACTIVE_SQL}"
@@ -113,7 +111,8 @@ ns AS (SELECT st.a_id, st.b_id, hidden, step, p[step + 1] AS from_id, p[step + 2
 
 
 def all_paths(t):
-    return graph.topic_paths(heavy(t), t.entities, path_pairs(t), ACTIVE)
+    heavy, light = heavy_and_light(t)
+    return graph.topic_paths(heavy, t.entities, light, ACTIVE)
 
 
 @query("j10_paths_on_topics", f"{TOPIC_PATHS} SELECT a_id, b_id, CASE WHEN NOT hidden THEN path END AS path, shortcut FROM tp")

@@ -162,6 +162,58 @@ def test_turns_of_equal_time_are_not_before(spark):
     assert rows(got, "msg_id", "turn_id", "rn") == [(11, 0, 1), (12, 1, 2), (12, 2, 1)]
 
 
+def smallest_path(edges, a, b, most):
+    """Breadth first over whole paths in order, so the first one to arrive is the shortest and smallest."""
+    near = {}
+    for x, y in edges:
+        near.setdefault(x, set()).add(y)
+        near.setdefault(y, set()).add(x)
+    paths, been = [[a]], {a}
+    for _ in range(most + 1):
+        done = [p for p in paths if p[-1] == b]
+        if done:
+            return min(done)
+        paths = sorted(p + [n] for p in paths for n in near.get(p[-1], ()) if n not in been)
+        first = {}
+        for p in paths:
+            first.setdefault(p[-1], p)
+        paths = list(first.values())
+        been |= set(first)
+    return None
+
+
+@pytest.mark.parametrize("most", [1, 3, 4])
+def test_paths_from_both_ends_equal_a_plain_search(spark, most):
+    """With a hub, a long chain, parts that do not meet, unknown and null ids, equal ends, repeated pairs and edges, a self-loop."""
+    draw = random.Random(most)
+    links = [(draw.randrange(40), draw.randrange(40)) for _ in range(45)] + [(50, n) for n in range(0, 40, 3)] + [(n, n + 1) for n in range(60, 70)] + [(7, 7), (60, 61), (61, 60)]
+    asked = [(draw.randrange(40), draw.randrange(40)) for _ in range(120)] + [(50, n) for n in range(40)] + [(n, 50) for n in range(40)]
+    asked += [(60, n) for n in range(60, 71)] + [(70, 66), (1, 60), (99, 1), (1, 99), (99, 99), (60, 64), (60, 64)]
+    edges = spark.createDataFrame(links + [(None, 1), (2, None)], "a_id long, b_id long")
+    got = graph.shortest_paths(edges, spark.createDataFrame(asked + [(None, 1), (1, None), (None, None)], "a_id long, b_id long"), most)
+    want = [(a, b, p) for a, b in asked for p in [smallest_path(links, a, b, most)] if p]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("most", [2, 3, 4, 5])
+def test_few_pairs_of_hubs_meet_half_way(spark, monkeypatch, most):
+    draw, met = random.Random(10 + most), []
+    links = [(hub, 1000 * hub + n) for hub in range(4) for n in range(60)] + [(1000 * draw.randrange(4) + draw.randrange(60), 1000 * draw.randrange(4) + draw.randrange(60)) for _ in range(80)]
+    asked = [(0, 1), (1, 2), (3, 0), (5, 2007), (3001, 1059)]
+    meet = graph._met
+    monkeypatch.setattr(graph, "_met", lambda *a: met.append(1) or meet(*a))
+    got = graph.shortest_paths(spark.createDataFrame(links, "a_id long, b_id long"), spark.createDataFrame(asked, "a_id long, b_id long"), most)
+    assert sorted(map(tuple, got.collect())) == sorted((a, b, p) for a, b in asked for p in [smallest_path(links, a, b, most)] if p)
+    assert met
+
+
+def test_paths_of_empty_tables(spark):
+    none = spark.createDataFrame([], "a_id long, b_id long")
+    some = spark.createDataFrame([(1, 2)], "a_id long, b_id long")
+    assert graph.shortest_paths(none, some).count() == 0
+    assert graph.shortest_paths(some, none).count() == 0
+
+
 def test_hidden_paths_are_locked(spark):
     e = spark.createDataFrame([(1, "a", "x"), (2, "b", "off"), (3, "c", None), (4, "d", "x"), (5, "e", "off")], "id long, canonical_name string, topic string")
     edges = spark.createDataFrame([(1, 2, ["m1"]), (2, 3, ["m2"]), (1, 4, ["m3"]), (3, 4, ["m4"]), (4, 5, ["m5"])], "a_id long, b_id long, message_ids array<string>")
