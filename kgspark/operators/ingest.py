@@ -31,13 +31,13 @@ def tag_known(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     return got.join(known.select(F.array_join("words", " ").alias("run"), "name", "id"), "run").select("msg_id", "name", "id").distinct()
 
 
-def filter_spans(spans: DataFrame, least: float = 0.5, generic: DataFrame | None = None) -> DataFrame:
+def filter_spans(spans: DataFrame, least: float = 0.5, generic: DataFrame | None = None, stop_words: DataFrame | None = None) -> DataFrame:
     """spans (msg_id, name, label, score) that are sure enough, start with a capital or have a digit, and are valid mentions.
 
     generic: phrase, generic (see generic_phrases); generic names count only under a specific label.
     """
     sure = spans.where((F.col("score") >= least) & F.rlike("name", F.lit(r"^\p{Lu}|[0-9]")))
-    return valid_mentions(sure, generic=generic)
+    return valid_mentions(sure, generic=generic, stop_words=stop_words)
 
 
 def merge_mentions(known: DataFrame, tagged: DataFrame, found: DataFrame, sure: float = 0.8) -> DataFrame:

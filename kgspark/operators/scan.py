@@ -47,18 +47,23 @@ def fact_summary(facts: DataFrame, n: int = 2) -> DataFrame:
     return facts.where("invalid_at is null").groupBy(F.col("source_entity_id").alias("entity_id")).agg(F.array_join(first, ". ").alias("summary"))
 
 
-def valid_mention(name: Column) -> Column:
+def valid_mention(name: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     low = F.lower(name)
-    return F.length(name).between(2, 100) & ~low.isin(*STOP_WORDS, *PRONOUNS) & F.rlike(name, F.lit(r"\p{L}"))
+    return F.length(name).between(2, 100) & ~low.isin(*stop_words, *PRONOUNS) & F.rlike(name, F.lit(r"\p{L}"))
 
 
-def valid_mentions(mentions: DataFrame, generic: DataFrame | None = None, topics: DataFrame | None = None) -> DataFrame:
+def valid_mentions(mentions: DataFrame, generic: DataFrame | None = None, topics: DataFrame | None = None, stop_words: DataFrame | None = None) -> DataFrame:
     """mentions (name, label, and topic if topics are given) that may become entities.
 
     generic: phrase, generic; a generic phrase needs a label other than none or general.  topics: key (lower-cased names and
-    aliases of active topics); a topic other than General must be one of them.
+    aliases of active topics); a topic other than General must be one of them.  stop_words: word, in place of STOP_WORDS, of any
+    number, case and language; nulls and repeated words change nothing.
     """
-    got = mentions.where(valid_mention(F.col("name")))
+    if stop_words is None:
+        got = mentions.where(valid_mention(F.col("name")))
+    else:
+        stopped = stop_words.select(F.lower("word").alias("_s")).where("_s is not null").distinct()
+        got = mentions.where(valid_mention(F.col("name"), ())).join(stopped, F.lower("name") == F.col("_s"), "left_anti")
     if generic is not None:
         dull = generic.where("generic").select(F.lower("phrase").alias("_g")).distinct()
         vague = F.lower(F.coalesce("label", F.lit(""))).isin("", "general")

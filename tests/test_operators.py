@@ -182,6 +182,14 @@ def smallest_path(edges, a, b, most):
     return None
 
 
+def test_stop_words_of_a_table_replace_the_short_list(spark):
+    spans = spark.createDataFrame([("Und", 0.9), ("The", 0.9), ("Ada", 0.9), ("We", 0.9), ("Ada", 0.1), ("7", 0.9), (None, 0.9)], "name string, score double").withColumn("label", F.lit("person"))
+    words = spark.createDataFrame([("und",), ("UND",), (None,), ("oder",)], "word string")
+    assert rows(ingest.filter_spans(spans), "name") == [("Ada",), ("Und",)]
+    assert rows(ingest.filter_spans(spans, stop_words=words), "name") == [("Ada",), ("The",)]
+    assert rows(ingest.filter_spans(spans, stop_words=words.where("false")), "name") == [("Ada",), ("The",), ("Und",)]
+
+
 @pytest.mark.parametrize("most", [1, 3, 4])
 def test_paths_from_both_ends_equal_a_plain_search(spark, most):
     """With a hub, a long chain, parts that do not meet, unknown and null ids, equal ends, repeated pairs and edges, a self-loop."""
