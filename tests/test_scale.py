@@ -29,3 +29,19 @@ def test_same_name_pairs_are_made_once_and_not_shuffled(spark):
     assert rows(got, "lo", "hi") == want
     above = plan(got).split("Join")[0]  # nothing over the join gathers the pairs again
     assert "Aggregate" not in above and "Distinct" not in above
+
+
+def test_shared_neighbours_by_each_way(spark):
+    pick = random.Random(6)
+    hub = [(1000, i) for i in range(200, 260)] + [(1001, i) for i in range(230, 290)] + [(i, 1) for i in range(200, 240)]
+    edges = sorted({(pick.randrange(20), 100 + pick.randrange(30)) for _ in range(150)} | set(hub))
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    few, many = [(0, 1), (3, 3), (1000, 1001), (1000, 5000), (200, 201)], [(a, b) for a in range(20) for b in range(20)]
+    to_hub = [(1000, a) for a in range(20)] + [(1000, a) for a in range(200, 290)]
+    e = spark.createDataFrame(edges, "a_id long, b_id long")
+    for pairs in (few, many, to_hub, [(b, a) for a, b in to_hub], few + few, []):
+        got = graph.shared_neighbors(e, spark.createDataFrame(pairs, "a_id long, b_id long"))
+        assert rows(got, "a_id", "b_id", "shared") == sorted((a, b, len((near.get(a, set()) & near.get(b, set())) - {1})) for a, b in pairs)
