@@ -39,6 +39,18 @@ def blocks(df: DataFrame, key: list[str], id_col: str, size: int) -> DataFrame:
     return dealt.groupBy(*key, "_n", "_s").agg(F.collect_list(id_col).alias("ids"), F.collect_list("vec").alias("vecs"))
 
 
+def _first(order: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k smallest values of each row, ties to the smaller id: only what is not beyond the k-th value is sorted."""
+    if k < order.shape[1]:
+        row, col = np.nonzero(order <= np.partition(order, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, col = (x.ravel() for x in np.indices(order.shape))
+    sort = np.lexsort((ids[col], order[row, col], row))
+    row, col = row[sort], col[sort]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
 def best_of(met: DataFrame, k: int) -> DataFrame:
     """met: qids, qvecs, ids, vecs of blocks that meet. The k best of each query in each, as FOUND rows."""
 
@@ -49,8 +61,8 @@ def best_of(met: DataFrame, k: int) -> DataFrame:
                 ids = np.asarray(ids)
                 nq, nc = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
                 s = (q @ c.T) / np.where(nq == 0, 1, nq)[:, None] / np.where(nc == 0, 1, nc)[None, :]
-                order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 12)), axis=1)[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(np.asarray(qids), order.shape[1]), "id": ids[order].ravel(), "score": np.take_along_axis(s, order, 1).ravel()})
+                row, col = _first(-np.round(s, 12), ids, k)
+                yield pd.DataFrame({"qid": np.asarray(qids)[row], "id": ids[col], "score": s[row, col]})
 
     return met.select("qids", "qvecs", "ids", "vecs").mapInPandas(best, FOUND)
 
@@ -117,11 +129,12 @@ class Lsh:
 
     def keys(self, df: DataFrame) -> DataFrame:
         """df, all of one length, with _keys: for each table a hash of its buckets."""
-        unit = df.withColumn("_u", array_to_vector(l2norm(F.col("vec"))))
+        # Each step is stored: in one projection Spark would do the steps below it anew for every table and bucket.
+        unit = saved(df.withColumn("_u", array_to_vector(l2norm(F.col("vec")))))
         model = BucketedRandomProjectionLSH(inputCol="_u", outputCol="_h", bucketLength=self.length, numHashTables=self.tables * self.projections, seed=self.seed).fit(unit)
         cells = F.transform("_h", lambda h: F.get(vector_to_array(h), F.lit(0)))
         table = lambda i: F.xxhash64(i, F.slice(F.col("_c"), i * self.projections + 1, F.lit(self.projections)))
-        return model.transform(unit).withColumn("_c", cells).withColumn("_keys", F.transform(F.sequence(F.lit(0), F.lit(self.tables - 1)), table)).drop("_u", "_h", "_c")
+        return saved(saved(model.transform(unit)).withColumn("_c", cells)).withColumn("_keys", F.transform(F.sequence(F.lit(0), F.lit(self.tables - 1)), table)).drop("_u", "_h", "_c")
 
 
 def bucket_topk(queries: DataFrame, corpus: DataFrame, k: int, lsh: Lsh) -> DataFrame:

@@ -3,9 +3,10 @@
 import random
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from kgspark.operators import graph
+from kgspark.operators import facts, graph, vectors
 
 
 def rows(df, *cols):
@@ -45,3 +46,27 @@ def test_shared_neighbours_by_each_way(spark):
     for pairs in (few, many, to_hub, [(b, a) for a, b in to_hub], few + few, []):
         got = graph.shared_neighbors(e, spark.createDataFrame(pairs, "a_id long, b_id long"))
         assert rows(got, "a_id", "b_id", "shared") == sorted((a, b, len((near.get(a, set()) & near.get(b, set())) - {1})) for a, b in pairs)
+
+
+def test_first_of_a_block_equals_a_full_sort():
+    pick = np.random.default_rng(3)
+    for k in (1, 4, 9, 20):
+        order, ids = -pick.integers(0, 4, (7, 9)) / 3, pick.permutation(9)
+        row, col = vectors._first(order, ids, k)
+        want = np.lexsort((np.broadcast_to(ids, order.shape), order), axis=1)[:, :k]
+        assert (row == np.repeat(np.arange(7), want.shape[1])).all() and (ids[col] == ids[want].ravel()).all()
+
+
+def test_buckets_are_hashed_once_a_row(spark):
+    df = spark.createDataFrame([(i, [float(i), 1.0, -float(i % 3)]) for i in range(20)], "id long, vec array<double>")
+    got = vectors.Lsh(tables=3).keys(df)
+    assert "UDF" not in plan(got) and got.where("size(_keys) = 3").count() == 20
+
+
+def test_ratios_only_where_they_can_count(spark):
+    entities = spark.createDataFrame([(1, "Acme Works"), (2, "Acme Work"), (3, "Other thing"), (4, "Name four")], "id long, canonical_name string")
+    knn = spark.createDataFrame([(1, 2, 0.2), (1, 3, 0.95), (2, 4, 0.3)], "id long, other long, score double")
+    got = facts.merge_pairs(knn, entities, spark.createDataFrame([("thing",)], "token string"))
+    assert [(r.lo, r.hi, r.score > 90) for r in got.orderBy("lo", "hi").collect()] == [(1, 2, True), (1, 3, False)]
+    udf = str(got._jdf.queryExecution().optimizedPlan())
+    assert "arrays_overlap" not in udf.split("ArrowEvalPython")[-1]  # what is asked of the ratio was filtered and stored before
