@@ -138,6 +138,34 @@ def alike_texts(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     return met.where(F.when(F.col("lt") == F.col("rt"), 100.0).otherwise(ratio("lt", "rt")) > cutoff).select("k", "l", "r")
 
 
+#: Longest texts of which all forms with up to two letters left out are made, and letters left out and put in that these find.
+SHORT, EDITS = 32, 3
+
+
+def _left_out(texts: DataFrame, text: str) -> DataFrame:
+    """texts (text, of at most SHORT letters) with cut, gone: the text without any gone (0 to 2) of its letters."""
+    without = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))
+    at = lambda x: F.when(F.length(x) > 0, F.sequence(F.lit(1), F.length(x)))
+    one = texts.withColumn("_i", F.explode(at(F.col(text)))).withColumn("cut", without(F.col(text), F.col("_i")))
+    # The second letter is after the first, so two letters are left out once.
+    two = one.where(F.col("_i") <= F.length("cut")).withColumn("_j", F.explode(F.sequence(F.col("_i"), F.length("cut")))).withColumn("cut", without(F.col("cut"), F.col("_j"))).drop("_j")
+    each = [df.drop("_i").withColumn("gone", F.lit(n)) for n, df in enumerate((texts.withColumn("cut", F.col(text)), one, two))]
+    return each[0].unionByName(each[1]).unionByName(each[2]).distinct()
+
+
+def _close_words(sides: DataFrame) -> DataFrame:
+    """mention, name of sides (s, is_m, is_n, short): short words that differ by at most EDITS letters left out and put in; every such pair."""
+    m, n = sides.where("is_m and short").select(F.col("s").alias("mention")), sides.where("is_n and short").select(F.col("s").alias("name"))
+
+    def cut(df, c, other, o):
+        """Two letters are left out only of words one or two letters longer than one of the other side, which loses one letter at most."""
+        longer = other.select(F.explode(F.array(F.length(o) + 1, F.length(o) + 2)).alias("_l")).distinct()
+        return _left_out(df, c).where("gone < 2").unionByName(_left_out(df.join(longer, F.length(c) == F.col("_l"), "left_semi"), c).where("gone = 2"))
+
+    met = cut(m, "mention", n, "name").withColumnRenamed("gone", "_g").join(cut(n, "name", m, "mention").withColumnRenamed("gone", "_h"), "cut")
+    return met.where(F.col("_g") + F.col("_h") <= EDITS).select("mention", "name").distinct()
+
+
 def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85, k: int = 50) -> DataFrame:
     """mention, id, score (0..1): the weighted ratio over names (id, name in lower case), of the cutoff (85 or more); below four letters the plain ratio.
 
@@ -148,6 +176,9 @@ def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85,
       - Parts, weighted 0.9: with p = c / 0.9 a part and the shorter text of a letters differ by 2 (1 - p) a edits at most, each of which takes
         away two of the a - 1 pairs at most; one of the others is among the rarest that many and one of the shorter text, and anywhere in the longer.
           - One letter alone: the letter.
+
+    Of short words (one ASCII word each) those a few letters apart are found first, by the letters left out.  All other short words
+    have at most 1 - (EDITS + 1) / (2 a + EDITS + 1), or 0.9 as parts; a mention of a letters with k ids over that needs none of them.
     """
     if cutoff < 85:
         raise ValueError("below 85 short names need not share adjacent letters")
@@ -157,8 +188,14 @@ def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85,
     texts = asked.withColumn("m", F.lit(1)).unionByName(known.withColumn("m", F.lit(0))).groupBy("s").agg(F.max("m").alias("m"), F.min("m").alias("n_side"))
     words = F.filter(F.split("s", r"\s+"), lambda w: w != "")
     forms = F.array_distinct(F.array(F.col("s"), F.array_join(F.array_sort(words), " "), F.array_join(F.array_sort(F.array_distinct(words)), " ")))
-    sides = saved(texts.select("s", (F.col("m") == 1).alias("is_m"), (F.col("n_side") == 0).alias("is_n"), forms.alias("forms"), F.array_distinct(words).alias("words")))
-    form = sides.select("s", "is_m", "is_n", F.explode("forms").alias("f"))
+    sides = saved(texts.select("s", (F.col("m") == 1).alias("is_m"), (F.col("n_side") == 0).alias("is_n"), forms.alias("forms"), F.array_distinct(words).alias("words"), F.col("s").rlike(f"^[!-~]{{1,{SHORT}}}$").alias("short")))
+    of = names.select("id", "name").distinct()
+    close = saved(_close_words(sides))
+    beyond = F.greatest(F.lit(90.0), 100 - 100 * (EDITS + 1) / (2 * F.length("mention") + EDITS + 1)) + 1e-6
+    full = close.where(F.length("mention") >= 4).withColumn("score", weighted_ratio("mention", "name")).where(F.col("score") > beyond).join(of, "name")
+    full = full.groupBy("mention").agg(F.count_distinct("id").alias("_n")).where(F.col("_n") >= k).select(F.col("mention").alias("s"), F.lit(True).alias("full"))
+    sides = saved(sides.join(full, "s", "left").withColumn("full", F.coalesce("full", F.lit(False)) & F.col("is_m")))
+    form = sides.select("s", "is_m", "is_n", "short", "full", F.explode("forms").alias("f"))
     posted = _pairs_of_letters(form.select("f").distinct())
     df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ordered = posted.join(df, "g").groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
@@ -166,22 +203,26 @@ def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85,
     least = F.ceil((1.5 * c - 1) * a * (1 + c / (2 - c)) - 1 - 1e-9)
     plain = F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), least) + 1)
     rare = saved(ordered.select("f", "n", F.posexplode(F.col("o")).alias("r", "x")).select("f", "x.g", (F.col("r") < plain).alias("plain"), (F.col("r") <= gone).alias("part")).join(form, "f"))
-    m = rare.where("is_m").select(F.col("s").alias("mention"), F.col("f").alias("mf"), "g", F.col("plain").alias("m_plain"), F.col("part").alias("m_part"))
-    n = rare.where("is_n").select(F.col("s").alias("name"), F.col("f").alias("nf"), "g", F.col("plain").alias("n_plain"), F.col("part").alias("n_part"))
     lm, ln, fm, fn = F.length("mention"), F.length("name"), F.length("mf"), F.length("nf")
     near = F.abs(fm - fn) * 100 <= (100 - cutoff) * (fm + fn)
     apart = (F.greatest(lm, ln) >= 1.5 * F.least(lm, ln)) & (F.greatest(lm, ln) <= 8 * F.least(lm, ln)) & (lm >= 4)
     part = F.col("m_part") & (fm <= fn) | F.col("n_part") & (fn <= fm)
-    met = m.where("m_plain").join(n.where("n_plain"), "g").where(near).select("mention", "name")
-    met = met.unionByName(m.where("m_part").join(n, "g").where(apart & part).select("mention", "name")).unionByName(m.join(n.where("n_part"), "g").where(apart & part).select("mention", "name"))
-    word = lambda side, to: sides.where(side).select(F.col("s").alias(to), F.explode("words").alias("w"))
-    met = met.unionByName(word("is_m", "mention").where(lm >= 4).join(word("is_n", "name"), "w").where(F.greatest(lm, ln) <= 8 * F.least(lm, ln)).select("mention", "name"))
-    letter = sides.where("is_m").select(F.col("s").alias("mention"), F.explode(F.array_distinct(F.split("s", ""))).alias("f"))
-    alone = form.where("is_n").where(F.length("f") == 1).select("f", F.col("s").alias("name"))
-    met = met.unionByName(letter.join(alone, "f").where(apart).select("mention", "name")).distinct()
+
+    def alike(is_m: str, is_n: str) -> DataFrame:
+        m = rare.where(is_m).select(F.col("s").alias("mention"), F.col("f").alias("mf"), "g", F.col("plain").alias("m_plain"), F.col("part").alias("m_part"))
+        n = rare.where(is_n).select(F.col("s").alias("name"), F.col("f").alias("nf"), "g", F.col("plain").alias("n_plain"), F.col("part").alias("n_part"))
+        met = m.where("m_plain").join(n.where("n_plain"), "g").where(near).select("mention", "name")
+        met = met.unionByName(m.where("m_part").join(n, "g").where(apart & part).select("mention", "name")).unionByName(m.join(n.where("n_part"), "g").where(apart & part).select("mention", "name"))
+        word = lambda side, to: sides.where(side).select(F.col("s").alias(to), F.explode("words").alias("w"))
+        met = met.unionByName(word(is_m, "mention").where(lm >= 4).join(word(is_n, "name"), "w").where(F.greatest(lm, ln) <= 8 * F.least(lm, ln)).select("mention", "name"))
+        letter = sides.where(is_m).select(F.col("s").alias("mention"), F.explode(F.array_distinct(F.split("s", ""))).alias("f"))
+        alone = form.where(is_n).where(F.length("f") == 1).select("f", F.col("s").alias("name"))
+        return met.unionByName(letter.join(alone, "f").where(apart).select("mention", "name"))
+
+    met = close.unionByName(alike("is_m and not full", "is_n")).unionByName(alike("full", "is_n and not short")).distinct()
     r = F.when(F.col("mention") == F.col("name"), 100.0).otherwise(F.when(lm < 4, ratio("mention", "name")).otherwise(weighted_ratio("mention", "name")))
     scored = met.withColumn("score", r).where(F.col("score") >= cutoff)
-    best = scored.join(names.select("id", "name").distinct(), "name").groupBy("mention", "id").agg((F.max("score") / 100).alias("score"))
+    best = scored.join(of, "name").groupBy("mention", "id").agg((F.max("score") / 100).alias("score"))
     rn = F.row_number().over(W.partitionBy("mention").orderBy(F.round("score", 9).desc(), "id"))
     return best.withColumn("rank", rn).where(F.col("rank") <= k)
 

@@ -6,7 +6,8 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from kgspark.operators import facts, graph, vectors
+from kgspark.functions.udfs import lcs_length, ratio_of, weighted_ratio_of
+from kgspark.operators import facts, graph, search, vectors
 
 
 def rows(df, *cols):
@@ -70,3 +71,20 @@ def test_ratios_only_where_they_can_count(spark):
     assert [(r.lo, r.hi, r.score > 90) for r in got.orderBy("lo", "hi").collect()] == [(1, 2, True), (1, 3, False)]
     udf = str(got._jdf.queryExecution().optimizedPlan())
     assert "arrays_overlap" not in udf.split("ArrowEvalPython")[-1]  # what is asked of the ratio was filtered and stored before
+
+
+def test_fuzzy_candidates_of_full_mentions_equal_all_pairs(spark):
+    pick = random.Random(8)
+    known = sorted({f"unit#{pick.randrange(400):06d}" for _ in range(120)} | {"unit#000001 b", "big unit#000007", "unité#000003", "u", "longer names here"})
+    asked = sorted({f"unit#{i:06d}" + ("x" if i % 2 else "") for i in range(0, 400, 23)} | {"un", "unit#000001b", "names here longer"})
+    names = spark.createDataFrame(list(enumerate(known)), "id long, name string")
+    got = search.fuzzy_candidates(spark.createDataFrame([(m,) for m in asked], "mention string"), names, 85, 5)
+    want = []
+    for m in asked:
+        scored = [(-round((100.0 if m == n else ratio_of(m, n) if len(m) < 4 else weighted_ratio_of(m, n)) / 100, 9), i) for i, n in enumerate(known)]
+        want += [(m, i, -s) for s, i in sorted(x for x in scored if x[0] <= -0.85)[:5]]
+    assert rows(got.select("mention", "id", F.round("score", 9).alias("score")), "mention", "id", "score") == sorted(want)
+    sides = spark.createDataFrame([(s, s in asked, s in known, " " not in s and s.isascii()) for s in {*asked, *known}], "s string, is_m boolean, is_n boolean, short boolean")
+    words = [[s for s in x if " " not in s and s.isascii()] for x in (asked, known)]
+    apart = lambda a, b: len(a) + len(b) - 2 * lcs_length(a, b)
+    assert rows(search._close_words(sides), "mention", "name") == sorted((a, b) for a in words[0] for b in words[1] if apart(a, b) <= search.EDITS)
