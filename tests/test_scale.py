@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
+from kgspark.functions.scalars import indel_ratio
 from kgspark.functions.udfs import lcs_length, ratio_of, weighted_ratio_of
 from kgspark.operators import facts, graph, search, vectors
 
@@ -88,3 +89,13 @@ def test_fuzzy_candidates_of_full_mentions_equal_all_pairs(spark):
     words = [[s for s in x if " " not in s and s.isascii()] for x in (asked, known)]
     apart = lambda a, b: len(a) + len(b) - 2 * lcs_length(a, b)
     assert rows(search._close_words(sides), "mention", "name") == sorted((a, b) for a in words[0] for b in words[1] if apart(a, b) <= search.EDITS)
+
+
+def test_indel_ratio_keeps_its_row_in_words_of_bits(spark):
+    pick = random.Random(9)
+    said = lambda n, letters: "".join(pick.choice(letters) for _ in range(n))
+    texts = [("", ""), ("a", ""), ("", "b"), (None, "a"), ("a", None)] + [(said(n, s), said(m, s)) for s in ("ab", "abcdefgh ") for n in (1, 61, 62, 63, 124, 125, 190) for m in (1, 62, 63, 150)]
+    got = spark.createDataFrame(texts, "a string, b string").withColumn("r", indel_ratio(F.col("a"), F.col("b")))
+    assert "bit_count" in plan(got)  # 62 letters a step, not a step for each pair of letters
+    for r in got.collect():
+        assert r.r is None if r.a is None or r.b is None else abs(r.r - ratio_of(r.a, r.b)) < 1e-9
