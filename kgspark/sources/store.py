@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PARTS, TRIES = 64, 20
-#: Column of the number of a row's partition while it is written.
-PART = "_part"
+#: Columns of the number of a row's partition, and of its share of it, while it is written.
+PART, SHARE = "_part", "_share"
+#: Tasks that write a partition at most.
+SHARES = 32
 
 
 class SnapshotStore:
@@ -90,10 +92,11 @@ class SnapshotStore:
         return self._read(named[-1]) if named else None
 
     def _store(self, table: str, df: DataFrame, key: list[str]) -> dict[str, str]:
-        """Writes df by partition; the folders by number of partition."""
+        """Writes df by partition, each in shares, so a task does not sort a whole partition; the folders by number of partition."""
         where = f"{self.root}/{table}/data/{uuid.uuid4().hex}"
-        placed = df.withColumn(PART, F.pmod(F.xxhash64(*map(F.expr, key)), F.lit(self.parts)))
-        placed.repartition(PART).write.partitionBy(PART).parquet(where)
+        at = F.xxhash64(*map(F.expr, key))
+        placed = df.withColumns({PART: F.pmod(at, F.lit(self.parts)), SHARE: F.pmod(F.xxhash64(at), F.lit(SHARES))})
+        placed.repartition(PART, SHARE).drop(SHARE).write.partitionBy(PART).parquet(where)
         folder, fs = self._path(where)
         names = [f.getPath().getName() for f in fs.listStatus(folder)]
         return {n.removeprefix(f"{PART}="): f"{where}/{n}" for n in names if n.startswith(f"{PART}=")}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from kgspark.functions.scalars import indel_ratio
 from kgspark.functions.udfs import lcs_length, ratio_of, weighted_ratio_of
 from kgspark.operators import facts, graph, search, vectors
+from kgspark.plans.fixtures import Tables
+from kgspark.sources.store import SnapshotStore
 
 
 def rows(df, *cols):
@@ -99,3 +101,23 @@ def test_indel_ratio_keeps_its_row_in_words_of_bits(spark):
     assert "bit_count" in plan(got)  # 62 letters a step, not a step for each pair of letters
     for r in got.collect():
         assert r.r is None if r.a is None or r.b is None else abs(r.r - ratio_of(r.a, r.b)) < 1e-9
+
+
+def test_a_stored_partition_is_written_in_shares(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path), parts=1)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.write("t", spark.range(1000), ["id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert store.read("t").columns == ["id"] and rows(store.read("t"), "id") == [(i,) for i in range(1000)]
+    assert len(store.read("t").inputFiles()) > 1  # not one task with all rows of the partition
+
+
+def test_edges_are_gathered_by_one_shuffle(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    t._made["edge_rows"] = spark.createDataFrame([(1, 2, "m", 0.5, None, "x"), (1, 2, "m", 0.7, None, "y"), (1, 2, "k", 0.1, None, None)], "a_id long, b_id long, message_id string, confidence double, seen_at timestamp, context string")
+    got = t.related_to
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the plan before it ran
+    assert [tuple(r) for r in got.collect()] == [(1, 2, 2, 0.7, None, ["k", "m"], "y")]
