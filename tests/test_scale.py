@@ -6,8 +6,8 @@ from itertools import combinations
 import numpy as np
 from pyspark.sql import functions as F
 
-from kgspark.functions.scalars import indel_ratio
-from kgspark.functions.udfs import lcs_length, ratio_of, weighted_ratio_of
+from kgspark.functions.scalars import cosine, indel_ratio
+from kgspark.functions.udfs import lcs_length, ratio, ratio_of, weighted_ratio_of
 from kgspark.operators import facts, graph, search, vectors
 from kgspark.plans.fixtures import Tables
 from kgspark.sources.store import SnapshotStore
@@ -121,3 +121,20 @@ def test_edges_are_gathered_by_one_shuffle(spark):
     got = t.related_to
     assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the plan before it ran
     assert [tuple(r) for r in got.collect()] == [(1, 2, 2, 0.7, None, ["k", "m"], "y")]
+
+
+def test_pairs_of_a_name_are_classified_by_kinds(spark, monkeypatch):
+    pick = random.Random(10)
+    one = lambda i: (i, pick.choice(["Red bolt", "red bolt", "Hot ring", "red bolts", None]), pick.choice(["bolt", "ring", None]), pick.choice(["part", None]), pick.choice(["x", "y", None]), [pick.random(), 1.0] if i % 3 == 0 else None)
+    entities = spark.createDataFrame([one(i) for i in range(2, 60)], "id long, canonical_name string, alias1 string, type string, topic string, vec array<double>")
+    edges = spark.createDataFrame([(pick.randrange(2, 30), pick.randrange(2, 30)) for _ in range(40)] + [(5, 1), (7, 1)], "a_id long, b_id long")
+    part_of = spark.createDataFrame([(i, i + 1) for i in range(20, 40)], "child_id long, parent_id long")
+    a, b = (entities.select(F.col("id").alias(i), F.lower("canonical_name").alias(f"n_{i}"), F.col("vec").alias(f"v_{i}")) for i in ("lo", "hi"))
+    p = graph.alias_collisions(entities).join(a, "lo").join(b, "hi").select("lo", "hi", ratio("n_lo", "n_hi").alias("score"), cosine(F.col("v_lo"), F.col("v_hi")).alias("cos"))
+    cols = ["a_id", "b_id", F.round("score", 6), F.round("cos", 9), "cross_topic", "shared"]
+    want = rows(facts.classify_pairs(p, entities, edges, part_of), *cols)
+    assert len(want) > 50
+    for block in (2, 64):
+        monkeypatch.setattr(facts, "KIND_BLOCK", block)
+        monkeypatch.setattr(facts, "NAME_KINDS", block)
+        assert rows(facts.classify_named(entities, edges, part_of), *cols) == want
