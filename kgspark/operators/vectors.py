@@ -22,6 +22,8 @@ from kgspark.operators.recovery import saved
 
 #: Vectors of a query block and of a corpus block multiplied at once.
 QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
+#: Queries and corpus rows of a cell; of these so many are multiplied at once.
+CELL, QUERY_ROWS, CORPUS_ROWS = 16384, 1024, 4096
 #: Parts that rows of one vector are ranked in before they are ranked together.
 SALTS = 64
 FOUND = "qid long, id long, score double"
@@ -75,17 +77,60 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | None = None) -> DataFrame:
     """qid, id, score, rank: the k nearest by cosine, the floor applied after the cut. queries: qid, vec; corpus: id, vec.
 
-    The stated queries meet every block of the corpus: a task multiplies
-    matrices and keeps k per query, the window merges.
+    Queries and corpus are dealt to chunks and each two chunks are a cell, a
+    group of its own: a task holds one cell, multiplies matrices and keeps k a
+    query; the window merges the cells.
     """
-    asked = blocks(usable(queries.select("qid", "vec")).withColumn("_d", F.size("vec")), ["_d"], "qid", QUERY_BLOCK)
-    stored = blocks(usable(corpus.select("id", "vec")).withColumn("_d", F.size("vec")), ["_d"], "id", CORPUS_BLOCK)
-    counts = stored.groupBy("_d").agg(F.max("_n").alias("_m"))
-    met = asked.join(counts, "_d").select("_d", F.col("ids").alias("qids"), F.col("vecs").alias("qvecs"), F.explode(F.sequence(F.lit(0), F.col("_m") - 1)).alias("_s")).join(stored.drop("_n"), ["_d", "_s"])
-    got = ranked(best_of(met, k), k)
+    asked, stored = (usable(df.select(i, "vec")).withColumn("_d", F.size("vec")) for df, i in ((queries, "qid"), (corpus, "id")))
+    chunks = lambda df, n: df.groupBy("_d").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias(n))
+    n = chunks(asked, "_m").join(chunks(stored, "_n"), "_d")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    dealt = lambda i, c: F.pmod(F.xxhash64(i), F.col(c)).cast("int")
+    key = ["_d", "_q", "_s"]
+    q = asked.join(n, "_d").select("_d", dealt("qid", "_m").alias("_q"), every("_n").alias("_s"), "qid", F.col("vec").alias("qvec")).groupBy(*key)
+    c = stored.join(n, "_d").select("_d", every("_m").alias("_q"), dealt("id", "_n").alias("_s"), "id", F.col("vec").alias("vec")).groupBy(*key)
+    got = ranked(q.cogroup(c).applyInPandas(_cell(k), FOUND), k)
     return got if floor is None else got.where(F.col("score") >= floor)
 
 
+def _cell(k: int):
+    """A function of the queries (qid, qvec) and corpus rows (id, vec) of a cell: the k best of each query.
+
+    Once a query has k, only what comes near to its k-th is looked at: scores of normed vectors leave out the rest, and those
+    of the vectors themselves decide.
+    """
+
+    def best(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or stored.empty:
+            return pd.DataFrame({"qid": pd.Series([], dtype="int64"), "id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
+        q, c = (np.stack(list(x)).astype(np.float64) for x in (asked.qvec, stored.vec))
+        qids, ids = asked.qid.to_numpy(), stored.id.to_numpy()
+        nq, nc = (np.linalg.norm(x, axis=1) for x in (q, c))
+        nq, nc = np.where(nq == 0, 1, nq), np.where(nc == 0, 1, nc)
+        qn, cn = q / nq[:, None], c / nc[:, None]
+        out = []
+        for a in range(0, len(q), QUERY_ROWS):
+            rows = qn[a : a + QUERY_ROWS]
+            least, have = np.full(len(rows), -np.inf), (np.empty(0, int), np.empty(0, int), np.empty(0))
+            for b in range(0, len(c), CORPUS_ROWS):
+                s = rows @ cn[b : b + CORPUS_ROWS].T
+                if b == 0 and k < s.shape[1]:
+                    least = np.partition(s, -k, axis=1)[:, -k]
+                row, col = np.nonzero(s >= least[:, None] - 1e-9)
+                score = np.einsum("ij,ij->i", q[a + row], c[b + col]) / nq[a + row] / nc[b + col]
+                row, col, score = (np.concatenate(x) for x in zip(have, (row, b + col, score)))
+                sort = np.lexsort((ids[col], -np.round(score, 12), row))
+                row, col, score = row[sort], col[sort], score[sort]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                have = tuple(x[place < k] for x in (row, col, score))
+                last = place == k - 1
+                least[row[last]] = np.maximum(least[row[last]], score[last])
+            out.append(pd.DataFrame({"qid": qids[a + have[0]], "id": ids[have[1]], "score": have[2]}))
+        return pd.concat(out, ignore_index=True)
+
+    return best
+
+
 def near_pairs(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """k, l, r, score of left (k, l, vec) and right (k, r, vec) of one k whose cosine is at least so much (over 0).
 

@@ -138,3 +138,19 @@ def test_pairs_of_a_name_are_classified_by_kinds(spark, monkeypatch):
         monkeypatch.setattr(facts, "KIND_BLOCK", block)
         monkeypatch.setattr(facts, "NAME_KINDS", block)
         assert rows(facts.classify_named(entities, edges, part_of), *cols) == want
+
+
+def test_nearest_rows_by_cells_equal_a_full_sort(spark, monkeypatch):
+    for name, size in (("CELL", 16), ("QUERY_ROWS", 5), ("CORPUS_ROWS", 7)):
+        monkeypatch.setattr(vectors, name, size)
+    pick = np.random.default_rng(4)
+    v = [[float(x) for x in row] for row in pick.integers(-2, 3, (60, 3))]
+    corpus, asked = (spark.createDataFrame(list(enumerate(v[:n])), f"{i} long, vec array<double>") for i, n in (("id", 60), ("qid", 40)))
+    found = vectors.vector_topk(asked, corpus, 4)
+    text = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in text  # a task is given the rows of one cell, not a batch of rows that each hold a block
+    m = np.array(v)
+    norm = np.linalg.norm(m, axis=1)
+    cos = m @ m.T / np.where(norm == 0, 1, norm)[:, None] / np.where(norm == 0, 1, norm)[None, :]
+    want = [(i, j) for i in range(40) for j in sorted(range(60), key=lambda j: (-round(cos[i, j], 9), j))[:4]]
+    assert rows(found, "qid", "id") == sorted(want)
