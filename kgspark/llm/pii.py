@@ -11,9 +11,9 @@ validated base span is personal; a number that fails its validator is not; a
 run of letters and digits is a secret if its characters are spread like random
 ones (ENTROPY) and no more than CONTEXTS different contexts in the corpus hold
 it; of base spans, masked copies (spelled-out address, other separators, no
-plus) are personal too.  The trees are fitted on a bounded sample, for each
-format (key, number, address) a threshold is calibrated to PRECISION on a second
-part of it, and precision and recall are measured on a third.  Candidates over
+plus) are personal too.  The trees are fitted on six tenths of all values, for
+each format (key, number, address) a threshold is calibrated to PRECISION on two
+tenths, and precision and recall are measured on the rest.  Candidates over
 their threshold that touch no base span are added, as kind "secret".
 
 The patterns are written so that no text makes them slow or deep: runs are
@@ -22,7 +22,7 @@ replaced by a mark of the same length.
 
 Defined cases: null text is empty and has no spans; offsets are code points;
 the mark itself in a text counts as another character; repeated rows are each
-reported; rows without doc_id are handled like others; where the sample has one
+reported; rows without doc_id are handled like others; where all have one
 label only nothing is added; an empty table gives no rows; extra columns are
 kept by redact, with their values, and left out elsewhere.
 """
@@ -41,8 +41,8 @@ MARK, OTHER = "\x01", "\x02"
 KINDS = ("email", "ip", "card", "phone")
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-#: Candidates of each format in the sample at most; precision that a threshold must reach on the calibration part.
-SAMPLE_ROWS, PRECISION = 4000, 0.98
+#: Precision that a threshold must reach on the calibration part.
+PRECISION = 0.98
 #: Bits a character of a random run has at least, and different contexts a secret has at most.
 ENTROPY, CONTEXTS = 3.0, 2
 FORMATS = ("key", "number", "address")
@@ -175,32 +175,30 @@ def masked(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("@")), F.array(spelled, F.replace(value, F.lit("@"), F.lit(" [at] ")))).otherwise(F.array(dotted))
 
 
-def labelled(scanned: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """label, part (0-9, by value), format, FEATURES of a sample: of each format the candidates whose places hash lowest, rows at most (materialized)."""
-    each = each_candidate(scanned).withColumn("format", format_of(F.col("value"))).withColumn("o", F.xxhash64("key", "start", "end"))
-    some = [each.where(F.col("format") == f).orderBy("o", "value").limit(rows) for f in FORMATS]
-    sample = materialize(some[0].unionByName(some[1]).unionByName(some[2]))
-    # In how many contexts all documents have the sample's runs; the sample has a fixed number of rows at most.
-    runs = sample.where("format = 'key' and not covers").select("value").distinct()
-    seen = each.where("format = 'key'").join(F.broadcast(runs), "value").groupBy("value").agg(F.count_distinct("before").alias("contexts"))
+def labelled(scanned: DataFrame) -> DataFrame:
+    """label, part (0-9, by value), format, FEATURES of all candidates with a label and of masked copies, and n, how many are so (materialized)."""
+    each = materialize(each_candidate(scanned).withColumn("format", format_of(F.col("value"))))
+    # In how many contexts all documents have each run.
+    seen = materialize(each.where("format = 'key'").groupBy("value").agg(F.count_distinct("before").alias("contexts")))
     secret = (entropy(F.col("value")) >= ENTROPY) & (F.coalesce("contexts", F.lit(1)) <= CONTEXTS)
     label = F.when(F.col("covers"), 1.0).when(F.col("format") == "number", 0.0).when(F.col("format") == "key", F.when(secret, 1.0).otherwise(0.0))
-    own = sample.join(seen, "value", "left").select(label.alias("label"), "value", "before", F.pmod(F.xxhash64("value"), F.lit(10)).alias("part")).where("label is not null")
+    own = join_checked(each, seen, "value", "left", row_bytes=100).select(label.alias("label"), "value", "before", F.pmod(F.xxhash64("value"), F.lit(10)).alias("part")).where("label is not null")
     # A masked copy stands for the whole value, so only candidates that are one base span are masked.
-    whole = sample.where("covers").where((F.col("format") != "key") & ~F.contains("value", F.lit("\n")))
+    whole = each.where("covers").where((F.col("format") != "key") & ~F.contains("value", F.lit("\n")))
     copies = whole.select(F.col("value").alias("of"), F.explode(masked(F.col("value"))).alias("value"), "before").where("value <> of")
     copies = copies.select(F.lit(1.0).alias("label"), "value", "before", F.pmod(F.xxhash64("of"), F.lit(10)).alias("part"))
-    return materialize(candidate_features(own.unionByName(copies)).select("label", "part", "format", *FEATURES).coalesce(2))
+    # Candidates alike in all that the trees see are one row of their number as weight.
+    return materialize(candidate_features(own.unionByName(copies)).groupBy("label", "part", "format", *FEATURES).agg(F.count(F.lit(1)).cast("double").alias("n")))
 
 
-def fit(scanned: DataFrame, rows: int = SAMPLE_ROWS):
-    """(model, threshold by format, held-out precision and recall by format); None where the sample has one label only."""
-    data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(labelled(scanned, rows))
+def fit(scanned: DataFrame):
+    """(model, threshold by format, held-out precision and recall by format); None where the candidates have one label only."""
+    data = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(labelled(scanned))
     train, rest = data.where("part < 6"), data.where("part >= 6")
     if train.select("label").distinct().count() < 2:
         return None
-    model = GBTClassifier(featuresCol="x", labelCol="label", maxIter=8, maxDepth=3, seed=1).fit(train)
-    bins = score(rest, model).groupBy("format", (F.col("part") >= 8).alias("held"), F.floor(F.col("p") * 50).alias("bin")).agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect()
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="n", maxIter=8, maxDepth=3, seed=1).fit(train)
+    bins = score(rest, model).groupBy("format", (F.col("part") >= 8).alias("held"), F.floor(F.col("p") * 50).alias("bin")).agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()
     thresholds, report = {}, {}
     for f in FORMATS:
         good = n = 0

@@ -291,6 +291,12 @@ def test_labels_come_from_evidence_that_is_no_feature(spark):
     assert pii.fit(pii.scan(df.where("doc_id = 6"))) is None
 
 
+def test_labels_of_all_candidates_count(spark):
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("number "), (F.col("id") + 10**8).cast("string")).alias("text"))
+    got = pii.labelled(pii.scan(df))
+    assert got.where("format = 'number'").agg(F.sum("n")).first()[0] == 9000 and got.count() < 100
+
+
 def test_spelled_out_addresses_are_found(spark):
     rows = secrets_corpus() + [(1000 + i, f"{prose(5)} anna{i}.smith (at) mail{i % 3} (dot) org {prose(4)}") for i in range(5)]
     got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
