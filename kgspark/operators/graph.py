@@ -120,39 +120,48 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int = 4) -> Da
     """
     hop = saved(undirected(edges).select("src", "dst").where("src is not null and dst is not null").distinct())
     degrees = saved(hop.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree")))
-    asked = saved(pairs.select("a_id", "b_id"))
-    found = [asked.where("a_id = b_id").distinct().withColumn("path", F.array("a_id"))]
-    waiting = asked.where("a_id <> b_id").distinct()
+    # Rounds see each pair once, with the times it is asked for, and only pairs with an edge at both ends; they are stored.
+    linked = lambda c: degrees.select(F.col("node").alias(c), F.lit(True).alias(f"_{c}"))
+    some = pairs.select("a_id", "b_id").join(linked("a_id"), "a_id", "left").join(linked("b_id"), "b_id", "left").where("a_id = b_id or _a_id and _b_id")
+    asked = saved(some.groupBy("a_id", "b_id").agg(F.count(F.lit(1)).alias("times")))
+    found = [asked.where("a_id = b_id").withColumn("path", F.array("a_id"))]
+    waiting = asked.where("a_id <> b_id")
     reach, last, size = {}, {}, {}
     for side in ("a", "b"):
         ends = waiting.select(F.col(f"{side}_id").alias("node")).distinct().join(degrees, "node")
         reach[side] = last[side] = saved(ends.select(F.col("node").alias("root"), F.lit(0).alias("level"), "node", F.array("node").alias("path"), "degree"))
         size[side] = _frontier_size(last[side])
-    level, n_pairs = {"a": 0, "b": 0}, waiting.count()
+    level, n_pairs, open_roots = {"a": 0, "b": 0}, waiting.count(), {}  # without open_roots all roots wait
+
+    def without(got: DataFrame) -> DataFrame:
+        left = saved(waiting.join(got, ["a_id", "b_id"], "left_anti"))
+        open_roots.update({x: saved(left.select(F.col(f"{x}_id").alias("root")).distinct()) for x in ("a", "b")})
+        return left
+
     for depth in range(1, max_depth + 1):
         if not size["a"]["nodes"] or not size["b"]["nodes"]:
             break
         grown, other = sorted(("a", "b"), key=lambda x: _growth_cost(x, "b" if x == "a" else "a", level, size, n_pairs))
         if level[other] and not level[grown]:  # from here on from both sides: what one side found alone leaves first
             found.append(saved(_looked_up(waiting, reach, other)))
-            waiting = waiting.join(found[-1], ["a_id", "b_id"], "left_anti")
+            waiting = without(found[-1])
         level[grown] += 1
-        ends = waiting.select(F.col(f"{grown}_id").alias("root"), F.col(f"{other}_id").alias("node"))
         if depth == max_depth and not level[other]:  # of the last level only the nodes asked for count
-            reach[grown] = reach[grown].unionByName(_next_level(last[grown], ends, reach[grown], hop.join(ends, hop["dst"] == ends["node"], "left_semi"), degrees, grown))
+            ends = reach[other].select(F.col("node").alias("dst"))
+            reach[grown] = reach[grown].unionByName(_next_level(last[grown], open_roots.get(grown), reach[grown], hop.join(ends, "dst", "left_semi"), degrees, grown))
             break
-        last[grown] = saved(_next_level(last[grown], ends, reach[grown], hop, degrees, grown))
+        last[grown] = saved(_next_level(last[grown], open_roots.get(grown), reach[grown], hop, degrees, grown))
         reach[grown], size[grown] = reach[grown].unionByName(last[grown]), _frontier_size(last[grown])
         if level[other]:
             found.append(saved(_met(waiting, last, min(("a", "b"), key=level.get))))
-            waiting = saved(waiting.join(found[-1], ["a_id", "b_id"], "left_anti"))
+            waiting = without(found[-1])
             n_pairs = waiting.count()
     if not (level["a"] and level["b"]):
         found.append(_looked_up(waiting, reach, max(("a", "b"), key=level.get)))
     paths = found[0]
     for more in found[1:]:
         paths = paths.unionByName(more)
-    return asked.join(paths, ["a_id", "b_id"])
+    return paths.select("a_id", "b_id", "path", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_i")).drop("_i")
 
 
 def _frontier_size(front: DataFrame):
@@ -168,9 +177,10 @@ def _growth_cost(grown: str, other: str, level: dict, size: dict, n_pairs: int)
     return size[grown]["edges"] + n_pairs * width
 
 
-def _next_level(front: DataFrame, roots: DataFrame, reach: DataFrame, hop: DataFrame, degrees: DataFrame, side: str) -> DataFrame:
-    """Nodes one edge further, of the roots that still wait, that the root has not reached before, with their smallest paths: from the root (a) or to it (b)."""
-    step = front.join(roots.select("root"), "root", "left_semi").withColumnRenamed("node", "src").join(hop, "src")
+def _next_level(front: DataFrame, roots: DataFrame | None, reach: DataFrame, hop: DataFrame, degrees: DataFrame, side: str) -> DataFrame:
+    """Nodes one edge further, of the roots that still wait (None: all), that the root has not reached before, with their smallest paths: from the root (a) or to it (b)."""
+    front = front if roots is None else front.join(roots, "root", "left_semi")
+    step = front.withColumnRenamed("node", "src").join(hop, "src")
     step = step.groupBy("root", "level", F.col("dst").alias("node")).agg(F.min("path").alias("path"))
     step = step.join(reach.select("root", "node"), ["root", "node"], "left_anti").join(degrees, "node")
     longer = F.concat("path", F.array("node")) if side == "a" else F.concat(F.array("node"), "path")
@@ -180,15 +190,15 @@ def _next_level(front: DataFrame, roots: DataFrame, reach: DataFrame, hop: DataF
 def _looked_up(waiting: DataFrame, reach: dict, side: str) -> DataFrame:
     """The pairs whose other end lies among all that side has reached."""
     root, node = ("a_id", "b_id") if side == "a" else ("b_id", "a_id")
-    return waiting.join(reach[side].select(F.col("root").alias(root), F.col("node").alias(node), "path"), ["a_id", "b_id"]).select("a_id", "b_id", "path")
+    return waiting.join(reach[side].select(F.col("root").alias(root), F.col("node").alias(node), "path"), ["a_id", "b_id"]).select("a_id", "b_id", "times", "path")
 
 
 def _met(waiting: DataFrame, last: dict, tried: str) -> DataFrame:
-    """a_id, b_id, path of the pairs whose newest frontiers share a node; those of the tried side are looked up in the other."""
+    """a_id, b_id, times, path of the pairs whose newest frontiers share a node; those of the tried side are looked up in the other."""
     of = {x: last[x].select(F.col("root").alias(f"{x}_id"), "node", F.col("path").alias(f"{x}_path")) for x in ("a", "b")}
     other = "b" if tried == "a" else "a"
     both = waiting.join(of[tried], f"{tried}_id").join(of[other], [f"{other}_id", "node"])
-    return both.groupBy("a_id", "b_id").agg(F.min(F.concat("a_path", F.slice("b_path", F.lit(2), F.size("b_path")))).alias("path"))
+    return both.groupBy("a_id", "b_id", "times").agg(F.min(F.concat("a_path", F.slice("b_path", F.lit(2), F.size("b_path")))).alias("path"))
 
 
 def on_topics(edges: DataFrame, entities: DataFrame, topics: list[str]) -> DataFrame:
