@@ -4,15 +4,20 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kgspark.functions.scalars import cosine, indel_ratio
 from kgspark.functions.udfs import lcs_length, ratio, ratio_of, weighted_ratio_of
-from kgspark.operators import facts, graph, search, vectors
+from kgspark.operators import facts, graph, greedy, search, vectors
+from kgspark.plans import graph_queries
 from kgspark.plans.fixtures import Tables
 from kgspark.sources.store import SnapshotStore
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def rows(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
@@ -154,3 +159,30 @@ def test_nearest_rows_by_cells_equal_a_full_sort(spark, monkeypatch):
     cos = m @ m.T / np.where(norm == 0, 1, norm)[:, None] / np.where(norm == 0, 1, norm)[None, :]
     want = [(i, j) for i in range(40) for j in sorted(range(60), key=lambda j: (-round(cos[i, j], 9), j))[:4]]
     assert rows(found, "qid", "id") == sorted(want)
+
+
+def test_pairs_without_links_leave_the_path_search_at_once(spark, monkeypatch):
+    stored, keep = [], graph.saved
+    monkeypatch.setattr(graph, "saved", lambda df: stored.append(keep(df)) or stored[-1])
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "a_id long, b_id long")
+    asked = spark.createDataFrame([(1, 3), (1, 3), *((1, n) for n in range(10, 60)), *((n, 3) for n in range(10, 60))], "a_id long, b_id long")
+    assert sorted(map(tuple, graph.shortest_paths(edges, asked).collect())) == [(1, 3, [1, 2, 3])] * 2
+    assert max(df.count() for df in stored if {"a_id", "b_id"} <= set(df.columns)) == 1
+
+
+class Asked:
+    """Tables that note what is asked of them."""
+
+    def __init__(self, tables):
+        self.tables, self.names = tables, []
+
+    def __getattr__(self, name):
+        self.names.append(name)
+        return getattr(self.tables, name)
+
+
+@pytest.mark.parametrize("name", ["f8", "j11"])
+def test_links_are_derived_once_for_the_steps_of_paths(spark, name):
+    t = Asked(Tables(spark, SF))
+    getattr(graph_queries, name)(t)
+    assert t.names.count("related_to") == 1
