@@ -11,11 +11,14 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kgspark.operators.recovery import saved
 
 ROUNDS, PART = 4, 50_000
+#: Rows of small groups that are decided in one task, about.
+DEALT = 10_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,8 +72,11 @@ def kept_items(rules: DataFrame) -> DataFrame:
         open_ = saved(large)
 
 
-def disjoint(pairs: DataFrame, a: str, b: str, rank: str) -> DataFrame:
-    """The pairs that the loop by rank keeps when each id of a and b may be used once. Ranks are distinct."""
+def disjoint(pairs: DataFrame, a: str, b: str, rank: str, within: str | None = None) -> DataFrame:
+    """The pairs that the loop by rank keeps when each id of a and b may be used once. Ranks are distinct.
+
+    within: a column of groups that have no id in common. Those of at most PART rows are decided at once, many in one task.
+    """
     kind = pairs.schema[a].dataType.simpleString()
 
     def loop(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -81,7 +87,19 @@ def disjoint(pairs: DataFrame, a: str, b: str, rank: str) -> DataFrame:
                 out.append((x, y))
         return pd.DataFrame(out, columns=["x", "y"])
 
-    kept, rest = None, saved(pairs.where(F.col(a) != F.col(b)))
+    def looped(rows: DataFrame, part: str) -> DataFrame:
+        placed = rows.withColumn("place", F.row_number().over(W.partitionBy(part).orderBy(rank))).select(part, F.col(a).alias("x"), F.col(b).alias("y"), "place")
+        return saved(placed.groupBy(part).applyInPandas(loop, f"x {kind}, y {kind}").select(F.col("x").alias(a), F.col("y").alias(b)))
+
+    pairs = saved(pairs)  # by which they are chosen, and which are given back
+    kept, rest = None, pairs.where(F.col(a) != F.col(b))
+    if within is None:
+        rest = saved(rest)
+    else:
+        small = saved(rest.groupBy(within).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") <= PART))
+        tasks = 1 + (small.agg(F.sum("_k")).first()[0] or 0) // DEALT
+        kept = looped(rest.join(small, within, "left_semi").withColumn("_part", F.pmod(F.xxhash64(within), F.lit(tasks))), "_part")
+        rest = saved(rest.join(small, within, "left_anti").select(*pairs.columns))
     while True:
         for _ in range(ROUNDS):
             if rest.isEmpty():
@@ -93,8 +111,5 @@ def disjoint(pairs: DataFrame, a: str, b: str, rank: str) -> DataFrame:
             used = now.select(F.explode(F.array(a, b)).alias("x"))
             rest = saved(rest.join(used.withColumnRenamed("x", a), a, "left_anti").join(used.withColumnRenamed("x", b), b, "left_anti").select(*pairs.columns))
         small, large = _small_parts(rest, a, rest.select(F.col(a).alias("a"), F.col(b).alias("b")))
-        from pyspark.sql import Window as W
-
-        placed = small.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(rank))).select("part", F.col(a).alias("x"), F.col(b).alias("y"), "place")
-        kept = kept.unionByName(saved(placed.groupBy("part").applyInPandas(loop, f"x {kind}, y {kind}").select(F.col("x").alias(a), F.col("y").alias(b))))
+        kept = kept.unionByName(looped(small, "part"))
         rest = saved(large.select(*pairs.columns))

@@ -120,6 +120,10 @@ def _pairs_of_letters(texts: DataFrame) -> DataFrame:
     return counted.select("f", F.size("grams").alias("n"), F.explode("grams").alias("g"))
 
 
+#: Rows for each given one that texts may make where they meet for all k at once.
+WHOLE = 16
+
+
 def alike_texts(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """k, l, r of left (k, l, text) and right (k, r, text) of one k whose texts' plain ratio is over the cutoff (85 or more).
 
@@ -131,11 +135,29 @@ def alike_texts(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     ordered = posted.join(posted.groupBy("g").agg(F.count(F.lit(1)).alias("df")), "g").groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
     least = F.ceil((1.5 * c - 1) * F.length("f") * (1 + c / (2 - c)) - 1 - 1e-9)
     rare = saved(ordered.select(F.col("f").alias("text"), F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), least) + 1).cast("int"))).alias("x")).select("text", "x.g"))
+    near = F.abs(F.length("lt") - F.length("rt")) <= (1 - c) * (F.length("lt") + F.length("rt")) + 1e-9
+    rows = lambda df, n: df.agg(F.coalesce(F.sum(n), F.lit(0).cast("long"))).first()[0]
+    count = lambda df, by, n: df.groupBy(by).agg(F.count(F.lit(1)).alias(n))
+
+    def rated(two: DataFrame) -> DataFrame:
+        """Two texts are rated once, whoever says them; they are stored first, as the filter would be moved before the distinct."""
+        return saved(saved(two.select("lt", "rt").where("lt <> rt").distinct()).where(ratio("lt", "rt") > cutoff))
+
+    # Where few texts are said often, texts meet once for all k; else within each k. By exact counts of the rows made.
+    said = {s: saved(count(df.where("text is not null"), "text", "n")) for s, df in (("l", left), ("r", right))}
+    most = WHOLE * sum(rows(df, "n") for df in said.values())
+    of = {s: rare.join(df, "text").select("g", F.col("text").alias(f"{s}t")) for s, df in said.items()}
+    if rows(count(of["l"], "g", "n").join(count(of["r"], "g", "m"), "g"), F.col("n") * F.col("m")) <= most:
+        alike = rated(of["l"].join(of["r"], "g").where(near))
+        both = said["l"].join(said["r"].select("text"), "text", "left_semi").select(F.col("text").alias("lt"), F.col("text").alias("rt")) if cutoff < 100 else alike.where("false")
+        alike = saved(alike.unionByName(both))
+        if rows(alike.join(said["l"].withColumnRenamed("text", "lt"), "lt"), "n") <= most:
+            return left.withColumnRenamed("text", "lt").join(alike, "lt").join(right.withColumnRenamed("text", "rt"), ["k", "rt"]).select("k", "l", "r").distinct()
     a = left.join(rare, "text").select("k", "l", "g", F.col("text").alias("lt"))
     b = right.join(rare, "text").select("k", "r", "g", F.col("text").alias("rt"))
-    near = F.abs(F.length("lt") - F.length("rt")) <= (1 - c) * (F.length("lt") + F.length("rt")) + 1e-9
-    met = a.join(b, ["k", "g"]).where(near).select("k", "l", "r", "lt", "rt").distinct()
-    return met.where(F.when(F.col("lt") == F.col("rt"), 100.0).otherwise(ratio("lt", "rt")) > cutoff).select("k", "l", "r")
+    met = saved(a.join(b, ["k", "g"]).where(near).select("k", "l", "r", "lt", "rt").distinct())
+    same = met.where("lt = rt") if cutoff < 100 else met.where("false")
+    return same.select("k", "l", "r").unionByName(met.join(rated(met), ["lt", "rt"], "left_semi").select("k", "l", "r"))
 
 
 #: Longest texts of which all forms with up to two letters left out are made, and letters left out and put in that these find.

@@ -186,3 +186,29 @@ def test_links_are_derived_once_for_the_steps_of_paths(spark, name):
     t = Asked(Tables(spark, SF))
     getattr(graph_queries, name)(t)
     assert t.names.count("related_to") == 1
+
+
+def test_pairs_of_small_groups_are_chosen_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(greedy, "DEALT", 7)
+    monkeypatch.setattr(greedy, "components", lambda edges: pytest.fail("parts are known"))
+    pick = random.Random(3)
+    pairs = [(k, f"u{k}:{x}", f"f{k}:{y}", pick.random()) for k in range(8) for x in range(12) for y in range(12) if abs(x - y) < 2]
+    used, want = set(), []
+    for _, u, f, _ in sorted(pairs, key=lambda p: p[3]):
+        if not {u, f} & used:
+            used |= {u, f}
+            want.append((u, f))
+    assert rows(greedy.disjoint(spark.createDataFrame(pairs, "k long, u string, f string, rank double"), "u", "f", "rank", "k"), "u", "f") == sorted(want)
+
+
+@pytest.mark.parametrize("whole", [0, 1000])
+def test_texts_meet_once_or_within_their_group(spark, monkeypatch, whole):
+    monkeypatch.setattr(search, "WHOLE", whole)
+    pick, asked = random.Random(8), []
+    rate = search.ratio
+    monkeypatch.setattr(search, "ratio", lambda *a: asked.append(a) or rate(*a))
+    said = [(k, i, pick.choice(["click 1", "click 12", "click 21", "view 7", "Click 1", "", None])) for k in (1, 2) for i in range(25)]
+    left, right = spark.createDataFrame(said, "k long, l long, text string"), spark.createDataFrame(said[::2], "k long, r long, text string")
+    want = [(k, i, j) for k, i, x in said for m, j, y in said[::2] if k == m and x is not None and y is not None and ratio_of(x, y) > 90]
+    assert rows(search.alike_texts(left, right, 90), "k", "l", "r") == sorted(want)
+    assert asked == [("lt", "rt")]
