@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from kgspark.functions import splitting
 from kgspark.functions.scalars import cosine, indel_ratio
 from kgspark.functions.udfs import lcs_length, ratio, ratio_of, weighted_ratio_of
 from kgspark.operators import facts, graph, greedy, search, vectors
@@ -212,3 +213,10 @@ def test_texts_meet_once_or_within_their_group(spark, monkeypatch, whole):
     want = [(k, i, j) for k, i, x in said for m, j, y in said[::2] if k == m and x is not None and y is not None and ratio_of(x, y) > 90]
     assert rows(search.alike_texts(left, right, 90), "k", "l", "r") == sorted(want)
     assert asked == [("lt", "rt")]
+
+
+def test_long_texts_are_split_a_few_at_a_time(spark):
+    df = spark.createDataFrame([("a b", "py"), (None, ""), ("", None)], "text string, kind string")
+    cut = df.select(splitting.text_spans(F.col("text"), F.col("kind"), 2, 1).alias("s"))
+    assert "Arrow" not in cut._jdf.queryExecution().executedPlan().toString()
+    assert [[tuple(x) for x in r.s] for r in cut.collect()] == [splitting.spans("a b", 2, 1), [], []]
