@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+#: Groups of sessions whose counters are kept together.
+COUNTERS = 1024
+
+
 def in_order(parts: Iterator[pd.DataFrame]) -> pd.DataFrame:
     return pd.concat(list(parts), ignore_index=True).sort_values(["ts", "id"], kind="stable")
 
@@ -47,14 +51,20 @@ def checkpoint_stream(messages: DataFrame, n: int = 24, step: int = 1) -> DataFr
     """session_id, id, count of the messages that complete a group of n in their session, if their number is a multiple of step too."""
 
     def count(key, parts, state: GroupState):
-        (seen,) = state.get if state.exists else (0,)
         rows = in_order(parts)
-        number = seen + 1 + pd.RangeIndex(len(rows))
+        seen = pd.Series(*reversed(state.get)) if state.exists else pd.Series(dtype="int64")
+        of = rows.groupby("session_id", sort=False)
+        number = of.cumcount() + 1 + rows["session_id"].map(seen).fillna(0).astype("int64")
+        new = seen.add(of.size(), fill_value=0).astype("int64")
+        state.update((new.index.astype("int64").tolist(), new.tolist()))
         hit = (number % n == 0) & (number % step == 0)
-        state.update((seen + len(rows),))
-        yield pd.DataFrame({"session_id": key[0], "id": rows["id"].to_numpy()[hit], "count": number[hit]})
+        session = rows["session_id"][hit]
+        yield pd.DataFrame({"session_id": session if key[0] >= 0 else pd.Series([None] * len(session), dtype=object, index=session.index), "id": rows["id"][hit], "count": number[hit]})
 
-    return messages.select("session_id", "id", "ts").groupBy("session_id").applyInPandasWithState(count, "session_id long, id long, count long", "n long", "append", GroupStateTimeout.NoTimeout)
+    # A group is many sessions, so the calls do not grow with them; those without an id are one session, in a group of its own.
+    group = F.when(F.col("session_id").isNull(), -1).otherwise(F.pmod(F.xxhash64("session_id"), F.lit(COUNTERS))).cast("int").alias("_group")
+    rows = messages.select(group, F.coalesce("session_id", F.lit(0)).cast("long").alias("session_id"), "id", "ts")
+    return rows.groupBy("_group").applyInPandasWithState(count, "session_id long, id long, count long", "sessions array<long>, n array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def heartbeat_stream(messages: DataFrame, n: int = 40, size: int = 8) -> DataFrame:

@@ -179,3 +179,20 @@ def test_a_replayed_table_comes_in_order(spark, tmp_path):
     triples = [(i % 3, i, (i * 7) % 50) for i in range(50)]
     got = stateful.run_out(stateful.checkpoint_stream(stateful.replayed(messages(spark, triples), str(tmp_path / "in")), 5), str(tmp_path))
     assert rows(got, "session_id", "id") == rows(streams.checkpoint_events(messages(spark, triples), 5), "session_id", "id")
+
+
+def test_counters_of_many_sessions_share_a_call(spark, tmp_path, monkeypatch):
+    """Over several micro-batches, with sessions of large, negative and missing ids."""
+    monkeypatch.setattr(stateful, "COUNTERS", 3)
+    pick = random.Random(6)
+    said = [(pick.choice([None, 0, -5, 2**62 + 1, 2**62 + 2, *range(20, 40)]), i, DAY + datetime.timedelta(seconds=i // 2)) for i in range(400)]
+    df = spark.createDataFrame(said, "session_id long, id long, ts timestamp")
+    stream = stateful.checkpoint_stream(stateful.replayed(df, str(tmp_path / "in")), 4)
+    assert "_group" in stream._jdf.queryExecution().analyzed().toString()
+    count, want = {}, []
+    for session, i, _ in said:
+        count[session] = count.get(session, 0) + 1
+        if count[session] % 4 == 0:
+            want.append((session, i, count[session]))
+    got = [tuple(r) for r in stateful.run_out(stream, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
