@@ -8,6 +8,7 @@ vector has cosine 0 to all.  Ties go to the smaller id.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,8 @@ from kgspark.operators.recovery import saved
 QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 #: Queries and corpus rows of a cell; of these so many are multiplied at once.
 CELL, QUERY_ROWS, CORPUS_ROWS = 16384, 1024, 4096
+#: Components of the vectors packed into one row, vectors a task asks for, and vectors of a part of the corpus that they meet.
+PACK, TASK_ROWS, PART_ROWS = 131_072, 4096, 262_144
 #: Parts that rows of one vector are ranked in before they are ranked together.
 SALTS = 64
 FOUND = "qid long, id long, score double"
@@ -192,27 +195,116 @@ def bucket_topk(queries: DataFrame, corpus: DataFrame, k: int, lsh: Lsh) -> Data
     return ranked(best_of(met, k).groupBy("qid", "id").agg(F.max("score").alias("score")), k)
 
 
+def _packed(classes: DataFrame, parts: int) -> DataFrame:
+    """d, qids, sizes, ids, vecs: rows (qid, ids, vec) of one length packed as bytes, up to PACK in one; dealt to so many partitions."""
+    kind = np.float32 if classes.schema["vec"].dataType.elementType.typeName() == "float" else np.float64
+
+    def pack(batches):
+        for pdf in batches:
+            for d, rows in pdf.groupby(pdf.vec.map(len)):
+                n = max(1, PACK // int(d))
+                for a in range(0, len(rows), n):
+                    some = rows.iloc[a : a + n]
+                    parts = some.qid.to_numpy(np.int64), some.ids.map(len).to_numpy(np.int64), np.concatenate(list(some.ids)).astype(np.int64), np.stack(list(some.vec)).astype(kind)
+                    yield pd.DataFrame([(int(d), *(x.tobytes() for x in parts))], columns=["d", "qids", "sizes", "ids", "vecs"])
+
+    return classes.select("qid", "ids", "vec").repartition(parts).mapInPandas(pack, "d int, qids binary, sizes binary, ids binary, vecs binary")
+
+
+def _nearest(k: int, kind: type):
+    """A function of packed queries (d, qids, qvecs) that each meet packed rows (sizes, ids, vecs): the k best ids of each query.
+
+    Scores of normed single-precision vectors leave out what is not near a query's k-th, those of the vectors themselves decide.
+    What comes near waits until it is as much as is kept, so it is sorted a few times only.
+    """
+
+    def best(batches):
+        qids = None
+        for pdf in batches:
+            for d, asked, qvecs, sizes, ids, vecs in zip(pdf.d, pdf.qids, pdf.qvecs, pdf.sizes, pdf.ids, pdf.vecs):
+                if asked != qids:
+                    if qids is not None:
+                        yield told()
+                    qids, kept, late, n_late = asked, [np.empty(0, int), np.empty(0, int), np.empty(0)], [], 0
+                    q = np.frombuffer(qvecs, kind).reshape(-1, d).astype(np.float64)
+                    nq = np.linalg.norm(q, axis=1)
+                    nq = np.where(nq == 0, 1, nq)
+                    qn, least, slack = (q / nq[:, None]).astype(np.float32), np.full(len(q), -np.inf, np.float32), 1e-8 + 1.2e-7 * (d + 8)
+
+                    def cut():
+                        nonlocal kept, late, n_late, least
+                        row, of, score = (np.concatenate(x) for x in zip(kept, *late))
+                        sort = np.lexsort((of, -np.round(score, 9), row))
+                        row, of, score = row[sort], of[sort], score[sort]
+                        place = np.arange(len(row)) - np.searchsorted(row, row)
+                        kept, late, n_late = [x[place < k] for x in (row, of, score)], [], 0
+                        least[row[place == k - 1]] = score[place == k - 1]
+
+                    def told():
+                        cut()
+                        return pd.DataFrame({"qid": np.frombuffer(qids, np.int64)[kept[0]], "id": kept[1], "score": kept[2]})
+
+                c, sizes, ids = np.frombuffer(vecs, kind).reshape(-1, d).astype(np.float64), np.frombuffer(sizes, np.int64), np.frombuffer(ids, np.int64)
+                nc = np.linalg.norm(c, axis=1)
+                nc = np.where(nc == 0, 1, nc)
+                s = qn @ (c / nc[:, None]).astype(np.float32).T
+                if k <= s.shape[1] and not np.isfinite(least).all():
+                    least = np.maximum(least, np.partition(s, -k, axis=1)[:, -k] - np.float32(slack))
+                row, col = np.divmod(np.flatnonzero(s >= (least - np.float32(slack))[:, None]), s.shape[1])
+                score = np.concatenate([np.einsum("ij,ij->i", q[x], c[y]) / nq[x] / nc[y] for x, y in zip(*(np.array_split(z, 1 + len(row) * d // PACK) for z in (row, col)))])
+                start = np.cumsum(sizes) - sizes
+                if len(row) > 4 * len(q) * k:  # so many are equally near: of vectors too, k with the smallest first ids will do
+                    sort = np.lexsort((np.minimum.reduceat(ids, start)[col], -np.round(score, 9), row))
+                    row, col, score = row[sort], col[sort], score[sort]
+                    few = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col, score = row[few], col[few], score[few]
+                n = sizes[col]
+                late.append((np.repeat(row, n), ids[np.repeat(start[col] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(score, n)))
+                n_late += len(late[-1][0])
+                if n_late >= len(q) * k:
+                    cut()
+        if qids is not None:
+            yield told()
+
+    return best
+
+
+def self_topk(classes: DataFrame, k: int) -> DataFrame:
+    """qid, id, score, rank of rows (qid, ids, vec): of each vector the k nearest ids, its own counted.
+
+    Packed rows are stored once and all meet: a task takes some queries through a part of the corpus row by row and keeps k a query,
+    so vectors are not shuffled for it, and what is are k rows a query and part.
+    """
+    n = classes.count()
+    packed = saved(_packed(classes, max(1, -(-n // TASK_ROWS))))
+    kind = np.float32 if classes.schema["vec"].dataType.elementType.typeName() == "float" else np.float64
+    stored = packed.coalesce(max(1, -(-n // PART_ROWS))).select("d", "sizes", "ids", "vecs").hint("shuffle_replicate_nl")
+    met = packed.select("d", "qids", F.col("vecs").alias("qvecs")).join(stored, "d")
+    return ranked(met.mapInPandas(_nearest(k, kind), FOUND), k)
+
+
 def knn_self(vectors: DataFrame, k: int = 50, lsh: Lsh | None = None) -> DataFrame:
     """id, other, score: the k nearest of each row (id, vec), itself counted and then dropped.
 
-    Without lsh exact, block by block, which is work with the square of the
-    rows; with it only rows that share a bucket are compared.  Rows of equal
-    vectors are one query, and of such rows only the k with the smallest ids can
-    be neighbours, so a vector that very many rows have costs no more than one.
+    Without lsh exact, pack by pack, which is work with the square of the
+    distinct vectors; with it only rows that share a bucket are compared, those
+    of each length by buckets of their own.  Rows of equal vectors are one
+    query, and of such rows only the k with the smallest ids can be neighbours,
+    so a vector that very many rows have costs no more than one.
     """
     v = usable(vectors.select("id", "vec"))
-    if lsh is not None:
-        common = v.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-        v = v.where(F.size("vec") == (common["d"] if common else 0))
-    classes = v.groupBy("vec").agg(F.min("id").alias("qid"))
-    members = saved(v.join(classes, "vec"))
+    one = saved(v.groupBy("vec").agg(F.min("id").alias("qid")))
+    members = saved(v.join(one, "vec").select("id", "qid"))
     place = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("id"))
     few = members.withColumn("_p", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("_r", place("qid", "_p")).where(F.col("_r") <= k).withColumn("_r", place("qid")).where(F.col("_r") <= k)
-    asked, corpus = members.where("id = qid").select("qid", "vec").distinct(), few.select("id", "vec")
-    if lsh is not None and common is None:
-        lsh = None
-    found = vector_topk(asked, corpus, k) if lsh is None else bucket_topk(asked, corpus, k, lsh)
-    return members.select("id", "qid").join(found.select("qid", F.col("id").alias("other"), "score"), "qid").where("id <> other").select("id", "other", "score")
+    classes = saved(few.groupBy("qid").agg(F.collect_list("id").alias("ids")).join(one, "qid"))
+    if lsh is None:
+        found = self_topk(classes, k)
+    else:
+        of = [classes.where(F.size("vec") == r.d) for r in classes.select(F.size("vec").alias("d")).distinct().orderBy("d").collect()]
+        each = [bucket_topk(c.select("qid", "vec"), c.select(F.explode("ids").alias("id"), "vec"), k, lsh) for c in of]
+        found = reduce(DataFrame.unionByName, each) if each else self_topk(classes, k)
+    return members.join(found.select("qid", F.col("id").alias("other"), "score"), "qid").where("id <> other").select("id", "other", "score")
 
 
 def recall(vectors: DataFrame, k: int, lsh: Lsh, queries: DataFrame) -> tuple[float, float]:

@@ -10,7 +10,6 @@ from kgspark.functions.udfs import hashed_embedding, ratio
 from kgspark.operators import facts as fact_ops
 from kgspark.operators import discussions, factcheck, graph, ingest, search, stats
 from kgspark.operators.recovery import saved
-from kgspark.operators.vectors import Lsh
 from kgspark.plans.read_queries import ACTIVE, ACTIVE_SQL
 from kgspark.plans.registry import query
 
@@ -313,15 +312,15 @@ def r19(t):
     return stats.numbered(t.related_to, ["context"], ["last_seen", "a_id", "b_id"]).select("place", "context", "a_id", "b_id")
 
 
-def merge_candidates(t, lsh=None, k=50):
+def merge_candidates(t, k=50):
     """D1 over all entities with vectors."""
-    knn = search.knn_self(t.entities.join(t.vectors, "vec_id").select("id", F.col("embedding").alias("vec")), k, lsh)
+    knn = search.knn_self(t.entities.join(t.vectors, "vec_id").select("id", F.col("embedding").alias("vec")), k)
     return fact_ops.merge_pairs(knn, t.entities, stats.generic_tokens(t.entities.select("id", F.lower("canonical_name").alias("name")), 400))
 
 
 @query("d1_merge_pairs")
 def d1(t):
-    return merge_candidates(t, Lsh()).select("lo", "hi", F.round("score", 6).alias("score"))
+    return merge_candidates(t).select("lo", "hi", F.round("score", 6).alias("score"))
 
 
 NAMED = f"""c AS (SELECT DISTINCT least(a.id, b.id) AS lo, greatest(a.id, b.id) AS hi FROM (SELECT id, lower(canonical_name) AS name FROM kg_entities UNION SELECT id, lower(alias1) FROM kg_entities) a JOIN (SELECT id, lower(canonical_name) AS name FROM kg_entities UNION SELECT id, lower(alias1) FROM kg_entities) b ON a.name = b.name AND a.id < b.id),
@@ -342,7 +341,7 @@ def d2(t):
 @query("d2_classify_neighbours")
 def d2b(t):
     """D1's own pairs, classified."""
-    got = fact_ops.classify_pairs(saved(merge_candidates(t, Lsh())), t.entities, t.related_to, t.part_of)
+    got = fact_ops.classify_pairs(saved(merge_candidates(t)), t.entities, t.related_to, t.part_of)
     return got.select("a_id", "b_id", F.round("score", 6).alias("score"), "cross_topic", "shared")
 
 

@@ -11,8 +11,8 @@ from kgspark.functions import splitting
 from kgspark.functions.scalars import cosine, indel_ratio
 from kgspark.functions.udfs import lcs_length, ratio, ratio_of, weighted_ratio_of
 from kgspark.operators import facts, graph, greedy, recovery, search, upsert, vectors
-from kgspark.plans import graph_queries
 from kgspark.plans.fixtures import Tables
+from kgspark.plans.registry import graph_queries, search_queries
 from kgspark.sources.store import SnapshotStore
 
 
@@ -243,3 +243,32 @@ def test_edges_of_other_pairs_pass_ungathered(spark, monkeypatch, few):
     before = upsert.snapshot(pairs, edges.selectExpr("a_id as id"), edges.selectExpr("a_id as id", "b_id as source_entity_id"), edges, edges.selectExpr("a_id as child_id", "b_id as parent_id"))["edges"]
     assert rows(before, "a_id", "b_id") == [(r.a_id, r.b_id) for r in sorted(edges.collect()) if {r.a_id, r.b_id} & {1, 2, 3, 4, 5}]
     assert not [x for x in plan(before).splitlines() if "Aggregate" in x and "message_ids" in x]
+
+
+@pytest.mark.parametrize("lsh", [None, vectors.Lsh()])
+def test_rows_of_every_length_have_neighbours(spark, lsh):
+    v = spark.createDataFrame([(i, [float(i + 1), 1.0, 0.5]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [2.0, 4.0])] + [(20, [3.0]), (21, [5.0])], "id long, vec array<double>")
+    got = {(r.id, r.other) for r in vectors.knn_self(v, 3, lsh).collect()}
+    assert {(10, 11), (11, 10), (20, 21), (21, 20), (0, 1)} <= got
+
+
+def test_nearest_rows_by_packs_equal_a_full_sort_and_no_vector_is_shuffled(spark, monkeypatch):
+    for name, size in (("PACK", 40), ("TASK_ROWS", 30), ("PART_ROWS", 60)):
+        monkeypatch.setattr(vectors, name, size)
+    pick = np.random.default_rng(6)
+    v = [[float(x) for x in row] for row in pick.integers(-1, 2, (80, 3))] + [[float(i + 1)] * 3 for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(v)), "id long, vec array<double>")
+    m = np.array(v)
+    norm = np.linalg.norm(m, axis=1)
+    cos = m @ m.T / np.where(norm == 0, 1, norm)[:, None] / np.where(norm == 0, 1, norm)[None, :]
+    for k in (2, 30):
+        want = [(i, j) for i in range(120) for j in sorted(range(120), key=lambda j: (-round(cos[i, j], 9), j))[:k] if i != j]
+        assert rows(vectors.knn_self(df, k), "id", "other") == sorted(want)
+    text = vectors.self_topk(df.groupBy("vec").agg(F.min("id").alias("qid"), F.collect_list("id").alias("ids")), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in text and "vecs" not in "".join(x for x in text.splitlines() if "Exchange" in x)
+
+
+def test_merge_pairs_look_at_all_neighbours(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search_queries.search, "knn_self", lambda v, k, *more: asked.append(more) or vectors.knn_self(v, k, *more))
+    assert search_queries.d1(Tables(spark, SF)).columns == ["lo", "hi", "score"] and asked == [()]
