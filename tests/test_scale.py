@@ -272,3 +272,14 @@ def test_merge_pairs_look_at_all_neighbours(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(search_queries.search, "knn_self", lambda v, k, *more: asked.append(more) or vectors.knn_self(v, k, *more))
     assert search_queries.d1(Tables(spark, SF)).columns == ["lo", "hi", "score"] and asked == [()]
+
+
+def test_neighbours_leave_by_hashes_before_names_are_joined(spark):
+    entities = spark.createDataFrame([(1, "Acme Works"), (2, "Acme Work"), (3, "Other thing"), (4, "Name four")], "id long, canonical_name string")
+    knn = spark.createDataFrame([(1, 2, 0.2), (2, 1, 0.2), (1, 3, 0.95), (2, 4, 0.3)], "id long, other long, score double")
+    made, keep = [], facts.saved
+    monkeypatch = pytest.MonkeyPatch()
+    monkeypatch.setattr(facts, "saved", lambda df: made.append(plan(df)) or keep(df))
+    got = facts.merge_pairs(knn, entities, spark.createDataFrame([("thing",)], "token string"))
+    monkeypatch.undo()
+    assert rows(got, "lo", "hi") == [(1, 2), (1, 3)] and "xxhash64" in made[0]
