@@ -283,3 +283,17 @@ def test_neighbours_leave_by_hashes_before_names_are_joined(spark):
     got = facts.merge_pairs(knn, entities, spark.createDataFrame([("thing",)], "token string"))
     monkeypatch.undo()
     assert rows(got, "lo", "hi") == [(1, 2), (1, 3)] and "xxhash64" in made[0]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_edges_are_gathered_at_the_ends_of_pairs_that_can_count(spark, monkeypatch, few):
+    monkeypatch.setattr(recovery, "FEW", few)
+    stored, keep = [], facts.saved
+    monkeypatch.setattr(facts, "saved", lambda df: stored.append(keep(df)) or stored[-1])
+    entities = spark.createDataFrame([(i, "part", "x" if i < 10 else "y") for i in range(2, 14)], "id long, type string, topic string")
+    edges = spark.createDataFrame([(2, 3), (4, 7), (5, 7), (8, 9), (12, 13), (4, 1), (5, 1), (11, 12), (4, 7)], "a_id long, b_id long")
+    pairs = spark.createDataFrame([(2, 3, 99.0, 0.5), (4, 5, 96.0, 0.5), (4, 6, 40.0, 0.5), (9, 10, 80.0, 0.5), (5, 6, 0.0, 0.5), (4, 7, 99.0, 0.1), (11, 12, 99.0, 0.1)], "lo long, hi long, score double, cos double")
+    part_of = spark.createDataFrame([(5, 6)], "child_id long, parent_id long")
+    got = facts.classify_pairs(pairs, entities, edges, part_of)
+    assert rows(got, "a_id", "b_id", "shared") == [(4, 5, 1), (4, 6, 0)]
+    assert rows(stored[-1], "a_id", "b_id") == [(2, 3), (4, 1), (4, 7), (5, 1), (5, 7), (11, 12), (12, 13)]
