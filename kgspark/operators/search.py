@@ -176,7 +176,7 @@ def _left_out(texts: DataFrame, text: str) -> DataFrame:
 
 
 def _close_words(sides: DataFrame) -> DataFrame:
-    """mention, name of sides (s, is_m, is_n, short): short words that differ by at most EDITS letters left out and put in; every such pair."""
+    """mention, name, edits of sides (s, is_m, is_n, short): short words that differ by at most EDITS letters left out and put in; every such pair, and how many."""
     m, n = sides.where("is_m and short").select(F.col("s").alias("mention")), sides.where("is_n and short").select(F.col("s").alias("name"))
 
     def cut(df, c, other, o):
@@ -185,7 +185,30 @@ def _close_words(sides: DataFrame) -> DataFrame:
         return _left_out(df, c).where("gone < 2").unionByName(_left_out(df.join(longer, F.length(c) == F.col("_l"), "left_semi"), c).where("gone = 2"))
 
     met = cut(m, "mention", n, "name").withColumnRenamed("gone", "_g").join(cut(n, "name", m, "mention").withColumnRenamed("gone", "_h"), "cut")
-    return met.where(F.col("_g") + F.col("_h") <= EDITS).select("mention", "name").distinct()
+    return met.withColumn("edits", F.col("_g") + F.col("_h")).where(F.col("edits") <= EDITS).groupBy("mention", "name").agg(F.min("edits").alias("edits"))
+
+
+def _spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to as many partitions as a shuffle has: few bytes that are much work would else be one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _marks(items: Column) -> list[Column]:
+    """Two numbers with a bit for each item of an array, by its hash."""
+    at = lambda x: F.pmod(F.xxhash64(x), F.lit(128)).cast("int")
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), at(x) % 64)
+    half = lambda of: F.aggregate(F.filter(items, of), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(bit(x)))
+    return [half(lambda x: at(x) < 64), half(lambda x: at(x) >= 64)]
+
+
+def _lacks(a: str, b: str, what: str) -> Column:
+    """How many of a's letters or pairs (what) b has not, at least: bits of a's that are none of b's."""
+    return F.bit_count(F.col(f"{a}{what}0").bitwiseAND(F.bitwise_not(f"{b}{what}0"))) + F.bit_count(F.col(f"{a}{what}1").bitwiseAND(F.bitwise_not(f"{b}{what}1")))
+
+
+def _numbered(items: Column) -> Column:
+    """The items sorted, each with its number of occurrence; that is the distance to the first of the equal ones."""
+    return F.transform(F.array_sort(items), lambda x, i: F.concat(x, F.lit(":"), (i + 1 - F.array_position(F.array_sort(items), x)).cast("string")))
 
 
 def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85, k: int = 50) -> DataFrame:
@@ -199,8 +222,12 @@ def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85,
         away two of the a - 1 pairs at most; one of the others is among the rarest that many and one of the shorter text, and anywhere in the longer.
           - One letter alone: the letter.
 
+    What meets is looked at for more than the one pair or letter it meets by, before it is rated: bits of all letters and pairs, each with its
+    number of occurrence, tell how many of them the other text lacks at least, and by the same figures it may lack so many at most.
+
     Of short words (one ASCII word each) those a few letters apart are found first, by the letters left out.  All other short words
     have at most 1 - (EDITS + 1) / (2 a + EDITS + 1), or 0.9 as parts; a mention of a letters with k ids over that needs none of them.
+    If all mentions have, short names are not posted at all.  Of a name's ids, all as good, the k smallest will do.
     """
     if cutoff < 85:
         raise ValueError("below 85 short names need not share adjacent letters")
@@ -211,39 +238,56 @@ def fuzzy_candidates(mentions: DataFrame, names: DataFrame, cutoff: float = 85,
     words = F.filter(F.split("s", r"\s+"), lambda w: w != "")
     forms = F.array_distinct(F.array(F.col("s"), F.array_join(F.array_sort(words), " "), F.array_join(F.array_sort(F.array_distinct(words)), " ")))
     sides = saved(texts.select("s", (F.col("m") == 1).alias("is_m"), (F.col("n_side") == 0).alias("is_n"), forms.alias("forms"), F.array_distinct(words).alias("words"), F.col("s").rlike(f"^[!-~]{{1,{SHORT}}}$").alias("short")))
-    of = names.select("id", "name").distinct()
+    smallest = F.dense_rank().over(W.partitionBy("name").orderBy("id"))
+    of = saved(names.where("name is not null").select("id", "name").withColumn("_r", smallest).where(F.col("_r") <= k).select("id", "name").distinct())
+    lm, ln, fm, fn = F.length("mention"), F.length("name"), F.length("mf"), F.length("nf")
+    r = F.when(F.col("mention") == F.col("name"), 100.0).otherwise(F.when(lm < 4, ratio("mention", "name")).otherwise(weighted_ratio("mention", "name")))
     close = saved(_close_words(sides))
-    beyond = F.greatest(F.lit(90.0), 100 - 100 * (EDITS + 1) / (2 * F.length("mention") + EDITS + 1)) + 1e-6
-    full = close.where(F.length("mention") >= 4).withColumn("score", weighted_ratio("mention", "name")).where(F.col("score") > beyond).join(of, "name")
+    # Of one word each and of near lengths, so the weighted ratio is the plain one: that of the letters left out and put in.
+    own = (lm < 4) | (2 * F.greatest(lm, ln) < 3 * F.least(lm, ln))
+    told, rest = close.where(own).withColumn("score", 200.0 * ((lm + ln - F.col("edits")) / 2) / (lm + ln)), _spread(close.where(~own), "mention", "name").withColumn("score", r)
+    close = saved(told.unionByName(rest).where(F.col("score") >= cutoff).select("mention", "name", "score"))
+    beyond = F.greatest(F.lit(90.0), 100 - 100 * (EDITS + 1) / (2 * lm + EDITS + 1)) + 1e-6
+    full = close.where((lm >= 4) & (F.col("score") > beyond)).join(of, "name")
     full = full.groupBy("mention").agg(F.count_distinct("id").alias("_n")).where(F.col("_n") >= k).select(F.col("mention").alias("s"), F.lit(True).alias("full"))
     sides = saved(sides.join(full, "s", "left").withColumn("full", F.coalesce("full", F.lit(False)) & F.col("is_m")))
+    if sides.where("is_m and not full").isEmpty():
+        sides = sides.where("is_m or not short")
     form = sides.select("s", "is_m", "is_n", "short", "full", F.explode("forms").alias("f"))
-    posted = _pairs_of_letters(form.select("f").distinct())
+    posted = saved(_pairs_of_letters(_spread(form.select("f").distinct(), "f")))
     df = posted.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    ordered = posted.join(df, "g").groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
+    ordered = _spread(posted.join(df, "g"), "f", "n").groupBy("f", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("o"))
     a, gone = F.length("f"), F.floor(4 * (1 - c / 0.9) * F.length("f") + 1e-9)
     least = F.ceil((1.5 * c - 1) * a * (1 + c / (2 - c)) - 1 - 1e-9)
     plain = F.greatest(F.lit(1), F.col("n") - F.greatest(F.lit(1), least) + 1)
-    rare = saved(ordered.select("f", "n", F.posexplode(F.col("o")).alias("r", "x")).select("f", "x.g", (F.col("r") < plain).alias("plain"), (F.col("r") <= gone).alias("part")).join(form, "f"))
-    lm, ln, fm, fn = F.length("mention"), F.length("name"), F.length("mf"), F.length("nf")
+    bits = [b.alias(f"{what}{i}") for what, items in (("l", _numbered(F.split("f", ""))), ("p", F.col("o")["g"])) for i, b in enumerate(_marks(items))]
+    known_bits = ("n", *(f"{what}{i}" for what in "lp" for i in (0, 1)))
+    ordered = ordered.withColumn("bits", F.struct("n", *bits))
+    rare = ordered.select("f", "n", "bits", F.posexplode(F.col("o")).alias("r", "x")).select("f", "x.g", (F.col("r") < plain).alias("plain"), (F.col("r") <= gone).alias("part"), "bits")
+    rare = saved(rare.join(form, "f").select("s", "f", "g", "is_m", "is_n", "short", "full", "plain", "part", *[F.col(f"bits.{b}").alias(b) for b in known_bits]))
     near = F.abs(fm - fn) * 100 <= (100 - cutoff) * (fm + fn)
     apart = (F.greatest(lm, ln) >= 1.5 * F.least(lm, ln)) & (F.greatest(lm, ln) <= 8 * F.least(lm, ln)) & (lm >= 4)
     part = F.col("m_part") & (fm <= fn) | F.col("n_part") & (fn <= fm)
+    # By their letters and pairs, of which each text may lack so many: the plain ratio, and the shorter one as a part.
+    shared = (3 * c / 2 - 1) * (fm + fn) - 1 - 1e-9
+    enough = (2 * (fm - _lacks("m_", "n_", "l")) >= c * (fm + fn) - 1e-9) & (2 * (fn - _lacks("n_", "m_", "l")) >= c * (fm + fn) - 1e-9)
+    enough = enough & (F.col("m_n") - _lacks("m_", "n_", "p") >= shared) & (F.col("n_n") - _lacks("n_", "m_", "p") >= shared)
+    within = lambda x, y, long: (_lacks(x, y, "p") <= F.floor(4 * (1 - c / 0.9) * long + 1e-9)) & (long - _lacks(x, y, "l") >= c / 0.9 / (2 - c / 0.9) * long - 1e-9)
+    inside = (fm <= fn) & within("m_", "n_", fm) | (fn <= fm) & within("n_", "m_", fn)
 
     def alike(is_m: str, is_n: str) -> DataFrame:
-        m = rare.where(is_m).select(F.col("s").alias("mention"), F.col("f").alias("mf"), "g", F.col("plain").alias("m_plain"), F.col("part").alias("m_part"))
-        n = rare.where(is_n).select(F.col("s").alias("name"), F.col("f").alias("nf"), "g", F.col("plain").alias("n_plain"), F.col("part").alias("n_part"))
-        met = m.where("m_plain").join(n.where("n_plain"), "g").where(near).select("mention", "name")
-        met = met.unionByName(m.where("m_part").join(n, "g").where(apart & part).select("mention", "name")).unionByName(m.join(n.where("n_part"), "g").where(apart & part).select("mention", "name"))
+        side = lambda df, to, x: df.select(F.col("s").alias(to), F.col("f").alias(f"{x}f"), "g", *[F.col(col).alias(f"{x}_{col}") for col in ("plain", "part", *known_bits)])
+        m, n = side(rare.where(is_m), "mention", "m"), side(rare.where(is_n), "name", "n")
+        met = m.where("m_plain").join(n.where("n_plain"), "g").where(near & enough).select("mention", "name")
+        met = met.unionByName(m.where("m_part").join(n, "g").where(apart & part & inside).select("mention", "name")).unionByName(m.join(n.where("n_part"), "g").where(apart & part & inside).select("mention", "name"))
         word = lambda side, to: sides.where(side).select(F.col("s").alias(to), F.explode("words").alias("w"))
         met = met.unionByName(word(is_m, "mention").where(lm >= 4).join(word(is_n, "name"), "w").where(F.greatest(lm, ln) <= 8 * F.least(lm, ln)).select("mention", "name"))
         letter = sides.where(is_m).select(F.col("s").alias("mention"), F.explode(F.array_distinct(F.split("s", ""))).alias("f"))
         alone = form.where(is_n).where(F.length("f") == 1).select("f", F.col("s").alias("name"))
         return met.unionByName(letter.join(alone, "f").where(apart).select("mention", "name"))
 
-    met = close.unionByName(alike("is_m and not full", "is_n")).unionByName(alike("full", "is_n and not short")).distinct()
-    r = F.when(F.col("mention") == F.col("name"), 100.0).otherwise(F.when(lm < 4, ratio("mention", "name")).otherwise(weighted_ratio("mention", "name")))
-    scored = met.withColumn("score", r).where(F.col("score") >= cutoff)
+    met = saved(_spread(alike("is_m and not full", "is_n").unionByName(alike("full", "is_n and not short")).distinct(), "mention", "name"))
+    scored = close.unionByName(met.withColumn("score", r).where(F.col("score") >= cutoff))
     best = scored.join(of, "name").groupBy("mention", "id").agg((F.max("score") / 100).alias("score"))
     rn = F.row_number().over(W.partitionBy("mention").orderBy(F.round("score", 9).desc(), "id"))
     return best.withColumn("rank", rn).where(F.col("rank") <= k)

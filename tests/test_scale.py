@@ -297,3 +297,25 @@ def test_edges_are_gathered_at_the_ends_of_pairs_that_can_count(spark, monkeypat
     got = facts.classify_pairs(pairs, entities, edges, part_of)
     assert rows(got, "a_id", "b_id", "shared") == [(4, 5, 1), (4, 6, 0)]
     assert rows(stored[-1], "a_id", "b_id") == [(2, 3), (4, 1), (4, 7), (5, 1), (5, 7), (11, 12), (12, 13)]
+
+
+def test_fuzzy_candidates_are_told_apart_before_they_are_rated(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search, "saved", lambda df: asked.append(recovery.saved(df)) or asked[-1])
+    known = [f"supplier#{i:06d}" for i in range(60)] + [f"brand#{i} {x} {y} standard" for i in range(1, 20) for x in ("small", "hot") for y in ("widget", "bolt")]
+    names = spark.createDataFrame([(1000 * c + i, n) for c in range(9) for i, n in enumerate(known)] + [(5, known[0])], "id long, name string")
+    mentions = spark.createDataFrame([(n + "x" * (i % 2),) for i, n in enumerate(known[:60])], "mention string")
+    got = search.fuzzy_candidates(mentions, names, 85, 5)
+    want = []
+    for m in (r.mention for r in mentions.collect()):
+        best = {}
+        for i, n in enumerate(known):
+            s = -round(100.0 if m == n else weighted_ratio_of(m, n), 7)
+            for x in [1000 * c + i for c in range(9)] + [5] * (i == 0):
+                best[x] = min(best.get(x, 0.0), s)
+        want += [(m, x) for s, x in sorted((s, x) for x, s in best.items() if s <= -85)[:5]]
+    assert rows(got, "mention", "id") == sorted(want)
+    of = {tuple(df.columns): df for df in asked}
+    assert of["id", "name"].groupBy("name").count().where("count > 5").isEmpty()  # of equal names the ids that can be among the k
+    met = [df for df in asked if df.columns == ["mention", "name"]]
+    assert sum(df.count() for df in met) < 60  # of 60 * 76 mentions and names of parts, which share pairs of digits
