@@ -92,15 +92,15 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int, floor: float | No
     key = ["_d", "_q", "_s"]
     q = asked.join(n, "_d").select("_d", dealt("qid", "_m").alias("_q"), every("_n").alias("_s"), "qid", F.col("vec").alias("qvec")).groupBy(*key)
     c = stored.join(n, "_d").select("_d", every("_m").alias("_q"), dealt("id", "_n").alias("_s"), "id", F.col("vec").alias("vec")).groupBy(*key)
-    got = ranked(q.cogroup(c).applyInPandas(_cell(k), FOUND), k)
+    got = ranked(q.cogroup(c).applyInPandas(_cell(k, floor), FOUND), k)
     return got if floor is None else got.where(F.col("score") >= floor)
 
 
-def _cell(k: int):
+def _cell(k: int, floor: float | None = None):
     """A function of the queries (qid, qvec) and corpus rows (id, vec) of a cell: the k best of each query.
 
     Once a query has k, only what comes near to its k-th is looked at: scores of normed vectors leave out the rest, and those
-    of the vectors themselves decide.
+    of the vectors themselves decide.  So it is with what is under the floor, which leaves after the cut in any case.
     """
 
     def best(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
@@ -114,10 +114,10 @@ def _cell(k: int):
         out = []
         for a in range(0, len(q), QUERY_ROWS):
             rows = qn[a : a + QUERY_ROWS]
-            least, have = np.full(len(rows), -np.inf), (np.empty(0, int), np.empty(0, int), np.empty(0))
+            least, have = np.full(len(rows), -np.inf if floor is None else floor - 1e-9), (np.empty(0, int), np.empty(0, int), np.empty(0))
             for b in range(0, len(c), CORPUS_ROWS):
                 s = rows @ cn[b : b + CORPUS_ROWS].T
-                if b == 0 and k < s.shape[1]:
+                if b == 0 and k < s.shape[1] and floor is None:
                     least = np.partition(s, -k, axis=1)[:, -k]
                 row, col = np.nonzero(s >= least[:, None] - 1e-9)
                 score = np.einsum("ij,ij->i", q[a + row], c[b + col]) / nq[a + row] / nc[b + col]
