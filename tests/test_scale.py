@@ -319,3 +319,17 @@ def test_fuzzy_candidates_are_told_apart_before_they_are_rated(spark, monkeypatc
     assert of["id", "name"].groupBy("name").count().where("count > 5").isEmpty()  # of equal names the ids that can be among the k
     met = [df for df in asked if df.columns == ["mention", "name"]]
     assert sum(df.count() for df in met) < 60  # of 60 * 76 mentions and names of parts, which share pairs of digits
+
+
+def test_ids_of_a_name_meet_by_blocks_of_kinds(spark, monkeypatch):
+    pick, dealt, keep = random.Random(11), [], graph.same_name_pairs
+    monkeypatch.setattr(graph, "same_name_pairs", lambda *a: dealt.append(a[0]) or keep(*a))
+    named = [(i, pick.choice(["Red bolt", "hot ring", "new rod"]), pick.choice(["RED BOLT", "rod", f"own {i}", None])) for i in range(90)] + [(95, None, None)]
+    entities = spark.createDataFrame(named, "id long, canonical_name string, alias1 string")
+    of = {i: {x.lower() for x in n if x} for i, *n in named}
+    want = [(x, y) for x, y in combinations(sorted(of), 2) if of[x] & of[y]]
+    for kind, block in ((3, 2), (4096, 32)):
+        monkeypatch.setattr(graph, "KIND_BLOCK", kind)
+        monkeypatch.setattr(graph, "NAME_KINDS", block)
+        assert rows(graph.alias_collisions(entities), "lo", "hi") == want
+    assert dealt[-1].count() < 20  # kinds, not ids, are dealt to the blocks of a name
