@@ -333,3 +333,18 @@ def test_ids_of_a_name_meet_by_blocks_of_kinds(spark, monkeypatch):
         monkeypatch.setattr(graph, "NAME_KINDS", block)
         assert rows(graph.alias_collisions(entities), "lo", "hi") == want
     assert dealt[-1].count() < 20  # kinds, not ids, are dealt to the blocks of a name
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_edges_of_entities_without_a_shared_name_are_not_gathered(spark, monkeypatch, few):
+    monkeypatch.setattr(facts, "FEW", few)
+    stored, keep = [], facts.saved
+    monkeypatch.setattr(facts, "saved", lambda df: stored.append(keep(df)) or stored[-1])
+    entities = spark.createDataFrame([(i, n, None, "part", "x", None) for i, n in ((2, "bolt"), (3, "Bolt"), (4, "bolt"), (5, "own"), (6, "other"), (7, "more"))], "id long, canonical_name string, alias1 string, type string, topic string, vec array<double>")
+    edges = spark.createDataFrame([(2, 5), (3, 5), (5, 6), (6, 7), (4, 3), (2, 5)], "a_id long, b_id long")
+    got = facts.classify_named(entities, edges, spark.createDataFrame([(7, 6)], "child_id long, parent_id long"))
+    assert rows(got, "a_id", "b_id", "shared") == [(2, 3, 1), (2, 4, 0)]
+    edges = next(df for df in stored if df.columns == ["a_id", "b_id"])
+    assert rows(edges, "a_id", "b_id") == [(2, 5), (3, 4), (3, 5)] + ([(5, 6), (6, 7)] if few == 0 else [])
+    members = next(df for df in stored if "members" in df.columns)
+    assert members.where("array_contains(names, 'own')").isEmpty()
